@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.llm.quality_rules import op8
+from fathomline.llm.simhash import op9
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
     "op8_line_first_rules": op8,
+    "op9_simhash_tiles": op9,
 }
 _ORACLES: dict[str, str] = {}
 
