@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.llm.crf_quality import op1
 from fathomline.llm.multiset_hash import op2
+from fathomline.llm.packing import op3
 from fathomline.llm.quality_rules import op8
 from fathomline.llm.simhash import op9
 from fathomline.llm.toxicity_chain import op5
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {
     "op1_crf_quality": op1,
     "op2_multiset_hash": op2,
+    "op3_best_fit_packing": op3,
     "op5_toxicity_chain": op5,
     "op8_line_first_rules": op8,
     "op9_simhash_tiles": op9,
