@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.llm.crf_quality import op1
+from fathomline.llm.line_dedup import OP6_SQL, op6
+from fathomline.llm.mixing import OP7_SQL, op7
 from fathomline.llm.multiset_hash import op2
 from fathomline.llm.packing import op3
 from fathomline.llm.quality_rules import op8
+from fathomline.llm.resharding import op4
 from fathomline.llm.simhash import op9
 from fathomline.llm.toxicity_chain import op5
 
@@ -19,11 +22,17 @@ _QUERIES: dict[str, Query] = {
     "op1_crf_quality": op1,
     "op2_multiset_hash": op2,
     "op3_best_fit_packing": op3,
+    "op4_flow_resharding": op4,
     "op5_toxicity_chain": op5,
+    "op6_site_line_dedup": op6,
+    "op7_poisson_mixing": op7,
     "op8_line_first_rules": op8,
     "op9_simhash_tiles": op9,
 }
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {
+    "op6_site_line_dedup": OP6_SQL,
+    "op7_poisson_mixing": OP7_SQL,
+}
 
 
 def queries() -> dict[str, Query]:
