@@ -14,6 +14,7 @@ from fathomline.llm.packing import op3
 from fathomline.llm.quality_rules import op8
 from fathomline.llm.resharding import op4
 from fathomline.llm.simhash import op9
+from fathomline.llm.substring_dedup import op10
 from fathomline.llm.toxicity_chain import op5
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ _QUERIES: dict[str, Query] = {
     "op7_poisson_mixing": op7,
     "op8_line_first_rules": op8,
     "op9_simhash_tiles": op9,
+    "op10_suffix_array_dedup": op10,
 }
 _ORACLES: dict[str, str] = {
     "op6_site_line_dedup": OP6_SQL,
