@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fathomline.llm.crf_quality import op1
 from fathomline.llm.line_dedup import OP6_SQL, op6
 from fathomline.llm.mixing import OP7_SQL, op7
@@ -30,6 +31,7 @@ _QUERIES: dict[str, Query] = {
     "op8_line_first_rules": op8,
     "op9_simhash_tiles": op9,
     "op10_suffix_array_dedup": op10,
+    "pipeline": corpus_pipeline.run,
 }
 _ORACLES: dict[str, str] = {
     "op6_site_line_dedup": OP6_SQL,
@@ -42,4 +44,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return _ORACLES if corpus_pipeline.ORACLE_SQL is None else _ORACLES | {"pipeline": corpus_pipeline.ORACLE_SQL}
