@@ -14,9 +14,9 @@ leftmost ``GRAM``-byte string with the smallest hash. Equal windows have the sam
 4. joined to the places of the contexts, windows found in an earlier document become spans, and the spans are cut from the texts.
 
 Texts equal to an earlier document's are set aside before (2). Anchors that stand in over ``HOT_SHARE`` of a sample of
-documents could make groups of any size in one bucket or shard: they skip (1), and in (3) their windows are compared by
-a plain aggregation, which sums before it shuffles; the sample decides on the way only, both ways are exact. Anchors are told apart
-by 64-bit hashes and contexts of an anchor by 64 more; windows are compared byte for byte.
+documents could fill a bucket: they skip (1). Anchors with more than ``MOST_CONTEXTS`` contexts could fill a shard: in
+(3), their windows are compared by a plain aggregation instead, which sums before it shuffles. Either way is exact.
+Anchors are told apart by 64-bit hashes and contexts of an anchor by 64 more; windows are compared byte for byte.
 
 Steps are joined through tables written to the cluster's shared folder, so a lost executor repeats one step at most.
 
@@ -49,6 +49,10 @@ REACH = LENGTH - GRAM
 HOT_SHARE = 0.01
 SAMPLE_DOCS = 5000
 LEAST_HOT = 50
+#: Contexts of one anchor up to which a suffix array compares them.
+MOST_CONTEXTS = 50_000
+#: Hot anchors up to which their table is broadcast.
+BROADCAST_ANCHORS = 100_000
 LOWEST = -(1 << 63)
 #: Bytes of text whose anchors go into one set of packed arrays.
 PACK_BYTES = 16 << 20
@@ -218,10 +222,10 @@ def with_part(rows: DataFrame, parts: int) -> DataFrame:
     return rows.withColumn("part", F.pmod(mixed, F.lit(parts)).cast("int"))
 
 
-OCCURRENCES = "h long, c long, k long, pos int, hot boolean, ctx binary, anchor int, low long, high long"
+OCCURRENCES = "h long, c long, k long, pos int, ctx binary, anchor int, low long, high long"
 
 
-def occurrences(texts: DataFrame, marks: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame:
+def occurrences(texts: DataFrame, marks: DataFrame, length: int, gram: int) -> DataFrame:
     """A row for each repeated anchor; the first of each (anchor, context) of a chunk also carries the context.
 
     ``marks`` has packed places, and keys of texts that are copies (flag), by part. ``low`` and ``high`` are the
@@ -230,7 +234,7 @@ def occurrences(texts: DataFrame, marks: DataFrame, hot: np.ndarray, length: int
     reach = length - gram
 
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("pos", pa.int32()), ("hot", pa.bool_()), ("ctx", pa.binary()), ("anchor", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+        schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("pos", pa.int32()), ("ctx", pa.binary()), ("anchor", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
         blobs = [x for x in right.column("places").to_pylist() if x is not None]
         copies = np.unique(np.array([x for x in right.column("copy").to_pylist() if x is not None], np.int64))
         if not blobs or not left.num_rows:
@@ -270,7 +274,7 @@ def occurrences(texts: DataFrame, marks: DataFrame, hot: np.ndarray, length: int
                 ctx[i] = data[x:y]
             high = np.zeros(len(h), np.int64)
             high[first] = own[doc[last]]
-            out.append(pa.Table.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(own[doc]), pa.array(here.astype(np.int32)), pa.array(member(h, hot)), pa.array(ctx, pa.binary()), pa.array((place - a).astype(np.int32)), pa.array(own[doc]), pa.array(high)], schema=schema))
+            out.append(pa.Table.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(own[doc]), pa.array(here.astype(np.int32)), pa.array(ctx, pa.binary()), pa.array((place - a).astype(np.int32)), pa.array(own[doc]), pa.array(high)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(rows, OCCURRENCES)
@@ -365,8 +369,8 @@ def shard_spans(shards: DataFrame, length: int, gram: int) -> DataFrame:
     return shards.groupBy("shard").applyInArrow(rows, FOUND)
 
 
-def hot_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for hot anchors: every window of every context, compared by aggregation."""
+def large_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for anchors with many contexts: every window of every context, compared by aggregation."""
     merged = contexts.groupBy("h", "c", "ctx", "anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     windows = merged.withColumn("shift", F.explode(F.sequence(F.greatest(F.lit(0), F.col("anchor") + length - F.octet_length("ctx")), F.least(F.col("anchor"), F.lit(length - gram)))))
     windows = windows.filter(F.octet_length("ctx") >= length).select("h", "c", "high", "shift", "low", F.expr(f"substring(ctx, anchor - shift + 1, {length})").alias("w"))
@@ -429,7 +433,7 @@ def copies_of_earlier(docs: DataFrame) -> DataFrame:
     return h.join(least, ["a", "b", "n"]).filter("k > least").select("k")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, hot: np.ndarray | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, hot: np.ndarray | None = None, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row."""
     spark = docs.sparkSession
     parts = _parts(spark)
@@ -442,10 +446,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     texts = with_part(rows, parts)
     repeated = repeated_anchors(rows, hot, parts, length, gram)
     marks = repeated.select("part", "places", F.lit(None).cast("long").alias("copy")).union(copies.select("part", F.lit(None).cast("binary"), "k"))
-    found = written(occurrences(texts, marks, hot, length, gram))
-    contexts = found.filter("ctx is not null").select("h", "c", "hot", "ctx", "anchor", "low", "high")
-    cold = shard_spans(contexts.filter("not hot").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")).drop("hot"), length, gram)
-    spans = cold.unionByName(hot_spans(contexts.filter("hot"), length, gram))
+    found = written(occurrences(texts, marks, length, gram))
+    contexts = found.filter("ctx is not null").select("h", "c", "ctx", "anchor", "low", "high")
+    large = cut_lineage(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_contexts).select("h"))
+    number = large.count()
+    side = F.broadcast(large) if number <= BROADCAST_ANCHORS else large
+    small = contexts.join(side, "h", "left_anti") if number else contexts
+    spans = shard_spans(small.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")), length, gram)
+    if number:
+        spans = spans.unionByName(large_spans(contexts.join(side, "h", "left_semi"), length, gram))
     places = found.select("h", "c", "k", "pos").join(spans, ["h", "c"]).filter("least < k").select("k", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("stop")).alias("stop"))
     places = written(with_part(places, parts))
     marks = places.select("part", "k", "begin", "stop").union(copies.select("part", "k", F.lit(-1), F.lit(-1)))
