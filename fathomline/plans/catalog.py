@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,19 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+MODULES = ("q_scan",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"fathomline.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
