@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-MODULES = ("q_scan", "q_search")
+MODULES = ("q_scan", "q_search", "q_graph")
 
 
 def _load() -> None:
