@@ -19,6 +19,7 @@ documents could fill a bucket: they skip (1). Anchors with more than ``MOST_CONT
 Anchors are told apart by 64-bit hashes and contexts of an anchor by 64 more; windows are compared byte for byte.
 
 Steps are joined through tables written to the cluster's shared folder, so a lost executor repeats one step at most.
+(3) and (4) are done in ``TURNS`` turns over the anchors, each with its share of the contexts, to halve the disk needed.
 
 Defined cases: null and empty texts have 0 bytes, and texts below ``LENGTH`` bytes lose nothing; among equal texts the
 smallest doc_id keeps its bytes (as far as no other document has them); rows that repeat a doc_id are no earlier
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -51,7 +53,9 @@ SAMPLE_DOCS = 5000
 LEAST_HOT = 50
 #: Contexts of one anchor up to which a suffix array compares them.
 MOST_CONTEXTS = 50_000
-#: Hot anchors up to which their table is broadcast.
+#: Turns in which the anchors are compared, so that a quarter of the contexts are on disk at once.
+TURNS = 4
+#: Anchors with many contexts up to which their table is broadcast.
 BROADCAST_ANCHORS = 100_000
 LOWEST = -(1 << 63)
 #: Bytes of text whose anchors go into one set of packed arrays.
@@ -92,16 +96,27 @@ def _parts(spark: SparkSession) -> int:
     return 3 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1 | 1
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A table in the shared folder in place of ``df``: what was shuffled for it isn't needed any more."""
+def written(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
+    """A table in the shared folder (a folder for each value of ``by``) in place of ``df``, and its path.
+
+    What was shuffled to make it isn't needed any more.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver's garbage collector finds them unused
-    return out
+    for _ in range(3):  # shuffle files go once the driver's collectors have found them unused, in two or three rounds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+    return out, path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 
@@ -444,21 +459,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     several = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
     copies = cut_lineage(with_part(copies_of_earlier(rows).join(several, "k", "left_anti"), parts))
     texts = with_part(rows, parts)
-    repeated = repeated_anchors(rows, hot, parts, length, gram)
+    repeated, repeated_path = written(repeated_anchors(rows, hot, parts, length, gram))
     marks = repeated.select("part", "places", F.lit(None).cast("long").alias("copy")).union(copies.select("part", F.lit(None).cast("binary"), "k"))
-    found = written(occurrences(texts, marks, length, gram))
+    found = occurrences(texts, marks, length, gram).withColumn("turn", F.pmod(F.xxhash64("h", F.lit(4)), F.lit(TURNS)).cast("int"))
+    found, found_path = written(found, by="turn")
+    removed(spark, repeated_path)
+    places = [written(with_part(placed(found.filter(F.col("turn") == t), parts, length, gram, most_contexts), parts))[0] for t in range(TURNS)]
+    removed(spark, found_path)
+    spans = places[0]
+    for more in places[1:]:
+        spans = spans.union(more)
+    marks = spans.select("part", "k", "begin", "stop").union(copies.select("part", "k", F.lit(-1), F.lit(-1)))
+    return cut_texts(texts, marks, length, with_text)
+
+
+def placed(found: DataFrame, shards: int, length: int, gram: int, most_contexts: int) -> DataFrame:
+    """(k, begin, stop): repeated spans of the documents, from the occurrences of some anchors."""
     contexts = found.filter("ctx is not null").select("h", "c", "ctx", "anchor", "low", "high")
     large = cut_lineage(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_contexts).select("h"))
     number = large.count()
     side = F.broadcast(large) if number <= BROADCAST_ANCHORS else large
     small = contexts.join(side, "h", "left_anti") if number else contexts
-    spans = shard_spans(small.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")), length, gram)
+    spans = shard_spans(small.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")), length, gram)
     if number:
         spans = spans.unionByName(large_spans(contexts.join(side, "h", "left_semi"), length, gram))
-    places = found.select("h", "c", "k", "pos").join(spans, ["h", "c"]).filter("least < k").select("k", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("stop")).alias("stop"))
-    places = written(with_part(places, parts))
-    marks = places.select("part", "k", "begin", "stop").union(copies.select("part", "k", F.lit(-1), F.lit(-1)))
-    return cut_texts(texts, marks, length, with_text)
+    return found.select("h", "c", "k", "pos").join(spans, ["h", "c"]).filter("least < k").select("k", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("stop")).alias("stop"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
