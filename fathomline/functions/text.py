@@ -136,7 +136,7 @@ def scrub_cards(col: Column) -> Column:
 
 def dates_in(col: Column) -> Column:
     """Real calendar days written as yyyy-mm-dd."""
-    return F.filter(F.transform(F.regexp_extract_all(col, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)), lambda x: F.try_to_date(x, F.lit("yyyy-MM-dd"))), lambda d: d.isNotNull())
+    return F.filter(F.transform(F.regexp_extract_all(col, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)), lambda x: F.try_to_date(x, "yyyy-MM-dd")), lambda d: d.isNotNull())
 
 
 def html_text(col: Column) -> Column:
