@@ -92,8 +92,8 @@ def anchors(t: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
 
 
 def _parts(spark: SparkSession) -> int:
-    """Buckets, shards and parts of documents: some to a task, an odd number so that strides in doc_id don't matter."""
-    return 3 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1 | 1
+    """Buckets, shards and parts of documents: two to a task, an odd number so that strides in doc_id don't matter."""
+    return 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1
 
 
 def written(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
