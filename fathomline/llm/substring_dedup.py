@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from fathomline.llm.suffix_array import common_prefixes, suffix_array
 from fathomline.llm.textbatch import Texts, chunks, mix, powers, span_hash
@@ -237,7 +238,7 @@ def with_part(rows: DataFrame, parts: int) -> DataFrame:
     return rows.withColumn("part", F.pmod(mixed, F.lit(parts)).cast("int"))
 
 
-OCCURRENCES = "h long, c long, k long, pos int, ctx binary, anchor int, low long, high long"
+OCCURRENCES = "h long, c long, k long, v int, pos int, ctx binary, anchor int, low long, high long"
 
 
 def occurrences(texts: DataFrame, marks: DataFrame, length: int, gram: int) -> DataFrame:
@@ -249,7 +250,7 @@ def occurrences(texts: DataFrame, marks: DataFrame, length: int, gram: int) -> D
     reach = length - gram
 
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("pos", pa.int32()), ("ctx", pa.binary()), ("anchor", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+        schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("v", pa.int32()), ("pos", pa.int32()), ("ctx", pa.binary()), ("anchor", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
         blobs = [x for x in right.column("places").to_pylist() if x is not None]
         copies = np.unique(np.array([x for x in right.column("copy").to_pylist() if x is not None], np.int64))
         if not blobs or not left.num_rows:
@@ -259,7 +260,7 @@ def occurrences(texts: DataFrame, marks: DataFrame, length: int, gram: int) -> D
         k, pos = k[keep], pos[keep]
         order = np.lexsort((pos, k))
         k, pos = k[order], pos[order]
-        keys = np.asarray(left.column("k").combine_chunks())
+        keys, variants = np.asarray(left.column("k").combine_chunks()), np.asarray(left.column("v").combine_chunks())
         out: list[pa.Table] = []
         for row, t in chunks(left.column("text")):
             own = keys[row : row + len(t)]
@@ -289,7 +290,7 @@ def occurrences(texts: DataFrame, marks: DataFrame, length: int, gram: int) -> D
                 ctx[i] = data[x:y]
             high = np.zeros(len(h), np.int64)
             high[first] = own[doc[last]]
-            out.append(pa.Table.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(own[doc]), pa.array(here.astype(np.int32)), pa.array(ctx, pa.binary()), pa.array((place - a).astype(np.int32)), pa.array(own[doc]), pa.array(high)], schema=schema))
+            out.append(pa.Table.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(own[doc]), pa.array(variants[row + doc]), pa.array(here.astype(np.int32)), pa.array(ctx, pa.binary()), pa.array((place - a).astype(np.int32)), pa.array(own[doc]), pa.array(high)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(rows, OCCURRENCES)
@@ -402,13 +403,14 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def cut_texts(texts: DataFrame, marks: DataFrame, length: int, with_text: bool = False) -> DataFrame:
-    """The result rows: texts without their spans; ``marks`` has (k, begin, stop), or k with no span for copies."""
+    """The result rows: texts without their spans; ``marks`` has (k, v, begin, stop), or k with a negative begin for copies."""
     more = ", kept_text binary" if with_text else ""
 
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
-        k, begin, stop = (np.asarray(right.column(x).combine_chunks()) for x in ("k", "begin", "stop"))
-        order = np.lexsort((begin, k))
-        k, begin, stop = k[order], begin[order].astype(np.int64), stop[order].astype(np.int64)
+        k, v, begin, stop = (np.asarray(right.column(x).combine_chunks()) for x in ("k", "v", "begin", "stop"))
+        order = np.lexsort((begin, v, k))
+        k, v, begin, stop = k[order], v[order], begin[order].astype(np.int64), stop[order].astype(np.int64)
+        variants = np.asarray(left.column("v").combine_chunks()) if left.num_rows else np.zeros(0, np.int32)
         keys = np.asarray(left.column("k").combine_chunks()) if left.num_rows else np.zeros(0, np.int64)
         out: list[tuple] = []
         for row, t in chunks(left.column("text")):
@@ -418,7 +420,8 @@ def cut_texts(texts: DataFrame, marks: DataFrame, length: int, with_text: bool =
             for i in range(len(t)):
                 data = t.bytes(i)
                 n = len(data)
-                a, b = begin[lo[i] : hi[i]], stop[lo[i] : hi[i]]
+                mine = v[lo[i] : hi[i]] == variants[row + i]
+                a, b = begin[lo[i] : hi[i]][mine], stop[lo[i] : hi[i]][mine]
                 if len(a) and a[0] < 0:  # a copy of an earlier text
                     a, b = (np.array([0]), np.array([n])) if n >= length else (a[:0], b[:0])
                 removed = spans = 0
@@ -455,10 +458,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     if hot is None:
         hot = sampled_hot(rows, length, gram)
-    # a key with several texts isn't a copy, though one of its texts may be: such texts go the general way
-    several = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    # a key with several texts isn't a copy, though one of its texts may be: such texts go the general way, numbered by v
+    several = cut_lineage(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"))
     copies = cut_lineage(with_part(copies_of_earlier(rows).join(several, "k", "left_anti"), parts))
-    texts = with_part(rows, parts)
+    if several.isEmpty():
+        texts = with_part(rows.withColumn("v", F.lit(0)), parts)
+    else:
+        named = rows.withColumn("__t", F.xxhash64("text"))
+        numbers = named.select("k", "__t").join(several, "k", "left_semi").distinct().withColumn("__v", F.row_number().over(W.partitionBy("k").orderBy("__t")))
+        texts = with_part(named.join(numbers, ["k", "__t"], "left").withColumn("v", F.coalesce("__v", F.lit(0))).drop("__t", "__v"), parts)
     repeated, repeated_path = written(repeated_anchors(rows, hot, parts, length, gram))
     marks = repeated.select("part", "places", F.lit(None).cast("long").alias("copy")).union(copies.select("part", F.lit(None).cast("binary"), "k"))
     found = occurrences(texts, marks, length, gram).withColumn("turn", F.pmod(F.xxhash64("h", F.lit(4)), F.lit(TURNS)).cast("int"))
@@ -469,12 +477,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     spans = places[0]
     for more in places[1:]:
         spans = spans.union(more)
-    marks = spans.select("part", "k", "begin", "stop").union(copies.select("part", "k", F.lit(-1), F.lit(-1)))
+    marks = spans.select("part", "k", "v", "begin", "stop").union(copies.select("part", "k", F.lit(0), F.lit(-1), F.lit(-1)))
     return cut_texts(texts, marks, length, with_text)
 
 
 def placed(found: DataFrame, shards: int, length: int, gram: int, most_contexts: int) -> DataFrame:
-    """(k, begin, stop): repeated spans of the documents, from the occurrences of some anchors."""
+    """(k, v, begin, stop): repeated spans of the documents, from the occurrences of some anchors."""
     contexts = found.filter("ctx is not null").select("h", "c", "ctx", "anchor", "low", "high")
     large = cut_lineage(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_contexts).select("h"))
     number = large.count()
@@ -483,7 +491,7 @@ def placed(found: DataFrame, shards: int, length: int, gram: int, most_contexts:
     spans = shard_spans(small.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")), length, gram)
     if number:
         spans = spans.unionByName(large_spans(contexts.join(side, "h", "left_semi"), length, gram))
-    return found.select("h", "c", "k", "pos").join(spans, ["h", "c"]).filter("least < k").select("k", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("stop")).alias("stop"))
+    return found.select("h", "c", "k", "v", "pos").join(spans, ["h", "c"]).filter("least < k").select("k", "v", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("stop")).alias("stop"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
