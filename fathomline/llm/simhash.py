@@ -14,8 +14,8 @@ Comparison is exact, so its cost grows with the square of the number of distinct
 pairs that the keys let through; keys and tiles spread the pairs evenly over tasks, whatever the sizes of the groups.
 
 Defined cases: null and empty texts and texts without words have fingerprint zero and are linked like any other; texts
-with fewer words than a shingle give one shingle of all words; very long texts are read whole; repeated rows fall into
-one component; a null doc_id gets no say in its component's number; an empty table gives no rows; columns other than
+with fewer words than a shingle give one shingle of all words; very long texts are read whole; rows that repeat a doc_id fall
+into one component; a null doc_id gets no say in its component's number; an empty table gives no rows; columns other than
 doc_id and text are not read.
 """
 
@@ -208,13 +208,21 @@ def linked(reps: DataFrame, radius: int, neighbours: Callable[[int, int], list[i
     return pairs.mapInArrow(compare, "a long, b long")
 
 
+def same_id(prints: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) that tie together the fingerprints of rows with one doc_id."""
+    h = F.xxhash64("fp")
+    several = prints.groupBy("doc_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).filter("x <> y").select("doc_id")
+    rows = prints.join(several, "doc_id", "left_semi").join(reps, ["fp", "tile_key"])
+    return rows.select(F.col("doc_id").cast("long").alias("a"), F.col("rep").cast("long").alias("b"))
+
+
 def components(docs: DataFrame, shingle: int = 3, radius: int = 2, n_words: int = 1, by_size: bool = False, tile: int = TILE) -> DataFrame:
     """(doc_id, fingerprint as hex, component_id) of every row of ``docs``."""
     key, neighbours = (size_key(radius), size_neighbours) if by_size else (block_key, block_neighbours)
     prints = cut_lineage(fingerprint_table(docs, shingle, n_words, key))
     reps = prints.groupBy("fp", "tile_key").agg(F.min("doc_id").alias("rep"))
     reps = cut_lineage(reps)
-    edges = linked(reps.filter("rep is not null"), radius, neighbours, n_words, tile)
+    edges = linked(reps.filter("rep is not null"), radius, neighbours, n_words, tile).unionByName(same_id(prints, reps))
     found = connected_components(edges)
     named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "tile_key", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, ["fp", "tile_key"], "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
