@@ -79,19 +79,20 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, default_weight: flo
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, source: str = "source", size: float | None = None, seed: str = SEED, detail: bool = False) -> DataFrame:
     """The documents repeated to the target weights, in a global random order.
 
-    ``size``: expected number of rows (as many as there are, by default). ``detail`` adds copy, rate and shuffle_key.
+    ``size``: expected number of rows (as many as there are, by default). ``detail`` adds copy, rate and shuffle_key, in
+    place of columns of these names.
     """
     names = docs.columns
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     table = rates(docs, weights, default_weight, source, size)
     own = docs.withColumn("__source", F.coalesce(F.col(source), F.lit("\0"))).join(table, "__source")
     counted = own.withColumn("__count", poisson(F.col("__rate"), key, seed)).filter("__count > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
-    keyed = copies.withColumn("shuffle_key", uniform(seed, F.lit("order"), key, F.col("copy").cast("string")))
+    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
+    keyed = copies.withColumn("__key", uniform(seed, F.lit("order"), key, F.col("__copy").cast("string")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
-    more = [F.col("copy"), F.round("__rate", 9).alias("rate"), F.col("shuffle_key")] if detail else []
-    return ordered.select(*[F.col(f"`{c}`") for c in names if not detail or c not in ("copy", "rate", "shuffle_key")], *more)
+    ordered = keyed.repartition(parts, "__key").sortWithinPartitions("__key", "doc_id")
+    more = {"copy": F.col("__copy"), "rate": F.round("__rate", 9), "shuffle_key": F.col("__key")} if detail else {}
+    return ordered.select(*[F.col(f"`{c}`") for c in names if c not in more], *[c.alias(n) for n, c in more.items()])
 
 
 #: The mixture of the query and the pipeline: a hot source is brought down to twice an ordinary source's share.

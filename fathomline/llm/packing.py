@@ -25,8 +25,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,15 +157,17 @@ def pack_parts(rows: DataFrame, parts: int, exchange: int, capacity: int = CAPAC
     """Deal the pieces to ``parts`` partitions and pack each."""
     name = F.pmod(F.xxhash64("doc_id", "piece", F.lit(exchange)), F.lit(parts)) + exchange * (1 << 24)
 
-    def pack(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["doc_id", "piece", "start"], kind="stable", na_position="first").reset_index(drop=True)
-        lengths = x["length"].to_numpy(np.int64)
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("doc_id", "piece", "start")], null_placement="at_start"))
+        lengths = np.asarray(table.column("length").combine_chunks())
         bins, offsets, count = best_fit(lengths, capacity)
-        part = int(x["partition"].iloc[0])
+        part = table.column("partition")[0].as_py()
         fill = np.bincount(bins, weights=lengths, minlength=count).astype(np.int64)
-        return x.assign(sequence_id=part * (1 << 32) + bins, offset=offsets, fill=fill[bins], bins=count, bound=lower_bound(lengths, capacity))[[c.split()[0] for c in PLACED.split(", ")]]
+        made = {"sequence_id": part * (1 << 32) + bins, "offset": offsets, "fill": fill[bins], "partition": np.full(len(bins), part), "bins": np.full(len(bins), count), "bound": np.full(len(bins), lower_bound(lengths, capacity))}
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        return pa.table({n: table.column(n) for n in names} | {n: pa.array(v.astype(np.int64)) for n, v in made.items()})
 
-    return rows.select(*(c.split()[0] for c in PIECES.split(", ")), name.alias("partition")).groupBy("partition").applyInPandas(pack, PLACED)
+    return rows.select(*(c.split()[0] for c in PIECES.split(", ")), name.cast("long").alias("partition")).groupBy("partition").applyInArrow(pack, PLACED)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, exchanges: int = EXCHANGES) -> DataFrame:
