@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-MODULES = ("q_scan", "q_search", "q_graph", "q_stats", "q_ingest")
+MODULES = ("q_scan", "q_search", "q_graph", "q_stats", "q_ingest", "q_more")
 
 
 def _load() -> None:
