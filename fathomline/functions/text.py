@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 
@@ -34,7 +35,7 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_alias(s: pd.Series) -> pd.Series:
     """NFKC, lower case, white space collapsed, quotes and brackets taken off the ends (Arrow UDF: no built-in does NFKC)."""
 
@@ -44,7 +45,7 @@ def normalize_alias(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slugify(s: pd.Series) -> pd.Series:
     """Marks stripped after NFKD, everything but letters and digits to single hyphens (Arrow UDF)."""
 
@@ -146,7 +147,7 @@ def html_text(col: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", " ")
     for entity, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(to))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def grid_weight(col: Column) -> Column:

@@ -99,7 +99,7 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     p, m = share(hits, n), F.nullif(n, F.lit(0))
     mid = (p + z * z / (2 * m)) / (1 + z * z / m)
     half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)), F.when(n > 0, F.least(F.lit(1.0), mid + half))
 
 
 def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
@@ -118,7 +118,7 @@ def replay_stability(before: Column, after: Column) -> tuple[Column, Column]:
     """(Jaccard of the two slug lists, same first slug); two empty lists are alike."""
     both = F.size(F.array_union(before, after))
     jaccard = F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(before, after)) / both)
-    return jaccard, F.element_at(before, 1).eqNullSafe(F.element_at(after, 1))
+    return jaccard, F.try_element_at(before, F.lit(1)).eqNullSafe(F.try_element_at(after, F.lit(1)))
 
 
 def consensus(scores: DataFrame, least_raters: int, mean_floor: float = 7.0, min_floor: float = 5.0) -> DataFrame:

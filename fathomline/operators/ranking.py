@@ -12,7 +12,10 @@ from pyspark.sql import Window as W
 from fathomline.functions import text as T
 from fathomline.operators.scope import prefix_case
 
-ALL = W.partitionBy()
+
+def whole():
+    """The window over all rows (of a ranked list that has been cut to a page)."""
+    return W.partitionBy()
 
 # Half-life in days and coefficient of the recency boost by slug prefix.
 RECENCY = {
@@ -33,7 +36,7 @@ RECENCY_DEFAULT = (90, 0.5)
 
 def floor_threshold(df: DataFrame, ratio: float | None) -> DataFrame:
     """``floor``: the top score times the ratio, fixed before any boost; null where it is off."""
-    best = F.max("score").over(ALL)
+    best = F.max("score").over(whole())
     on = ratio is not None and 0 <= ratio <= 1
     return df.withColumn("floor", F.when(best > 0, best * ratio) if on else F.lit(None).cast("double"))
 
@@ -106,7 +109,7 @@ def create_safety(evidence_class: Column) -> Column:
 
 def diversify(df: DataFrame, kind: str, share: float = 0.6) -> DataFrame:
     """At most max(1, ceil(share * n)) rows of a kind, in rank order."""
-    cap = F.greatest(F.lit(1), F.ceil(share * F.count(F.lit(1)).over(ALL)))
+    cap = F.greatest(F.lit(1), F.ceil(share * F.count(F.lit(1)).over(whole())))
     nth = F.row_number().over(W.partitionBy(kind).orderBy("rank"))
     return df.withColumn("__n", nth).withColumn("__cap", cap).filter("__n <= __cap").drop("__n", "__cap")
 
@@ -142,7 +145,7 @@ def truth_guarantee(kept: DataFrame, pool: DataFrame, page: str = "page_id") ->
 
 def autocut(df: DataFrame, jump: float = 0.2, min_keep: int = 1) -> DataFrame:
     """Cut after the largest gap of normalised rerank scores, if it reaches ``jump``; ties and alias hits stay."""
-    best = F.max("rerank_score").over(ALL)
+    best = F.max("rerank_score").over(whole())
     top = F.when(best > 0, best)
     w = W.orderBy(F.desc("rerank_score"), F.asc("slug"))
     scored = df.filter("rerank_score is not null").withColumn("__i", F.row_number().over(w)).withColumn("__gap", (F.col("rerank_score") - F.lead("rerank_score").over(w)) / top)

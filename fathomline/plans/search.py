@@ -55,7 +55,7 @@ def classify(query: str) -> str:
 def relation_of(query: str, relations: dict[str, tuple[str, str]] = RELATIONS) -> tuple[str, str, str] | None:
     """(seed, link type, direction) of a relation question."""
     for pattern, (kind, direction) in relations.items():
-        if m := re.fullmatch(pattern + r"\??", query.strip(), re.IGNORECASE):
+        if m := re.fullmatch(pattern, query.strip().rstrip("?").strip(), re.IGNORECASE):
             return m["seed"].strip(), kind, direction
     return None
 
