@@ -13,9 +13,9 @@ from fathomline.functions import text as T
 from fathomline.operators.scope import prefix_case
 
 
-def whole():
-    """The window over all rows (of a ranked list that has been cut to a page)."""
-    return W.partitionBy()
+def over_all(df: DataFrame, value: Column) -> Column:
+    """An aggregate of the whole table as a scalar subquery: one number, and no row is moved for it."""
+    return df.agg(value).scalar()
 
 # Half-life in days and coefficient of the recency boost by slug prefix.
 RECENCY = {
@@ -36,7 +36,7 @@ RECENCY_DEFAULT = (90, 0.5)
 
 def floor_threshold(df: DataFrame, ratio: float | None) -> DataFrame:
     """``floor``: the top score times the ratio, fixed before any boost; null where it is off."""
-    best = F.max("score").over(whole())
+    best = over_all(df, F.max("score"))
     on = ratio is not None and 0 <= ratio <= 1
     return df.withColumn("floor", F.when(best > 0, best * ratio) if on else F.lit(None).cast("double"))
 
@@ -83,12 +83,12 @@ def graph_signals(df: DataFrame, head: int = 20) -> DataFrame:
 
     Needs ``hits``, ``cross_hits`` and ``session``; rows outside the head stay.
     """
-    pos = F.row_number().over(W.orderBy(F.desc("score"), "slug"))
-    placed = df.withColumn("__pos", pos)
-    inside = F.col("__pos") <= head
-    nth = F.row_number().over(W.partitionBy("session").orderBy("__pos"))
+    best = df.orderBy(F.desc("score"), "slug").limit(head)
+    nth = F.row_number().over(W.partitionBy("session").orderBy(F.desc("score"), "slug"))
     factor = F.when(F.col("hits") >= 2, 1.05).otherwise(1.0) * F.when(F.col("cross_hits") >= 2, 1.10).otherwise(1.0) * F.when(F.col("session").isNotNull() & (nth > 1), 0.95).otherwise(1.0)
-    return placed.withColumn("score", F.when(inside, F.col("score") * factor).otherwise(F.col("score"))).drop("__pos")
+    factors = best.select("slug", *[c for c in ("source_id",) if c in df.columns], factor.alias("__factor"))
+    keys = [c for c in factors.columns if c != "__factor"]
+    return df.join(F.broadcast(factors), keys, "left").withColumn("score", F.col("score") * F.coalesce("__factor", F.lit(1.0))).select(*df.columns)
 
 
 def score_distribution(df: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def create_safety(evidence_class: Column) -> Column:
 
 def diversify(df: DataFrame, kind: str, share: float = 0.6) -> DataFrame:
     """At most max(1, ceil(share * n)) rows of a kind, in rank order."""
-    cap = F.greatest(F.lit(1), F.ceil(share * F.count(F.lit(1)).over(whole())))
+    cap = F.greatest(F.lit(1), F.ceil(share * over_all(df, F.count(F.lit(1)))))
     nth = F.row_number().over(W.partitionBy(kind).orderBy("rank"))
     return df.withColumn("__n", nth).withColumn("__cap", cap).filter("__n <= __cap").drop("__n", "__cap")
 
@@ -145,7 +145,7 @@ def truth_guarantee(kept: DataFrame, pool: DataFrame, page: str = "page_id") ->
 
 def autocut(df: DataFrame, jump: float = 0.2, min_keep: int = 1) -> DataFrame:
     """Cut after the largest gap of normalised rerank scores, if it reaches ``jump``; ties and alias hits stay."""
-    best = F.max("rerank_score").over(whole())
+    best = over_all(df, F.max("rerank_score"))
     top = F.when(best > 0, best)
     w = W.orderBy(F.desc("rerank_score"), F.asc("slug"))
     scored = df.filter("rerank_score is not null").withColumn("__i", F.row_number().over(w)).withColumn("__gap", (F.col("rerank_score") - F.lead("rerank_score").over(w)) / top)

@@ -148,7 +148,7 @@ def rrf(lists: Sequence[tuple[DataFrame, float]], key: Sequence[str], k: float =
         out = out.unionByName(p)
     fused = out.groupBy(*key).agg(F.sum("part").alias("score"))
     if normalize:
-        fused = fused.withColumn("score", F.col("score") / F.max("score").over(W.partitionBy()))
+        fused = fused.withColumn("score", F.col("score") / fused.agg(F.max("score")).scalar())
     return fused if boosted is None else fused.withColumn("score", F.when(boosted, F.col("score") * TRUTH_BOOST).otherwise(F.col("score")))
 
 
@@ -156,7 +156,7 @@ def rescore(results: DataFrame, chunks: DataFrame, query: list[float], on: str,
     """0.7 of the normalised score plus 0.3 of the cosine; rows without an embedding keep their score."""
     cos = chunks.select(on, V.cosine(F.col("embedding"), V.literal(query)).alias("__cos"))
     joined = results.join(cos, on, "left")
-    best = F.max("score").over(W.partitionBy())
+    best = results.agg(F.max("score")).scalar()
     blend = F.when(F.col("__cos").isNotNull() & (best > 0), (1 - share) * F.col("score") / best + share * F.col("__cos")).otherwise(F.col("score"))
     return joined.withColumn("score", blend).drop("__cos")
 
@@ -169,11 +169,10 @@ def alias_hop(results: DataFrame, aliases: DataFrame, alias: str, most: int = 3,
     numbered = hits.withColumn("i", F.row_number().over(W.orderBy("source_id", "slug")) - 1)
     present = results.join(hits.withColumn("alias_hit", F.lit(True)), ["source_id", "slug"], "left").withColumn("alias_hit", F.coalesce("alias_hit", F.lit(False)))
     scored = present.withColumn("score", F.when(F.col("alias_hit"), F.col("score") * factor).otherwise(F.col("score")))
-    # a one-row aggregate: the injected pages stand above everything that was found
-    best = scored.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("best"))
-    count = F.count(F.lit(1)).over(W.partitionBy())
-    absent = numbered.join(results.select("source_id", "slug"), ["source_id", "slug"], "left_anti").withColumn("n", count)
-    injected = absent.join(F.broadcast(best), F.lit(True), "left").select("source_id", "slug", (F.col("best") + (F.col("n") - F.col("i")) * 1e-6).alias("score"), F.lit(True).alias("alias_hit"))
+    # the injected pages stand above everything that was found
+    best = scored.agg(F.coalesce(F.max("score"), F.lit(0.0))).scalar()
+    absent = numbered.join(results.select("source_id", "slug"), ["source_id", "slug"], "left_anti")
+    injected = absent.select("source_id", "slug", (best + (most - F.col("i")) * 1e-6).alias("score"), F.lit(True).alias("alias_hit"))
     return scored.select("source_id", "slug", "score", "alias_hit").unionByName(injected)
 
 

@@ -41,9 +41,9 @@ def pages_usage(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("big", F.lit(0)).alias("big"))
 
 
-@query("j5_misrouted_pages", "SELECT doc_id AS slug FROM documents WHERE source = 'src0' AND doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("j5_misrouted_pages", "SELECT doc_id AS slug FROM documents WHERE source = 'src0' AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def misrouted_pages(spark, sf):
-    d = table(spark, sf, "documents").filter("source = 'src0' and doc_id % 2 = 0").select(F.col("doc_id").alias("slug"))
+    d = table(spark, sf, "documents").filter("source = 'src0'").select(F.col("doc_id").alias("slug"))
     return d.join(table(spark, sf, "labels").select(F.col("doc_id").alias("slug")), "slug", "left_anti")
 
 
@@ -60,10 +60,10 @@ def orphans(spark, sf):
     return G.orphans(_nodes(spark, sf), views.links(spark, sf), F.col("node").startswith("customers/1"))
 
 
-@query("j7_not_extracted", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM part WHERE substr(md5(p_partkey::VARCHAR), 1, 2) = substr(md5(doc_id::VARCHAR), 1, 2) AND p_size > 40 AND p_partkey < 300)")
+@query("j7_not_extracted", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM part WHERE substr(md5(p_partkey::VARCHAR), 1, 2) = substr(md5(doc_id::VARCHAR), 1, 2) AND p_size > 48)")
 def not_extracted(spark, sf):
     key = lambda c: F.substring(F.md5(F.col(c).cast("string").cast("binary")), 1, 2).alias("k")
-    p = table(spark, sf, "part").filter("p_size > 40 and p_partkey < 300").select(key("p_partkey"))
+    p = table(spark, sf, "part").filter("p_size > 48").select(key("p_partkey"))
     return table(spark, sf, "documents").select("doc_id", key("doc_id")).join(p, "k", "left_anti").select("doc_id")
 
 
@@ -160,7 +160,7 @@ def mentions(docs, names, longest: int):
 
 @query("j15_mentions")
 def gazetteer(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'en' and n_chars < 1500").select("doc_id", "text")
+    d = table(spark, sf, "documents").select("doc_id", "text")
     names = table(spark, sf, "benchmark").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("gram"), F.concat(F.lit("b/"), F.col("item_id").cast("string")).alias("target"))
     one = table(spark, sf, "benchmark").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 1), " ").alias("gram"), F.concat(F.lit("w/"), F.col("item_id").cast("string")).alias("target"))
     return mentions(d, F.broadcast(names.union(one).dropDuplicates(["gram"])), 3)
@@ -273,14 +273,14 @@ def foreign_edges(spark, sf):
     return e.agg(F.count(F.when(F.col("src") == "nations/4", 1)).alias("outgoing"), F.count(F.when(F.col("dst") == "nations/4", 1)).alias("incoming"))
 
 
-_CODE = "r AS (SELECT 'f' || (p_partkey % 60) AS from_symbol, 'f' || ((p_partkey * 7 + 3) % 97) AS to_symbol, p_partkey AS to_chunk_id FROM part WHERE p_partkey < 300), u AS (SELECT 'f' || (p_partkey % 50) AS from_symbol, 'f' || (p_size) AS to_symbol, NULL::BIGINT AS to_chunk_id FROM part WHERE p_partkey BETWEEN 300 AND 400)"
+_CODE = "r AS (SELECT 'f' || (p_partkey % 60) AS from_symbol, 'f' || ((p_partkey * 7 + 3) % 97) AS to_symbol, p_partkey AS to_chunk_id FROM part WHERE p_size <= 40), u AS (SELECT 'f' || (p_partkey % 50) AS from_symbol, 'f' || (p_size) AS to_symbol, NULL::BIGINT AS to_chunk_id FROM part WHERE p_size > 40)"
 
 
 def _code(spark, sf):
     p = table(spark, sf, "part")
     name = lambda c: F.concat(F.lit("f"), c.cast("string"))
     k = F.col("p_partkey")
-    return p.filter("p_partkey < 300").select(name(k % 60).alias("from_symbol"), name((k * 7 + 3) % 97).alias("to_symbol"), k.alias("to_chunk_id")), p.filter("p_partkey between 300 and 400").select(name(k % 50).alias("from_symbol"), name(F.col("p_size")).alias("to_symbol"))
+    return p.filter("p_size <= 40").select(name(k % 60).alias("from_symbol"), name((k * 7 + 3) % 97).alias("to_symbol"), k.alias("to_chunk_id")), p.filter("p_size > 40").select(name(k % 50).alias("from_symbol"), name(F.col("p_size")).alias("to_symbol"))
 
 
 @query("g9_callers", f"WITH {_CODE} SELECT from_symbol, to_symbol, to_chunk_id FROM (SELECT * FROM r UNION ALL SELECT * FROM u) WHERE to_symbol = 'f10'")
@@ -321,9 +321,9 @@ def dead_links(spark, sf):
     return G.dead_links(views.links(spark, sf), _nodes(spark, sf)).select("src", "dst", "link_type", "link_source")
 
 
-@query("g14_backlink_gaps", "WITH e AS (SELECT DISTINCT o_custkey % 40 AS src, (o_orderkey // 3) % 40 AS dst FROM orders WHERE o_orderkey < 900) SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = e.dst AND b.dst = e.src)")
+@query("g14_backlink_gaps", "WITH e AS (SELECT DISTINCT o_custkey % 200 AS src, (o_orderkey // 3) % 200 AS dst FROM orders) SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = e.dst AND b.dst = e.src)")
 def backlink_gaps(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey < 900").select((F.col("o_custkey") % 40).alias("src"), (F.floor(F.col("o_orderkey") / 3) % 40).alias("dst"))
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 200).alias("src"), (F.floor(F.col("o_orderkey") / 3) % 200).alias("dst"))
     return G.backlink_gaps(o)
 
 
@@ -357,12 +357,11 @@ def alias_resolution(spark, sf):
 
 @query(
     "g17_alias_closure",
-    "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 211 AS a, (p_partkey % 211) // 2 + p_size % 2 AS b FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 400), s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), w AS (SELECT x AS node, x AS reach FROM s UNION SELECT w.node, s.y FROM w JOIN s ON s.x = w.reach) SELECT node, min(reach) AS component FROM w GROUP BY node",
+    "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey - p_size AS b FROM part WHERE p_size > 35), s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), w AS (SELECT x AS node, x AS reach FROM s UNION SELECT w.node, s.y FROM w JOIN s ON s.x = w.reach) SELECT node, min(reach) AS component FROM w GROUP BY node",
 )
 def alias_closure(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey % 3 = 0 and p_partkey < 400")
-    k = F.col("p_partkey") % 211
-    return connected_components(p.select(k.alias("a"), (F.floor(k / 2) + F.col("p_size") % 2).alias("b")).distinct())
+    p = table(spark, sf, "part").filter("p_size > 35")
+    return connected_components(p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") - F.col("p_size")).alias("b")))
 
 
 @query("r11_two_pass_expansion", f"WITH RECURSIVE {_CODE}, b AS (SELECT 'f10' AS node, 0 AS hop UNION SELECT to_symbol, hop + 1 FROM b JOIN r ON from_symbol = node WHERE hop < 2) SELECT node, min(hop) AS hop, round(1.0 / (1 + min(hop)), 6)::DOUBLE AS score FROM b GROUP BY node")

@@ -55,18 +55,18 @@ def table_rows(spark, sf):
     return D.table_rows(lines, "k", "body").select("k", F.col("cells")[0].alias("name"))
 
 
-@query("s16_fences", "SELECT doc_id, 'c | h | 0.5' AS inside, text AS rest FROM documents WHERE doc_id % 10 = 0")
+@query("s16_fences", "SELECT doc_id, 'c | h | 0.5' AS inside, text AS rest FROM documents")
 def fences(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("<!-- takes:begin -->\nc | h | 0.5\n<!-- takes:end -->\n"), "text").alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<!-- takes:begin -->\nc | h | 0.5\n<!-- takes:end -->\n"), "text").alias("t"))
     return d.select("doc_id", D.fenced(F.col("t"), "takes").alias("inside"), D.without_fence(F.col("t"), "takes").alias("rest"))
 
 
-@query("s10_image_pages", "SELECT vec_id AS page_id, 'image' AS modality, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings WHERE vec_id % 5 = 0")
+@query("s10_image_pages", "SELECT vec_id AS page_id, 'image' AS modality, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings WHERE label < 5")
 def image_pages(spark, sf):
     """The multimodal embedding is an input column of an image page."""
     from fathomline.functions import vector as V
 
-    return views.chunks(spark, sf).filter("chunk_id % 5 = 0").select(F.col("chunk_id").alias("page_id"), F.lit("image").alias("modality"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+    return views.chunks(spark, sf).filter("page_id < 5").select(F.col("chunk_id").alias("page_id"), F.lit("image").alias("modality"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
 @query("r14_image_fusion", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q.e) AS c FROM embeddings, q), i AS (SELECT vec_id, 0.6 / (60 + row_number() OVER (ORDER BY c DESC, vec_id) - 1) AS p FROM s WHERE vec_id % 2 = 0), t AS (SELECT vec_id, 0.4 / (60 + row_number() OVER (ORDER BY c DESC, vec_id) - 1) AS p FROM s WHERE vec_id % 3 = 0) SELECT vec_id AS chunk_id, round(sum(p), 8)::DOUBLE AS score FROM (SELECT * FROM i UNION ALL SELECT * FROM t) GROUP BY vec_id")
@@ -164,9 +164,9 @@ def job_transitions(spark, sf):
     return I.job_transitions(j, "1999-01-01 00:00:00").select("id", "next_status", "next_attempts")
 
 
-@query("t9_backoff", "SELECT l_orderkey, l_linenumber, least(5.0 * power(2, l_linenumber - 1), 60) AS delay FROM lineitem WHERE l_orderkey < 500")
+@query("t9_backoff", "SELECT l_orderkey, l_linenumber, least(5.0 * power(2, l_linenumber - 1), 60) AS delay FROM lineitem")
 def backoff(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", A.backoff_seconds("exponential", F.col("l_linenumber"), 5.0, 60.0).alias("delay"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", A.backoff_seconds("exponential", F.col("l_linenumber"), 5.0, 60.0).alias("delay"))
 
 
 @query("t10_parents_done", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O')")

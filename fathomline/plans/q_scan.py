@@ -45,9 +45,9 @@ def all_sources(spark, sf):
     return views.sources(spark, sf).select("id", "n_pages", "archived")
 
 
-@query("s4_resolve_paths", f"{with_views('pages')} SELECT 'notes/' || slug || '.md' AS path, slug, page_id FROM pages_v JOIN (SELECT 'notes/en/' || event_id || '.md' AS path FROM events WHERE event_id % 3 = 0) w ON w.path = 'notes/' || slug || '.md'")
+@query("s4_resolve_paths", f"{with_views('pages')} SELECT 'notes/' || slug || '.md' AS path, slug, page_id FROM pages_v JOIN (SELECT 'notes/en/' || event_id || '.md' AS path FROM events WHERE event_type = 'click') w ON w.path = 'notes/' || slug || '.md'")
 def resolve_paths(spark, sf):
-    wanted = table(spark, sf, "events").filter("event_id % 3 = 0").select(F.concat(F.lit("notes/en/"), F.col("event_id").cast("string"), F.lit(".md")).alias("path"))
+    wanted = table(spark, sf, "events").filter("event_type = 'click'").select(F.concat(F.lit("notes/en/"), F.col("event_id").cast("string"), F.lit(".md")).alias("path"))
     return views.pages(spark, sf).select("slug", "page_id", F.concat(F.lit("notes/"), "slug", F.lit(".md")).alias("path")).join(wanted, "path")
 
 
@@ -177,35 +177,34 @@ def stale_rows(spark, sf):
 
 @query(
     "k1_upsert",
-    """WITH o AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'crm' END AS via, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, upper(c_name) AS name, 'web' AS via, -c_acctbal AS v FROM customer WHERE c_custkey % 5 = 0)
+    """WITH o AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'crm' END AS via, c_acctbal AS v FROM customer WHERE c_acctbal > 0), n AS (SELECT c_custkey AS id, upper(c_name) AS name, 'web' AS via, -c_acctbal AS v FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name, coalesce(o.via, n.via) AS via, round(CASE WHEN n.id IS NOT NULL THEN n.v ELSE o.v END, 2) AS v FROM o FULL JOIN n ON o.id = n.id""",
 )
 def upserted(spark, sf):
     c = table(spark, sf, "customer")
-    old = c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "crm").alias("via"), F.col("c_acctbal").alias("v"))
-    new = c.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name"), F.lit("web").alias("via"), (-F.col("c_acctbal")).alias("v"))
+    old = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "crm").alias("via"), F.col("c_acctbal").alias("v"))
+    new = c.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name"), F.lit("web").alias("via"), (-F.col("c_acctbal")).alias("v"))
     return writes.upsert(old, new, ["id"], first_write_wins=["via"]).withColumn("v", F.round("v", 2))
 
 
-@query("k2_replace_set", "SELECT l_orderkey AS owner, l_linenumber AS k, l_quantity AS q FROM lineitem WHERE l_orderkey % 4 <> 0 AND l_orderkey % 10 < 8 UNION ALL SELECT l_orderkey, 100, 1.0 FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber = 1")
+@query("k2_replace_set", "SELECT l_orderkey AS owner, l_linenumber AS k, l_quantity AS q FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT o_orderkey, 100, 1.0 FROM orders WHERE o_orderstatus = 'F'")
 def replaced_set(spark, sf):
     li = table(spark, sf, "lineitem")
-    old = li.filter("l_orderkey % 10 < 8").select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("q"))
-    touched = li.filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("owner"))
-    new = li.filter("l_orderkey % 4 = 0 and l_linenumber = 1").select(F.col("l_orderkey").alias("owner"), F.lit(100).alias("k"), F.lit(1.0).alias("q"))
-    return writes.replace_set(old.join(touched.distinct(), "owner", "left_anti"), new, "owner")
+    old = li.select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("q"))
+    new = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("owner"), F.lit(100).alias("k"), F.lit(1.0).alias("q"))
+    return writes.replace_set(old, new, "owner")
 
 
-@query("k3_insert_links", f"{with_views('links')} SELECT DISTINCT src, dst, link_type, link_source FROM links_v n WHERE link_type = 'buys_from' AND NOT EXISTS (SELECT 1 FROM links_v o WHERE o.link_type = 'buys_from' AND length(o.src) % 2 = 0 AND o.src = n.src AND o.dst = n.dst AND o.link_source IS NOT DISTINCT FROM n.link_source)")
+@query("k3_insert_links", f"{with_views('links')} SELECT DISTINCT src, dst, link_type, link_source FROM links_v n WHERE link_type = 'buys_from' AND NOT EXISTS (SELECT 1 FROM links_v o WHERE o.link_type = 'buys_from' AND o.link_source = 'mentions' AND o.src = n.src AND o.dst = n.dst AND o.link_source IS NOT DISTINCT FROM n.link_source)")
 def insert_links(spark, sf):
     e = views.links(spark, sf).filter("link_type = 'buys_from'")
-    return writes.insert_ignore(e.filter("length(src) % 2 = 0"), e, ["src", "dst", "link_type", "link_source"])
+    return writes.insert_ignore(e.filter("link_source = 'mentions'"), e, ["src", "dst", "link_type", "link_source"])
 
 
-@query("k4_soft_delete_purge", f"{with_views('pages')} SELECT page_id, coalesce(deleted_at, CASE WHEN page_id % 5 = 0 THEN TIMESTAMP '2024-03-01' END) AS deleted_at FROM pages_v WHERE coalesce(deleted_at, CASE WHEN page_id % 5 = 0 THEN TIMESTAMP '2024-03-01' END) IS NULL OR coalesce(deleted_at, TIMESTAMP '2024-03-01') >= TIMESTAMP '2024-02-01'")
+@query("k4_soft_delete_purge", f"{with_views('pages')} SELECT page_id, coalesce(deleted_at, CASE WHEN type = 'fr' THEN TIMESTAMP '2024-03-01' END) AS deleted_at FROM pages_v WHERE coalesce(deleted_at, CASE WHEN type = 'fr' THEN TIMESTAMP '2024-03-01' END) IS NULL OR coalesce(deleted_at, TIMESTAMP '2024-03-01') >= TIMESTAMP '2024-02-01'")
 def soft_delete_purge(spark, sf):
     p = views.pages(spark, sf)
-    gone = writes.soft_delete(p, p.filter("page_id % 5 = 0"), ["page_id"], F.to_timestamp(F.lit("2024-03-01")))
+    gone = writes.soft_delete(p, p.filter("type = 'fr'"), ["page_id"], F.to_timestamp(F.lit("2024-03-01")))
     return writes.purge(gone, F.to_timestamp(F.lit("2024-02-01"))).select("page_id", "deleted_at")
 
 
@@ -243,8 +242,8 @@ def set_json_field(spark, sf):
 
 @query(
     "s7_manifest_diff",
-    """WITH o AS (SELECT 'f/' || p_partkey AS path, md5(p_name || p_partkey) AS hash FROM part WHERE p_partkey % 10 <> 3),
-n AS (SELECT CASE WHEN p_partkey % 10 = 5 THEN 'g/' ELSE 'f/' END || p_partkey AS path, CASE WHEN p_partkey % 10 = 7 THEN 'new' ELSE md5(p_name || p_partkey) END AS hash FROM part WHERE p_partkey % 10 <> 1)
+    """WITH o AS (SELECT 'f/' || p_partkey AS path, md5(p_name || p_partkey) AS hash FROM part WHERE p_size <> 3),
+n AS (SELECT CASE WHEN p_size BETWEEN 5 AND 9 THEN 'g/' ELSE 'f/' END || p_partkey AS path, CASE WHEN p_size > 45 THEN 'new' ELSE md5(p_name || p_partkey) END AS hash FROM part WHERE p_size <> 1)
 SELECT 'modified' AS change, n.path, NULL AS old_path FROM o JOIN n USING (path) WHERE o.hash <> n.hash
 UNION ALL SELECT CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'renamed' END, coalesce(n.path, o.path), CASE WHEN n.path IS NOT NULL THEN o.path END
 FROM (SELECT * FROM o WHERE path NOT IN (SELECT path FROM n)) o FULL JOIN (SELECT * FROM n WHERE path NOT IN (SELECT path FROM o)) n ON o.hash = n.hash""",
@@ -253,8 +252,8 @@ def manifest_diff(spark, sf):
     p = table(spark, sf, "part")
     t = F.col("p_partkey").cast("string")
     digest = F.md5(F.concat("p_name", t).cast("binary"))
-    old = p.filter("p_partkey % 10 <> 3").select(F.concat(F.lit("f/"), t).alias("path"), digest.alias("hash"))
-    new = p.filter("p_partkey % 10 <> 1").select(F.concat(F.when(F.col("p_partkey") % 10 == 5, "g/").otherwise("f/"), t).alias("path"), F.when(F.col("p_partkey") % 10 == 7, "new").otherwise(digest).alias("hash"))
+    old = p.filter("p_size <> 3").select(F.concat(F.lit("f/"), t).alias("path"), digest.alias("hash"))
+    new = p.filter("p_size <> 1").select(F.concat(F.when(F.col("p_size").between(5, 9), "g/").otherwise("f/"), t).alias("path"), F.when(F.col("p_size") > 45, "new").otherwise(digest).alias("hash"))
     return writes.manifest_diff(old, new)
 
 
@@ -304,9 +303,9 @@ def intersected(spark, sf):
     return table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("id")).intersect(table(spark, sf, "customer").filter("c_acctbal > 0").select("c_custkey"))
 
 
-@query("u4_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u4_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def excepted(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
 
 
 @query("u5_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")

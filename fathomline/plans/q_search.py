@@ -46,10 +46,10 @@ def keyword_all(spark, sf):
 
 @query(
     "r3_inverted_index",
-    f"{with_views('pages')} SELECT page_id, term, 'A' AS class, count(*) AS tf FROM (SELECT page_id, unnest({_TITLE}) AS term FROM pages_v WHERE page_id % 20 = 3) GROUP BY ALL UNION ALL SELECT page_id, term, 'B', count(*) FROM (SELECT page_id, unnest({_BODY}) AS term FROM pages_v WHERE page_id % 20 = 3) GROUP BY ALL",
+    f"{with_views('pages')} SELECT page_id, term, 'A' AS class, count(*) AS tf FROM (SELECT page_id, unnest({_TITLE}) AS term FROM pages_v) GROUP BY ALL UNION ALL SELECT page_id, term, 'B', count(*) FROM (SELECT page_id, unnest({_BODY}) AS term FROM pages_v) GROUP BY ALL",
 )
 def inverted_index(spark, sf):
-    return R.inverted_index(views.pages(spark, sf).filter("page_id % 20 = 3"), ["page_id"], {"A": F.col("title"), "B": F.col("compiled_truth")})
+    return R.inverted_index(views.pages(spark, sf), ["page_id"], {"A": F.col("title"), "B": F.col("compiled_truth")})
 
 
 def _vector_of(spark, sf, i=0):
@@ -91,17 +91,18 @@ def take_fusion(spark, sf):
     return R.rrf([(_list(spark, sf, 4), 1.0), (_list(spark, sf, 5), 1.0)], ["chunk_id"], first_rank=1, normalize=False).select("chunk_id", F.round("score", 8).alias("score"))
 
 
-@query("r8_cosine_rescore", f"WITH r AS (SELECT vec_id AS chunk_id, (1000 - vec_id)::DOUBLE AS score FROM embeddings WHERE vec_id < 60 UNION ALL SELECT 100000000, 5.0), c AS (SELECT vec_id, {_COS.format(i=7)} AS cos FROM embeddings) SELECT chunk_id, round(CASE WHEN cos IS NULL THEN score ELSE 0.7 * score / (SELECT max(score) FROM r) + 0.3 * cos END, 6) AS score FROM r LEFT JOIN c ON vec_id = chunk_id")
+@query("r8_cosine_rescore", f"WITH r AS (SELECT vec_id AS chunk_id, (1000 - vec_id)::DOUBLE AS score FROM (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 60) UNION ALL SELECT 100000000, 5.0), c AS (SELECT vec_id, {_COS.format(i=7)} AS cos FROM embeddings) SELECT chunk_id, round(CASE WHEN cos IS NULL THEN score ELSE 0.7 * score / (SELECT max(score) FROM r) + 0.3 * cos END, 6) AS score FROM r LEFT JOIN c ON vec_id = chunk_id")
 def cosine_rescore(spark, sf):
-    r = views.chunks(spark, sf).filter("chunk_id < 60").select("chunk_id", (1000 - F.col("chunk_id")).cast("double").alias("score"))
+    r = views.chunks(spark, sf).select("chunk_id").orderBy("chunk_id").limit(60).select("chunk_id", (1000 - F.col("chunk_id")).cast("double").alias("score"))
     r = r.union(spark.createDataFrame([(100000000, 5.0)], "chunk_id long, score double"))
     return R.rescore(r, views.chunks(spark, sf), _vector_of(spark, sf, 7), "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("r9_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id < 200")
+@query("r9_cosine_pairs", "WITH f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM f JOIN embeddings a ON a.vec_id = f.vec_id JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def cosine_pairs(spark, sf):
-    e = views.chunks(spark, sf).filter("chunk_id < 200")
-    a, b = e.select(F.col("chunk_id").alias("a"), "page_id", F.col("embedding").alias("x")), e.select(F.col("chunk_id").alias("b"), "page_id", F.col("embedding").alias("y"))
+    """Each vector against its label's first."""
+    e = views.chunks(spark, sf)
+    a, b = e.groupBy("page_id").agg(F.min("chunk_id").alias("a"), F.min_by("embedding", "chunk_id").alias("x")), e.select(F.col("chunk_id").alias("b"), "page_id", F.col("embedding").alias("y"))
     return a.join(b, "page_id").filter("a < b").select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("cos"))
 
 
@@ -123,22 +124,22 @@ def hydrate(spark, sf):
 
 @query(
     "r13_alias_hop",
-    f"""{with_views('pages')}, r AS (SELECT source_id, slug, 1.0 / (1 + page_id) AS score FROM pages_v WHERE page_id < 40),
+    f"""{with_views('pages')}, r AS (SELECT source_id, slug, 1.0 / (1 + page_id) AS score FROM pages_v ORDER BY page_id LIMIT 40),
 h AS (SELECT source_id, slug, row_number() OVER (ORDER BY source_id, slug) - 1 AS i FROM (SELECT DISTINCT source_id, slug FROM pages_v WHERE page_id IN (5, 9, 77) ORDER BY 1, 2 LIMIT 3)),
 p AS (SELECT r.source_id, r.slug, CASE WHEN h.slug IS NOT NULL THEN score * 1.10 ELSE score END AS score, h.slug IS NOT NULL AS alias_hit FROM r LEFT JOIN h USING (source_id, slug)),
-a AS (SELECT *, count(*) OVER () AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.slug = h.slug AND r.source_id = h.source_id))
+a AS (SELECT *, 3 AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.slug = h.slug AND r.source_id = h.source_id))
 SELECT source_id, slug, round(score, 7) AS score, alias_hit FROM p UNION ALL SELECT source_id, slug, round((SELECT max(score) FROM p) + (n - i) * 1e-6, 7), true FROM a""",
 )
 def alias_hop(spark, sf):
     p = views.pages(spark, sf)
-    r = p.filter("page_id < 40").select("source_id", "slug", (F.lit(1.0) / (1 + F.col("page_id"))).alias("score"))
+    r = p.orderBy("page_id").limit(40).select("source_id", "slug", (F.lit(1.0) / (1 + F.col("page_id"))).alias("score"))
     aliases = p.filter("page_id in (5, 9, 77)").select(F.lit("acme").alias("alias_norm"), "source_id", "slug")
     return R.alias_hop(r, aliases, "acme").withColumn("score", F.round("score", 7))
 
 
 @query("r15_rerank")
 def rerank(spark, sf):
-    r = views.pages(spark, sf).filter("page_id < 100").select("page_id", F.col("compiled_truth").alias("text"), (1000 - F.col("page_id")).alias("score"))
+    r = views.pages(spark, sf).orderBy("page_id").limit(100).select("page_id", F.col("compiled_truth").alias("text"), (1000 - F.col("page_id")).alias("score"))
     return R.rerank(r, lambda t: float(len(set(t.split()))), 30, 20, [F.desc("score"), F.asc("page_id")]).select("page_id", "rerank_score")
 
 
@@ -186,11 +187,11 @@ def entity_pointers(spark, sf):
 
 # --- score modifiers -------------------------------------------------------------------------------------------------
 
-_BASE = "b AS (SELECT page_id, source_id, slug, type, title, 1.0::DOUBLE / (1 + page_id) AS score, CASE WHEN page_id < 200 THEN 1.0::DOUBLE / (1 + page_id) >= 0.1 END AS x FROM pages_v WHERE page_id < 200)"
+_BASE = "b AS (SELECT page_id, source_id, slug, type, title, 1.0::DOUBLE / (1 + page_id) AS score FROM pages_v)"
 
 
 def _base(spark, sf):
-    return views.pages(spark, sf).filter("page_id < 200").withColumn("score", F.lit(1.0) / (1 + F.col("page_id")))
+    return views.pages(spark, sf).withColumn("score", F.lit(1.0) / (1 + F.col("page_id")))
 
 
 @query("m1_floor_gate", f"{with_views('pages', more=_BASE)} SELECT page_id, round(CASE WHEN score >= 0.05 THEN score * 1.5 ELSE score END, 6) AS score FROM b")
@@ -268,13 +269,14 @@ def top3_per_page(spark, sf):
 
 @query("d2_text_dedup")
 def text_dedup(spark, sf):
-    r = table(spark, sf, "documents").filter("n_chars < 400").select("source", F.col("doc_id").alias("rank"), "text")
-    return M.text_dedup(r, "source").select("source", F.col("rank").alias("doc_id"))
+    r = table(spark, sf, "documents").select("source", F.col("doc_id").alias("rank"), "text")
+    lists = R.best_per(r, ["source"], [F.asc("rank")], 100)
+    return M.text_dedup(lists, "source").select("source", F.col("rank").alias("doc_id"))
 
 
-@query("d3_type_diversity", f"{with_views('pages')} SELECT page_id, type FROM pages_v WHERE page_id < 100 QUALIFY row_number() OVER (PARTITION BY type ORDER BY page_id) <= greatest(1, ceil(0.4 * count(*) OVER ()))")
+@query("d3_type_diversity", f"{with_views('pages')} SELECT page_id, type FROM (SELECT * FROM pages_v ORDER BY page_id LIMIT 100) QUALIFY row_number() OVER (PARTITION BY type ORDER BY page_id) <= greatest(1, ceil(0.4 * count(*) OVER ()))")
 def type_diversity(spark, sf):
-    return M.diversify(views.pages(spark, sf).filter("page_id < 100").select("page_id", "type", F.col("page_id").alias("rank")), "type", 0.4).select("page_id", "type")
+    return M.diversify(views.pages(spark, sf).orderBy("page_id").limit(100).select("page_id", "type", F.col("page_id").alias("rank")), "type", 0.4).select("page_id", "type")
 
 
 @query("d4_cap_per_page", "SELECT label AS page_id, vec_id AS chunk_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 2")
@@ -284,7 +286,7 @@ def cap_per_page(spark, sf):
 
 @query(
     "d5_truth_guarantee",
-    """WITH c AS (SELECT l_orderkey AS page_id, l_linenumber AS chunk_id, l_extendedprice AS score, CASE WHEN l_shipdate < TIMESTAMP '1997-01-01' THEN 'compiled_truth' ELSE 'timeline' END AS chunk_source FROM lineitem WHERE l_orderkey < 3000),
+    """WITH c AS (SELECT l_orderkey AS page_id, l_linenumber AS chunk_id, l_extendedprice AS score, CASE WHEN l_shipdate < TIMESTAMP '1997-01-01' THEN 'compiled_truth' ELSE 'timeline' END AS chunk_source FROM lineitem),
 k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, chunk_id) <= 2),
 b AS (SELECT * FROM c WHERE chunk_source = 'compiled_truth' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, chunk_id) = 1),
 n AS (SELECT page_id FROM k GROUP BY 1 HAVING max((chunk_source = 'compiled_truth')::INT) = 0 INTERSECT SELECT page_id FROM b),
@@ -292,21 +294,21 @@ f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score, chunk_id
 SELECT page_id, chunk_id, chunk_source FROM f WHERE page_id NOT IN (SELECT page_id FROM n) OR low > 1 UNION ALL SELECT page_id, chunk_id, chunk_source FROM b WHERE page_id IN (SELECT page_id FROM n)""",
 )
 def truth_guarantee(spark, sf):
-    c = table(spark, sf, "lineitem").filter("l_orderkey < 3000").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("chunk_id"), F.col("l_extendedprice").alias("score"), F.when(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp"), "compiled_truth").otherwise("timeline").alias("chunk_source"))
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("chunk_id"), F.col("l_extendedprice").alias("score"), F.when(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp"), "compiled_truth").otherwise("timeline").alias("chunk_source"))
     kept = R.best_per(c, ["page_id"], [F.desc("score"), F.asc("chunk_id")], 2)
     return M.truth_guarantee(kept, c).select("page_id", "chunk_id", "chunk_source")
 
 
 @query(
     "d6_autocut",
-    f"""{with_views('pages')}, s AS (SELECT slug, page_id, CASE WHEN page_id < 6 THEN 0.9 - page_id * 0.01 WHEN page_id < 30 THEN 0.4 - page_id * 0.005 END::DOUBLE AS rs, page_id = 28 AS alias_hit FROM pages_v WHERE page_id < 35),
+    f"""{with_views('pages')}, s AS (SELECT slug, page_id, CASE WHEN page_id < 6 THEN 0.9 - page_id * 0.01 WHEN page_id < 30 THEN 0.4 - page_id * 0.005 END::DOUBLE AS rs, page_id = 28 AS alias_hit FROM pages_v ORDER BY page_id LIMIT 35),
 g AS (SELECT *, row_number() OVER (ORDER BY rs DESC, slug) AS i, (rs - lead(rs) OVER (ORDER BY rs DESC, slug)) / (SELECT max(rs) FROM s) AS gap FROM s WHERE rs IS NOT NULL),
 c AS (SELECT rs AS cut, gap FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, i LIMIT 1)
 SELECT page_id FROM s, c WHERE gap < 0.2 OR alias_hit OR rs >= cut""",
 )
 def autocut(spark, sf):
     i = F.col("page_id")
-    s = views.pages(spark, sf).filter("page_id < 35").select("slug", "page_id", F.when(i < 6, 0.9 - i * 0.01).when(i < 30, 0.4 - i * 0.005).alias("rerank_score"), (i == 28).alias("alias_hit"))
+    s = views.pages(spark, sf).orderBy("page_id").limit(35).select("slug", "page_id", F.when(i < 6, 0.9 - i * 0.01).when(i < 30, 0.4 - i * 0.005).alias("rerank_score"), (i == 28).alias("alias_hit"))
     return M.autocut(s).select("page_id")
 
 
@@ -315,9 +317,9 @@ def adaptive_return(spark, sf):
     return views.pages(spark, sf).filter("type = 'en'").orderBy(F.desc("n_chars"), "page_id").limit(M.adaptive_limit("entity")).select("page_id")
 
 
-@query("d8_token_budget", f"{with_views('pages')} SELECT page_id, spent FROM (SELECT page_id, sum(ceil(length(title || compiled_truth) / 4.0)::BIGINT) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM pages_v WHERE page_id < 300) WHERE spent <= 40000")
+@query("d8_token_budget", f"{with_views('pages')} SELECT page_id, spent FROM (SELECT page_id, sum(ceil(length(title || compiled_truth) / 4.0)::BIGINT) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM (SELECT * FROM pages_v ORDER BY page_id LIMIT 100)) WHERE spent <= 40000")
 def token_budget(spark, sf):
-    r = views.pages(spark, sf).filter("page_id < 300").select("page_id", "title", F.col("compiled_truth").alias("text"))
+    r = views.pages(spark, sf).orderBy("page_id").limit(100).select("page_id", "title", F.col("compiled_truth").alias("text"))
     return M.token_budget(r, 40000, [F.asc("page_id")]).select("page_id", "spent")
 
 
@@ -339,11 +341,12 @@ def tracker_dedup(spark, sf):
     return t.join(b, ["who", "m"]).filter(F.col("other") < F.col("id")).filter(close).groupBy("id").agg(F.min("other").alias("first_id"))
 
 
-@query("d12_near_duplicate_facts", "SELECT a.label AS bucket, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 250 AND b.vec_id < 250 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4")
+@query("d12_near_duplicate_facts", "WITH f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) SELECT a.label AS bucket, a.vec_id AS a, b.vec_id AS b FROM f JOIN embeddings a ON a.vec_id = f.vec_id JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.15")
 def near_duplicate_facts(spark, sf):
-    c = views.chunks(spark, sf).filter("chunk_id < 250")
-    a, b = c.select(F.col("page_id").alias("bucket"), F.col("chunk_id").alias("a"), F.col("embedding").alias("x")), c.select(F.col("page_id").alias("bucket"), F.col("chunk_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, "bucket").filter("a < b").filter(V.cosine(F.col("x"), F.col("y")) >= 0.4).select("bucket", "a", "b")
+    """Facts that repeat their bucket's first one."""
+    c = views.chunks(spark, sf)
+    a, b = c.groupBy(F.col("page_id").alias("bucket")).agg(F.min("chunk_id").alias("a"), F.min_by("embedding", "chunk_id").alias("x")), c.select(F.col("page_id").alias("bucket"), F.col("chunk_id").alias("b"), F.col("embedding").alias("y"))
+    return a.join(b, "bucket").filter("a < b").filter(V.cosine(F.col("x"), F.col("y")) >= 0.15).select("bucket", "a", "b")
 
 
 @query("d13_payload_batches", "SELECT doc_id, floor((sum(ceil(n_chars / 4.0)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - ceil(n_chars / 4.0)) / 2000)::BIGINT AS batch FROM documents")

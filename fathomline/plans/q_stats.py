@@ -119,9 +119,9 @@ def tier_pivot(spark, sf):
     return t.groupBy("holder").pivot("tier", ["T1", "T2", "T3", "T4"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("a16_forecast", f"{with_views('takes')}, c AS (SELECT holder, domain, count(*) AS n, avg((weight - (quality = 'correct')::INT) ** 2) AS b FROM takes_v WHERE quality IN ('correct', 'incorrect') GROUP BY ALL) SELECT id, round(CASE WHEN n >= 5 THEN b END, 6) AS forecast FROM takes_v LEFT JOIN c USING (holder, domain) WHERE quality IS NULL AND page_id < 200")
+@query("a16_forecast", f"{with_views('takes')}, c AS (SELECT holder, domain, count(*) AS n, avg((weight - (quality = 'correct')::INT) ** 2) AS b FROM takes_v WHERE quality IN ('correct', 'incorrect') GROUP BY ALL) SELECT id, round(CASE WHEN n >= 5 THEN b END, 6) AS forecast FROM takes_v LEFT JOIN c USING (holder, domain) WHERE quality IS NULL")
 def forecast(spark, sf):
-    return A.forecast(views.takes(spark, sf), ["holder", "domain"]).filter("page_id < 200").select("id", F.round("forecast", 6).alias("forecast"))
+    return A.forecast(views.takes(spark, sf), ["holder", "domain"]).select("id", F.round("forecast", 6).alias("forecast"))
 
 
 @query("a17_telemetry", "SELECT event_type AS mode, count(*) AS calls, round(count(*) FILTER (WHERE value > 50)::DOUBLE / count(*), 6) AS hit_rate, round(avg(value), 6) AS mean_value, round(avg((props::JSON->>'k')::INT), 6) AS mean_k FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1")
@@ -304,9 +304,9 @@ def stats_with_total(spark, sf):
     return r.select(F.when(F.col("g") == 1, "*").otherwise(F.col("source")).alias("source"), "total", "typed", F.round(F.col("typed") / F.col("total"), 4).alias("coverage"))
 
 
-@query("a44_concept_tiers", "WITH c AS (SELECT unnest(string_split(p_name, ' ') || [p_brand]) AS concept FROM part WHERE p_partkey % 20 = 0), n AS (SELECT concept, count(*) AS n FROM c GROUP BY 1) SELECT concept, n, CASE WHEN n >= 10 THEN 'T1' WHEN n >= 5 THEN 'T2' ELSE 'T3' END AS tier FROM n WHERE n >= 2")
+@query("a44_concept_tiers", "WITH c AS (SELECT unnest(string_split(p_name, ' ') || [p_brand]) AS concept FROM part), n AS (SELECT concept, count(*) AS n FROM c GROUP BY 1) SELECT concept, n, CASE WHEN n >= 10 THEN 'T1' WHEN n >= 5 THEN 'T2' ELSE 'T3' END AS tier FROM n WHERE n >= 2")
 def concept_tiers(spark, sf):
-    c = table(spark, sf, "part").filter("p_partkey % 20 = 0").select(F.explode(F.concat(F.split("p_name", " "), F.array("p_brand"))).alias("concept"))
+    c = table(spark, sf, "part").select(F.explode(F.concat(F.split("p_name", " "), F.array("p_brand"))).alias("concept"))
     return c.groupBy("concept").agg(F.count(F.lit(1)).alias("n")).withColumn("tier", A.tier(F.col("n"), {"T1": 10, "T2": 5, "T3": 2})).filter("tier is not null")
 
 
@@ -449,12 +449,12 @@ def calendar_windows(spark, sf):
     return quarters.join(n, "quarter", "left").select("quarter", F.coalesce("c", F.lit(0)).alias("n"))
 
 
-@query("w16_far_distance", "WITH r AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (1, 2, 3)) SELECT vec_id, round(min((1 - list_cosine_similarity(embedding::DOUBLE[], r.e)) / 2), 6) AS distance FROM embeddings, r WHERE vec_id >= 10 GROUP BY vec_id")
+@query("w16_far_distance", "WITH r AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (1, 2, 3)) SELECT vec_id, round(min((1 - list_cosine_similarity(embedding::DOUBLE[], r.e)) / 2), 6) AS distance FROM embeddings, r WHERE vec_id NOT IN (1, 2, 3) GROUP BY vec_id")
 def far_distance(spark, sf):
     """Distance to the nearest of a few reference vectors, which enter the plan as literals."""
     c = views.chunks(spark, sf)
     refs = [r["embedding"] for r in c.filter("chunk_id in (1, 2, 3)").select("embedding").collect()]
-    return c.filter("chunk_id >= 10").select(F.col("chunk_id").alias("vec_id"), F.round(F.least(*[(1 - V.cosine(F.col("embedding"), V.literal(v))) / 2 for v in refs]), 6).alias("distance"))
+    return c.filter("chunk_id not in (1, 2, 3)").select(F.col("chunk_id").alias("vec_id"), F.round(F.least(*[(1 - V.cosine(F.col("embedding"), V.literal(v))) / 2 for v in refs]), 6).alias("distance"))
 
 
 @query("w17_seeded_sample")
@@ -462,18 +462,18 @@ def seeded_sample(spark, sf):
     return table(spark, sf, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(50).select("doc_id")
 
 
-@query("w18_trajectory_rows", f"{with_views('facts')} SELECT entity, metric, id, value IS DISTINCT FROM old AND old IS NOT NULL AS changed FROM (SELECT *, lag(value) OVER (PARTITION BY entity, metric ORDER BY valid_from, id) AS old, row_number() OVER (PARTITION BY entity, metric ORDER BY valid_from DESC, id DESC) AS n FROM facts_v WHERE entity < 20) WHERE n <= 20")
+@query("w18_trajectory_rows", f"{with_views('facts')} SELECT entity, metric, id, value IS DISTINCT FROM old AND old IS NOT NULL AS changed FROM (SELECT *, lag(value) OVER (PARTITION BY entity, metric ORDER BY valid_from, id) AS old, row_number() OVER (PARTITION BY entity, metric ORDER BY valid_from DESC, id DESC) AS n FROM facts_v) WHERE n <= 20")
 def trajectory_rows(spark, sf):
     g = ("entity", "metric")
-    f = views.facts(spark, sf).filter("entity < 20").withColumn("old", F.lag("value").over(W.partitionBy(*g).orderBy("valid_from", "id"))).withColumn("n", F.row_number().over(W.partitionBy(*g).orderBy(F.desc("valid_from"), F.desc("id"))))
+    f = views.facts(spark, sf).withColumn("old", F.lag("value").over(W.partitionBy(*g).orderBy("valid_from", "id"))).withColumn("n", F.row_number().over(W.partitionBy(*g).orderBy(F.desc("valid_from"), F.desc("id"))))
     return f.filter("n <= 20").select(*g, "id", (~F.col("value").eqNullSafe(F.col("old")) & F.col("old").isNotNull()).alias("changed"))
 
 
-@query("w19_far_set", "WITH r AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (1, 2, 3)), s AS (SELECT label, vec_id, embedding FROM embeddings WHERE vec_id >= 10 QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5) SELECT vec_id FROM s, r GROUP BY vec_id ORDER BY round(min((1 - list_cosine_similarity(embedding::DOUBLE[], r.e)) / 2), 9) DESC, vec_id LIMIT 12")
+@query("w19_far_set", "WITH r AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (1, 2, 3)), s AS (SELECT label, vec_id, embedding FROM embeddings WHERE vec_id NOT IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5) SELECT vec_id FROM s, r GROUP BY vec_id ORDER BY round(min((1 - list_cosine_similarity(embedding::DOUBLE[], r.e)) / 2), 9) DESC, vec_id LIMIT 12")
 def far_set(spark, sf):
     c = views.chunks(spark, sf)
     refs = [r["embedding"] for r in c.filter("chunk_id in (1, 2, 3)").select("embedding").collect()]
-    s = c.filter("chunk_id >= 10").withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("chunk_id"))).filter("n <= 5")
+    s = c.filter("chunk_id not in (1, 2, 3)").withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("chunk_id"))).filter("n <= 5")
     d = F.round(F.least(*[(1 - V.cosine(F.col("embedding"), V.literal(v))) / 2 for v in refs]), 9)
     return s.withColumn("d", d).orderBy(F.desc("d"), "chunk_id").limit(12).select(F.col("chunk_id").alias("vec_id"))
 
@@ -582,9 +582,9 @@ def pseudonyms(spark, sf):
     return f.select("user_id", F.concat(F.lit("person-"), (1 + (F.row_number().over(W.orderBy("o")) - 1) % 40).cast("string")).alias("pseudonym"))
 
 
-@query("f23_weight_grid", "SELECT l_orderkey, l_linenumber, round(floor(least(1.0, greatest(0.0, l_discount * 13)) * 20 + 0.5) / 20, 2)::DOUBLE AS w FROM lineitem WHERE l_orderkey < 2000")
+@query("f23_weight_grid", "SELECT l_orderkey, l_linenumber, round(floor(least(1.0, greatest(0.0, l_discount * 13)) * 20 + 0.5) / 20, 2)::DOUBLE AS w FROM lineitem")
 def weight_grid(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.round(T.grid_weight(F.col("l_discount") * 13), 2).alias("w"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(T.grid_weight(F.col("l_discount") * 13), 2).alias("w"))
 
 
 @query("f24_intents", "SELECT event_id, CASE WHEN regexp_matches(lower(q), '\\b(when|last (week|month|year)|yesterday|recent(ly)?|latest|since)\\b') THEN 'temporal' WHEN regexp_matches(lower(q), '\\b(meeting|call|event|conference|dinner)\\b') THEN 'event' WHEN regexp_matches(lower(q), '\\b(who is|who''s|tell me about|profile of)\\b') THEN 'entity' ELSE 'general' END AS intent FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'When did it ' WHEN 1 THEN 'the Dinner with ' WHEN 2 THEN 'Who is ' WHEN 3 THEN 'events of ' ELSE 'x ' END || event_type AS q FROM events)")

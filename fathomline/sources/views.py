@@ -46,13 +46,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed, directed edges: customers and suppliers to nations to regions, and customers to the suppliers they buy from."""
+    """Typed, directed edges: customers and suppliers to nations to regions, and customers to the suppliers of their urgent orders."""
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     c = table(spark, sf_dir, "customer")
     s = table(spark, sf_dir, "supplier")
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0")
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    li = table(spark, sf_dir, "lineitem")
 
     def edge(df, src, dst, kind, origin):
         return df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("link_type"), origin.alias("link_source"))
@@ -123,7 +123,7 @@ SQL = {
   UNION ALL SELECT 'customers/' || c_custkey, 'nations/' || c_nationkey, 'located_in', 'markdown' FROM customer
   UNION ALL SELECT 'suppliers/' || s_suppkey, 'nations/' || s_nationkey, 'located_in', 'markdown' FROM supplier
   UNION ALL SELECT DISTINCT 'customers/' || o_custkey, 'suppliers/' || l_suppkey, 'buys_from', CASE l_partkey % 3 WHEN 0 THEN 'mentions' WHEN 1 THEN 'markdown' END
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 7 = 0 AND l_linenumber = 1)""",
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT')""",
     "takes": """takes_v AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS page_id, 'h' || (l_suppkey % 7) AS holder, 'd' || (l_partkey % 5) AS domain,
   round(l_discount * 10, 2) AS weight, CASE WHEN l_returnflag = 'R' THEN 'incorrect' WHEN l_returnflag = 'A' THEN 'correct' WHEN l_linestatus = 'F' THEN 'partial' END AS quality,
   l_shipdate AS since_date, l_tax < 0.07 AS active FROM lineitem)""",
