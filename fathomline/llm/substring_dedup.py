@@ -83,12 +83,14 @@ def anchors(t: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
         rest = w - size
         return best(x[: len(x) - rest], x[rest:])[: len(x) - w + 1] if rest else x[: len(x) - w + 1]
 
-    low = sliding(h, np.minimum)
-    inside = np.arange(n - length + 1) + length <= np.repeat(t.offsets[1:], t.lengths())[: n - length + 1]
-    pad = np.zeros(w - 1, np.uint64)
+    key = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # half the bits choose as well, in half the memory; none is 0
+    low = sliding(key, np.minimum)
+    over = (t.offsets[1:-1, None] - np.arange(1, length)).ravel()  # windows that would cross into the next document
+    low[over[(over >= 0) & (over < len(low))]] = 0
+    pad = np.zeros(w - 1, np.uint32)
     # a place is an anchor if its hash is the smallest of some window over it; equal hashes in a window all count
-    reached = sliding(np.concatenate([pad, np.where(inside, low, np.uint64(0)), pad]), np.maximum)
-    at = np.flatnonzero(h == reached)
+    reached = sliding(np.concatenate([pad, low, pad]), np.maximum)
+    at = np.flatnonzero((key == reached) & (reached > 0))
     return at, h[at]
 
 
@@ -110,7 +112,7 @@ def written(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
     for _ in range(3):  # shuffle files go once the driver's collectors have found them unused, in two or three rounds
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.25)
     return out, path
 
 
@@ -170,7 +172,7 @@ def repeated_anchors(docs: DataFrame, hot: np.ndarray, parts: int, length: int,
             use = known == which
             own_k, own_pos, own_h = k[use], pos[use], h[use]
             bucket = ((mix(own_h) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64) if not which else part_of(own_k, parts)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16) if parts < 1 << 16 else bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(parts + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 at = order[edges[b] : edges[b + 1]]
@@ -215,7 +217,7 @@ def repeated_anchors(docs: DataFrame, hot: np.ndarray, parts: int, length: int,
                 ps.append(pos)
         if hs:
             h, k, pos = np.concatenate(hs), np.concatenate(ks), np.concatenate(ps)
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, k, pos = h[order], k[order], pos[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             several = np.minimum.reduceat(k, first) < np.maximum.reduceat(k, first)

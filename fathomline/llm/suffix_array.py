@@ -135,15 +135,29 @@ def suffix_array(s: np.ndarray, size: int, depth: int) -> np.ndarray:
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted common prefixes, in suffix-array order: characters that each suffix shares with the one before, up to ``most``."""
+    """Permuted common prefixes, in suffix-array order: characters that each suffix shares with the one before, up to ``most``.
+
+    Four characters are compared at a time, then the last few one by one.
+    """
     out = np.zeros(len(sa), np.int64)
-    todo, last = np.arange(1, len(sa)), len(s) - 1
-    for k in range(most):
-        a, b = sa[todo] + k, sa[todo - 1] + k
-        same = (a <= last) & (b <= last)
-        same &= s[np.minimum(a, last)] == s[np.minimum(b, last)]
-        todo = todo[same]
-        if not len(todo):
+    n = len(s)
+    padded = np.zeros(n + most + 8, np.uint64)
+    padded[:n] = s
+    padded[:n] += np.uint64(1)  # what lies behind the end is no character
+    quad = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    a, b, at = sa[1:], sa[:-1], np.arange(1, len(sa))
+    for k in range(0, most, 4):
+        same = quad[a + k] == quad[b + k]
+        ended = ~same
+        if ended.any():
+            x, y, i = a[ended], b[ended], at[ended]
+            more = np.zeros(len(x), np.int64)
+            for j in range(3):
+                go = (more == j) & (padded[x + k + j] == padded[y + k + j]) & (padded[x + k + j] > 0)
+                more[go] += 1
+            out[i] = k + more
+        a, b, at = a[same], b[same], at[same]
+        if not len(at):
             break
-        out[todo] = k + 1
-    return out
+    out[at] = most
+    return np.minimum(out, most)
