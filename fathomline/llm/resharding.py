@@ -1,7 +1,7 @@
 """Sharding (4): minimum-cost-flow resharding.
 
 Given where documents lie now (old shards) and how many each new shard shall hold, move the fewest bytes. Each old
-shard's documents fall into blocks: a class of sizes (powers of two) and a bucket of a hash of doc_id. A flow network
+shard's documents fall into blocks: a class of sizes (quarters of a power of two) and a bucket of a hash of doc_id. A flow network
 
     source -> (old shard, class) -> stay, at no cost, or move, at the class's mean bytes a row -> new shard -> sink
 
@@ -29,8 +29,7 @@ from pyspark.sql.window import Window as W
 from fathomline.session import cut_lineage
 
 SHARDS = 24
-CLASSES = 40
-BUCKETS = 256
+BUCKETS = 64
 
 Flow = dict[tuple, int]
 
@@ -122,7 +121,7 @@ def old_shard(source: str = "source", shards: int = SHARDS) -> Column:
 
 def blocks(rows: DataFrame) -> DataFrame:
     """Rows with their class and bucket beside (doc_id, size, text_crc32, old_shard)."""
-    return rows.withColumn("class", F.floor(F.log2(F.col("size").cast("double"))).cast("int")).withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BUCKETS)).cast("int"))
+    return rows.withColumn("class", F.floor(4 * F.log2(F.col("size").cast("double"))).cast("int")).withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BUCKETS)).cast("int"))
 
 
 def plan(rows: DataFrame, shards: int = SHARDS, capacities: dict[int, int] | None = None) -> tuple[DataFrame, Flow]:
