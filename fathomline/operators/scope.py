@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 # Score factors by slug prefix.
 SOURCE_FACTORS = {
     "originals/": 1.5,
-    "writing/": 1.4,
     "concepts/": 1.3,
+    "writing/": 1.4,
     "people/": 1.2,
     "companies/": 1.2,
     "deals/": 1.2,
     "meetings/": 1.1,
     "media/articles/": 1.1,
     "media/repos/": 1.1,
+    "yc/": 1.0,
+    "civic/": 1.0,
     "daily/": 0.8,
     "media/x/": 0.7,
     "archive/": 0.5,
