@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.quality_rules import Lines
-from fathomline.llm.textbatch import Texts, byte_class, chunks, map_texts, mix
+from fathomline.llm.textbatch import Texts, byte_class, chunks, give_back, map_texts, mix, small_batches
 
 TRAIN_DOCS = 4000
 TRAIN_BYTES = 32_768
@@ -210,7 +210,9 @@ def accepted(docs: DataFrame, m: Model) -> DataFrame:
         for batch in batches:
             for row, t in chunks(batch.column(at)):
                 yield batch.slice(row, len(t)).filter(pa.array(scores(m, t)["score"] >= 0.5))
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -28,7 +28,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.textbatch import Texts, chunks, map_texts, mix, span_hash, words
+from fathomline.llm.textbatch import Texts, chunks, map_texts, mix, small_batches, span_hash, words
 
 LANES = 4
 SKETCH = 256
@@ -123,7 +123,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LOWEST)).alias("k"))
-    cuts = rows.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], min(100 * buckets, 1_000_000))).first()[0] or []
     splits = [-float("inf"), *sorted(set(map(float, cuts)) or {0.0}), float("inf")]
     rows = rows.withColumn("kd", F.col("k").cast("double"))
     rows = Bucketizer(splits=splits, inputCol="kd", outputCol="b").transform(rows).withColumn("bucket", F.col("b").cast("int")).drop("b", "kd")
@@ -178,6 +178,7 @@ def compared(rows: DataFrame) -> DataFrame:
                     yield emit(ids[:-1], texts)
                     ids, texts = ids[-1:], texts[-1:]
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

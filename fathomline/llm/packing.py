@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm.textbatch import small_batches
 from fathomline.session import cut_lineage
 
 CAPACITY = 1024
@@ -93,6 +94,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<long>" * with_ids)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.textbatch import Texts, byte_class, map_texts, mix, per_doc, span_hash, words
+from fathomline.llm.textbatch import Texts, byte_class, chunks, map_texts, mix, per_doc, small_batches, span_hash, words
 
 #: The characters that count as symbols.
 SYMBOLS = tuple(b"#*$%&|<>")
@@ -189,8 +189,6 @@ def cleaned(docs: DataFrame, max_loss: float = MAX_LOSS, id_col: str = "doc_id",
     at = names.index(text_col)
 
     def run(batches):
-        from fathomline.llm.textbatch import chunks
-
         for batch in batches:
             for row, t in chunks(batch.column(at)):
                 x, verdict = Lines(t), judge(t, max_loss)
@@ -207,6 +205,7 @@ def cleaned(docs: DataFrame, max_loss: float = MAX_LOSS, id_col: str = "doc_id",
                 columns = [pa.array(texts, batch.schema.field(at).type) if i == at else part.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(kept))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

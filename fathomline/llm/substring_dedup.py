@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fathomline.llm.suffix_array import common_prefixes, suffix_array
-from fathomline.llm.textbatch import Texts, chunks, mix, powers, span_hash
+from fathomline.llm.textbatch import Texts, chunks, mix, powers, small_batches, span_hash
 from fathomline.session import cut_lineage, ensure_checkpoint_dir
 
 LENGTH = 50
@@ -456,6 +456,7 @@ def copies_of_earlier(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, hot: np.ndarray | None = None, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = _parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     if hot is None:

@@ -7,14 +7,16 @@ makes a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: The multipliers of the splitmix64 finaliser.
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -149,6 +151,20 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, Tex
         at = to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of some MB: at Spark's default of 10,000 rows, two tasks of an executor hold
+    hundreds of MB in Arrow buffers. A size that the user has set stays."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task would hold its peak otherwise."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], f: Callable[[Texts], dict[str, object]], schema: str) -> DataFrame:
     """Columns ``keep`` of each row beside the columns that ``f`` makes of its text, in Arrow batches."""
 
@@ -159,5 +175,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], f: Callable[[Texts], di
                 made = f(t)
                 arrays = [batch.column(i).slice(at, len(t)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(arrays + [x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()], names=[*keep, *made])
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
