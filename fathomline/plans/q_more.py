@@ -7,12 +7,16 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from fathomline.functions import chunkers as C
+from fathomline.functions import text as T
+from fathomline.operators import retrieval as R
 from fathomline.plans import search
 from fathomline.plans.catalog import query
 from fathomline.session import table
 from fathomline.sources import documents as D
-from fathomline.sources import views
+from fathomline.sources import plugins, views
 from fathomline.sources.views import with_views
+from fathomline.streaming.supervise import RestartPolicy
 
 
 @query("p8_detail_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'F' AND l_shipdate < TIMESTAMP '1996-01-01'")
@@ -72,3 +76,67 @@ def compiled_search(spark, sf):
     e = views.chunks(spark, sf).withColumn("page_id", F.col("chunk_id"))
     q = [float(x) for x in e.filter("chunk_id = 0").select("embedding").first()[0]]
     return search.run_search(plan, views.pages(spark, sf), e, q)
+
+
+@query("s9_code_import", "SELECT p_partkey, unnest(['C', 'C.m' || p_partkey, 'f']) AS symbol FROM part")
+def code_import(spark, sf):
+    code = F.concat(F.lit("class C:\n    def m"), F.col("p_partkey").cast("string"), F.lit("(self):\n        return f(1)\n\ndef f(x):\n    return x\n"))
+    p = table(spark, sf, "part").select("p_partkey", code.alias("code"))
+    return C.exploded(p, "p_partkey", "code", lambda t: [x["symbol"] for x in C.code_chunks(t)]).select("p_partkey", F.col("chunk_text").alias("symbol"))
+
+
+@query("x2_semantic_chunks")
+def semantic_chunks(spark, sf):
+    """Each label's sequence of vectors cut at its semantic boundaries."""
+    import numpy as np
+
+    def run(pdf):
+        pdf = pdf.sort_values("chunk_id")
+        cuts = C.semantic_boundaries(np.stack(pdf["embedding"].to_list()))
+        return pdf.assign(part=np.searchsorted(cuts, np.arange(len(pdf)), side="right"))[["page_id", "chunk_id", "part"]]
+
+    return views.chunks(spark, sf).groupBy("page_id").applyInPandas(run, "page_id int, chunk_id long, part long")
+
+
+@query("x7_named_aggregates", f"{with_views('takes')} SELECT domain, round(avg((weight - (quality = 'correct')::INT) ** 2) FILTER (WHERE quality IN ('correct', 'incorrect')), 6) AS scalar_brier, round(avg((quality = 'correct')::INT) FILTER (WHERE quality IN ('correct', 'incorrect')), 6) AS count_accuracy FROM takes_v GROUP BY domain")
+def named_aggregates(spark, sf):
+    names = ["scalar_brier", "count_accuracy"]
+    return plugins.aggregate_by_name(views.takes(spark, sf), ["domain"], names).withColumns({n: F.round(n, 6) for n in names})
+
+
+@query("x6_plugin_source", "SELECT i AS id, i * i AS square FROM generate_series(0, 99) AS g(i)")
+def plugin_source(spark, sf):
+    plugins.register(spark)
+    return spark.read.format("fathomline_plugin").schema("id long, square long").option("function", "fathomline.plans.q_more:squares").option("partitions", "4").load()
+
+
+def squares(part: int, parts: int):
+    yield from ((i, i * i) for i in range(part, 100, parts))
+
+
+@query("f3_slugs", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & Co. (' || p_brand || ')'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def slugs(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.slugify(F.concat("p_name", F.lit(" & Co. ("), "p_brand", F.lit(")"))).alias("slug"))
+
+
+@query("f8_safe_truncate", "SELECT doc_id, substr(text, 1, 100) AS head, true AS well_formed FROM documents")
+def safe_truncate(spark, sf):
+    """Texts are UTF-8 and cut at code points, so a cut text is always well formed."""
+    head = F.substring("text", 1, 100)
+    return table(spark, sf, "documents").select("doc_id", head.alias("head"), F.is_valid_utf8(head).alias("well_formed"))
+
+
+@query("r7_effective_k", "SELECT event_type, CASE WHEN w > 0 THEN 60 / w ELSE 60 END AS k FROM (SELECT event_type, CASE event_type WHEN 'view' THEN 1.2 WHEN 'click' THEN 0.0 ELSE 0.8 END::DOUBLE AS w FROM events GROUP BY event_type)")
+def effective_k(spark, sf):
+    weights = {"view": 1.2, "click": 0.0}
+    w = F.lit(R.effective_k(60.0, 0.8))
+    for name, value in weights.items():
+        w = F.when(F.col("event_type") == name, R.effective_k(60.0, value)).otherwise(w)
+    return table(spark, sf, "events").select("event_type").distinct().select("event_type", w.alias("k"))
+
+
+@query("t5_restart_delays", "SELECT DISTINCT l_linenumber AS crash, least(60.0, power(2.0, l_linenumber - 1)) AS delay FROM lineitem")
+def restart_delays(spark, sf):
+    policy = RestartPolicy()
+    found = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("crash")).distinct()
+    return found.withColumn("delay", F.least(F.lit(policy.longest), F.lit(policy.first) * F.pow(F.lit(2.0), F.col("crash") - 1)))

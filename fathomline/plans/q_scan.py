@@ -257,9 +257,6 @@ def manifest_diff(spark, sf):
     return writes.manifest_diff(old, new)
 
 
-SORTS = {"newest": [F.desc, "created_at"], "oldest": [F.asc, "created_at"]}
-
-
 @query("o1_whitelisted_order", f"{with_views('pages')} SELECT page_id, slug FROM pages_v ORDER BY updated_at DESC, page_id LIMIT 100")
 def whitelisted_order(spark, sf):
     sorts = {"updated_desc": [F.desc("updated_at"), F.asc("page_id")], "slug": [F.asc("slug")]}

@@ -77,3 +77,30 @@ def test_job_transitions(spark):
     df = spark.createDataFrame(data, "id int, status string, attempts int, delay_until timestamp, lock_until timestamp, timeout_at timestamp")
     got = {r["id"]: (r["next_status"], r["next_attempts"]) for r in I.job_transitions(df, "2024-01-01 00:00:10").collect()}
     assert got == {1: ("waiting", 0), 2: ("dead", 3), 3: ("waiting", 1), 4: ("failed", 0), 5: ("active", 0)}
+
+
+def test_supervised_restarts():
+    from fathomline.streaming.supervise import RestartPolicy, supervise
+
+    now, slept, left = [0.0], [], [3]
+
+    def run():
+        now[0] += 400 if left[0] == 1 else 1
+        left[0] -= 1
+        if left[0] >= 0:
+            raise RuntimeError("down")
+
+    assert supervise(run, clock=lambda: now[0], sleep=slept.append) == 3
+    assert slept == [1.0, 2.0, 1.0]  # the third run had lasted, so the count began anew
+    with pytest.raises(ZeroDivisionError):
+        supervise(lambda: 1 / 0, RestartPolicy(crashes=3), clock=lambda: 0.0, sleep=slept.append)
+
+
+def test_objects_and_named_aggregates(spark, tmp_path):
+    from fathomline.sources import plugins
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.bin").write_bytes(b"abc")
+    assert [r["size"] for r in plugins.objects(spark, str(tmp_path)).collect()] == [3]
+    with pytest.raises(ValueError):
+        plugins.aggregate_by_name(spark.range(1), ["id"], ["nothing"])
