@@ -80,7 +80,6 @@ class Lines:
     """The lines of a chunk that hold a word, with the counts that the rules need."""
 
     def __init__(self, t: Texts):
-        n = len(t)
         starts, ends, doc = words(t)
         self.word_doc = doc
         not_tail = (t.buf & 0xC0) != 0x80
@@ -127,7 +126,6 @@ class Lines:
                     if k >= 0 and at + len(phrase) <= self.end[k]:
                         self.boilerplate[k] = True
                 at = low.find(phrase, at + 1)
-        del n
 
     def _sum(self, by_word: np.ndarray) -> np.ndarray:
         return np.add.reduceat(by_word.astype(np.int64), self.first) if len(self.first) else np.zeros(0, np.int64)
