@@ -3,7 +3,7 @@
 A line's share is the number of its site's documents that contain it over the number of the site's documents. Lines whose
 share exceeds ``MAX_SHARE``, and that stand in at least ``LEAST_PAGES`` documents of the site, are boilerplate and are
 dropped from that site's documents; the other lines stay, in order. Lines are cut at ``\\n`` and compared byte for byte
-but for white space around them; lines without anything else are never boilerplate.
+but for blanks around them; lines of blanks only are never boilerplate.
 
 The counting shuffle carries a 128-bit hash for each line of each document, summed before it is sent, so neither a hot
 site nor a hot line makes a large group. A site can have at most (lines a document) / ``MAX_SHARE`` boilerplate
