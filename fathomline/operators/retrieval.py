@@ -61,8 +61,14 @@ def inverted_index(docs: DataFrame, key: Sequence[str], classes: dict[str, Colum
     return out.groupBy(*key, "term", "class").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def occurrences(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == word))
+def token_line(*cols: Column) -> Column:
+    """The lower-cased tokens of the texts in a row, a blank on either side of each two: one generated expression, no array."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.concat_ws(" ", *cols)), T.TOKEN_GAP, "  "), F.lit(" "))
+
+
+def occurrences(line: Column, word: str) -> Column:
+    """How often a word stands in a token line."""
+    return ((F.length(line) - F.length(F.replace(line, F.lit(f" {word} "), F.lit("")))) / (len(word) + 2)).cast("long")
 
 
 def keyword_scores(docs: DataFrame, query: str, key: Sequence[str], classes: dict[str, Column]) -> DataFrame:
@@ -73,9 +79,8 @@ def keyword_scores(docs: DataFrame, query: str, key: Sequence[str], classes: dic
     q = parse_query(query)
     if not q.groups:
         return docs.select(*key).limit(0).withColumn("score", F.lit(0.0))
-    every = F.concat(*[T.tokens(c) for c in classes.values()])
-    flat = F.concat(F.lit(" "), F.array_join(every, " "), F.lit(" "))
-    has = lambda term: F.contains(F.col("__flat"), F.lit(f" {term} "))
+    flat = token_line(*classes.values())
+    has = lambda term: F.contains(F.col("__flat"), F.lit(" " + term.replace(" ", "  ") + " "))
     kept = docs.withColumn("__flat", flat)
     for group in q.groups:
         test = has(group[0])
@@ -87,7 +92,7 @@ def keyword_scores(docs: DataFrame, query: str, key: Sequence[str], classes: dic
     words = sorted({w for g in q.groups for t in g for w in t.split()})
     score = F.lit(0.0)
     for c, col in classes.items():
-        own = T.tokens(col)
+        own = token_line(col)
         for w in words:
             tf = occurrences(own, w)
             score = score + F.lit(CLASS_WEIGHTS[c]) * tf / (tf + 1)
