@@ -7,8 +7,9 @@ Hamming distance is at least the sum of the blocks' differences of population co
 of tiles only a spanning forest of the links goes on, never all pairs; components follow by star contraction.
 
 Two keys are offered. ``block_key``: the population count of each quarter of the fingerprint, for small radii.
-``size_key``: the total population count and the number of shingles on a logarithmic scale, for wide fingerprints with
-a large radius: texts whose shingle sets have a similarity of 0.8 differ by a quarter in size at most.
+``size_key``: the total population count and the number of distinct shingles on a logarithmic scale, for wide
+fingerprints with a large radius: texts whose shingle sets have a similarity of 0.8 differ by a quarter in size at most.
+Fingerprints beside this key count every distinct shingle once, so that a repeated passage changes neither.
 
 Comparison is exact, so its cost grows with the square of the number of distinct fingerprints times the share of tile
 pairs that the keys let through; keys and tiles spread the pairs evenly over tasks, whatever the sizes of the groups.
@@ -73,11 +74,25 @@ def shingle_hashes(t: Texts, shingle: int, seed: int = SEED) -> tuple[np.ndarray
     return np.fromiter((digest(data[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a)), owner
 
 
-def fingerprints(t: Texts, shingle: int, n_words: int = 1, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(documents x n_words) uint64 fingerprints, and the number of shingles of each document."""
+def shingle_sets(t: Texts, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct shingle hashes, sorted as int64, and their document."""
     h, owner = shingle_hashes(t, shingle, seed)
-    number = np.bincount(owner, minlength=len(t))
-    out = np.zeros((len(t), n_words), np.uint64)
+    order = np.lexsort((h.view(np.int64), owner))
+    h, owner = h[order], owner[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[first], owner[first]
+
+
+def fingerprints(t: Texts, shingle: int, n_words: int = 1, seed: int = SEED, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(documents x n_words) uint64 fingerprints, and the number of shingles (``distinct``: each counted once) of each document."""
+    return fold(*(shingle_sets if distinct else shingle_hashes)(t, shingle, seed), len(t), n_words)
+
+
+def fold(h: np.ndarray, owner: np.ndarray, n_docs: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and numbers of shingles from the shingles' hashes."""
+    number = np.bincount(owner, minlength=n_docs)
+    out = np.zeros((n_docs, n_words), np.uint64)
     full = np.flatnonzero(number)
     if len(full):
         edges = np.concatenate([[0], np.cumsum(number[full])])[:-1]
@@ -151,11 +166,11 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[n
     return moved, labels[moved]
 
 
-def fingerprint_table(docs: DataFrame, shingle: int, n_words: int, key: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_table(docs: DataFrame, shingle: int, n_words: int, key: Callable, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp as big-endian bytes, tile_key), one pass over the texts."""
 
     def of(t: Texts) -> dict[str, object]:
-        fp, number = fingerprints(t, shingle, n_words)
+        fp, number = fingerprints(t, shingle, n_words, distinct=distinct)
         raw = fp.astype(">u8").tobytes()
         width = 8 * n_words
         return {"fp": pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()), "tile_key": key(fp, number)}
@@ -219,7 +234,7 @@ def same_id(prints: DataFrame, reps: DataFrame) -> DataFrame:
 def components(docs: DataFrame, shingle: int = 3, radius: int = 2, n_words: int = 1, by_size: bool = False, tile: int = TILE) -> DataFrame:
     """(doc_id, fingerprint as hex, component_id) of every row of ``docs``."""
     key, neighbours = (size_key(radius), size_neighbours) if by_size else (block_key, block_neighbours)
-    prints = cut_lineage(fingerprint_table(docs, shingle, n_words, key))
+    prints = cut_lineage(fingerprint_table(docs, shingle, n_words, key, distinct=by_size))
     reps = prints.groupBy("fp", "tile_key").agg(F.min("doc_id").alias("rep"))
     reps = cut_lineage(reps)
     edges = linked(reps.filter("rep is not null"), radius, neighbours, n_words, tile).unionByName(same_id(prints, reps))

@@ -419,6 +419,38 @@ def test_stage_keeps_one_of_each(spark, odd):
     assert simhash.one_of_each(odd.limit(0)).count() == 0
 
 
+def brute_sets(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def brute_groups(rows, least=0.8):
+    """The smallest id of each component of the pairs whose sets of shingles are similar, over all pairs."""
+    up = {i: i for i, _ in rows}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    sets = [(i, brute_sets(t)) for i, t in rows]
+    for n, (i, x) in enumerate(sets):
+        for j, y in sets[:n]:
+            if x == y or len(x & y) >= least * len(x | y):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return sorted(i for i in up if find(i) == i)
+
+
+def test_stage_links_repeated_passages(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 200)) for _ in range(6)]
+    again = [f"{t}\n{t}" for t in texts] + [f"{t}\n{t}\n{t}" for t in texts] + [t + (" " + " ".join(t.split()[:20])) * 20 for t in texts]
+    rows = list(enumerate(texts + again))
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_groups(rows) == list(range(6))
+
+
 # --- 10 suffix arrays ------------------------------------------------------------------------------------------------
 
 
