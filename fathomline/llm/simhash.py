@@ -9,7 +9,8 @@ of tiles only a spanning forest of the links goes on, never all pairs; component
 Two keys are offered. ``block_key``: the population count of each quarter of the fingerprint, for small radii.
 ``size_key``: the total population count and the number of distinct shingles on a logarithmic scale, for wide
 fingerprints with a large radius: texts whose shingle sets have a similarity of 0.8 differ by a quarter in size at most.
-Fingerprints beside this key count every distinct shingle once, so that a repeated passage changes neither.
+Fingerprints beside this key count every distinct shingle once, so that a repeated passage changes neither. They only
+choose candidates: a link holds if the sets of shingles themselves have that similarity.
 
 Comparison is exact, so its cost grows with the square of the number of distinct fingerprints times the share of tile
 pairs that the keys let through; keys and tiles spread the pairs evenly over tasks, whatever the sizes of the groups.
@@ -84,9 +85,9 @@ def shingle_sets(t: Texts, shingle: int, seed: int = SEED) -> tuple[np.ndarray,
     return h[first], owner[first]
 
 
-def fingerprints(t: Texts, shingle: int, n_words: int = 1, seed: int = SEED, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(documents x n_words) uint64 fingerprints, and the number of shingles (``distinct``: each counted once) of each document."""
-    return fold(*(shingle_sets if distinct else shingle_hashes)(t, shingle, seed), len(t), n_words)
+def fingerprints(t: Texts, shingle: int, n_words: int = 1, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(documents x n_words) uint64 fingerprints, and the number of shingles of each document."""
+    return fold(*shingle_hashes(t, shingle, seed), len(t), n_words)
 
 
 def fold(h: np.ndarray, owner: np.ndarray, n_docs: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,11 +167,82 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[n
     return moved, labels[moved]
 
 
-def fingerprint_table(docs: DataFrame, shingle: int, n_words: int, key: Callable, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    far = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        far += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return far
+
+
+def near_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs whose sets' sizes allow a similarity of 0.8."""
+    return (5 * a[:, None] >= 4 * b[None, :]) & (5 * b[None, :] >= 4 * a[:, None])
+
+
+def partners(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two tiles have a candidate in the other one (or in their own)."""
+    in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    rows = max(1, AT_ONCE // max(len(b), 1))
+    for at in range(0, len(a), rows):
+        i, j = np.nonzero(distances(a[at : at + rows], b) <= radius)
+        fit = (5 * size_a[i + at] >= 4 * size_b[j]) & (5 * size_b[j] >= 4 * size_a[i + at])
+        if same:
+            fit &= i + at != j
+        in_a[i[fit] + at] = True
+        in_b[j[fit]] = True
+    return in_a, in_b
+
+
+def set_links(fp: np.ndarray, side: np.ndarray, edges: np.ndarray, items: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of side 0 and 1 (within side 0 if there is no other) whose sets have a similarity of 0.8.
+
+    Row i's set is ``items[edges[i] : edges[i + 1]]``, sorted. Candidates by ``radius`` are checked unless links
+    found before join them already, so that the result has the components of all links.
+    """
+    size = np.diff(edges)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    same = not len(right)
+    right = left if same else right
+    labels = np.arange(len(fp))
+    u: list[np.ndarray] = []
+    v: list[np.ndarray] = []
+    rows = max(1, AT_ONCE // max(len(right), 1))
+    for at in range(0, len(left), rows):
+        part = left[at : at + rows]
+        near = (distances(fp[part], fp[right]) <= radius) & near_sizes(size[part], size[right])
+        if same:
+            near &= part[:, None] < right[None, :]
+        for k in np.flatnonzero(near.any(axis=1)):
+            i, others = part[k], right[near[k]]
+            others = others[labels[others] != labels[i]]
+            if not len(others):
+                continue
+            own = items[edges[i] : edges[i + 1]]
+            cuts = np.flatnonzero(np.diff(np.cumsum(size[others]) // AT_ONCE)) + 1
+            alike = []
+            for js in np.split(others, cuts):
+                n = size[js]
+                first = np.cumsum(n) - n
+                values = items[np.arange(n.sum()) + np.repeat(edges[js] - first, n)]
+                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                both = np.add.reduceat(hit.astype(np.int64), first)
+                alike.append(js[9 * both >= 4 * (n + len(own))])
+            js = np.concatenate(alike)
+            if len(js):
+                joined, at_first = np.unique(labels[js], return_index=True)
+                u.append(np.full(len(at_first), i))
+                v.append(js[at_first])
+                joined = np.append(joined, labels[i])
+                labels[np.isin(labels, joined)] = joined.min()
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *u]), np.concatenate([none, *v])
+
+
+def fingerprint_table(docs: DataFrame, shingle: int, n_words: int, key: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp as big-endian bytes, tile_key), one pass over the texts."""
 
     def of(t: Texts) -> dict[str, object]:
-        fp, number = fingerprints(t, shingle, n_words, distinct=distinct)
+        fp, number = fingerprints(t, shingle, n_words)
         raw = fp.astype(">u8").tobytes()
         width = 8 * n_words
         return {"fp": pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()), "tile_key": key(fp, number)}
@@ -178,8 +250,8 @@ def fingerprint_table(docs: DataFrame, shingle: int, n_words: int, key: Callable
     return map_texts(docs, text_col, [id_col], of, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp binary, tile_key long")
 
 
-def linked(reps: DataFrame, radius: int, neighbours: Callable[[int, int], list[int]], n_words: int, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between rows (rep, fp, tile_key) with links: a spanning forest for each pair of tiles."""
+def tile_pairs(reps: DataFrame, radius: int, neighbours: Callable[[int, int], list[int]], names: tuple[str, ...], tile: int = TILE) -> DataFrame:
+    """Pairs of tiles that can hold links: the columns ``names`` of ``reps`` as arrays ``*_a`` and ``*_b``, the pair's name, and whether it is one tile with itself."""
     spark = reps.sparkSession
     # as many rows as there are keys at most, a number that the key function bounds (17**4, or a few hundred)
     counts = {r["tile_key"]: -(-r["n"] // tile) for r in reps.groupBy("tile_key").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -189,20 +261,26 @@ def linked(reps: DataFrame, radius: int, neighbours: Callable[[int, int], list[i
     spread = reps.join(F.broadcast(parts), "tile_key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     tiles = cut_lineage(
         spread.groupBy("tile_key", "part")
-        .agg(F.collect_list(F.struct("rep", "fp")).alias("x"))
-        .select("tile_key", "part", F.transform("x", lambda r: r["rep"]).alias("ids"), F.transform("x", lambda r: r["fp"]).alias("fps"))
+        .agg(F.collect_list(F.struct(*names)).alias("x"))
+        .select("tile_key", "part", *(F.col(f"x.{c}").alias(c) for c in names))
     )
     left = tiles.join(F.broadcast(table), "tile_key").select(
         F.col("other").alias("to_key"),
         F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("to_part"),
         F.col("tile_key").alias("from_key"),
         F.col("part").alias("from_part"),
-        F.col("ids").alias("ids_a"),
-        F.col("fps").alias("fps_a"),
+        *(F.col(c).alias(f"{c}_a") for c in names),
     )
     left = left.filter("to_key > from_key or to_part >= from_part")
-    right = tiles.select(F.col("tile_key").alias("to_key"), F.col("part").alias("to_part"), F.col("ids").alias("ids_b"), F.col("fps").alias("fps_b"))
-    pairs = left.join(right.hint("shuffle_hash"), ["to_key", "to_part"]).select("ids_a", "fps_a", "ids_b", "fps_b", ((F.col("from_key") == F.col("to_key")) & (F.col("from_part") == F.col("to_part"))).alias("same"))
+    right = tiles.select(F.col("tile_key").alias("to_key"), F.col("part").alias("to_part"), *(F.col(c).alias(f"{c}_b") for c in names))
+    pair = F.concat_ws(":", "from_key", "from_part", "to_key", "to_part").alias("pair")
+    same = ((F.col("from_key") == F.col("to_key")) & (F.col("from_part") == F.col("to_part"))).alias("same")
+    return left.join(right.hint("shuffle_hash"), ["to_key", "to_part"]).select(*(f"{c}_{side}" for side in "ab" for c in names), same, pair)
+
+
+def linked(reps: DataFrame, radius: int, neighbours: Callable[[int, int], list[int]], n_words: int, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between rows (rep, fp, tile_key) with links: a spanning forest for each pair of tiles."""
+    pairs = tile_pairs(reps, radius, neighbours, ("rep", "fp"), tile).drop("pair")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,33 +301,99 @@ def linked(reps: DataFrame, radius: int, neighbours: Callable[[int, int], list[i
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def same_id(prints: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges (a, b) that tie together the fingerprints of rows with one doc_id."""
-    h = F.xxhash64("fp")
+def same_id(prints: DataFrame, reps: DataFrame, by: tuple[str, ...] = ("fp", "tile_key")) -> DataFrame:
+    """Edges (a, b) that tie together the fingerprints (or sets) of rows with one doc_id."""
+    h = F.xxhash64(by[0])
     several = prints.groupBy("doc_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).filter("x <> y").select("doc_id")
-    rows = prints.join(several, "doc_id", "left_semi").join(reps, ["fp", "tile_key"])
+    rows = prints.join(several, "doc_id", "left_semi").join(reps, [*by])
     return rows.select(F.col("doc_id").cast("long").alias("a"), F.col("rep").cast("long").alias("b"))
 
 
-def components(docs: DataFrame, shingle: int = 3, radius: int = 2, n_words: int = 1, by_size: bool = False, tile: int = TILE) -> DataFrame:
+def components(docs: DataFrame, shingle: int = 3, radius: int = 2, n_words: int = 1, tile: int = TILE) -> DataFrame:
     """(doc_id, fingerprint as hex, component_id) of every row of ``docs``."""
-    key, neighbours = (size_key(radius), size_neighbours) if by_size else (block_key, block_neighbours)
-    prints = cut_lineage(fingerprint_table(docs, shingle, n_words, key, distinct=by_size))
+    prints = cut_lineage(fingerprint_table(docs, shingle, n_words, block_key))
     reps = prints.groupBy("fp", "tile_key").agg(F.min("doc_id").alias("rep"))
     reps = cut_lineage(reps)
-    edges = linked(reps.filter("rep is not null"), radius, neighbours, n_words, tile).unionByName(same_id(prints, reps))
+    edges = linked(reps.filter("rep is not null"), radius, block_neighbours, n_words, tile).unionByName(same_id(prints, reps))
     found = connected_components(edges)
     named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "tile_key", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, ["fp", "tile_key"], "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def set_table(docs: DataFrame, shingle: int, radius: int, n_words: int, with_items: bool = False) -> DataFrame:
+    """(doc_id, fp, tile_key, size, digest) of each text's set of shingles; ``with_items`` adds the set itself."""
+    key = size_key(radius)
+
+    def of(t: Texts) -> dict[str, object]:
+        h, owner = shingle_sets(t, shingle)
+        fp, number = fold(h, owner, len(t), n_words)
+        raw, width = fp.astype(">u8").tobytes(), 8 * n_words
+        edges = np.concatenate([[0], np.cumsum(number)])
+        digests = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        made = {"fp": pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()), "tile_key": key(fp, number), "size": number.astype(np.int64), "digest": pa.array(digests, pa.binary())}
+        return made | ({"items": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h.view(np.int64)))} if with_items else {})
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary, tile_key long, size long, digest binary"
+    return map_texts(docs, "text", ["doc_id"], of, schema + ", items array<long>" * with_items)
+
+
+def verified(docs: DataFrame, reps: DataFrame, shingle: int, radius: int, n_words: int, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between rows (rep, fp, tile_key, size, digest) whose sets of shingles have a similarity of 0.8.
+
+    Fingerprints choose the candidates; only those texts' sets are made again, and go once to each pair of tiles in
+    which the text has a candidate.
+    """
+    pairs = tile_pairs(reps, radius, size_neighbours, ("rep", "fp", "size", "digest"), tile)
+
+    def as_words(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, n_words)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                one = batch.slice(row, 1)
+                rep_a, fp_a, size_a, digest_a, rep_b, fp_b, size_b, digest_b = (one.column(i).flatten() for i in range(8))
+                same, pair = one.column(8)[0].as_py(), one.column(9)[0].as_py()
+                in_a, in_b = partners(as_words(fp_a), np.asarray(size_a), as_words(fp_b), np.asarray(size_b), same, radius)
+                for side, rep, digest, chosen in ((0, rep_a, digest_a, in_a), (1, rep_b, digest_b, in_b))[: 1 if same else 2]:
+                    mask = pa.array(chosen)
+                    rep, digest = rep.filter(mask), digest.filter(mask)
+                    if len(rep):
+                        yield pa.RecordBatch.from_arrays([pa.array([pair] * len(rep)), pa.array(np.full(len(rep), side, np.int32)), rep.cast(pa.int64()), digest], names=["pair", "side", "rep", "digest"])
+
+    chosen = cut_lineage(pairs.mapInArrow(candidates, "pair string, side int, rep long, digest binary"))
+    texts = docs.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = set_table(texts, shingle, radius, n_words, with_items=True).select("digest", "fp", "items").dropDuplicates(["digest"])
+
+    def verify(table: pa.Table) -> pa.Table:
+        names, items = np.asarray(table.column("rep")), table.column("items").combine_chunks()
+        edges = np.concatenate([[0], np.cumsum(np.asarray(items.value_lengths()))])
+        u, v = set_links(as_words(table.column("fp")), np.asarray(table.column("side")), edges, np.asarray(items.flatten()), radius)
+        return pa.table({"a": pa.array(names[u], pa.int64()), "b": pa.array(names[v], pa.int64())})
+
+    return chosen.join(sets, "digest").groupBy("pair").applyInArrow(verify, "a long, b long")
+
+
+def set_components(docs: DataFrame, shingle: int, radius: int, n_words: int, tile: int = TILE) -> DataFrame:
+    """(doc_id, component_id) of every row: components of the pairs whose sets of shingles have a similarity of 0.8."""
+    prints = cut_lineage(set_table(docs, shingle, radius, n_words))
+    reps = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("fp", "tile_key", "size")))
+    reps = cut_lineage(reps)
+    # sets of under four differ from any other set by more than a fifth
+    edges = verified(docs, reps.filter("rep is not null and size >= 4"), shingle, radius, n_words, tile)
+    found = connected_components(edges.unionByName(same_id(prints, reps, ("digest",))))
+    named = reps.join(found, reps["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "digest", "left").select("doc_id", "component_id")
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-#: The pipeline's stage: five-word shingles, 256-bit fingerprints. Sets with a similarity of 0.8 are 39 bits apart on
-#: average, with 0.9 27 bits, unrelated texts over 90.
-STAGE = {"shingle": 5, "radius": 44, "n_words": 4, "by_size": True}
+#: The pipeline's stage: five-word shingles, 256-bit fingerprints. A bit of two sets with a similarity of 0.8 differs with
+#: a chance of 0.15 (39 bits), or 0.19 for sets of four and five: of such pairs under 1 in 10 million, or 1 in 10,000, are
+#: over 72 bits apart.
+STAGE = {"shingle": 5, "radius": 72, "n_words": 4}
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -257,7 +401,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat one doc_id are one document: one of them stays. Rows without a doc_id stay as they are.
     """
-    groups = components(docs.select("doc_id", "text"), **(STAGE | options))
+    groups = set_components(docs.select("doc_id", "text"), **(STAGE | options))
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

@@ -451,6 +451,22 @@ def test_stage_links_repeated_passages(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == brute_groups(rows) == list(range(6))
 
 
+def test_stage_links_what_is_similar(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in [8, 9, 20, 60, 200, 600] * 4:
+        text = [f"w{x}" for x in rng.integers(0, 100_000, n)]
+        rows.append(" ".join(text))
+        for changes in (1, 2, 3, 4, 5, 6, 8, 12):  # similarities on both sides of 0.8
+            other = list(text)
+            for at in rng.integers(0, n, changes):
+                other[at] = f"w{rng.integers(0, 100_000)}"
+            rows.append(" ".join(other))
+    rows = list(enumerate(rows))
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), tile=32)
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_groups(rows)
+
+
 # --- 10 suffix arrays ------------------------------------------------------------------------------------------------
 
 
