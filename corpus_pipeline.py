@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(6) Lines that stand in many documents of their source go; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs)
+    """(6) Lines that stand in many different texts of their source go; n_chars follows the text. Copies of a document are left to (9)."""
+    out = line_dedup.drop_boilerplate(docs, by_text=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

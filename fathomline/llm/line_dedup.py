@@ -10,7 +10,8 @@ site nor a hot line makes a large group. A site can have at most (lines a docume
 lines; they are joined to the documents by site, broadcast only where their table is small.
 
 Defined cases: a null text stays null; an empty text stays empty; a text of nothing but boilerplate becomes empty; a null
-site is a site of its own; texts of any length are read whole; repeated rows each count as a document; an empty table gives
+site is a site of its own; texts of any length are read whole; repeated rows each count as a document, or (``by_text``) all rows of a site with one
+text count once, so that copies of a document don't make its lines boilerplate; an empty table gives
 no rows; columns other than the site, the text and the id are not touched, whatever their names.
 """
 
@@ -41,18 +42,23 @@ def lines_of(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def boilerplate(docs: DataFrame, site: str, text: str, max_share: float, least_pages: int) -> DataFrame:
+def boilerplate(docs: DataFrame, site: str, text: str, max_share: float, least_pages: int, by_text: bool = False) -> DataFrame:
     """(site, a, b, pages, total) of every line over the limit."""
     own = docs.select(F.coalesce(F.col(site), F.lit("\0")).alias("site"), F.col(text).alias("text"))
+    keys = F.array_distinct(F.transform(F.filter(lines_of("text"), lambda x: F.length(F.trim(x)) > 0), line_key))
+    if by_text:
+        whole = F.coalesce("text", F.lit(""))
+        own = cut_lineage(own.groupBy("site", F.xxhash64(whole).alias("h"), F.xxhash64(F.lit("fathomline"), whole).alias("h2")).agg(F.first(keys).alias("keys")))
+        keys = F.col("keys")
     total = own.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
-    lines = own.select("site", F.explode(F.array_distinct(F.transform(F.filter(lines_of("text"), lambda x: F.length(F.trim(x)) > 0), line_key))).alias("k"))
+    lines = own.select("site", F.explode(keys).alias("k"))
     counts = lines.groupBy("site", "k.a", "k.b").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
     return counts.join(total, "site").filter(F.col("pages") > max_share * F.col("total"))
 
 
-def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_share: float = MAX_SHARE, least_pages: int = LEAST_PAGES, tally: bool = False) -> DataFrame:
-    """``docs`` without the boilerplate lines; ``tally`` adds n_lines and n_dropped."""
-    found = cut_lineage(boilerplate(docs, site, text, max_share, least_pages))
+def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_share: float = MAX_SHARE, least_pages: int = LEAST_PAGES, tally: bool = False, by_text: bool = False) -> DataFrame:
+    """``docs`` without the boilerplate lines; ``tally`` adds n_lines and n_dropped, ``by_text`` counts equal texts of a site once."""
+    found = cut_lineage(boilerplate(docs, site, text, max_share, least_pages, by_text))
     by_site = found.groupBy("site").agg(F.collect_list(F.struct("a", "b")).alias("__drop"))
     if found.count() <= BROADCAST_ROWS:
         by_site = F.broadcast(by_site)

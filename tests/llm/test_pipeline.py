@@ -30,6 +30,18 @@ def test_rejected_documents_go(spark, sf):
     assert {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, sf).collect()} == good
 
 
+def test_one_of_many_copies_survives(spark, sf):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").schema
+    other = [(i, "\n".join(f"Line {k} of page {i} says {i * 31 + k}." for k in range(8)) + "\nShared footer.", "s") for i in range(60)]
+    copies = [(100 + i, "\n".join(f"A copied line {k}, with its own words {k * k}." for k in range(8)) + "\nShared footer.", "s") for i in range(30)]
+    copies = [(i, copies[0][1], s) for i, _, s in copies]
+    docs = spark.createDataFrame(other + copies, schema)
+    rows = corpus_pipeline.drop_site_lines(spark, docs, sf)
+    left = corpus_pipeline.one_of_each_group(spark, rows, sf).collect()
+    assert sorted(r["doc_id"] for r in left) == [*range(60), 100]
+    assert {r["doc_id"]: r["text"] for r in left}[100] == copies[0][1].removesuffix("\nShared footer.")
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_rows(spark, sf, empty):
     docs = spark.createDataFrame(odd_rows(), ODD)
