@@ -166,6 +166,16 @@ def test_ids_are_those_of_the_tokenizer(docs, odd):
         assert packing.token_ids(x, packing.default_tokenizer()).tolist() == [*t.encode(x or "", add_special_tokens=False).ids, packing.END_ID]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "a", " b", "  ", "\n", "é", "<"]), max_size=8).map("".join))
+def test_added_tokens_are_those_of_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    for x in (text, f"a {text}<|endoftext|> b"):
+        assert packing.token_ids(x, packing.default_tokenizer()).tolist() == [*t.encode(x, add_special_tokens=False).ids, packing.END_ID]
+
+
 @pytest.mark.parametrize("which,part_rows,slack", [("docs", 20_000, 1.02), ("docs", 40, 1.1), ("odd", 4, 1.5), ("none", 40, 1)])
 def test_packing(which, part_rows, slack, docs, odd):
     df = {"docs": docs, "odd": odd, "none": docs.limit(0)}[which]
