@@ -27,10 +27,10 @@ from fathomline.llm.textbatch import Texts, byte_class, chunks, map_texts, mix,
 
 #: The characters that count as symbols.
 SYMBOLS = tuple(b"#*$%&|<>")
-#: Bytes that end or part sentences.
-SENTENCE_MARKS = tuple(b".!?:;")
+#: Characters that end or part sentences.
+SENTENCE_MARKS = ".!?:;\u2026\u3002\uff01\uff1f\uff1a\uff1b\uff0e\uff61\u061f\u061b\u06d4\u0964\u0965\u0589\u1362\u104b\u17d4\u203c\u2047\u2048\u2049"
 #: Entry marks of menus and tables.
-ENTRY_MARKS = tuple(b"|>\xa2\xbb")
+ENTRY_MARKS = "|>\u2022\u00bb"
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
     b"all rights reserved",
@@ -54,6 +54,20 @@ MAX_LOSS = 0.5
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_lines_removed long, loss double"
 
 
+def is_mark(buf: np.ndarray, marks: str) -> np.ndarray:
+    """Where a character of ``marks`` (of at most three bytes in UTF-8) begins."""
+    codes = [m.encode() for m in marks]
+    found = byte_class(tuple(c[0] for c in codes if len(c) == 1))[buf]
+    at = np.flatnonzero(buf >= 0xC2)
+    if len(at):
+        padded = np.append(buf, np.zeros(2, np.uint8)).astype(np.uint32)
+        two = padded[at] << 8 | padded[at + 1]
+        three = two << 8 | padded[at + 2]
+        of = lambda n: [int.from_bytes(c) for c in codes if len(c) == n]
+        found[at] = np.isin(two, of(2)) | np.isin(three, of(3))
+    return found
+
+
 def repeat_words(word_hash: np.ndarray, doc: np.ndarray, n_docs: int, window: int = WINDOW) -> np.ndarray:
     """Words that lie in a window of words found twice or more in their document, by document."""
     n = len(word_hash) - window + 1
@@ -107,9 +121,9 @@ class Lines:
             self.start = self.end = first
         self.hash = span_hash(prefix, self.start, self.end)
         self.text_points = np.diff(points[t.offsets])
-        self.marks = self._bytes(t, SENTENCE_MARKS)
+        self.marks = self._within(is_mark(t.buf, SENTENCE_MARKS))
         self.symbols = self._bytes(t, SYMBOLS)
-        self.entries = self._bytes(t, ENTRY_MARKS)
+        self.entries = self._within(is_mark(t.buf, ENTRY_MARKS))
         shout = (t.buf[ends - 1] == 33) if len(ends) else np.zeros(0, bool)
         self.shouts = self._sum(shout)
         again = np.zeros(len(starts), bool)
@@ -131,7 +145,10 @@ class Lines:
         return np.add.reduceat(by_word.astype(np.int64), self.first) if len(self.first) else np.zeros(0, np.int64)
 
     def _bytes(self, t: Texts, members: tuple[int, ...]) -> np.ndarray:
-        c = np.concatenate([[0], np.cumsum(byte_class(members)[t.buf])])
+        return self._within(byte_class(members)[t.buf])
+
+    def _within(self, marked: np.ndarray) -> np.ndarray:
+        c = np.concatenate([[0], np.cumsum(marked)])
         return c[self.end] - c[self.start]
 
     def duplicates(self, n_docs: int) -> np.ndarray:

@@ -373,6 +373,27 @@ def test_cleaned_text_loses_its_failed_lines(spark):
     assert row["text"] == "A good line with several words in it.\nAnother good line, also with some words."
 
 
+CLEAN = (
+    "Мы шли домой по длинной улице и долго говорили о школе и делах.\nНаш большой дом стоял около поля, а вокруг было светло и тепло.",
+    "Le château du bâtiment âgé plaît à l'âme grâce au théâtre du pâturage.\nIl est sûr que la bûche et la flûte brûlent, dit-on, près du mûr.",
+    "这 是 一 行 没有 问题 的 文字 ， 我们 说 了 很 多 话 。\n第二 行 的 意思 也 很 清楚 ， 一共 有 两 句 ！",
+)
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_lines_in_other_scripts_stay(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = quality_rules.quality_rules(docs).first()
+    assert row.kept and row.n_lines == 2 and row.n_lines_removed == 0
+    assert quality_rules.cleaned(docs).first()["text"] == text
+
+
+def test_entry_marks_are_whole_characters():
+    lines = ["a • b • c • d.", "a » b » c » d.", "a • b • c.", "ллл âââ ûûû 。", "no mark"]
+    _, t = next(iter(chunks(pa.array(["\n".join(lines)], pa.string()))))
+    assert quality_rules.Lines(t).failures()[0].tolist() == [True, True, False, False, True]
+
+
 # --- 9 SimHash -------------------------------------------------------------------------------------------------------
 
 
