@@ -7,9 +7,8 @@ Base columns follow the words ``[^\\x20\\x09-\\x0D]+`` of the whole text. A line
 * *navigation*: ``|``, ``>`` or a bullet parts it into more than two entries;
 * *boilerplate*: it opens or holds one of the fixed phrases below.
 
-Failed lines are removed. A document that loses more than ``max_loss`` of its word characters *to the punctuation and
-navigation rules* is rejected; boilerplate lines are cut out but don't count against the document, as a licence line
-under a good text says nothing about the text.
+Failed lines are removed, whichever rule they fail, and a document that loses more than ``max_loss`` of its word
+characters with them is rejected.
 
 Defined cases: null or empty text has no words, so ``base_failed`` is true and ``kept`` false; documents of any
 length are judged whole; repeated rows are judged each by itself; an empty table gives no rows; further columns of the
@@ -175,9 +174,9 @@ def judge(t: Texts, max_loss: float = MAX_LOSS) -> dict[str, object]:
     repeats = repeat_words(x.word_hash, x.word_doc, n)
     failed, boilerplate = x.failures()
     base_failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
-    judged = per_doc(n, x.doc[~boilerplate], x.chars[~boilerplate])
-    lost = per_doc(n, x.doc[failed & ~boilerplate], x.chars[failed & ~boilerplate])
-    loss = np.where(judged > 0, lost / np.maximum(judged, 1), 1.0)
+    bad = failed | boilerplate
+    lost = per_doc(n, x.doc[bad], x.chars[bad])
+    loss = np.where(word_chars > 0, lost / np.maximum(word_chars, 1), 1.0)
     return {
         "n_words": n_words,
         "word_chars": word_chars,
@@ -187,7 +186,7 @@ def judge(t: Texts, max_loss: float = MAX_LOSS) -> dict[str, object]:
         "base_failed": base_failed,
         "kept": ~base_failed & (loss <= max_loss),
         "n_lines": per_doc(n, x.doc),
-        "n_lines_removed": per_doc(n, x.doc[failed | boilerplate]),
+        "n_lines_removed": per_doc(n, x.doc[bad]),
         "loss": loss,
     }
 

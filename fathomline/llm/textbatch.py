@@ -153,8 +153,9 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, Tex
 
 def small_batches(spark: SparkSession) -> None:
     """Send texts to Python in batches of some MB: at Spark's default of 10,000 rows, two tasks of an executor hold
-    hundreds of MB in Arrow buffers. A size that the user has set stays."""
-    if spark.conf.get(BATCH_ROWS) == "10000":
+    hundreds of MB in Arrow buffers. This sets the session's option, for its other queries too, unless the user has set
+    it, to whatever number: plans read it when they run, so it can't be set for one plan alone."""
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_ROWS):
         spark.conf.set(BATCH_ROWS, "2000")
 
 

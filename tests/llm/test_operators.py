@@ -373,6 +373,57 @@ def test_cleaned_text_loses_its_failed_lines(spark):
     assert row["text"] == "A good line with several words in it.\nAnother good line, also with some words."
 
 
+def brute_kept(text):
+    """The verdict, line by line on characters."""
+    if brute_base(text)[-1]:
+        return False
+    total = lost = 0
+    for line in text.split("\n"):
+        w = re.findall(r"[^\x20\x09-\x0D]+", line)
+        n = sum(map(len, w))
+        total += n
+        bad = not any(c in quality_rules.SENTENCE_MARKS for c in line) or 2 * sum(x.endswith("!") for x in w) > len(w)
+        bad |= 10 * sum(line.count(c) for c in "#*$%&|<>") > n or 2 * sum(a == b for a, b in zip(w, w[1:], strict=False)) > len(w)
+        bad |= sum(line.count(c) for c in quality_rules.ENTRY_MARKS) > 2
+        low = "".join(c.lower() if c.isascii() else c for c in line).encode()
+        if w and (bad or any(p in low for p in quality_rules.BOILERPLATE)):
+            lost += n
+    return total > 0 and lost <= quality_rules.MAX_LOSS * total
+
+
+SCRIPTS = (
+    "Мы шли домой по длинной улице и долго говорили о школе и делах.",
+    "Le château du bâtiment âgé plaît à l'âme grâce au théâtre du pâturage.",
+    "这 是 一 行 没有 问题 的 文字 ， 我们 说 了 很 多 话 。",
+    "هذا سطر عادي من نص واضح، وفيه كلمات كثيرة لا بأس بها ؟",
+    "यह एक साधारण पंक्ति है जिसमें बहुत से शब्द हैं और अंत में विराम है।",
+    "Home | About | Contact | Help",
+    "All rights reserved, as ever, by the people who wrote this page.",
+    "no mark at the end of this line of words",
+    "BUY! NOW! CHEAP! words",
+    "a â • û • л • Т.",
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(SCRIPTS), min_size=1, max_size=8, unique=True))
+def test_verdict_by_characters_in_all_scripts(lines):
+    text = "\n".join(lines)
+    _, t = next(iter(chunks(pa.array([text], pa.string()))))
+    assert bool(quality_rules.judge(t)["kept"][0]) == brute_kept(text)
+
+
+def test_verdict_on_the_table(docs):
+    want = {r["doc_id"]: brute_kept(r["text"] or "") for r in docs.select("doc_id", "text").collect()}
+    assert {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()} == want
+
+
+def test_boilerplate_counts_in_the_loss(spark):
+    text = "\n".join(["A good line with several words in it."] + [f"Use is licensed under the terms of number {i}." for i in range(20)])
+    row = quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.loss > 0.9 and not row.kept
+
+
 CLEAN = (
     "Мы шли домой по длинной улице и долго говорили о школе и делах.\nНаш большой дом стоял около поля, а вокруг было светло и тепло.",
     "Le château du bâtiment âgé plaît à l'âme grâce au théâtre du pâturage.\nIl est sûr que la bûche et la flûte brûlent, dit-on, près du mûr.",
