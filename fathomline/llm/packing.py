@@ -4,10 +4,13 @@ Every text becomes token ids and one end id; pieces of at most ``CAPACITY`` toke
 are dealt by hash to partitions of about ``PART_ROWS`` pieces, and each partition is packed by best-fit decreasing. Dual
 feasible functions give a lower bound of each partition's number of sequences; where it is met, the partition is
 certified optimal. The documents of unfilled sequences of the other partitions are dealt anew among them (the exchange)
-and packed again; an exchange is kept only if it saves sequences, and exchanges end when all are certified or none is saved.
+and packed again; an exchange is kept only if it saves sequences. ``bound_all`` is the same lower bound for all pieces
+together, from their numbers by length: while the sequences of certified partitions add up to more, all partitions'
+unfilled sequences are exchanged. Exchanges end when the bound is met or nothing is saved. A full sequence stays where it
+is, and is its own certificate.
 
 Only whole documents move; one longer than the capacity is cut into pieces of the capacity, its first piece holding what
-is left over. Memory is bounded by a partition's lengths; no partition or count reaches the driver but sums.
+is left over. Memory is bounded by a partition's lengths; what reaches the driver is sums and a count for each length.
 
 Ids come from the vocabulary of a byte-level BPE file of the ``tokenizers`` library (its path is a parameter), run by
 ``tiktoken``, which gives the same ids about four times as fast (the tests compare the two). The file's added tokens
@@ -37,7 +40,6 @@ from fathomline.session import cut_lineage
 CAPACITY = 1024
 END_ID = 2
 PART_ROWS = 20_000
-EXCHANGES = 4
 TOKENIZER = "byte_bpe_50k.json"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -125,12 +127,14 @@ def dual_feasible(capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows), np.array(full)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    if not len(lengths):
-        return 0
+def bound_of(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The least number of bins for ``counts[n]`` pieces of each length n."""
     rows, full = dual_feasible(capacity)
-    total = rows @ np.bincount(lengths, minlength=capacity + 1)
-    return int(np.max(-(-total // full)))
+    return int(np.max(-(-(rows @ counts) // full)))
+
+
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
@@ -175,28 +179,39 @@ def pack_parts(rows: DataFrame, parts: int, exchange: int, capacity: int = CAPAC
     return rows.select(*(c.split()[0] for c in PIECES.split(", ")), name.cast("long").alias("partition")).groupBy("partition").applyInArrow(pack, PLACED)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, exchanges: int = EXCHANGES) -> DataFrame:
-    """Place the pieces; ``bins`` and ``bound`` of its last partition certify each row's place."""
-    number = rows.count()
-    placed = cut_lineage(pack_parts(rows, max(1, -(-number // part_rows)), 0, capacity))
-    for k in range(1, exchanges + 1):
-        gap = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
-        loose = placed.filter(gap)
-        by = loose.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"))
-        n, before = by.agg(F.sum("n"), F.count(F.lit(1))).first()
-        if not before:
-            break
-        again = cut_lineage(pack_parts(loose, max(1, -(-n // part_rows)), k, capacity))
-        after = again.groupBy("partition").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0]
-        if after >= before:
-            break
-        placed = placed.filter(~gap).unionByName(again)
-    return placed
+def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """Place the pieces; ``bins`` and ``bound`` of a row's partition, as it was last packed, certify its place."""
+    counts = np.zeros(capacity + 1)
+    for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["length"]] = r["n"]
+    least = bound_of(counts, capacity)
+    placed = cut_lineage(pack_parts(rows, max(1, -(-int(counts.sum()) // part_rows)), 0, capacity))
+    open_gap, k = F.col("bins") > F.col("bound"), 0
+    everywhere = F.lit(True)
+    for among in (open_gap, everywhere):
+        while True:
+            total = placed.groupBy("partition").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0] or 0
+            loose = placed.filter(among & (F.col("fill") < capacity))
+            by = loose.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"))
+            n, before = by.agg(F.sum("n"), F.count(F.lit(1))).first()
+            if total <= least or not before:
+                break
+            k += 1
+            again = cut_lineage(pack_parts(loose, max(1, -(-n // part_rows)), k, capacity))
+            after = again.groupBy("partition").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0]
+            if after >= before:
+                break
+            # full sequences stay behind: their partition is now those sequences alone, as many as its pieces need
+            full = placed.filter(among & (F.col("fill") == capacity))
+            left = full.groupBy("partition").agg(F.count_distinct("sequence_id").alias("bins"))
+            full = full.drop("bins", "bound").join(left, "partition").withColumn("bound", F.col("bins")).select(*placed.columns)
+            placed = cut_lineage(placed.filter(~among).unionByName(full).unionByName(again))
+    return placed.withColumn("bound_all", F.lit(least).cast("long"))
 
 
 def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     placed = pack(cut_lineage(pieces(docs, path)))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "partition", "bins", "bound")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "partition", "bins", "bound", "bound_all")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
