@@ -2,9 +2,9 @@
 
 A source's target repetition rate is its target weight's share of the mixture, times the mixture's size, over the number of its
 documents. Each document is given a count from a Poisson distribution with that mean, by inverting the distribution at a number in [0, 1)
-from the MD5 of seed, doc_id and the row's number among rows with that doc_id's text; the document is repeated by its count,
-and the copies are put in a global order by another hash. Counts depend on the document alone, so a lost task is
-recomputed alike and no source is gathered anywhere.
+from the MD5 of seed, doc_id and the draw's number; the document is repeated by its count, whole, and the copies are put in
+a global order by another hash. Counts depend on the document alone, so a lost task is recomputed alike and no source is
+gathered anywhere. Rows travel as one struct column, so no column of the input can clash with a name used here.
 
 A rate above ``STEP`` is inverted as the sum of several draws of at most that mean, so that exp(-rate) stays in range.
 
@@ -62,17 +62,17 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, default_weight: flo
     """(site key, rate): one row for each source."""
     if any(w < 0 for w in [*(weights or {}).values(), default_weight]) or default_weight == math.inf:
         raise ValueError("weights are numbers from 0 on")
-    counts = docs.groupBy(F.coalesce(F.col(source), F.lit("\0")).alias("__source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.groupBy(F.coalesce(F.col(source), F.lit("\0")).alias("site")).agg(F.count(F.lit(1)).alias("n"))
     weight = F.lit(float(default_weight))
     if weights:
         table = F.create_map(*[F.lit(x) for k, w in sorted(weights.items()) for x in (k, float(w))])
-        weight = F.coalesce(table[F.col("__source")], weight)
+        weight = F.coalesce(table[F.col("site")], weight)
     counts = counts.withColumn("w", weight)
     counts = cut_lineage(counts)
     sources, all_n, all_w = counts.agg(F.count(F.lit(1)), F.sum("n"), F.sum("w")).first()
     wanted = float(all_n or 0) if size is None else float(size)
     rate = F.col("w") / F.lit(all_w) * F.lit(wanted) / F.col("n") if all_w else F.lit(0.0)
-    table = counts.select("__source", rate.alias("__rate"))
+    table = counts.select("site", rate.alias("rate"))
     return F.broadcast(table) if sources <= BROADCAST_SOURCES else table
 
 
@@ -83,16 +83,17 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, default_weig
     place of columns of these names.
     """
     names = docs.columns
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     table = rates(docs, weights, default_weight, source, size)
-    own = docs.withColumn("__source", F.coalesce(F.col(source), F.lit("\0"))).join(table, "__source")
-    counted = own.withColumn("__count", poisson(F.col("__rate"), key, seed)).filter("__count > 0")
-    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
-    keyed = copies.withColumn("__key", uniform(seed, F.lit("order"), key, F.col("__copy").cast("string")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
+    own = rows.withColumn("site", F.coalesce(F.col(f"row.`{source}`"), F.lit("\0"))).join(table, "site")
+    counted = own.withColumn("count", poisson(F.col("rate"), key, seed)).filter("count > 0")
+    copies = counted.select("row", "rate", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", uniform(seed, F.lit("order"), key, F.col("copy").cast("string")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartition(parts, "__key").sortWithinPartitions("__key", "doc_id")
-    more = {"copy": F.col("__copy"), "rate": F.round("__rate", 9), "shuffle_key": F.col("__key")} if detail else {}
-    return ordered.select(*[F.col(f"`{c}`") for c in names if c not in more], *[c.alias(n) for n, c in more.items()])
+    ordered = keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", F.col("row.doc_id"))
+    more = {"copy": F.col("copy"), "rate": F.round("rate", 9), "shuffle_key": F.col("shuffle_key")} if detail else {}
+    return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in names if c not in more], *[c.alias(n) for n, c in more.items()])
 
 
 #: The mixture of the query and the pipeline: a hot source is brought down to twice an ordinary source's share.
@@ -100,7 +101,8 @@ WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 1.5}
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars")
+    """The mixture itself: whole documents, once for each copy."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang", "n_chars")
     return mixed(docs, WEIGHTS, detail=True)
 
 
@@ -111,11 +113,11 @@ def _u(*parts: str) -> str:
 OP7_SQL = f"""
 WITH RECURSIVE c AS (SELECT coalesce(source, chr(0)) AS site, count(*) AS n, CASE coalesce(source, chr(0)) {' '.join(f"WHEN '{k}' THEN {w!r}::DOUBLE" for k, w in WEIGHTS.items())} ELSE 1.0::DOUBLE END AS w FROM documents GROUP BY 1),
 r AS (SELECT site, w / (SELECT sum(w) FROM c) * (SELECT sum(n) FROM c)::DOUBLE / n AS rate FROM c),
-d AS (SELECT doc_id, source, lang, n_chars, rate, greatest(1, ceil(rate / {STEP!r}))::INT AS draws FROM documents JOIN r ON coalesce(source, chr(0)) = site),
-u AS (SELECT DISTINCT doc_id, rate, draws, i, {_u(f"'{SEED}'", "doc_id::VARCHAR", "i::VARCHAR")} AS u, rate / draws AS mean FROM d, generate_series(1, 64) AS g(i) WHERE i <= draws),
+d AS (SELECT doc_id, text, source, lang, n_chars, rate, greatest(1, ceil(rate / {STEP!r}))::INT AS draws FROM documents JOIN r ON coalesce(source, chr(0)) = site),
+u AS (SELECT DISTINCT doc_id, rate, draws, i, {_u(f"'{SEED}'", "doc_id::VARCHAR", "i::VARCHAR")} AS u, rate / draws AS mean FROM d, unnest(generate_series(1, draws)) AS g(i)),
 p AS (SELECT doc_id, rate, i, u, mean, exp(-mean) AS p, exp(-mean) AS s, 0 AS k, 0 AS n FROM u
       UNION ALL SELECT doc_id, rate, i, u, mean, p * mean / (k + 1), s + p * mean / (k + 1), k + 1, n + CASE WHEN u >= s THEN 1 ELSE 0 END FROM p WHERE k < {TERMS}),
 t AS (SELECT doc_id, rate, sum(n) AS n FROM p WHERE k = {TERMS} GROUP BY doc_id, rate)
-SELECT d.doc_id, source, lang, n_chars, (g.copy)::INT AS copy, round(d.rate, 9) AS rate, {_u(f"'{SEED}'", "'order'", "d.doc_id::VARCHAR", "g.copy::VARCHAR")} AS shuffle_key
-FROM d JOIN t ON t.doc_id = d.doc_id AND t.rate = d.rate, generate_series(0, 1000) AS g(copy) WHERE g.copy < t.n
+SELECT d.doc_id, d.text, source, lang, n_chars, (g.copy)::INT AS copy, round(d.rate, 9) AS rate, {_u(f"'{SEED}'", "'order'", "d.doc_id::VARCHAR", "g.copy::VARCHAR")} AS shuffle_key
+FROM d JOIN t ON t.doc_id = d.doc_id AND t.rate = d.rate, unnest(generate_series(0, t.n::BIGINT - 1)) AS g(copy)
 """
