@@ -8,8 +8,9 @@ The vector has two parts:
 
 * 4 lanes modulo 2**64 from BLAKE2b of the paragraph: fingerprints are equal for equal multisets of paragraphs, and
   otherwise differ but for a chance of 2**-256;
-* 256 lanes modulo 2**16 that add +1 or -1 for each five-word shingle of the paragraph (all its words where it has
-  fewer): the cosine of two documents' lanes estimates that of their shingle counts, with an error of about 1/16.
+* 256 lanes modulo 2**32 that add +1 or -1 for each five-word shingle of the paragraph (all its words where it has
+  fewer): the cosine of two documents' lanes estimates that of their shingle counts, with an error of about 1/16. Lanes
+  are read as signed, which holds for texts of up to 2**31 shingles, more than a string can hold.
 
 Defined cases: null and empty texts and texts of line breaks only have the zero fingerprint; likeness of equal
 fingerprints is 1, of a zero to another one 0; texts of any length are hashed whole; rows that repeat a doc_id are
@@ -40,10 +41,10 @@ Fingerprints = tuple[np.ndarray, np.ndarray]
 
 
 def paragraph_sums(t: Texts) -> Fingerprints:
-    """(n x LANES uint64, n x SKETCH uint16) of each text."""
+    """(n x LANES uint64, n x SKETCH uint32) of each text."""
     n = len(t)
     exact = np.zeros((n, LANES), np.uint64)
-    sketch = np.zeros((n, SKETCH), np.uint16)
+    sketch = np.zeros((n, SKETCH), np.uint32)
     if not len(t.buf):
         return exact, sketch
     data = t.buf.tobytes()
@@ -67,7 +68,7 @@ def paragraph_sums(t: Texts) -> Fingerprints:
         key, owner = key[use], doc[use]
         slot = owner * SKETCH + (key & np.uint64(SKETCH - 1)).astype(np.int64)
         sign = np.where(key >> np.uint64(63), 1.0, -1.0)
-        sketch = np.bincount(slot, weights=sign, minlength=n * SKETCH).astype(np.int64).astype(np.uint16).reshape(n, SKETCH)
+        sketch = np.bincount(slot, weights=sign, minlength=n * SKETCH).astype(np.int64).astype(np.uint32).reshape(n, SKETCH)
     return exact, sketch
 
 
@@ -82,18 +83,18 @@ def remove(a: Fingerprints, b: Fingerprints) -> Fingerprints:
 
 
 def to_hex(x: Fingerprints) -> list[str]:
-    raw = np.concatenate([x[0].astype("<u8").view(np.uint8).reshape(len(x[0]), -1), x[1].astype("<u2").view(np.uint8).reshape(len(x[1]), -1)], axis=1)
+    raw = np.concatenate([x[0].astype("<u8").view(np.uint8).reshape(len(x[0]), -1), x[1].astype("<u4").view(np.uint8).reshape(len(x[1]), -1)], axis=1)
     return [row.tobytes().hex() for row in raw]
 
 
 def from_hex(texts: list[str]) -> Fingerprints:
     raw = np.frombuffer(b"".join(map(bytes.fromhex, texts)), np.uint8).reshape(len(texts), -1)
-    return np.ascontiguousarray(raw[:, : 8 * LANES]).view("<u8").astype(np.uint64), np.ascontiguousarray(raw[:, 8 * LANES :]).view("<u2").astype(np.uint16)
+    return np.ascontiguousarray(raw[:, : 8 * LANES]).view("<u8").astype(np.uint64), np.ascontiguousarray(raw[:, 8 * LANES :]).view("<u4").astype(np.uint32)
 
 
 def likeness(a: Fingerprints, b: Fingerprints) -> np.ndarray:
     """0 to 1: the cosine of the sketch lanes, 1 for equal fingerprints."""
-    x, y = (s.view(np.int16).astype(np.float64) for s in (a[1], b[1]))
+    x, y = (s.view(np.int32).astype(np.float64) for s in (a[1], b[1]))
     norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = np.where(norm > 0, (x * y).sum(axis=1) / np.where(norm > 0, norm, 1), 0.0)
     equal = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
@@ -103,7 +104,7 @@ def likeness(a: Fingerprints, b: Fingerprints) -> np.ndarray:
 def of_texts(texts: list[str | None]) -> Fingerprints:
     parts = [paragraph_sums(t) for _, t in chunks(pa.array(texts, pa.string()))]
     if not parts:
-        return np.zeros((0, LANES), np.uint64), np.zeros((0, SKETCH), np.uint16)
+        return np.zeros((0, LANES), np.uint64), np.zeros((0, SKETCH), np.uint32)
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
@@ -131,7 +132,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = spark.createDataFrame([(b, k, first[i - 1][0]) for i, (b, k) in enumerate(first)] or [(0, 0, 0)], "bucket int, k long, into int")
     heads = rows.join(F.broadcast(before), ["bucket", "k"]).groupBy("into", "doc_id", "k").agg(F.min("text").alias("text"))
     both = rows.select("doc_id", "k", "text", "bucket", F.lit(False).alias("head")).union(heads.select("doc_id", "k", "text", F.col("into").alias("bucket"), F.lit(True)))
-    return both.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket", "head", "k", "text").select("doc_id", "text", "bucket", "head")
+    # neighbouring buckets, four to a partition: as even as the quantiles are
+    return both.repartitionById(buckets // 4, F.floor(F.col("bucket") / 4).cast("int")).sortWithinPartitions("bucket", "head", "k", "text").select("doc_id", "text", "bucket", "head")
 
 
 def edited_text(text: str, following: str) -> str:

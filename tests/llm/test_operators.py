@@ -155,6 +155,37 @@ def test_edited_texts(which, docs, odd):
         assert np.mean([r.near_edited for r in got]) > 0.6 > 0.2 > np.mean([r.near_next for r in got])
 
 
+def test_likeness_of_heavy_repetition():
+    line = "one line of words that comes again and again"
+    a, b = (multiset_hash.of_texts(["\n".join([line] * n)]) for n in (40_000, 30_000))
+    assert multiset_hash.likeness(a, b)[0] > 0.999
+
+
+def test_fingerprint_against_brute_force(docs):
+    """The exact lanes are the sums of the paragraphs' BLAKE2b words; the likeness is near the cosine of shingle counts."""
+
+    def brute(text):
+        lanes, counts = [0] * 4, collections.Counter()
+        for p in filter(None, text.split("\n")):
+            d = hashlib.blake2b(p.encode(), digest_size=32).digest()
+            lanes = [(x + int.from_bytes(d[8 * i : 8 * i + 8], "little")) % (1 << 64) for i, x in enumerate(lanes)]
+            w = re.findall(r"[^\x20\x09-\x0D]+", p)
+            counts.update(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w)
+        return lanes, counts
+
+    texts = [x or "" for x in texts_of(docs)]
+    got = multiset_hash.of_texts(texts)
+    want = [brute(x) for x in texts]
+    assert got[0].tolist() == [lanes for lanes, _ in want]
+    edited = [multiset_hash.edited_text(a, b) for a, b in zip(texts, texts[1:] + texts[:1], strict=True)]
+    near = multiset_hash.likeness(got, multiset_hash.of_texts(edited))
+    for (_, a), x, n in zip(want, edited, near, strict=True):
+        b = brute(x)[1]
+        if a and b:
+            true = sum(v * b[k] for k, v in a.items()) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+            assert abs(n - true) < 0.3
+
+
 # --- 3 packing -------------------------------------------------------------------------------------------------------
 
 
@@ -198,6 +229,11 @@ def test_packing(which, part_rows, slack, docs, odd):
     if got:
         lengths = np.array([r.length for r in got])
         assert packing.lower_bound(lengths) <= len(by) <= slack * packing.lower_bound(lengths) + 1
+        assert {r.bound_all for r in got} == {packing.lower_bound(lengths)}
+        for part in {r.partition for r in got}:
+            own = [r for r in got if r.partition == part]
+            assert {r.bins for r in own} == {len({r.sequence_id for r in own})}
+            assert {r.bound for r in own} == {packing.lower_bound(np.array([r.length for r in own]))}
 
 
 @settings(max_examples=40, deadline=None)
@@ -329,6 +365,9 @@ def test_mixing_odd_rows(odd):
     assert out.columns == odd.columns and {r["copy"] for r in out.select("copy").collect()} <= {"c"}
     assert out.collect() == mixing.mixed(odd, {"s1": 3.0}).collect()
     assert mixing.mixed(odd.limit(0)).count() == 0
+    clash = odd.selectExpr("*", "'x' as site", "'y' as count", "1 as rate", "2 as row", "3 as shuffle_key", "4 as __rate", "5 as __drop")
+    for r in mixing.mixed(clash, {"s1": 3.0}).collect():
+        assert (r.site, r["count"], r.rate, r.row, r.shuffle_key, r["__rate"], r["__drop"]) == ("x", "y", 1, 2, 3, 4, 5)
     assert mixing.mixed(odd, default_weight=0.0).count() == 0
     assert set(mixing.mixed(odd, detail=True).columns) == {*odd.columns, "rate", "shuffle_key"}
     with pytest.raises(ValueError):
