@@ -7,12 +7,14 @@ but for blanks around them; lines of blanks only are never boilerplate.
 
 The counting shuffle carries a 128-bit hash for each line of each document, summed before it is sent, so neither a hot
 site nor a hot line makes a large group. A site can have at most (lines a document) / ``MAX_SHARE`` boilerplate
-lines; they are joined to the documents by site, broadcast only where their table is small.
+lines, and a document is searched for them by a hash set. Their table is broadcast where it is small; otherwise documents
+and lists are joined by site, and sites that hold over 1 / ``HOT_SITES`` of all documents, of which there can't be more
+than ``HOT_SITES``, are dealt over as many tasks as their size asks for.
 
 Defined cases: a null text stays null; an empty text stays empty; a text of nothing but boilerplate becomes empty; a null
 site is a site of its own; texts of any length are read whole; repeated rows each count as a document, or (``by_text``) all rows of a site with one
 text count once, so that copies of a document don't make its lines boilerplate; an empty table gives
-no rows; columns other than the site, the text and the id are not touched, whatever their names.
+no rows; columns other than the site and the text are not touched, whatever their names, as rows travel as one struct.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ MAX_SHARE = 0.05
 LEAST_PAGES = 3
 #: Rows of boilerplate lines up to which their table is broadcast.
 BROADCAST_ROWS = 100_000
+HOT_SITES = 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -56,20 +59,36 @@ def boilerplate(docs: DataFrame, site: str, text: str, max_share: float, least_p
     return counts.join(total, "site").filter(F.col("pages") > max_share * F.col("total"))
 
 
-def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_share: float = MAX_SHARE, least_pages: int = LEAST_PAGES, tally: bool = False, by_text: bool = False) -> DataFrame:
+def with_lists(rows: DataFrame, found: DataFrame, broadcast_rows: int = BROADCAST_ROWS, hot_sites: int = HOT_SITES) -> DataFrame:
+    """``rows`` (site, row, text) with the site's boilerplate lines as ``drop``, null where it has none."""
+    lists = found.groupBy("site").agg(F.collect_list(F.struct("a", "b")).alias("drop"))
+    if found.count() <= broadcast_rows:
+        return rows.join(F.broadcast(lists), "site", "left")
+    sizes = cut_lineage(rows.groupBy("site").agg(F.count(F.lit(1)).alias("n")))
+    most = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // hot_sites)
+    hot = F.broadcast(sizes.filter(F.col("n") > most).select("site", F.ceil(F.col("n") / most).cast("int").alias("salts")))  # hot_sites rows at most
+    salted = rows.join(hot, "site", "left").withColumn("salt", F.pmod(F.xxhash64("text"), F.coalesce("salts", F.lit(1))).cast("int"))
+    copies = lists.join(hot, "site", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    return salted.drop("salts").join(copies.drop("salts"), ["site", "salt"], "left")
+
+
+def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_share: float = MAX_SHARE, least_pages: int = LEAST_PAGES, tally: bool = False, by_text: bool = False, broadcast_rows: int = BROADCAST_ROWS, hot_sites: int = HOT_SITES) -> DataFrame:
     """``docs`` without the boilerplate lines; ``tally`` adds n_lines and n_dropped, ``by_text`` counts equal texts of a site once."""
     found = cut_lineage(boilerplate(docs, site, text, max_share, least_pages, by_text))
-    by_site = found.groupBy("site").agg(F.collect_list(F.struct("a", "b")).alias("__drop"))
-    if found.count() <= BROADCAST_ROWS:
-        by_site = F.broadcast(by_site)
-    joined = docs.withColumn("__site", F.coalesce(F.col(site), F.lit("\0"))).join(by_site.withColumnRenamed("site", "__site"), "__site", "left")
-    kept = F.filter(lines_of(text), lambda x: ~F.array_contains(F.col("__drop"), line_key(x)))
-    clean = F.when(F.col("__drop").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    own = [F.col(f"`{c}`") if c != text else clean.alias(text) for c in docs.columns]
+    rows = docs.select(F.coalesce(F.col(site), F.lit("\0")).alias("site"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0)]).alias("row"))
+    joined = with_lists(rows, found, broadcast_rows, hot_sites)
+    # by hash set which of the list's lines the text has, mostly none; then by both halves of the key which lines go
+    met = F.array_intersect(F.transform(lines_of("text"), lambda x: line_key(x)["a"]), F.col("drop.a"))
+    joined = joined.withColumn("met", F.when(F.col("drop").isNotNull() & F.col("text").isNotNull(), met))
+    own_drop = F.when(F.size("met") > 0, F.filter("drop", lambda d: F.array_contains("met", d["a"])))
+    joined = joined.withColumn("own", own_drop)
+    kept = F.filter(lines_of("text"), lambda x: ~F.array_contains(F.col("own"), line_key(x)))
+    clean = F.when(F.col("own").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = [F.col(f"row.`{c}`").alias(c) if c != text else clean.alias(text) for c in docs.columns]
     if tally:
-        n = F.size(lines_of(text))
-        own += [n.cast("long").alias("n_lines"), F.when(F.col("__drop").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long").alias("n_dropped")]
-    return joined.select(*own)
+        n = F.size(lines_of("text"))
+        out += [n.cast("long").alias("n_lines"), F.when(F.col("own").isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long").alias("n_dropped")]
+    return joined.select(*out)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -331,10 +331,10 @@ def brute_lines(rows, share, least):
     return collections.Counter((site, None if text is None else "\n".join(x for x in text.split("\n") if (site, bare(x)) not in drop)) for site, text in rows)
 
 
-@pytest.mark.parametrize("which", ["docs", "odd", "none"])
-def test_line_dedup(which, docs, odd):
-    df = {"docs": docs, "odd": odd, "none": docs.limit(0)}[which]
-    out = line_dedup.drop_boilerplate(df, least_pages=2)
+@pytest.mark.parametrize("which,options", [("docs", {}), ("odd", {}), ("none", {}), ("docs", {"broadcast_rows": 0, "hot_sites": 10}), ("odd", {"broadcast_rows": 0, "hot_sites": 4})])
+def test_line_dedup(which, options, docs, odd):
+    df = {"docs": docs, "odd": odd.selectExpr("*", "'x' as site", "1 as __drop", "2 as drop", "3 as met", "4 as row", "5 as salt"), "none": docs.limit(0)}[which]
+    out = line_dedup.drop_boilerplate(df, least_pages=2, **options)
     assert out.columns == df.columns
     rows = [(r["source"], r["text"]) for r in df.collect()]
     assert collections.Counter((r["source"], r["text"]) for r in out.collect()) == brute_lines(rows, line_dedup.MAX_SHARE, 2)
