@@ -1,35 +1,48 @@
 """Sharding (4): minimum-cost-flow resharding.
 
 Given where documents lie now (old shards) and how many each new shard shall hold, move the fewest bytes. Each old
-shard's documents fall into blocks: a class of sizes (quarters of a power of two) and a bucket of a hash of doc_id. A flow network
+shard's documents fall into classes of sizes (quarters of a power of two). A flow network
 
     source -> (old shard, class) -> stay, at no cost, or move, at the class's mean bytes a row -> new shard -> sink
 
 has the classes' rows as supplies and the new shards' row capacities as demands. Its minimum-cost flow, found on the
-driver by successive shortest paths, says how many rows of each class stay and how many go where; blocks are cut along
-it, in order of their buckets. The network has about 2 x old shards x classes arcs whatever the number of documents.
+driver by successive shortest paths, says how many rows of each class stay and how many go where. Of a class that is
+split between the two, the smallest rows go: the size at which it is split is found exactly, by counts in slices that
+narrow, and the class is parted there into smaller, equal and larger rows. With these the flow is solved again, and its
+bytes are the fewest that row capacities allow. Blocks, a class's rows in one bucket of a hash of doc_id, are cut along it.
+The network has about 2 x old shards x classes arcs whatever the number of documents.
+
+``rewrite`` then writes the shards whose content changes; ``op4`` does so, into the shared folder, and its rows are read
+from what was written (of shards that don't change, from the plan).
 
 The query's old layout puts each source's documents into one shard (crc32 of the source's name), as a crawl writes
 them; the law is ``rows``: the 24 new shards' counts are at most one apart. Equal texts are not tied together.
 
-Defined cases: null texts and empty texts have size 8; a null source is the source ``''``; rows that repeat a doc_id
-are placed each by itself, in order of their text's checksum; a null doc_id is hashed like the text ``''``; texts of any length
-are read whole; an empty table gives no rows; other columns are not read.
+Defined cases: null texts and empty texts have size 8; a null source is the source ``''``; rows that repeat a doc_id, or
+a whole row, are placed and written each by itself; a null doc_id is hashed like the text ``''``; texts of any length
+are read whole; an empty table gives no rows and no files; input columns named ``shard`` or ``slot`` are written as ``shard_``
+and ``slot_``; other columns are written as they are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict, deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 from pyspark.sql.window import Window as W
 
-from fathomline.session import cut_lineage
+from fathomline.session import cut_lineage, ensure_checkpoint_dir
 
 SHARDS = 24
 BUCKETS = 64
+#: Slices into which a range of sizes is counted at once.
+SLICES = 1024
+#: Bytes of text in one written file, about.
+FILE_BYTES = 128 << 20
 
 Flow = dict[tuple, int]
 
@@ -119,9 +132,42 @@ def old_shard(source: str = "source", shards: int = SHARDS) -> Column:
     return (F.crc32(F.coalesce(F.col(source), F.lit("")).cast("binary")) % shards).cast("int")
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """Rows with their class and bucket beside (doc_id, size, text_crc32, old_shard)."""
-    return rows.withColumn("class", F.floor(4 * F.log2(F.col("size").cast("double"))).cast("int")).withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BUCKETS)).cast("int"))
+def size_class(size: str = "size") -> Column:
+    return F.floor(4 * F.log2(F.col(size).cast("double"))).cast("int")
+
+
+def small_table(spark, columns: dict[str, tuple]) -> DataFrame:
+    """A broadcast table of a few rows a shard: name -> (type, values)."""
+    return F.broadcast(spark.createDataFrame(pa.table({k: pa.array(v, kind) for k, (kind, v) in columns.items()})))
+
+
+def split_sizes(rows: DataFrame, split: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """The m-th smallest size of each (old shard, class) in ``split``, where m is its value.
+
+    Every round counts the rows of the range that is left, in ``SLICES`` slices; what comes to the driver is that many
+    numbers for each old shard, as a flow splits one class of a shard.
+    """
+    spark = rows.sparkSession
+    low = {a: 0 for a in split}
+    step = {a: 1 for a in split}
+    for a in split:  # a class holds the sizes below 2 ** ((class + 1) / 4)
+        while step[a] * SLICES < 2 ** ((a[1] + 1) / 4) + 1:
+            step[a] *= SLICES
+    left = dict(split)
+    while todo := [a for a in split if step[a]]:
+        table = small_table(spark, {"old_shard": (pa.int32(), [a[0] for a in todo]), "class": (pa.int32(), [a[1] for a in todo]), "low": (pa.int64(), [low[a] for a in todo]), "step": (pa.int64(), [step[a] for a in todo])})
+        near = rows.join(table, ["old_shard", "class"]).withColumn("slice", F.floor((F.col("size") - F.col("low")) / F.col("step")))
+        counts: dict = defaultdict(list)
+        for r in near.filter((F.col("slice") >= 0) & (F.col("slice") < SLICES)).groupBy("old_shard", "class", "slice").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r["old_shard"], r["class"]].append((r["slice"], r["n"]))
+        for a in todo:
+            for at, n in sorted(counts[a]):
+                if left[a] <= n:
+                    low[a] += at * step[a]
+                    break
+                left[a] -= n
+            step[a] //= SLICES
+    return low
 
 
 def plan(rows: DataFrame, shards: int = SHARDS, capacities: dict[int, int] | None = None) -> tuple[DataFrame, Flow]:
@@ -130,14 +176,28 @@ def plan(rows: DataFrame, shards: int = SHARDS, capacities: dict[int, int] | Non
     What reaches the driver, and comes back as a broadcast, is a row for each (old shard, class, bucket): a bounded number.
     """
     spark = rows.sparkSession
-    rows = blocks(rows)
-    sums = rows.groupBy("old_shard", "class", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).toArrow().to_pylist()
+    rows = rows.withColumn("class", size_class()).withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BUCKETS)).cast("int"))
     supply: dict = defaultdict(int)
     weight: dict = defaultdict(int)
+    for r in rows.groupBy("old_shard", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).toArrow().to_pylist():
+        supply[r["old_shard"], r["class"]] = r["n"]
+        weight[r["old_shard"], r["class"]] = r["bytes"]
+    demand = capacities or even(sum(supply.values()), shards)
+    moving: dict = defaultdict(int)
+    for (a, s), n in transfers(supply, weight, demand).items():
+        moving[a] += n if s != a[0] else 0
+    cut_at = split_sizes(rows, {a: n for a, n in moving.items() if 0 < n < supply[a]})
+    # classes are doubled, twice over, so that the parts of a split one have numbers of their own
+    rows = rows.withColumn("class", 4 * F.col("class"))
+    if cut_at:
+        cuts = small_table(spark, {"old_shard": (pa.int32(), [a[0] for a in cut_at]), "class": (pa.int32(), [4 * a[1] for a in cut_at]), "at": (pa.int64(), list(cut_at.values()))})
+        part = F.when(F.col("size") > F.col("at"), 2).when(F.col("size") == F.col("at"), 1).otherwise(0)
+        rows = rows.join(cuts, ["old_shard", "class"], "left").withColumn("class", F.col("class") + part).drop("at")
+    sums = rows.groupBy("old_shard", "class", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).toArrow().to_pylist()
+    supply, weight = defaultdict(int), defaultdict(int)
     for r in sums:
         supply[r["old_shard"], r["class"]] += r["n"]
         weight[r["old_shard"], r["class"]] += r["bytes"]
-    demand = capacities or even(sum(supply.values()), shards)
     flow = transfers(supply, weight, demand)
     # the rows of a class, in order of bucket and then of doc_id, are cut along its flows: those that stay come first
     cuts: dict = defaultdict(list)
@@ -171,20 +231,60 @@ def described(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return docs.select("doc_id", size_of().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), old_shard(shards=shards).alias("old_shard"))
 
 
+RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "moved")
+
+
+def result(placed: DataFrame) -> DataFrame:
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int"), "moved": F.col("old_shard") != F.col("shard")}).select(*RESULT)
+
+
 def reshard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    placed, _ = plan(cut_lineage(described(docs, shards)), shards)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("old_shard") != F.col("shard")).alias("moved"))
+    """The plan alone, with no file written."""
+    return result(plan(cut_lineage(described(docs, shards)), shards)[0])
+
+
+def changed_shards(flow: Flow) -> set[int]:
+    return {x for (a, s), n in flow.items() if a[0] != s for x in (s, a[0])}
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, flow: Flow, path: str) -> set[int]:
-    """Write the shards whose content changes, one folder each, and return their numbers; the others' files stay."""
-    changed = {s for (a, s), n in flow.items() if a[0] != s} | {a[0] for (a, s), n in flow.items() if a[0] != s}
-    keyed = docs.withColumn("__crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    target = placed.filter(F.col("shard").isin(sorted(changed))).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__at"), "shard", "slot").dropDuplicates(["__id", "__at", "slot"])
-    out = keyed.join(target, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__crc") == F.col("__at"))).drop("__crc", "__id", "__at")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def rewrite(docs: DataFrame, placed: DataFrame, flow: Flow, path: str, shards: int = SHARDS) -> set[int]:
+    """Write the shards whose content changes, a folder each, and return their numbers; the others' files stay.
+
+    Rows with one doc_id, text and old shard share a list of places and take one each.
+    """
+    changed = changed_shards(flow)
+    if not changed:
+        return changed
+    key = ["id", "size", "text_crc32", "old_shard"]
+    own_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id")
+    # a place in a shard that stays as it is counts among the places of equal rows, but isn't written
+    places = placed.select(own_id, *key[1:], F.struct("shard", "slot").alias("x")).groupBy(*key).agg(F.sort_array(F.collect_list("x")).alias("places"))
+    places = places.filter(F.exists("places", lambda x: x["shard"].isin(sorted(changed))))
+    names = [c + "_" * (c.lower() in ("shard", "slot")) for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    keyed = docs.select(own_id, size_of().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), old_shard(shards=shards).alias("old_shard"), F.xxhash64(*plain).alias("tie"), row)
+    keyed = keyed.withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy("tie")))
+    out = keyed.join(places, key).select("row", F.element_at("places", F.col("k")).alias("x")).select("row.*", "x.shard", "x.slot").filter(F.col("shard").isin(sorted(changed)))
+    rows, size = placed.agg(F.count(F.lit(1)), F.sum("size")).first()
+    file_rows = max(1, rows * FILE_BYTES // size)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = out.repartition(parts, F.col("shard"), F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
+    dealt.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     return changed
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return reshard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    """Reshard, write what changes to the shared folder, and return the rows as they lie there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    placed, flow = plan(cut_lineage(described(docs)))
+    placed = cut_lineage(placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot"))
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/reshard-{uuid.uuid4().hex}"
+    changed = rewrite(docs, placed, flow, path)
+    if not changed:
+        return result(placed)
+    schema = docs.schema.add("slot", LongType()).add("shard", IntegerType())
+    files = spark.read.schema(schema).parquet(path)
+    there = files.select("doc_id", size_of().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), old_shard().alias("old_shard"), "shard", "slot")
+    return result(there.unionByName(placed.filter(~F.col("shard").isin(sorted(changed)))))

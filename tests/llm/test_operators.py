@@ -308,13 +308,41 @@ def test_resharding(which, docs, odd):
     assert max(counts) - min(counts) <= 1
 
 
-def test_rewrite_touches_changed_shards_only(docs, tmp_path):
-    placed, flow = resharding.plan(resharding.described(docs).cache())
+@pytest.mark.parametrize("slices", [1024, 4])
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_fewest_bytes_move(which, slices, docs, odd, monkeypatch):
+    """Each shard with too many rows must lose that many: the fewest bytes are those of its smallest rows."""
+    monkeypatch.setattr(resharding, "SLICES", slices)
+    rows = resharding.described({"docs": docs, "odd": odd}[which]).cache()
+    got = resharding.plan(rows)[0].collect()
+    sizes = collections.defaultdict(list)
+    for r in rows.collect():
+        sizes[r.old_shard].append(r["size"])
+    room = resharding.even(len(got), resharding.SHARDS)
+    least = sum(sum(sorted(x)[: max(0, len(x) - room[s])]) for s, x in sizes.items())
+    assert sum(r["size"] for r in got if r.shard != r.old_shard) == least > 0
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "twice"])
+def test_rewrite(which, docs, odd, tmp_path):
+    odd = odd.selectExpr("*", "7 as shard", "'x' as slot")
+    df = {"docs": docs, "odd": odd, "twice": odd.union(odd).union(odd)}[which]
+    placed, flow = resharding.plan(resharding.described(df).cache())
     placed = placed.cache()
-    changed = resharding.rewrite(docs, placed, flow, str(tmp_path / "out"))
-    written = docs.sparkSession.read.parquet(str(tmp_path / "out"))
-    assert {r["shard"] for r in written.select("shard").distinct().collect()} <= changed
-    assert written.count() == placed.filter(placed["shard"].isin(sorted(changed))).count()
+    changed = resharding.rewrite(df, placed, flow, str(tmp_path / "out"))
+    written = df.sparkSession.read.parquet(str(tmp_path / "out")).collect()
+    want = collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in placed.collect() if r.shard in changed)
+    assert collections.Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in written) == want
+    if which != "docs":
+        assert all((r.shard_, r.slot_) == (7, "x") for r in written)
+    rows = collections.Counter((r.doc_id, r.text, r.source, r.lang) for r in df.collect())
+    assert not collections.Counter((r.doc_id, r.text, r.source, r.lang) for r in written) - rows
+
+
+def test_op4_reads_what_it_wrote(spark, sf, docs):
+    got = resharding.op4(spark, sf).collect()
+    plan = resharding.reshard(docs).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, plan))
 
 
 # --- 6 line dedup, 7 mixing ------------------------------------------------------------------------------------------
