@@ -6,6 +6,9 @@ with another by numpy exclusive-or and bit counts only if their keys can hold fi
 Hamming distance is at least the sum of the blocks' differences of population counts, so no link is lost. Within a pair
 of tiles only a spanning forest of the links goes on, never all pairs; components follow by star contraction.
 
+Tiles, not single rows, are sent to the tiles they are compared with, and neighbouring keys are found by constant steps from
+each key, so what is broadcast is a number for each key (17**4 keys, or some hundred).
+
 Two keys are offered. ``block_key``: the population count of each quarter of the fingerprint, for small radii.
 ``size_key``: the total population count and the number of distinct shingles on a logarithmic scale, for wide
 fingerprints with a large radius: texts whose shingle sets have a similarity of 0.8 differ by a quarter in size at most.
@@ -38,8 +41,9 @@ from fathomline.operators.components import connected_components
 from fathomline.session import cut_lineage
 
 SEED = 42
-#: Fingerprints to a tile.
-TILE = 2048
+#: Fingerprints to a tile, and shingles to a tile whose sets are compared.
+TILE = 8192
+TILE_ITEMS = 4 << 20
 #: Pairs compared at once.
 AT_ONCE = 1 << 20
 BLOCKS = 4
@@ -105,20 +109,19 @@ def fold(h: np.ndarray, owner: np.ndarray, n_docs: int, n_words: int) -> tuple[n
     return out, number
 
 
+#: Digits of a key are this far apart, so that a step beyond 0 or 16 meets no key.
+DIGIT = 32
+
+
 def block_key(fp: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Population counts of the four 16-bit quarters of a one-word fingerprint, as digits to the base 17."""
+    """Population counts of the four 16-bit quarters of a one-word fingerprint, as digits."""
     counts = np.bitwise_count(np.ascontiguousarray(fp[:, 0]).view(np.uint16).reshape(-1, BLOCKS)).astype(np.int64)
-    return counts @ (17 ** np.arange(BLOCKS))
+    return (counts + 4) @ (DIGIT ** np.arange(BLOCKS))
 
 
-def block_neighbours(key: int, radius: int) -> list[int]:
-    digits = [key // 17**i % 17 for i in range(BLOCKS)]
-    found = []
-    for move in product(range(-radius, radius + 1), repeat=BLOCKS):
-        to = [d + m for d, m in zip(digits, move, strict=True)]
-        if sum(map(abs, move)) <= radius and all(0 <= d <= 16 for d in to):
-            found.append(sum(d * 17**i for i, d in enumerate(to)))
-    return found
+def block_steps(radius: int) -> list[int]:
+    """Steps from a key to those whose fingerprints can lie within the radius (4 at most)."""
+    return sorted(sum(m * DIGIT**i for i, m in enumerate(move)) for move in product(range(-radius, radius + 1), repeat=BLOCKS) if sum(map(abs, move)) <= radius)
 
 
 def size_key(radius: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -131,8 +134,7 @@ def size_key(radius: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return key
 
 
-def size_neighbours(key: int, radius: int) -> list[int]:
-    return [key + 1000 * i + j for i in (-1, 0, 1) for j in (-1, 0, 1)]
+SIZE_STEPS = [1000 * i + j for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
 def spanning(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -250,23 +252,28 @@ def fingerprint_table(docs: DataFrame, shingle: int, n_words: int, key: Callable
     return map_texts(docs, text_col, [id_col], of, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp binary, tile_key long")
 
 
-def tile_pairs(reps: DataFrame, radius: int, neighbours: Callable[[int, int], list[int]], names: tuple[str, ...], tile: int = TILE) -> DataFrame:
-    """Pairs of tiles that can hold links: the columns ``names`` of ``reps`` as arrays ``*_a`` and ``*_b``, the pair's name, and whether it is one tile with itself."""
-    spark = reps.sparkSession
+def tile_pairs(reps: DataFrame, steps: list[int], names: tuple[str, ...], tile: int = TILE) -> DataFrame:
+    """Pairs of tiles that can hold links: the columns ``names`` of ``reps`` as arrays ``*_a`` and ``*_b``, the pair's name, and whether it is one tile with itself.
+
+    A tile has about ``tile`` rows, and ``TILE_ITEMS`` shingles where the rows have a size.
+    """
+    n = F.ceil(F.count(F.lit(1)) / tile)
+    if "size" in names:
+        n = F.greatest(n, F.ceil(F.sum("size") / TILE_ITEMS))
     # as many rows as there are keys at most, a number that the key function bounds (17**4, or a few hundred)
-    counts = {r["tile_key"]: -(-r["n"] // tile) for r in reps.groupBy("tile_key").agg(F.count(F.lit(1)).alias("n")).collect()}
-    near = [(k, o, counts[o]) for k in counts for o in neighbours(k, radius) if o in counts and o >= k]
-    parts = spark.createDataFrame([(k, n) for k, n in counts.items()] or [(0, 1)], "tile_key long, parts int")
-    table = spark.createDataFrame(near or [(0, 0, 0)], "tile_key long, other long, other_parts int")
-    spread = reps.join(F.broadcast(parts), "tile_key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    keys = cut_lineage(reps.groupBy("tile_key").agg(n.cast("int").alias("parts")))
+    spread = reps.join(F.broadcast(keys), "tile_key").withColumn("part", F.pmod(F.xxhash64(names[-1]), F.col("parts")).cast("int"))
     tiles = cut_lineage(
         spread.groupBy("tile_key", "part")
         .agg(F.collect_list(F.struct(*names)).alias("x"))
         .select("tile_key", "part", *(F.col(f"x.{c}").alias(c) for c in names))
     )
-    left = tiles.join(F.broadcast(table), "tile_key").select(
-        F.col("other").alias("to_key"),
-        F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("to_part"),
+    step = F.explode(F.array(*[F.lit(x).cast("long") for x in steps if x >= 0])).alias("step")
+    others = F.broadcast(keys.select(F.col("tile_key").alias("to_key"), F.col("parts").alias("to_parts")))
+    left = tiles.select("*", step).withColumn("to_key", F.col("tile_key") + F.col("step")).join(others, "to_key")
+    left = left.select(
+        "to_key",
+        F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)).alias("to_part"),
         F.col("tile_key").alias("from_key"),
         F.col("part").alias("from_part"),
         *(F.col(c).alias(f"{c}_a") for c in names),
@@ -278,9 +285,9 @@ def tile_pairs(reps: DataFrame, radius: int, neighbours: Callable[[int, int], li
     return left.join(right.hint("shuffle_hash"), ["to_key", "to_part"]).select(*(f"{c}_{side}" for side in "ab" for c in names), same, pair)
 
 
-def linked(reps: DataFrame, radius: int, neighbours: Callable[[int, int], list[int]], n_words: int, tile: int = TILE) -> DataFrame:
+def linked(reps: DataFrame, radius: int, steps: list[int], n_words: int, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between rows (rep, fp, tile_key) with links: a spanning forest for each pair of tiles."""
-    pairs = tile_pairs(reps, radius, neighbours, ("rep", "fp"), tile).drop("pair")
+    pairs = tile_pairs(reps, steps, ("rep", "fp"), tile).drop("pair")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,11 +308,11 @@ def linked(reps: DataFrame, radius: int, neighbours: Callable[[int, int], list[i
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def same_id(prints: DataFrame, reps: DataFrame, by: tuple[str, ...] = ("fp", "tile_key")) -> DataFrame:
-    """Edges (a, b) that tie together the fingerprints (or sets) of rows with one doc_id."""
-    h = F.xxhash64(by[0])
+def same_id(prints: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) that tie together the fingerprints of rows with one doc_id."""
+    h = F.xxhash64("fp")
     several = prints.groupBy("doc_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).filter("x <> y").select("doc_id")
-    rows = prints.join(several, "doc_id", "left_semi").join(reps, [*by])
+    rows = prints.join(several, "doc_id", "left_semi").join(reps, ["fp", "tile_key"])
     return rows.select(F.col("doc_id").cast("long").alias("a"), F.col("rep").cast("long").alias("b"))
 
 
@@ -314,14 +321,14 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 2, n_words: int
     prints = cut_lineage(fingerprint_table(docs, shingle, n_words, block_key))
     reps = prints.groupBy("fp", "tile_key").agg(F.min("doc_id").alias("rep"))
     reps = cut_lineage(reps)
-    edges = linked(reps.filter("rep is not null"), radius, block_neighbours, n_words, tile).unionByName(same_id(prints, reps))
+    edges = linked(reps.filter("rep is not null"), radius, block_steps(radius), n_words, tile).unionByName(same_id(prints, reps))
     found = connected_components(edges)
     named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "tile_key", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, ["fp", "tile_key"], "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def set_table(docs: DataFrame, shingle: int, radius: int, n_words: int, with_items: bool = False) -> DataFrame:
-    """(doc_id, fp, tile_key, size, digest) of each text's set of shingles; ``with_items`` adds the set itself."""
+def set_table(rows: DataFrame, shingle: int, radius: int, n_words: int, with_items: bool = False) -> DataFrame:
+    """(doc_id, t, fp, tile_key, size, digest) of each text's set of shingles; ``with_items`` adds the set itself."""
     key = size_key(radius)
 
     def of(t: Texts) -> dict[str, object]:
@@ -333,17 +340,17 @@ def set_table(docs: DataFrame, shingle: int, radius: int, n_words: int, with_ite
         made = {"fp": pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()), "tile_key": key(fp, number), "size": number.astype(np.int64), "digest": pa.array(digests, pa.binary())}
         return made | ({"items": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h.view(np.int64)))} if with_items else {})
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary, tile_key long, size long, digest binary"
-    return map_texts(docs, "text", ["doc_id"], of, schema + ", items array<long>" * with_items)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, t long, fp binary, tile_key long, size long, digest binary"
+    return map_texts(rows, "text", ["doc_id", "t"], of, schema + ", items array<long>" * with_items)
 
 
-def verified(docs: DataFrame, reps: DataFrame, shingle: int, radius: int, n_words: int, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between rows (rep, fp, tile_key, size, digest) whose sets of shingles have a similarity of 0.8.
+def verified(rows: DataFrame, reps: DataFrame, shingle: int, radius: int, n_words: int, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between the digests of rows (first, fp, tile_key, size, digest) whose sets of shingles have a similarity of 0.8.
 
     Fingerprints choose the candidates; only those texts' sets are made again, and go once to each pair of tiles in
     which the text has a candidate.
     """
-    pairs = tile_pairs(reps, radius, size_neighbours, ("rep", "fp", "size", "digest"), tile)
+    pairs = tile_pairs(reps, SIZE_STEPS, ("fp", "size", "digest"), tile)
 
     def as_words(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, n_words)
@@ -352,38 +359,40 @@ def verified(docs: DataFrame, reps: DataFrame, shingle: int, radius: int, n_word
         for batch in batches:
             for row in range(len(batch)):
                 one = batch.slice(row, 1)
-                rep_a, fp_a, size_a, digest_a, rep_b, fp_b, size_b, digest_b = (one.column(i).flatten() for i in range(8))
-                same, pair = one.column(8)[0].as_py(), one.column(9)[0].as_py()
+                fp_a, size_a, digest_a, fp_b, size_b, digest_b = (one.column(i).flatten() for i in range(6))
+                same, pair = one.column(6)[0].as_py(), one.column(7)[0].as_py()
                 in_a, in_b = partners(as_words(fp_a), np.asarray(size_a), as_words(fp_b), np.asarray(size_b), same, radius)
-                for side, rep, digest, chosen in ((0, rep_a, digest_a, in_a), (1, rep_b, digest_b, in_b))[: 1 if same else 2]:
-                    mask = pa.array(chosen)
-                    rep, digest = rep.filter(mask), digest.filter(mask)
-                    if len(rep):
-                        yield pa.RecordBatch.from_arrays([pa.array([pair] * len(rep)), pa.array(np.full(len(rep), side, np.int32)), rep.cast(pa.int64()), digest], names=["pair", "side", "rep", "digest"])
-
-    chosen = cut_lineage(pairs.mapInArrow(candidates, "pair string, side int, rep long, digest binary"))
-    texts = docs.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                for side, digest, chosen in ((0, digest_a, in_a), (1, digest_b, in_b))[: 1 if same else 2]:
+                    digest = digest.filter(pa.array(chosen))
+                    if len(digest):
+                        yield pa.RecordBatch.from_arrays([pa.array([pair] * len(digest)), pa.array(np.full(len(digest), side, np.int32)), digest], names=["pair", "side", "digest"])
+
+    chosen = cut_lineage(pairs.mapInArrow(candidates, "pair string, side int, digest binary"))
+    wanted = reps.join(chosen.select("digest").distinct(), "digest", "left_semi").select("first.doc_id", "first.t").withColumnRenamed("doc_id", "id").withColumnRenamed("t", "own_t")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("own_t")), "left_semi")
     sets = set_table(texts, shingle, radius, n_words, with_items=True).select("digest", "fp", "items").dropDuplicates(["digest"])
 
     def verify(table: pa.Table) -> pa.Table:
-        names, items = np.asarray(table.column("rep")), table.column("items").combine_chunks()
+        names, items = table.column("digest").combine_chunks(), table.column("items").combine_chunks()
         edges = np.concatenate([[0], np.cumsum(np.asarray(items.value_lengths()))])
         u, v = set_links(as_words(table.column("fp")), np.asarray(table.column("side")), edges, np.asarray(items.flatten()), radius)
-        return pa.table({"a": pa.array(names[u], pa.int64()), "b": pa.array(names[v], pa.int64())})
+        return pa.table({"a": names.take(pa.array(u)), "b": names.take(pa.array(v))})
 
-    return chosen.join(sets, "digest").groupBy("pair").applyInArrow(verify, "a long, b long")
+    return chosen.join(sets, "digest").groupBy("pair").applyInArrow(verify, "a binary, b binary")
 
 
-def set_components(docs: DataFrame, shingle: int, radius: int, n_words: int, tile: int = TILE) -> DataFrame:
-    """(doc_id, component_id) of every row: components of the pairs whose sets of shingles have a similarity of 0.8."""
-    prints = cut_lineage(set_table(docs, shingle, radius, n_words))
-    reps = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("fp", "tile_key", "size")))
-    reps = cut_lineage(reps)
+def set_components(rows: DataFrame, shingle: int, radius: int, n_words: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, digest) of every row (doc_id, t, text), and (digest, component) of every digest of a set of shingles.
+
+    Components are those of the pairs of sets with a similarity of 0.8.
+    """
+    prints = cut_lineage(set_table(rows, shingle, radius, n_words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("first")
+    reps = cut_lineage(prints.groupBy("digest").agg(first, *(F.min(c).alias(c) for c in ("fp", "tile_key", "size"))))
     # sets of under four differ from any other set by more than a fifth
-    edges = verified(docs, reps.filter("rep is not null and size >= 4"), shingle, radius, n_words, tile)
-    found = connected_components(edges.unionByName(same_id(prints, reps, ("digest",))))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "digest", "left").select("doc_id", "component_id")
+    found = connected_components(verified(rows, reps.filter("size >= 4"), shingle, radius, n_words, tile))
+    named = reps.select("digest").join(found, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("component", "digest").alias("component"))
+    return prints.select("doc_id", "t", "digest"), named
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -397,11 +406,26 @@ STAGE = {"shingle": 5, "radius": 72, "n_words": 4}
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one of each group of near-duplicates: that with the smallest doc_id.
+    """The documents with one of each group of near-duplicates: that with the smallest doc_id, null last.
 
-    Rows that repeat one doc_id are one document: one of them stays. Rows without a doc_id stay as they are.
+    Rows that share a doc_id but not the text are documents of their own. Rows that share both are copies: of those, and of
+    a group's rows with its smallest doc_id, the one with the smallest hash of text and then of the other columns stays, so
+    that a task that runs again chooses alike. Null and empty texts and texts without words are one group.
     """
-    groups = set_components(docs.select("doc_id", "text"), **(STAGE | options))
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints, named = set_components(docs.select("doc_id", "text", t.alias("t")), **(STAGE | options))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("first")
+    keep = prints.join(named, "digest").groupBy("component").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.t").alias("t"))
+    several = cut_lineage(prints.groupBy(F.col("doc_id").alias("id"), "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "t"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), t.alias("t"), F.xxhash64(*plain).alias("tie"))
+
+    def within(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.select(F.col("id").alias("other"), F.col("t").alias("other_t"))
+        return left.join(right, F.col("id").eqNullSafe(F.col("other")) & (F.col("t") == F.col("other_t")), how)
+
+    kept = within(rows, keep, "left_semi")
+    if not several.isEmpty():
+        again = within(kept, several, "left_semi").groupBy("id", "t").agg(F.min_by("row", "tie").alias("row"))
+        kept = within(kept, several, "left_anti").select("row").unionByName(again.select("row"))
+    return kept.select("row.*")

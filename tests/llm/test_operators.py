@@ -551,7 +551,7 @@ def test_tiles_lose_no_link():
     for i in range(len(fp)):
         for j in range(len(fp)):
             if int(fp[i] ^ fp[j]).bit_count() <= 2:
-                assert keys[j] in simhash.block_neighbours(int(keys[i]), 2)
+                assert int(keys[j]) - int(keys[i]) in simhash.block_steps(2)
     u, v = simhash.tile_links(fp[:, None], fp[:, None], True, 1)
     assert len(u) == len(fp) - len(base) and (v < u).all()
 
@@ -565,9 +565,17 @@ def test_stage_keeps_one_of_each(spark, odd):
     assert out.columns == rows.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 3, 7]
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id is null").count() == 1
+    assert sorted(map(str, kept.collect())) == sorted(map(str, simhash.one_of_each(odd.repartition(7)).collect()))
     assert simhash.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_stage_keeps_other_texts_of_one_id(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in ("a", "b", "c")]
+    rows = [(1, texts[0], "p"), (1, texts[1], "q"), (2, texts[1], "r"), (None, texts[2], "s"), (3, texts[2], "t"), (1, texts[0], "o"), (None, texts[0], "u")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, texts[0]), (1, texts[1]), (3, texts[2])]
+
+
 def brute_sets(text, k=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
