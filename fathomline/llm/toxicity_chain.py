@@ -1,19 +1,22 @@
 """Toxicity (5): a classifier chain over toxicity categories.
 
-Categories are predicted in order - ``insult`` (a person is called names), ``contempt`` (something is run down),
-``toxic`` (the label) - by logistic regressions on the presence of words. Each later model also gets the earlier
-categories' probabilities as inputs. In training those probabilities are out-of-fold predictions (``FOLDS`` folds by a
-hash of doc_id), so that a later model doesn't rely on an earlier one's memory of its training rows; for scoring,
-the earlier models are fitted again on the whole sample. The threshold of the last category is the one with the best F1
-on out-of-fold predictions. The label table has one category only; the two earlier targets are
-weak labels: labelled toxic and holding a word of a fixed list.
+Categories are predicted in order - ``kind_a``, ``kind_b``, ``toxic`` (the label) - by logistic regressions on the
+presence of words. Each later model also gets the earlier categories' probabilities as inputs. In training those
+probabilities are out-of-fold predictions (``FOLDS`` folds by a hash of doc_id), so that a later model doesn't rely on an
+earlier one's memory of its training rows; for scoring, the earlier models are fitted again on the whole sample. The
+threshold of the last category is the one with the best F1 on out-of-fold predictions.
+
+The label table has one category only; the two earlier ones are induced from the sample. The words that speak for
+toxic the most, and stand in toxic documents nearly alone, are parted in two by which of them occur together (spectral
+bisection of their correlations among toxic documents); a toxic document is of a kind if it holds more of the kind's
+words than of the other's, or as many. So every toxic document with such a word is of at least one kind.
 
 The chain is fitted on the driver on a bounded sample of at most ``TRAIN_DOCS`` labelled documents of at most
 ``TRAIN_BYTES`` bytes each, from rows whose crc32(doc_id) mod 3 is not 1. Its vocabulary is at most ``VOCABULARY``
 words and word beginnings: those that tell the sample's toxic documents from the others best. Scoring reads whole texts in one narrow pass.
 
 Defined cases: null and empty texts have no words and score as the models' intercepts say; with no usable label every
-score is 0; very long texts are read whole; repeated rows score alike; an empty table gives no rows; null labels aren't
+probability is e**-50 and no document is toxic; very long texts are read whole; repeated rows score alike; an empty table gives no rows; null labels aren't
 learnt from; a null doc_id is scored; other columns are not read.
 """
 
@@ -41,11 +44,10 @@ L2 = 1e-5
 #: Bytes of the word beginnings that count as features beside whole words: endings vary more than stems.
 STEMS = (4, 5, 6)
 
-CATEGORIES = ("insult", "contempt", "toxic")
-#: Names that a person is called.
-INSULTS = ("clown", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "scum")
-#: Words that run something down.
-CONTEMPT = ("disgusting", "dumb", "pathetic", "stupid", "trash", "ugly", "useless", "worthless")
+CATEGORIES = ("kind_a", "kind_b", "toxic")
+#: Words from which the kinds are induced at most, and the least share of a word's documents that are toxic.
+KIND_WORDS = 128
+KIND_PURITY = 0.8
 
 #: Bytes that are not part of a word: all of ASCII but letters and digits.
 BETWEEN = byte_class(tuple(b for b in range(128) if not chr(b).isalnum()))
@@ -70,12 +72,6 @@ def word_pairs(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return h[first], doc[first]
 
 
-def hash_of(names: tuple[str, ...]) -> np.ndarray:
-    """Hashes of whole words."""
-    t = Texts.of(list(names))
-    return span_hash(t.prefix_hash(), t.offsets[:-1], t.offsets[1:])
-
-
 @dataclass
 class Chain:
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
@@ -157,6 +153,28 @@ def choose(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sort(names[best[z[best] != 0]])
 
 
+def kinds(x: Rows, y: np.ndarray, width: int) -> list[np.ndarray]:
+    """Targets of the two induced categories, from rows over the vocabulary and the labels."""
+    both = x.back(np.ones(x.n), width)
+    toxic = x.back(y, width)
+    pure = np.flatnonzero((toxic >= KIND_PURITY * both) & (toxic >= LEAST_DOCS))
+    pure = np.sort(pure[np.argsort(-toxic[pure], kind="stable")[:KIND_WORDS]])
+    if len(pure) < 2:
+        return [y, y]
+    slot = np.full(width, -1)
+    slot[pure] = np.arange(len(pure))
+    use = (y[x.doc] > 0) & (slot[x.word] >= 0)
+    seen = np.zeros((x.n, len(pure)), np.float32)
+    seen[x.doc[use], slot[x.word[use]]] = 1.0
+    own = seen[y > 0] - seen[y > 0].mean(axis=0)
+    scale = np.sqrt(np.maximum((own * own).sum(axis=0), 1e-9))
+    side = np.linalg.eigh((own.T @ own) / np.outer(scale, scale))[1][:, -1]
+    # a vector's sign is free: the word that is most often toxic is of the first kind
+    first = side * np.sign(side[np.argmax(toxic[pure])] or 1.0) >= 0
+    a, b = seen[:, first].sum(axis=1), seen[:, ~first].sum(axis=1)
+    return [y * ((a > 0) & (a >= b)), y * ((b > 0) & (b >= a))]
+
+
 def fit(ids: list[int], texts: list[str], toxic: np.ndarray) -> Chain:
     hs, docs = [], []
     for row, t in chunks(pa.array(texts, pa.string())):
@@ -167,14 +185,9 @@ def fit(ids: list[int], texts: list[str], toxic: np.ndarray) -> Chain:
         return Chain(models=[np.append([-50.0], np.zeros(k)) for k in range(len(CATEGORIES))])
     h, doc = np.concatenate(hs), np.concatenate(docs)
     y = toxic.astype(float)
-    targets = []
-    for names in (INSULTS, CONTEMPT):
-        hit = np.zeros(len(y))
-        hit[doc[np.isin(h, hash_of(names))]] = 1.0
-        targets.append(y * hit)
-    targets.append(y)
     vocabulary = choose(h, doc, y)
     x = rows_of(h, doc, len(y), vocabulary)
+    targets = [*kinds(x, y, len(vocabulary)), y]
     fold = (mix(np.asarray(ids, np.int64).astype(np.uint64)) % np.uint64(FOLDS)).astype(int)
     everyone = np.ones(len(y), bool)
     earlier = np.zeros((len(y), 0))
@@ -202,12 +215,12 @@ def predict(c: Chain, t: Texts) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Chain:
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "toxic").limit(most)
     sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.limit(4 * most).collect())
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.orderBy(F.xxhash64("doc_id", "text"), "toxic").limit(4 * most).collect())
     return fit([r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows]))
 
 
 def score(docs: DataFrame, c: Chain) -> DataFrame:
-    """doc_id, held_out, p_insult, p_contempt, p_toxic, toxic (1 from the fitted threshold of p_toxic on) of each row."""
+    """doc_id, held_out, p_kind_a, p_kind_b, p_toxic, toxic (1 from the fitted threshold of p_toxic on) of each row."""
     names = [f"p_{k}" for k in CATEGORIES]
 
     def of(t: Texts) -> dict[str, object]:
