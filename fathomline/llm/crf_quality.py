@@ -1,12 +1,16 @@
 """Quality classifier (1): a linear-chain conditional random field over the lines of a document.
 
 Each line with a word is good or bad. Its features are shares of kinds of bytes and words, cut at fixed steps, of the
-line itself and of the lines before and after it; the two transition weights tie neighbours together. Every line of a
-labelled document takes the document's label in training. The score of a document is the mean of its lines'
-forward-backward marginals of "good", weighted by the lines' word characters.
+line itself and of the lines before and after it; the transition weights tie neighbours together. The labels of lines are
+latent in training: documents alone are labelled. They begin as their document's; after each fit, the lines of which the model
+is surest that they are of the other kind change over, as long as lines of the document's label keep over half of its word
+characters, and the model is fitted on. So a good document may hold a bad line and the reverse, and the transitions
+between the two are learnt. The score of a document is the mean of its lines' forward-backward marginals of "good", weighted
+by the lines' word characters.
 
 The model is fitted on the driver on a bounded sample: at most ``TRAIN_DOCS`` labelled documents of at most
-``TRAIN_BYTES`` bytes each, chosen by a hash of doc_id from the rows whose crc32(doc_id) mod 3 is not 1. Scoring reads
+``TRAIN_BYTES`` bytes each, chosen by a hash of doc_id from the rows whose crc32(doc_id) mod 3 is not 1 (rows that repeat a doc_id are bounded by
+four times that number, by a hash of the text). Scoring reads
 whole texts of any length in one narrow pass. Only the text is an input of a score.
 
 Defined cases: null and empty texts and texts without a word score as one line without features; with no usable label
@@ -28,9 +32,16 @@ from fathomline.llm.textbatch import Texts, byte_class, chunks, give_back, map_t
 
 TRAIN_DOCS = 4000
 TRAIN_BYTES = 32_768
-ROUNDS = 200
+#: Steps of the first fit, and of each fit after the line labels have been drawn anew.
+ROUNDS = (140, 40, 40)
 RATE = 0.1
+#: Marginal of the other label from which a line may change over.
+SURE = 0.8
+#: Penalties: of a line's own features; of its neighbours' features and of transitions, which labels of whole documents
+#: would else raise without limit, as documents show too few changes from line to line.
 L2 = 1e-3
+L2_NEAR = 3e-2
+L2_STEPS = 1e-1
 
 #: Steps at which shares are cut.
 SHARES = (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75)
@@ -130,43 +141,66 @@ def forward_backward(score: np.ndarray, doc: np.ndarray, start: float, steps: np
     return p[:, 1] / p.sum(axis=1), pairs
 
 
+def latent(p: np.ndarray, good: np.ndarray, doc: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Line labels: the document's, but for the lines surest to be of the other kind, which hold under half of its characters.
+
+    ``p`` are the lines' marginals of "good", ``good`` the labels of the lines' documents.
+    """
+    other = np.where(good, 1 - p, p)
+    order = np.lexsort((-other, doc))
+    heads = np.flatnonzero(np.diff(doc[order], prepend=-1))
+    running = np.cumsum(chars[order])
+    before = np.repeat(running[heads] - chars[order][heads], np.diff(np.append(heads, len(order))))
+    total = np.repeat(np.add.reduceat(chars[order], heads), np.diff(np.append(heads, len(order))))
+    change = np.zeros(len(p), bool)
+    change[order] = (2 * (running - before) < total) & (other[order] > SURE)
+    return np.where(change, ~good, good)
+
+
 def fit(texts: list[str], good: np.ndarray) -> Model:
-    """Maximum likelihood with a quadratic penalty, by Adam over the whole sample."""
+    """Maximum likelihood with a quadratic penalty, by Adam over the whole sample, with latent line labels."""
     m = Model()
     if not len(texts):
         return m
-    features, docs, at = [], [], 0
+    features, docs, sizes, at = [], [], [], 0
     for row, t in chunks(pa.array(texts, pa.string())):
         x = Lines(t)
         features.append(line_features(t, x))
         docs.append(x.doc + row)
-    f, doc = np.concatenate(features), np.concatenate(docs)
+        sizes.append(x.chars)
+    f, doc, chars = np.concatenate(features), np.concatenate(docs), np.concatenate(sizes)
     if not len(f):
         return m
-    y = good[doc].astype(float)
+    of_doc = good.astype(bool)[doc]
+    label = of_doc
     same = doc[1:] == doc[:-1]
-    observed = np.zeros((2, 2))
-    np.add.at(observed, (y[:-1][same].astype(int), y[1:][same].astype(int)), 1)
     heads = np.flatnonzero(np.diff(doc, prepend=-1))
     theta = np.zeros(3 * N_OWN + 6)
-    mean, square = np.zeros_like(theta), np.zeros_like(theta)
     scale = 1.0 / len(heads)
-    for at in range(1, ROUNDS + 1):
+    penalty = np.concatenate([np.full(N_OWN, L2), np.full(2 * N_OWN, L2_NEAR), np.full(6, L2_STEPS)])
+    for rounds in ROUNDS:
+        y = label.astype(float)
+        observed = np.zeros((2, 2))
+        np.add.at(observed, (label[:-1][same].astype(int), label[1:][same].astype(int)), 1)
+        mean, square = np.zeros_like(theta), np.zeros_like(theta)
+        for at in range(1, rounds + 1):
+            m = unpack(theta)
+            p, pairs = forward_backward(emissions(m, f, doc), doc, m.start, m.steps)
+            d = y - p
+            grad = np.concatenate([
+                f.T @ d,
+                f[:-1].T @ np.where(same, d[1:], 0.0),
+                f[1:].T @ np.where(same, d[:-1], 0.0),
+                [d.sum(), d[heads].sum()],
+                (observed - pairs).ravel(),
+            ])
+            grad = grad * scale - penalty * theta
+            mean = 0.9 * mean + 0.1 * grad
+            square = 0.999 * square + 0.001 * grad * grad
+            theta = theta + RATE * (mean / (1 - 0.9**at)) / (np.sqrt(square / (1 - 0.999**at)) + 1e-8)
         m = unpack(theta)
-        p, pairs = forward_backward(emissions(m, f, doc), doc, m.start, m.steps)
-        d = y - p
-        grad = np.concatenate([
-            f.T @ d,
-            f[:-1].T @ np.where(same, d[1:], 0.0),
-            f[1:].T @ np.where(same, d[:-1], 0.0),
-            [d.sum(), d[heads].sum()],
-            (observed - pairs).ravel(),
-        ])
-        grad = grad * scale - L2 * theta
-        mean = 0.9 * mean + 0.1 * grad
-        square = 0.999 * square + 0.001 * grad * grad
-        theta = theta + RATE * (mean / (1 - 0.9**at)) / (np.sqrt(square / (1 - 0.999**at)) + 1e-8)
-    return unpack(theta)
+        label = latent(forward_backward(emissions(m, f, doc), doc, m.start, m.steps)[0], of_doc, doc, chars)
+    return m
 
 
 def unpack(theta: np.ndarray) -> Model:
@@ -191,7 +225,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "quality").limit(most)
     sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in sample.limit(4 * most).collect())
+    rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in sample.orderBy(F.xxhash64("doc_id", "text"), "quality").limit(4 * most).collect())
     return fit([r[1] for r in rows], np.array([r[2] for r in rows]))
 
 

@@ -101,6 +101,29 @@ def test_crf_odd_rows(odd, labels):
     assert crf_quality.accepted(odd, m).columns == odd.columns
 
 
+def test_latent_labels_keep_the_majority():
+    p = np.array([0.9, 0.05, 0.95, 0.1, 0.02, 0.99, 0.9])
+    good = np.array([1, 1, 1, 0, 0, 1, 1], bool)
+    doc = np.array([0, 0, 0, 1, 1, 2, 2])
+    chars = np.array([30, 20, 30, 50, 10, 5, 5])
+    assert crf_quality.latent(p, good, doc, chars).tolist() == [True, False, True, False, False, True, True]
+    assert crf_quality.latent(1 - p, good, doc, chars).tolist() == [True, True, False, False, True, True, True]
+
+
+def test_mixed_documents_have_mixed_lines(spark, sf):
+    """Four held-out good lines with a held-out bad one among them."""
+    big = sf.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    m = crf_quality.train(docs, labels)
+    rows = docs.join(labels, "doc_id").filter(crf_quality.held_out()).select("text", "quality").collect()
+    line = lambda r: max((r["text"] or "").split("\n"), key=len)[:400]
+    good, bad = ([line(r) for r in rows if r["quality"] == q and len(line(r)) > 80] for q in (1, 0))
+    texts = ["\n".join([g, good[i - 1], b, good[i - 2], good[i - 3]]) for i, (g, b) in enumerate(zip(good, bad, strict=False))]
+    made = [crf_quality.scores(m, t) for _, t in chunks(pa.array(texts, pa.string()))]
+    n_bad, score = (np.concatenate([x[k] for x in made]) for k in ("n_bad_lines", "score"))
+    assert len(texts) > 3 and (n_bad == 1).mean() > 0.8 and (score > 0.5).mean() > 0.8
+
+
 def test_toxicity_held_out_accuracy(spark, sf):
     big = sf.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
@@ -314,7 +337,7 @@ def test_fewest_bytes_move(which, slices, docs, odd, monkeypatch):
     """Each shard with too many rows must lose that many: the fewest bytes are those of its smallest rows."""
     monkeypatch.setattr(resharding, "SLICES", slices)
     rows = resharding.described({"docs": docs, "odd": odd}[which]).cache()
-    got = resharding.plan(rows)[0].collect()
+    got = resharding.assigned(rows, resharding.plan(rows)).collect()
     sizes = collections.defaultdict(list)
     for r in rows.collect():
         sizes[r.old_shard].append(r["size"])
@@ -327,11 +350,13 @@ def test_fewest_bytes_move(which, slices, docs, odd, monkeypatch):
 def test_rewrite(which, docs, odd, tmp_path):
     odd = odd.selectExpr("*", "7 as shard", "'x' as slot")
     df = {"docs": docs, "odd": odd, "twice": odd.union(odd).union(odd)}[which]
-    placed, flow = resharding.plan(resharding.described(df).cache())
-    placed = placed.cache()
-    changed = resharding.rewrite(df, placed, flow, str(tmp_path / "out"))
+    rows = resharding.described(df).cache()
+    plan = resharding.plan(rows)
+    placed = resharding.assigned(rows, plan).cache()
+    changed = resharding.rewrite(df, placed, plan, str(tmp_path / "out"))
+    assert changed
     written = df.sparkSession.read.parquet(str(tmp_path / "out")).collect()
-    want = collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in placed.collect() if r.shard in changed)
+    want = collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in resharding.with_slots(placed, placed, plan).collect() if r.shard in changed)
     assert collections.Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in written) == want
     if which != "docs":
         assert all((r.shard_, r.slot_) == (7, "x") for r in written)
