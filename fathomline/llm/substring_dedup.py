@@ -13,13 +13,18 @@ leftmost ``GRAM``-byte string with the smallest hash. Equal windows have the sam
    doc_id that has it;
 4. joined to the places of the contexts, windows found in an earlier document become spans, and the spans are cut from the texts.
 
-Texts equal to an earlier document's are set aside before (2). Anchors that stand in over ``HOT_SHARE`` of a sample of
-documents could fill a bucket: they skip (1). Anchors with more than ``MOST_CONTEXTS`` contexts could fill a shard: in
+Texts equal to an earlier document's are set aside before (2). Anchors that stand in ``LEAST_HOT`` documents of a sample
+could fill a bucket: they skip (1). Anchors with more than ``MOST_CONTEXTS`` contexts could fill a shard: in
 (3), their windows are compared by a plain aggregation instead, which sums before it shuffles. Either way is exact.
 Anchors are told apart by 64-bit hashes and contexts of an anchor by 64 more; windows are compared byte for byte.
 
-Steps are joined through tables written to the cluster's shared folder, so a lost executor repeats one step at most.
-(3) and (4) are done in ``TURNS`` turns over the anchors, each with its share of the contexts, to halve the disk needed.
+Buckets, shards and parts of documents are as many as keep each at about ``PART_BYTES`` of text, and a few to a task at
+least, so what one task holds does not grow with the input.
+
+Steps are joined through tables written to the cluster's shared folder, so a lost executor repeats one step at most; each
+table goes when the step that reads it is done, and so do a step's shuffle files (Spark's own clean-up, switched on while
+the steps run). (3) and (4) are done in ``TURNS`` turns over the anchors, each with its share of the contexts, to halve the
+disk needed.
 
 Defined cases: null and empty texts have 0 bytes, and texts below ``LENGTH`` bytes lose nothing; among equal texts the
 smallest doc_id keeps its bytes (as far as no other document has them); rows that repeat a doc_id are no earlier
@@ -29,12 +34,11 @@ rows; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +46,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fathomline.llm.suffix_array import common_prefixes, suffix_array
+from fathomline.llm.suffix_array import permuted_prefixes, suffix_array
 from fathomline.llm.textbatch import Texts, chunks, mix, powers, small_batches, span_hash
 from fathomline.session import cut_lineage, ensure_checkpoint_dir
 
 LENGTH = 50
 GRAM = 24
 REACH = LENGTH - GRAM
-HOT_SHARE = 0.01
-SAMPLE_DOCS = 5000
+#: Bytes of text in a bucket or part, about.
+PART_BYTES = 32 << 20
+#: Bytes of text that are sampled for hot anchors (a share of the text between a least and a most), and the documents of the
+#: sample from which an anchor is hot: of these there are as many as the sample's anchors over that number at most.
+SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 1 / 64, 16 << 20, 1 << 30
 LEAST_HOT = 50
 #: Contexts of one anchor up to which a suffix array compares them.
-MOST_CONTEXTS = 50_000
+MOST_CONTEXTS = 4_000
 #: Turns in which the anchors are compared, so that a quarter of the contexts are on disk at once.
 TURNS = 4
 #: Anchors with many contexts up to which their table is broadcast.
@@ -94,26 +101,36 @@ def anchors(t: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     return at, h[at]
 
 
-def _parts(spark: SparkSession) -> int:
-    """Buckets, shards and parts of documents: two to a task, an odd number so that strides in doc_id don't matter."""
-    return 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1
+def _parts(spark: SparkSession, size: int) -> int:
+    """Buckets, shards and parts of documents: as their bytes ask for and two to a task at least, an odd number so that strides in doc_id don't matter."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(2 * tasks, -(-size // (2 * PART_BYTES)) * 2) + 1
 
 
-def written(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
-    """A table in the shared folder (a folder for each value of ``by``) in place of ``df``, and its path.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    What was shuffled to make it isn't needed any more.
-    """
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within, a finished query's shuffle files are deleted: all that is read again here is a table or a checkpoint."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
+    """A table in the shared folder (a folder for each value of ``by``) in place of ``df``, and its path."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    for _ in range(3):  # shuffle files go once the driver's collectors have found them unused, in two or three rounds
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.25)
-    return out, path
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -122,15 +139,10 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-
-
-def sampled_hot(docs: DataFrame, length: int, gram: int) -> np.ndarray:
-    """Hashes of anchors that stand in a large share of a sample of documents, sorted.
-
-    There are at most (anchors of the sample) / (the share's documents) of them: a few ten thousand.
-    """
-    n = docs.count()
-    every = max(1, n // SAMPLE_DOCS)
+def sampled_hot(docs: DataFrame, size: int, length: int, gram: int) -> np.ndarray:
+    """Hashes of anchors that stand in many documents of a sample of about a ``SAMPLE_SHARE`` of the text, sorted."""
+    wanted = min(max(SAMPLE_LEAST, int(size * SAMPLE_SHARE)), SAMPLE_MOST)
+    every = max(1, size // wanted)
     sample = docs.filter(F.pmod(F.xxhash64("k", F.lit(10)), F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +153,7 @@ def sampled_hot(docs: DataFrame, length: int, gram: int) -> np.ndarray:
                 key = np.unique(np.stack([doc.astype(np.int64), h.view(np.int64)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(key[1])], names=["h"])
 
-    least = max(LEAST_HOT, int(HOT_SHARE * n / every))
-    hot = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    hot = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_HOT)
     return np.sort(np.array([r["h"] for r in hot.select("h").toLocalIterator()], np.int64).view(np.uint64))
 
 
@@ -201,7 +212,7 @@ def repeated_anchors(docs: DataFrame, hot: np.ndarray, parts: int, length: int,
         order = np.lexsort((pos, k, part))
         part, k, pos = part[order], k[order], pos[order]
         edges = np.searchsorted(part, np.arange(parts + 1))
-        return [(int(p), packed_places(k[a:b], pos[a:b])) for p, a, b in zip(range(parts), edges[:-1], edges[1:], strict=True) if b > a]
+        return [(int(p), packed_places(k[edges[p] : edges[p + 1]], pos[edges[p] : edges[p + 1]])) for p in np.flatnonzero(np.diff(edges))]
 
     def resolve(table: pa.Table) -> pa.Table:
         known = table.column("known").to_pylist()
@@ -314,18 +325,20 @@ def earliest_windows(contexts: list[bytes], anchor: np.ndarray, low: np.ndarray,
     inside[start[1:] - 1] = False
     s[:-1][inside] = flat.astype(np.uint16) + 2
     s[start[1:] - 1] = 1
-    sa = suffix_array(s, 258, length)
+    sa = suffix_array(s, 258)
+    # suffixes that share ``length`` characters with the one before them are of its group
+    group = np.cumsum(permuted_prefixes(s, sa)[sa] < length)
     owner = np.repeat(np.arange(len(contexts)), size + 1)
-    sa = sa[sa < len(owner)]
+    sa, group = sa[1:], group[1:]  # without the end
     ctx = owner[sa]
     shift = start[ctx] + anchor[ctx] - sa
     whole = (sa + length < start[ctx + 1]) & (shift >= 0) & (shift <= length - gram)
-    sa, ctx, shift = sa[whole], ctx[whole], shift[whole]
-    if not len(sa):
+    ctx, shift, group = ctx[whole], shift[whole], group[whole]
+    if not len(ctx):
         return ctx, shift, np.zeros(0, np.int64)
-    first = np.flatnonzero(common_prefixes(s, sa, length) < length)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
     least = np.minimum.reduceat(low[ctx], first)
-    return ctx, shift, np.repeat(least, np.diff(np.append(first, len(sa))))
+    return ctx, shift, np.repeat(least, np.diff(np.append(first, len(ctx))))
 
 
 FOUND = "h long, c long, begin int, stop int, least long"
@@ -457,10 +470,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = _parts(spark)
+    with shuffles_go(spark):
+        return _remove_repeats(docs, length, gram, with_text, hot, most_contexts)
+
+
+def _remove_repeats(docs: DataFrame, length: int, gram: int, with_text: bool, hot: np.ndarray | None, most_contexts: int) -> DataFrame:
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = _parts(spark, size)
     if hot is None:
-        hot = sampled_hot(rows, length, gram)
+        hot = sampled_hot(rows, size, length, gram)
     # a key with several texts isn't a copy, though one of its texts may be: such texts go the general way, numbered by v
     several = cut_lineage(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"))
     copies = cut_lineage(with_part(copies_of_earlier(rows).join(several, "k", "left_anti"), parts))
@@ -475,13 +495,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     found = occurrences(texts, marks, length, gram).withColumn("turn", F.pmod(F.xxhash64("h", F.lit(4)), F.lit(TURNS)).cast("int"))
     found, found_path = written(found, by="turn")
     removed(spark, repeated_path)
-    places = [written(with_part(placed(found.filter(F.col("turn") == t), parts, length, gram, most_contexts), parts))[0] for t in range(TURNS)]
+    places = [written(with_part(placed(found.filter(F.col("turn") == t), parts, length, gram, most_contexts), parts)) for t in range(TURNS)]
     removed(spark, found_path)
-    spans = places[0]
-    for more in places[1:]:
+    spans = places[0][0]
+    for more, _ in places[1:]:
         spans = spans.union(more)
     marks = spans.select("part", "k", "v", "begin", "stop").union(copies.select("part", "k", F.lit(0), F.lit(-1), F.lit(-1)))
-    return cut_texts(texts, marks, length, with_text)
+    out = cut_lineage(cut_texts(texts, marks, length, with_text))
+    for _, path in places:
+        removed(spark, path)
+    return out
 
 
 def placed(found: DataFrame, shards: int, length: int, gram: int, most_contexts: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import re
 import zlib
 
@@ -652,25 +653,40 @@ def test_stage_links_what_is_similar(spark):
 # --- 10 suffix arrays ------------------------------------------------------------------------------------------------
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 4), max_size=50))
-def test_suffix_array_by_induced_sorting(body):
-    s = np.array([*body, 0], np.uint16)
-    sa = suffix_array.suffix_array(s, 5, 1000)
-    want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
-    assert sa.tolist() == want
-    shared = suffix_array.common_prefixes(s, sa, 100)
-    for k in range(1, len(s)):
-        a, b = s[want[k - 1] :].tolist(), s[want[k] :].tolist()
-        assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=50), st.integers(1, 5), st.sampled_from([0, 512]))
+def test_suffix_array_by_induced_sorting(body, times, few):
+    before, suffix_array.FEW = suffix_array.FEW, few  # 0: every level sweeps runs of buckets
+    try:
+        s = np.array([*body * times, 0], np.uint16)
+        sa = suffix_array.suffix_array(s, 5)
+        want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        assert sa.tolist() == want
+        shared = suffix_array.permuted_prefixes(s, sa)
+        for k in range(1, len(s)):
+            a, b = s[want[k - 1] :].tolist(), s[want[k] :].tolist()
+            assert shared[want[k]] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    finally:
+        suffix_array.FEW = before
+
+
+def test_suffix_array_of_a_long_text(docs):
+    data = "\n".join(x for x in texts_of(docs) if x).encode()[:400_000]
+    s = np.append(np.frombuffer(data + data[:50_000], np.uint8).astype(np.uint16) + 1, np.uint16(0))
+    sa = suffix_array.suffix_array(s, 258)
+    shared = suffix_array.permuted_prefixes(s, sa)[sa]
+    assert np.array_equal(np.sort(sa), np.arange(len(s)))
+    raw = data + data[:50_000]
+    for i in np.random.default_rng(2).integers(1, len(s), 3000):
+        a, b, n = int(sa[i - 1]), int(sa[i]), int(shared[i])
+        assert raw[a : a + n] == raw[b : b + n] and raw[a + n : a + n + 1] < raw[b + n : b + n + 1]
 
 
 def brute_removed(rows, length=50):
     first = {}
     data = [(-1 if d is None else d, d, (t or "").encode()) for d, t in rows]
     for k, _, b in data:
-        for i in range(len(b) - length + 1):
-            w = b[i : i + length]
+        for w in {b[i : i + length] for i in range(len(b) - length + 1)}:
             first[w] = min(first.get(w, k), k)
     out = collections.Counter()
     for k, d, b in data:
@@ -686,12 +702,14 @@ def brute_removed(rows, length=50):
 @pytest.mark.parametrize("which,options", [("docs", {}), ("docs", {"most_contexts": 1}), ("odd", {}), ("none", {})])
 def test_remove_repeats(which, options, docs, odd, spark):
     more = [(900, "ab" * 100), (901, "x" + "ab" * 60), (902, "y" * 120), (903, "y" * 50), (904, "y" * 51), (900, "zz" * 40)]
-    df = {"docs": docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")), "odd": odd.withColumn("text", odd["text"].substr(1, 3000)), "none": docs.limit(0)}[which]
+    df = {"docs": docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")), "odd": odd, "none": docs.limit(0)}[which]
     if options:
         h = np.unique(np.concatenate([substring_dedup.anchors(t)[1] for _, t in chunks(pa.array(texts_of(df), pa.string()))]))
         options = options | {"hot": h[::2]}
     got = substring_dedup.remove_repeats(df, **options).collect()
     assert collections.Counter(tuple(r) for r in got) == brute_removed([(r["doc_id"], r["text"]) for r in df.collect()])
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert not list(pathlib.Path(kept).glob("table-*"))
 
 
 def test_removed_text_is_what_the_digest_says(docs):
