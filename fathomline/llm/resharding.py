@@ -9,11 +9,13 @@ has the classes' rows as supplies and the new shards' row capacities as demands.
 driver by successive shortest paths, says how many rows of each class stay and how many go where. Of a class that is
 split between the two, the smallest rows go: the size at which it is split is found exactly, by counts in slices that
 narrow, and the class is parted there into smaller, equal and larger rows. With these the flow is solved again, and its
-bytes are the fewest that row capacities allow. Blocks, a class's rows in one bucket of a hash of doc_id, are cut along it.
+bytes are the fewest that row capacities allow. Blocks, a class's rows in one bucket of a hash of doc_id, go to shards along it;
+a few blocks are cut between shards, by the rank of their rows.
 The network has about 2 x old shards x classes arcs whatever the number of documents.
 
-``rewrite`` then writes the shards whose content changes; ``op4`` does so, into the shared folder, and its rows are read
-from what was written (of shards that don't change, from the plan).
+``rewrite`` then writes the shards whose content changes: texts are shuffled once, to a shard's chunk, since a block's
+shard is known where the text is read; only rows of cut blocks are first joined to their ranks. ``op4`` does so, into the
+shared folder, and its rows are read from what was written (of shards that don't change, from the plan).
 
 The query's old layout puts each source's documents into one shard (crc32 of the source's name), as a crawl writes
 them; the law is ``rows``: the 24 new shards' counts are at most one apart. Equal texts are not tied together.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 from collections import defaultdict, deque
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,8 +44,8 @@ SHARDS = 24
 BUCKETS = 64
 #: Slices into which a range of sizes is counted at once.
 SLICES = 1024
-#: Bytes of text in one written file, about.
-FILE_BYTES = 128 << 20
+#: Bytes of text in one chunk of a shard at most, about: a file.
+FILE_BYTES = 64 << 20
 
 Flow = dict[tuple, int]
 
@@ -170,43 +173,76 @@ def split_sizes(rows: DataFrame, split: dict[tuple[int, int], int]) -> dict[tupl
     return low
 
 
-def plan(rows: DataFrame, shards: int = SHARDS, capacities: dict[int, int] | None = None) -> tuple[DataFrame, Flow]:
-    """Every row with its new ``shard`` and ``slot``, and the flow of rows.
+@dataclass
+class Plan:
+    """Where rows go: by block, or by rank in the blocks that are cut."""
+
+    flow: Flow
+    shards: int
+    #: (old shard, class) -> the size at which it is split.
+    cut_at: dict
+    #: (old shard, class, bucket, shard) of whole blocks; (old shard, class, bucket, begin, stop, shard) of the others.
+    whole: list[tuple]
+    parted: list[tuple]
+    rows: int
+    bytes: int
+
+    def tables(self, spark) -> tuple[DataFrame, DataFrame]:
+        def of(found: list[tuple], *more: str) -> DataFrame:
+            names = ["old_shard", "class", "bucket", *more]
+            return small_table(spark, {k: (pa.int64() if k in ("begin", "stop") else pa.int32(), [x[i] for x in found]) for i, k in enumerate(names)})
+
+        return of(self.whole, "shard"), of(self.parted, "begin", "stop", "shard")
+
+    def chunks(self, spark) -> int:
+        """Chunks of a shard: files of bounded size, and some for every task."""
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, -(-self.bytes // (self.shards * FILE_BYTES)), -(-2 * parts // self.shards))
+
+    def changed(self) -> set[int]:
+        return {x for (a, s), n in self.flow.items() if a[0] != s for x in (s, a[0])}
+
+
+def with_blocks(rows: DataFrame, cut_at: dict | None = None) -> DataFrame:
+    """Rows (id, size, old_shard, ...) with their class and bucket; classes are four apart, for the parts of one that is split."""
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")).withColumn("class", 4 * size_class())
+    if not cut_at:
+        return rows
+    cuts = small_table(rows.sparkSession, {"old_shard": (pa.int32(), [a[0] for a in cut_at]), "class": (pa.int32(), [4 * a[1] for a in cut_at]), "at": (pa.int64(), list(cut_at.values()))})
+    part = F.when(F.col("size") > F.col("at"), 2).when(F.col("size") == F.col("at"), 1).otherwise(0)
+    return rows.join(cuts, ["old_shard", "class"], "left").withColumn("class", F.col("class") + part).drop("at")
+
+
+def plan(rows: DataFrame, shards: int = SHARDS, capacities: dict[int, int] | None = None) -> Plan:
+    """Solve for rows (id, size, old_shard, ...).
 
     What reaches the driver, and comes back as a broadcast, is a row for each (old shard, class, bucket): a bounded number.
     """
-    spark = rows.sparkSession
-    rows = rows.withColumn("class", size_class()).withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BUCKETS)).cast("int"))
     supply: dict = defaultdict(int)
     weight: dict = defaultdict(int)
-    for r in rows.groupBy("old_shard", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).toArrow().to_pylist():
+    for r in rows.groupBy("old_shard", size_class().alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).toArrow().to_pylist():
         supply[r["old_shard"], r["class"]] = r["n"]
         weight[r["old_shard"], r["class"]] = r["bytes"]
-    demand = capacities or even(sum(supply.values()), shards)
+    total, size = sum(supply.values()), sum(weight.values())
+    demand = capacities or even(total, shards)
     moving: dict = defaultdict(int)
     for (a, s), n in transfers(supply, weight, demand).items():
         moving[a] += n if s != a[0] else 0
-    cut_at = split_sizes(rows, {a: n for a, n in moving.items() if 0 < n < supply[a]})
-    # classes are doubled, twice over, so that the parts of a split one have numbers of their own
-    rows = rows.withColumn("class", 4 * F.col("class"))
-    if cut_at:
-        cuts = small_table(spark, {"old_shard": (pa.int32(), [a[0] for a in cut_at]), "class": (pa.int32(), [4 * a[1] for a in cut_at]), "at": (pa.int64(), list(cut_at.values()))})
-        part = F.when(F.col("size") > F.col("at"), 2).when(F.col("size") == F.col("at"), 1).otherwise(0)
-        rows = rows.join(cuts, ["old_shard", "class"], "left").withColumn("class", F.col("class") + part).drop("at")
-    sums = rows.groupBy("old_shard", "class", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).toArrow().to_pylist()
+    cut_at = split_sizes(rows.withColumn("class", size_class()), {a: n for a, n in moving.items() if 0 < n < supply[a]})
+    sums = with_blocks(rows, cut_at).groupBy("old_shard", "class", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).toArrow().to_pylist()
     supply, weight = defaultdict(int), defaultdict(int)
     for r in sums:
         supply[r["old_shard"], r["class"]] += r["n"]
         weight[r["old_shard"], r["class"]] += r["bytes"]
     flow = transfers(supply, weight, demand)
-    # the rows of a class, in order of bucket and then of doc_id, are cut along its flows: those that stay come first
+    # the rows of a class, in order of bucket, are cut along its flows: those that stay come first
     cuts: dict = defaultdict(list)
     for (a, s), n in sorted(flow.items(), key=lambda x: (x[0][0], x[0][1] != x[0][0][0], x[0][1])):
         cuts[a].append((s, n))
-    spans, at_of = [], defaultdict(int)
     by_class: dict = defaultdict(list)
     for r in sorted(sums, key=lambda r: (r["old_shard"], r["class"], r["bucket"])):
         by_class[r["old_shard"], r["class"]].append((r["bucket"], r["n"]))
+    whole, parted = [], []
     for a in sorted(by_class):
         turn = iter(cuts[a])
         shard, room = next(turn)
@@ -216,19 +252,48 @@ def plan(rows: DataFrame, shards: int = SHARDS, capacities: dict[int, int] | Non
                 if not room:
                     shard, room = next(turn)
                 take = min(room, n - at)
-                # rows at..at+take of the block go to the shard's next slots
-                spans.append((*a, bucket, at, at + take, shard, at_of[shard] - at))
-                at_of[shard] += take
+                if take == n:
+                    whole.append((*a, bucket, shard))
+                else:
+                    parted.append((*a, bucket, at, at + take, shard))
                 at, room = at + take, room - take
-    kinds = {"old_shard": pa.int32(), "class": pa.int32(), "bucket": pa.int32(), "begin": pa.int64(), "stop": pa.int64(), "shard": pa.int32(), "shift": pa.int64()}
-    table = spark.createDataFrame(pa.table({k: pa.array([x[i] for x in spans], kind) for i, (k, kind) in enumerate(kinds.items())}))
-    numbered = rows.withColumn("k", F.row_number().over(W.partitionBy("old_shard", "class", "bucket").orderBy("doc_id", "text_crc32", "size")).cast("long") - 1)
-    placed = numbered.join(F.broadcast(table), ["old_shard", "class", "bucket"]).filter("k >= begin and k < stop")
-    return placed.withColumn("slot", F.col("k") + F.col("shift")).drop("k", "begin", "stop", "shift"), flow
+    return Plan(flow, shards, cut_at, whole, parted, total, size)
+
 
+ORDER = ("doc_id", "text_crc32", "size", "old_shard")
 
-def described(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    return docs.select("doc_id", size_of().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), old_shard(shards=shards).alias("old_shard"))
+
+def assigned(rows: DataFrame, p: Plan) -> DataFrame:
+    """Rows with their new ``shard``: a broadcast for whole blocks, the rank in their block for the others."""
+    whole, parted = p.tables(rows.sparkSession)
+    rows = with_blocks(rows, p.cut_at)
+    block = ["old_shard", "class", "bucket"]
+    out = rows.join(whole, block)
+    if p.parted:
+        ranked = rows.join(parted.select(*block).distinct(), block, "left_semi").withColumn("k", F.row_number().over(W.partitionBy(*block).orderBy(*ORDER)).cast("long") - 1)
+        out = out.unionByName(ranked.join(parted, block).filter("k >= begin and k < stop").drop("k", "begin", "stop"))
+    return out.drop("class", "bucket")
+
+
+def with_slots(rows: DataFrame, counts: DataFrame, p: Plan, *tie: str) -> DataFrame:
+    """Rows (with id and shard) with their ``slot``: the shard's chunks one after the other, each in ``ORDER``.
+
+    ``counts`` has id and shard of every row, for the numbers of rows in the chunks before.
+    """
+    n = p.chunks(rows.sparkSession)
+    chunk = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int")
+    each = counts.withColumn("chunk", chunk).groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = each.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = rows.withColumn("chunk", chunk).withColumn("k", F.row_number().over(W.partitionBy("shard", "chunk").orderBy(*ORDER, *tie)).cast("long") - 1)
+    return own.join(before, ["shard", "chunk"]).withColumn("slot", F.col("k") + F.col("before")).drop("k", "before", "chunk")
+
+
+def id_of(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def described(docs: DataFrame, shards: int = SHARDS, *more: Column) -> DataFrame:
+    return docs.select("doc_id", id_of().alias("id"), size_of().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), old_shard(shards=shards).alias("old_shard"), *more)
 
 
 RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "moved")
@@ -240,51 +305,53 @@ def result(placed: DataFrame) -> DataFrame:
 
 def reshard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The plan alone, with no file written."""
-    return result(plan(cut_lineage(described(docs, shards)), shards)[0])
-
-
-def changed_shards(flow: Flow) -> set[int]:
-    return {x for (a, s), n in flow.items() if a[0] != s for x in (s, a[0])}
+    rows = cut_lineage(described(docs, shards))
+    p = plan(rows, shards)
+    placed = cut_lineage(assigned(rows, p))
+    return result(with_slots(placed, placed, p))
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, flow: Flow, path: str, shards: int = SHARDS) -> set[int]:
+def rewrite(docs: DataFrame, placed: DataFrame, p: Plan, path: str) -> set[int]:
     """Write the shards whose content changes, a folder each, and return their numbers; the others' files stay.
 
-    Rows with one doc_id, text and old shard share a list of places and take one each.
+    ``placed`` is what ``assigned`` made of the same documents.
     """
-    changed = changed_shards(flow)
+    changed = sorted(p.changed())
     if not changed:
-        return changed
-    key = ["id", "size", "text_crc32", "old_shard"]
-    own_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id")
-    # a place in a shard that stays as it is counts among the places of equal rows, but isn't written
-    places = placed.select(own_id, *key[1:], F.struct("shard", "slot").alias("x")).groupBy(*key).agg(F.sort_array(F.collect_list("x")).alias("places"))
-    places = places.filter(F.exists("places", lambda x: x["shard"].isin(sorted(changed))))
+        return set()
+    spark = docs.sparkSession
     names = [c + "_" * (c.lower() in ("shard", "slot")) for c in docs.columns]
     row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row")
     plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
-    keyed = docs.select(own_id, size_of().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), old_shard(shards=shards).alias("old_shard"), F.xxhash64(*plain).alias("tie"), row)
-    keyed = keyed.withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy("tie")))
-    out = keyed.join(places, key).select("row", F.element_at("places", F.col("k")).alias("x")).select("row.*", "x.shard", "x.slot").filter(F.col("shard").isin(sorted(changed)))
-    rows, size = placed.agg(F.count(F.lit(1)), F.sum("size")).first()
-    file_rows = max(1, rows * FILE_BYTES // size)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = out.repartition(parts, F.col("shard"), F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
-    dealt.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    return changed
+    rows = with_blocks(described(docs, p.shards, F.xxhash64(*plain).alias("tie"), row), p.cut_at)
+    whole, parted = p.tables(spark)
+    block = ["old_shard", "class", "bucket"]
+    out = rows.join(whole, block).drop("class", "bucket")
+    if p.parted:
+        # rows with one doc_id, text and old shard share a list of shards and take one each
+        own = parted.select(*block).distinct()
+        key = ["id", "size", "text_crc32", "old_shard"]
+        lists = with_blocks(placed, p.cut_at).join(own, block, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+        numbered = rows.join(own, block, "left_semi").withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy("tie")))
+        out = out.unionByName(numbered.join(lists, key).withColumn("shard", F.element_at("shards", F.col("k"))).drop("class", "bucket", "k", "shards"))
+    out = out.filter(F.col("shard").isin(changed))
+    out = with_slots(out, placed.filter(F.col("shard").isin(changed)), p, "tie").select("row.*", "shard", "slot")
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return set(changed)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     """Reshard, write what changes to the shared folder, and return the rows as they lie there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    placed, flow = plan(cut_lineage(described(docs)))
-    placed = cut_lineage(placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot"))
+    rows = cut_lineage(described(docs))
+    p = plan(rows)
+    placed = cut_lineage(assigned(rows, p))
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/reshard-{uuid.uuid4().hex}"
-    changed = rewrite(docs, placed, flow, path)
+    changed = rewrite(docs, placed, p, path)
+    stay = with_slots(placed.filter(~F.col("shard").isin(sorted(changed))), placed, p)
     if not changed:
-        return result(placed)
-    schema = docs.schema.add("slot", LongType()).add("shard", IntegerType())
-    files = spark.read.schema(schema).parquet(path)
-    there = files.select("doc_id", size_of().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), old_shard().alias("old_shard"), "shard", "slot")
-    return result(there.unionByName(placed.filter(~F.col("shard").isin(sorted(changed)))))
+        return result(stay)
+    files = spark.read.schema(docs.schema.add("slot", LongType()).add("shard", IntegerType())).parquet(path)
+    there = described(files, SHARDS, F.col("shard"), F.col("slot"))
+    return result(there.unionByName(stay))
