@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -99,6 +101,68 @@ def keyword_scores(docs: DataFrame, query: str, key: Sequence[str], classes: dic
     return kept.select(*key, score.alias("score"))
 
 
+#: Folders of a written index: a term is looked up in one of them.
+INDEX_FOLDERS = 64
+
+
+def folder_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_FOLDERS)).cast("int")
+
+
+def write_index(postings: DataFrame, path: str) -> None:
+    """Postings (.., term, class, tf) as files by folder of the term, sorted by term: a lookup reads one folder's few row groups."""
+    parts = postings.withColumn("folder", folder_of(F.col("term")))
+    # a frequent term's postings are dealt over several tasks by their other columns, which its folder's files then share
+    spread = parts.repartition(F.col("folder"), F.pmod(F.xxhash64(*[c for c in postings.columns if c not in ("term", "class", "tf")]), F.lit(8)))
+    spread.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """The postings of the query's terms: folders are pruned, and the filter on the term is pushed to the files."""
+    terms = parse_query(query).terms()
+    folders = [r[0] for r in spark.range(1).select(F.explode(F.array(*[folder_of(F.lit(t)) for t in terms]))).distinct().collect()] if terms else []
+    return spark.read.parquet(path).filter(F.col("folder").isin(folders) & F.col("term").isin(terms)).drop("folder")
+
+
+def indexed_scores(postings: DataFrame, query: str, key: Sequence[str]) -> DataFrame:
+    """(key, score) as ``keyword_scores``, from an inverted index; of a phrase, its words are required here (see ``with_phrases``)."""
+    q = parse_query(query)
+    if not q.groups:
+        return postings.select(*key).limit(0).withColumn("score", F.lit(0.0))
+    wanted = sorted({w for g in q.groups for t in g for w in t.split()})
+    alone = [t for t in q.excluded if " " not in t]
+    weight = F.create_map(*[F.lit(x) for k, w in CLASS_WEIGHTS.items() for x in (k, w)])[F.col("class")]
+    part = F.when(F.col("term").isin(wanted), weight * F.col("tf") / (F.col("tf") + 1)).otherwise(0.0)
+    seen = postings.filter(F.col("term").isin([*wanted, *alone])).groupBy(*key).agg(F.sum(part).alias("score"), F.collect_set("term").alias("terms"))
+    for group in q.groups:
+        test = F.lit(False)
+        for t in group:
+            test = test | (F.size(F.array_intersect("terms", F.array(*map(F.lit, t.split())))) == len(set(t.split())))
+        seen = seen.filter(test)
+    for t in alone:
+        seen = seen.filter(~F.array_contains("terms", t))
+    return seen.select(*key, "score")
+
+
+def with_phrases(found: DataFrame, query: str, classes: dict[str, Column]) -> DataFrame:
+    """The candidates of ``indexed_scores``, joined to their texts, that hold the query's phrases; untouched where it has none."""
+    q = parse_query(query)
+    if not any(" " in t for g in [*q.groups, q.excluded] for t in g):
+        return found
+    line = token_line(*classes.values())
+    has = lambda term: F.contains(line, F.lit(" " + term.replace(" ", "  ") + " "))
+    for group in q.groups:
+        if any(" " in t for t in group):
+            test = F.lit(False)
+            for t in group:
+                test = test | has(t)
+            found = found.filter(test)
+    for t in q.excluded:
+        if " " in t:
+            found = found.filter(~has(t))
+    return found
+
+
 def best_per(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
@@ -201,3 +265,56 @@ def rerank(results: DataFrame, scorer, head: int, keep: int, order: Sequence[Col
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", rerank_score double"
     scored = placed.mapInPandas(run, schema)
     return scored.orderBy(F.desc_nulls_last("rerank_score"), "__pos").limit(keep).drop("__pos")
+
+
+#: Vectors to a block.
+BLOCK = 1024
+
+
+def block_matches(queries: DataFrame, rows: DataFrame, k: int, earlier_only: bool = False, block: int = BLOCK) -> DataFrame:
+    """(bucket, id, other, sim): the k rows of the same bucket nearest to each query by cosine, but for itself.
+
+    Both tables have (bucket, id, vector). A bucket's queries and rows are dealt to blocks of about ``block`` vectors, and a
+    task compares one block with one other by a matrix product and keeps k rows a query, so a hot bucket makes many
+    tasks and nothing gathers it. ``earlier_only`` leaves out rows with an id from the query's on. Ties go to the smaller
+    id; vectors that are null, empty or zero match nothing.
+    """
+    usable = lambda d: d.filter("vector is not null and size(vector) > 0")
+    queries, rows = usable(queries), usable(rows)
+
+    def large(d: DataFrame, name: str) -> DataFrame:
+        """Buckets of more than one block: at most a ``block``-th of the rows, so few enough to broadcast."""
+        return F.broadcast(d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias(name)))
+
+    def blocks(d: DataFrame, own: str, side: str) -> DataFrame:
+        """Rows gathered by block, each with the numbers of blocks of its bucket on both sides."""
+        d = d.join(large(queries, "q_parts"), "bucket", "left").join(large(rows, "r_parts"), "bucket", "left").fillna(1, ["q_parts", "r_parts"])
+        d = d.withColumn("part", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        return d.groupBy("bucket", "part").agg(F.first("r_parts").alias("r_parts"), F.collect_list("id").alias(f"id_{side}"), F.collect_list("vector").alias(f"vector_{side}"))
+
+    q = blocks(queries, "q_parts", "q").select("bucket", F.explode(F.sequence(F.lit(0), F.col("r_parts") - 1)).alias("part"), "id_q", "vector_q")
+    r = blocks(rows, "r_parts", "r").select("bucket", "part", "id_r", "vector_r")
+    pairs = q.join(r, ["bucket", "part"]).select("bucket", "id_q", "vector_q", "id_r", "vector_r")
+    kind = rows.schema["bucket"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.slice(i, 1)
+                ids = [np.asarray(one.column(c).flatten()) for c in (1, 3)]
+                vectors = [np.asarray(one.column(c).flatten().flatten(), float).reshape(len(x), -1) for c, x in zip((2, 4), ids, strict=True)]
+                norms = [np.sqrt((v * v).sum(axis=1)) for v in vectors]
+                unit = [v / np.where(n > 0, n, 1)[:, None] for v, n in zip(vectors, norms, strict=True)]
+                sim = unit[0] @ unit[1].T
+                out = (ids[1][None, :] >= ids[0][:, None]) if earlier_only else ids[1][None, :] == ids[0][:, None]
+                sim[out | (norms[0] == 0)[:, None] | (norms[1] == 0)[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids[1], sim.shape), -sim), axis=1)[:, :k]
+                at = np.repeat(np.arange(len(ids[0])), order.shape[1])
+                to = order.ravel()
+                use = np.isfinite(sim[at, to])
+                at, to = at[use], to[use]
+                bucket = one.column(0).take(pa.array(np.zeros(len(at), np.int64)))
+                yield pa.RecordBatch.from_arrays([bucket, pa.array(ids[0][at].astype(np.int64)), pa.array(ids[1][to].astype(np.int64)), pa.array(sim[at, to])], names=["bucket", "id", "other", "sim"])
+
+    found = pairs.mapInArrow(run, f"bucket {kind}, id long, other long, sim double")
+    return best_per(found, ["bucket", "id"], [F.desc("sim"), F.asc("other")], k)

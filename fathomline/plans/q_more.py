@@ -69,13 +69,52 @@ def binary_order(spark, sf):
     return views.pages(spark, sf).orderBy(F.col("slug").cast("binary"), "page_id").limit(40).select("slug")
 
 
+def _corpus(spark, sf, **more):
+    return search.Corpus(views.pages(spark, sf), **more)
+
+
 @query("r16_compiled_search")
 def compiled_search(spark, sf):
-    """A whole search from question to page list, with two expansions and a token budget."""
-    plan = search.compile_search("the and", dt.datetime(2024, 2, 15), limit=10, expand=lambda q: ["of the", "and; that"], budget=20000)
+    """A whole search from question to page list: two expansions, a vector, postings, salience, a reranker, a token budget."""
     e = views.chunks(spark, sf).withColumn("page_id", F.col("chunk_id"))
-    q = [float(x) for x in e.filter("chunk_id = 0").select("embedding").first()[0]]
-    return search.run_search(plan, views.pages(spark, sf), e, q)
+    embed = lambda q: e.filter("chunk_id = 0").select("embedding").first()[0]
+    plan = search.compile_search("the and", dt.datetime(2024, 2, 15), limit=10, expand=lambda q: ["of the", "and; that"], embed=embed, budget=20000, salience="on", recency="on", floor_ratio=0.1)
+    p = views.pages(spark, sf)
+    postings = R.inverted_index(p, ["page_id"], {"A": F.col("title"), "B": F.col("compiled_truth")})
+    salience = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").cast("double").alias("salience"))
+    return search.run_search(plan, _corpus(spark, sf, chunks=e, postings=postings, salience=salience), rerank=lambda t: len(set(t.split())) / max(1, len(t.split())))
+
+
+_NODES = """p AS (SELECT n_nationkey AS page_id, 'nations/' || n_nationkey AS slug, n_name AS title, 'nation' AS type FROM nation UNION ALL SELECT 1000 + c_custkey, 'customers/' || c_custkey, c_name, 'customer' FROM customer UNION ALL SELECT 100000000 + s_suppkey, 'suppliers/' || s_suppkey, s_name, 'supplier' FROM supplier)"""
+
+
+def _nodes(spark, sf):
+    """The nodes of the links as pages."""
+
+    def of(name, key, title, first, kind):
+        d = table(spark, sf, name)
+        return d.select((F.lit(first) + F.col(key)).cast("long").alias("page_id"), F.lit("main").alias("source_id"), F.concat(F.lit(f"{kind}s/"), F.col(key).cast("string")).alias("slug"), F.lit(kind).alias("type"), F.col(title).alias("title"), F.col(title).alias("compiled_truth"), *[F.lit(None).cast("timestamp").alias(c) for c in ("deleted_at", "effective_date", "updated_at", "created_at")])
+
+    return of("nation", "n_nationkey", "n_name", 0, "nation").unionByName(of("customer", "c_custkey", "c_name", 1000, "customer")).unionByName(of("supplier", "s_suppkey", "s_name", 100000000, "supplier"))
+
+
+@query(
+    "r16_relational_search",
+    f"""{with_views('links', more=_NODES)},
+f AS (SELECT p.*, row_number() OVER (ORDER BY page_id) - 1 AS r FROM (SELECT DISTINCT src FROM links_v WHERE link_type = 'located_in' AND dst = (SELECT slug FROM p WHERE title = 'NATION_6')) l JOIN p ON p.slug = l.src QUALIFY row_number() OVER (ORDER BY page_id) <= 100),
+s AS (SELECT *, (1.0::DOUBLE / (60 + r)) / (1.0::DOUBLE / 60) AS base FROM f),
+n AS (SELECT dst, count(*) AS n FROM links_v WHERE link_source IS DISTINCT FROM 'mentions' GROUP BY 1),
+b AS (SELECT s.*, base * CASE WHEN coalesce(n, 0) > 0 THEN 1 + 0.05 * ln(1 + n) ELSE 1 END AS sc FROM s LEFT JOIN n ON n.dst = s.slug),
+j AS (SELECT l.dst, count(DISTINCT l.src) AS hits FROM links_v l JOIN b x ON x.slug = l.src JOIN b y ON y.slug = l.dst WHERE l.src <> l.dst GROUP BY 1),
+g AS (SELECT b.*, sc * CASE WHEN row_number() OVER (ORDER BY sc DESC, slug) <= 20 AND coalesce(hits, 0) >= 2 THEN 1.05 ELSE 1 END AS score FROM b LEFT JOIN j ON j.dst = b.slug),
+d AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, page_id) AS nth, count(*) OVER () AS n FROM g)
+SELECT page_id, slug, title, round(score, 6) AS score, CASE WHEN base >= 0.85 THEN 'strong' WHEN base >= 0.6 THEN 'solid' ELSE 'weak' END AS evidence FROM d WHERE nth <= greatest(1, ceil(0.6 * n)) QUALIFY row_number() OVER (ORDER BY score DESC, page_id) <= 50""",
+)
+def relational_search(spark, sf):
+    """A relation question: its seed is found by title, its links are one list of the fusion, and links boost the rest."""
+    plan = search.compile_search("What is located in Nation_6?", dt.datetime(2024, 2, 15), limit=50)
+    found = search.run_search(plan, search.Corpus(_nodes(spark, sf), links=views.links(spark, sf)))
+    return found.select("page_id", "slug", "title", F.round("score", 6).alias("score"), "evidence")
 
 
 @query("s9_code_import", "SELECT p_partkey, unnest(['C', 'C.m' || p_partkey, 'f']) AS symbol FROM part")

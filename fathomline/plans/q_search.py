@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -9,7 +12,7 @@ from fathomline.functions import vector as V
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
 from fathomline.plans.catalog import query
-from fathomline.session import table
+from fathomline.session import ensure_checkpoint_dir, table
 from fathomline.sources import views
 from fathomline.sources.views import with_views
 
@@ -51,6 +54,18 @@ def inverted_index(spark, sf):
     return R.inverted_index(views.pages(spark, sf), ["page_id"], {"A": F.col("title"), "B": F.col("compiled_truth")})
 
 
+@query("r3_indexed_search", f"{with_views('pages', more=_fts())} SELECT page_id, round(score, 6) AS score FROM k")
+def indexed_search(spark, sf):
+    """The keyword search over postings that were written to the shared folder: one folder lookup for each term."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4().hex}"
+    p = views.pages(spark, sf)
+    classes = {"A": F.col("title"), "B": F.col("compiled_truth")}
+    R.write_index(R.inverted_index(p, ["page_id"], classes), path)
+    found = R.indexed_scores(R.read_index(spark, path, _QUERY), _QUERY, ["page_id"])
+    return R.with_phrases(found.join(p.select("page_id", "title", "compiled_truth"), "page_id"), _QUERY, classes).select("page_id", F.round("score", 6).alias("score"))
+
+
 def _vector_of(spark, sf, i=0):
     """One row by key: the query's vector."""
     return [float(x) for x in table(spark, sf, "embeddings").filter(F.col("vec_id") == i).select("embedding").first()[0]]
@@ -90,19 +105,25 @@ def take_fusion(spark, sf):
     return R.rrf([(_list(spark, sf, 4), 1.0), (_list(spark, sf, 5), 1.0)], ["chunk_id"], first_rank=1, normalize=False).select("chunk_id", F.round("score", 8).alias("score"))
 
 
-@query("r8_cosine_rescore", f"WITH r AS (SELECT vec_id AS chunk_id, (1000 - vec_id)::DOUBLE AS score FROM (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 60) UNION ALL SELECT 100000000, 5.0), c AS (SELECT vec_id, {_COS.format(i=7)} AS cos FROM embeddings) SELECT chunk_id, round(CASE WHEN cos IS NULL THEN score ELSE 0.7 * score / (SELECT max(score) FROM r) + 0.3 * cos END, 6) AS score FROM r LEFT JOIN c ON vec_id = chunk_id")
+@query("r8_cosine_rescore", f"WITH r AS (SELECT vec_id AS chunk_id, (1000 - vec_id)::DOUBLE AS score FROM embeddings UNION ALL SELECT 100000000, 5.0), c AS (SELECT vec_id, {_COS.format(i=7)} AS cos FROM embeddings) SELECT chunk_id, round(CASE WHEN cos IS NULL THEN score ELSE 0.7 * score / (SELECT max(score) FROM r) + 0.3 * cos END, 6) AS score FROM r LEFT JOIN c ON vec_id = chunk_id")
 def cosine_rescore(spark, sf):
-    r = views.chunks(spark, sf).select("chunk_id").orderBy("chunk_id").limit(60).select("chunk_id", (1000 - F.col("chunk_id")).cast("double").alias("score"))
+    r = views.chunks(spark, sf).select("chunk_id", (1000 - F.col("chunk_id")).cast("double").alias("score"))
     r = r.union(spark.createDataFrame([(100000000, 5.0)], "chunk_id long, score double"))
     return R.rescore(r, views.chunks(spark, sf), _vector_of(spark, sf, 7), "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("r9_cosine_pairs", "WITH f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM f JOIN embeddings a ON a.vec_id = f.vec_id JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
+_PAIRS = "SELECT a.label AS bucket, a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label"
+
+
+def _facts(spark, sf):
+    return views.chunks(spark, sf).select(F.col("page_id").alias("bucket"), F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query("r9_cosine_pairs", f"SELECT bucket, id, other, round(sim, 6) AS sim FROM ({_PAIRS} AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY bucket, id ORDER BY sim DESC, other) = 1")
 def cosine_pairs(spark, sf):
-    """Each vector against its label's first."""
-    e = views.chunks(spark, sf)
-    a, b = e.groupBy("page_id").agg(F.min("chunk_id").alias("a"), F.min_by("embedding", "chunk_id").alias("x")), e.select(F.col("chunk_id").alias("b"), "page_id", F.col("embedding").alias("y"))
-    return a.join(b, "page_id").filter("a < b").select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("cos"))
+    """Each vector's nearest of all others with its label."""
+    f = _facts(spark, sf)
+    return R.block_matches(f, f, 1).withColumn("sim", F.round("sim", 6))
 
 
 @query("r4_lsh_recall")
@@ -123,23 +144,36 @@ def hydrate(spark, sf):
 
 @query(
     "r13_alias_hop",
-    f"""{with_views('pages')}, r AS (SELECT source_id, slug, 1.0 / (1 + page_id) AS score FROM pages_v ORDER BY page_id LIMIT 40),
+    f"""{with_views('pages', more=_fts())}, r AS (SELECT p.source_id, p.slug, score FROM k JOIN pages_v p ON p.page_id = k.page_id),
 h AS (SELECT source_id, slug, row_number() OVER (ORDER BY source_id, slug) - 1 AS i FROM (SELECT DISTINCT source_id, slug FROM pages_v WHERE page_id IN (5, 9, 77) ORDER BY 1, 2 LIMIT 3)),
 p AS (SELECT r.source_id, r.slug, CASE WHEN h.slug IS NOT NULL THEN score * 1.10 ELSE score END AS score, h.slug IS NOT NULL AS alias_hit FROM r LEFT JOIN h USING (source_id, slug)),
 a AS (SELECT *, 3 AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.slug = h.slug AND r.source_id = h.source_id))
-SELECT source_id, slug, round(score, 7) AS score, alias_hit FROM p UNION ALL SELECT source_id, slug, round((SELECT max(score) FROM p) + (n - i) * 1e-6, 7), true FROM a""",
+SELECT source_id, slug, round(score, 6) AS score, alias_hit FROM p UNION ALL SELECT source_id, slug, round((SELECT coalesce(max(score), 0) FROM p) + (n - i) * 1e-6, 6), true FROM a""",
 )
 def alias_hop(spark, sf):
-    p = views.pages(spark, sf)
-    r = p.orderBy("page_id").limit(40).select("source_id", "slug", (F.lit(1.0) / (1 + F.col("page_id"))).alias("score"))
-    aliases = p.filter("page_id in (5, 9, 77)").select(F.lit("acme").alias("alias_norm"), "source_id", "slug")
-    return R.alias_hop(r, aliases, "acme").withColumn("score", F.round("score", 7))
+    """A keyword search whose query is an alias of three pages, found by it or not."""
+    r = _keyword(spark, sf).select("source_id", "slug", "score")
+    aliases = views.pages(spark, sf).filter("page_id in (5, 9, 77)").select(F.lit("acme").alias("alias_norm"), "source_id", "slug")
+    return R.alias_hop(r, aliases, "acme").withColumn("score", F.round("score", 6))
+
 
+_WORDS = "list_filter(regexp_split_to_array(compiled_truth, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')"
 
-@query("r15_rerank")
+
+def _head(spark, sf, n=100):
+    """The best pages of a keyword search, as the steps behind the fusion get them."""
+    k = _keyword(spark, sf).select("page_id", F.round("score", 9).alias("score"))
+    best = R.top(k, n, F.desc("score"), F.asc("page_id"))
+    return best.join(views.pages(spark, sf).select("page_id", "source_id", "slug", "title", "type", F.col("compiled_truth").alias("text")), "page_id")
+
+
+_HEAD = "h AS (SELECT k.page_id, p.source_id, p.slug, p.title, p.type, compiled_truth, s AS score FROM (SELECT page_id, round(score, 9) AS s FROM k QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, page_id) <= 100) k JOIN pages_v p ON p.page_id = k.page_id)"
+
+
+@query("r15_rerank", f"{with_views('pages', more=_fts())}, {_HEAD}, o AS (SELECT page_id, row_number() OVER (ORDER BY score DESC, page_id) AS pos, len(list_distinct({_WORDS}))::DOUBLE AS words FROM h) SELECT page_id, CASE WHEN pos <= 30 THEN words END AS rerank_score FROM o QUALIFY row_number() OVER (ORDER BY CASE WHEN pos <= 30 THEN words END DESC NULLS LAST, pos) <= 20")
 def rerank(spark, sf):
-    r = views.pages(spark, sf).orderBy("page_id").limit(100).select("page_id", F.col("compiled_truth").alias("text"), (1000 - F.col("page_id")).alias("score"))
-    return R.rerank(r, lambda t: float(len(set(t.split()))), 30, 20, [F.desc("score"), F.asc("page_id")]).select("page_id", "rerank_score")
+    """The head of a search, put in another order by a function of the text: its number of different words."""
+    return R.rerank(_head(spark, sf), lambda t: float(len(set(re.findall(r"[^ \t\n\r\f]+", t)))), 30, 20, [F.desc("score"), F.asc("page_id")]).select("page_id", "rerank_score")
 
 
 @query("r17_search_takes", f"{with_views('takes')} SELECT id, page_id, holder, weight FROM takes_v WHERE active AND holder IN ('h1', 'h3') AND domain = 'd2' AND quality = 'correct' AND weight >= 0.9")
@@ -155,12 +189,11 @@ def semantic_cache(spark, sf):
     return scored.join(F.broadcast(q), "knobs", "left_semi").filter("score > -1").orderBy(F.desc("score"), "vec_id").limit(1).select(F.col("vec_id").alias("entry"), "knobs", F.round("score", 6).alias("sim"))
 
 
-@query("r19_fact_candidates", "SELECT label AS bucket, vec_id AS id, round(s, 6) AS sim FROM (SELECT e.label, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding, min(vec_id) AS m FROM embeddings GROUP BY label) q ON q.label = e.label AND e.vec_id <> q.m) QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) <= 5")
+@query("r19_fact_candidates", f"SELECT bucket, id, other, round(sim, 6) AS sim FROM ({_PAIRS} AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY bucket, id ORDER BY sim DESC, other) <= 5")
 def fact_candidates(spark, sf):
-    c = views.chunks(spark, sf)
-    q = c.groupBy("page_id").agg(F.min_by("embedding", "chunk_id").alias("q"), F.min("chunk_id").alias("m"))
-    s = c.join(q, "page_id").filter("chunk_id <> m").select(F.col("page_id").alias("bucket"), F.col("chunk_id").alias("id"), V.cosine(F.col("embedding"), F.col("q")).alias("sim"))
-    return R.best_per(s, ["bucket"], [F.desc("sim"), F.asc("id")], 5).withColumn("sim", F.round("sim", 6))
+    """The five nearest facts of the bucket to each new fact; the new ones are those with an id divisible by 100."""
+    f = _facts(spark, sf)
+    return R.block_matches(f.filter("id % 100 = 0"), f, 5).withColumn("sim", F.round("sim", 6))
 
 
 @query("r20_find_experts", f"WITH m AS (SELECT label AS person, max({_COS.format(i=2)}) AS best, min(vec_id % 400) AS days, count(*) AS sal FROM embeddings GROUP BY label) SELECT person, round(ln(1 + greatest(best, 0)) * greatest(0.1, exp(-days / 180.0)) * (0.5 + 0.5 * sal / (1 + sal)), 6) AS score FROM m ORDER BY score DESC, person LIMIT 10")
@@ -268,14 +301,17 @@ def top3_per_page(spark, sf):
 
 @query("d2_text_dedup")
 def text_dedup(spark, sf):
-    r = table(spark, sf, "documents").select("source", F.col("doc_id").alias("rank"), "text")
-    lists = R.best_per(r, ["source"], [F.asc("rank")], 100)
-    return M.text_dedup(lists, "source").select("source", F.col("rank").alias("doc_id"))
+    """The best hundred documents of each source for a search, without those that repeat a better one."""
+    k = _keyword(spark, sf).select("page_id", "source_id", F.round("score", 9).alias("score"))
+    lists = R.best_per(k, ["source_id"], [F.desc("score"), F.asc("page_id")], 100)
+    ranked = lists.withColumn("rank", F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("score"), F.asc("page_id"))))
+    texts = views.pages(spark, sf).select("page_id", F.col("compiled_truth").alias("text"))
+    return M.text_dedup(ranked.join(texts, "page_id"), "source_id").select("source_id", F.col("page_id").alias("doc_id"), "rank")
 
 
-@query("d3_type_diversity", f"{with_views('pages')} SELECT page_id, type FROM (SELECT * FROM pages_v ORDER BY page_id LIMIT 100) QUALIFY row_number() OVER (PARTITION BY type ORDER BY page_id) <= greatest(1, ceil(0.4 * count(*) OVER ()))")
+@query("d3_type_diversity", f"{with_views('pages')} SELECT page_id, type FROM pages_v QUALIFY row_number() OVER (PARTITION BY type ORDER BY page_id) <= greatest(1, ceil(0.4 * count(*) OVER ()))")
 def type_diversity(spark, sf):
-    return M.diversify(views.pages(spark, sf).orderBy("page_id").limit(100).select("page_id", "type", F.col("page_id").alias("rank")), "type", 0.4).select("page_id", "type")
+    return M.diversify(views.pages(spark, sf).select("page_id", "type", F.col("page_id").alias("rank")), "type", 0.4).select("page_id", "type")
 
 
 @query("d4_cap_per_page", "SELECT label AS page_id, vec_id AS chunk_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 2")
@@ -300,15 +336,15 @@ def truth_guarantee(spark, sf):
 
 @query(
     "d6_autocut",
-    f"""{with_views('pages')}, s AS (SELECT slug, page_id, CASE WHEN page_id < 6 THEN 0.9 - page_id * 0.01 WHEN page_id < 30 THEN 0.4 - page_id * 0.005 END::DOUBLE AS rs, page_id = 28 AS alias_hit FROM pages_v ORDER BY page_id LIMIT 35),
-g AS (SELECT *, row_number() OVER (ORDER BY rs DESC, slug) AS i, (rs - lead(rs) OVER (ORDER BY rs DESC, slug)) / (SELECT max(rs) FROM s) AS gap FROM s WHERE rs IS NOT NULL),
+    f"""WITH s AS (SELECT vec_id AS chunk_id, round({_COS.format(i=1)}, 9) AS rs FROM embeddings QUALIFY row_number() OVER (ORDER BY {_COS.format(i=1)} DESC, vec_id) <= 100),
+g AS (SELECT *, row_number() OVER (ORDER BY rs DESC, chunk_id) AS i, (rs - lead(rs) OVER (ORDER BY rs DESC, chunk_id)) / (SELECT max(rs) FROM s) AS gap FROM s),
 c AS (SELECT rs AS cut, gap FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, i LIMIT 1)
-SELECT page_id FROM s, c WHERE gap < 0.2 OR alias_hit OR rs >= cut""",
+SELECT chunk_id FROM s, c WHERE gap < 0.2 OR rs >= cut""",
 )
 def autocut(spark, sf):
-    i = F.col("page_id")
-    s = views.pages(spark, sf).orderBy("page_id").limit(35).select("slug", "page_id", F.when(i < 6, 0.9 - i * 0.01).when(i < 30, 0.4 - i * 0.005).alias("rerank_score"), (i == 28).alias("alias_hit"))
-    return M.autocut(s).select("page_id")
+    """The hundred nearest vectors to one of them, cut after the largest gap."""
+    s = _list(spark, sf, 1, 100).select(F.lpad(F.col("chunk_id").cast("string"), 12, "0").alias("slug"), "chunk_id", F.round("score", 9).alias("rerank_score"), F.lit(False).alias("alias_hit"))
+    return M.autocut(s).select("chunk_id")
 
 
 @query("d7_adaptive_return", f"{with_views('pages')} SELECT page_id FROM pages_v WHERE type = 'en' ORDER BY n_chars DESC, page_id LIMIT 2")
@@ -316,10 +352,10 @@ def adaptive_return(spark, sf):
     return views.pages(spark, sf).filter("type = 'en'").orderBy(F.desc("n_chars"), "page_id").limit(M.adaptive_limit("entity")).select("page_id")
 
 
-@query("d8_token_budget", f"{with_views('pages')} SELECT page_id, spent FROM (SELECT page_id, sum(ceil(length(title || compiled_truth) / 4.0)::BIGINT) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM (SELECT * FROM pages_v ORDER BY page_id LIMIT 100)) WHERE spent <= 40000")
+@query("d8_token_budget", f"{with_views('pages', more=_fts())}, {_HEAD} SELECT page_id, spent FROM (SELECT page_id, sum(ceil(length(coalesce(title, '') || coalesce(compiled_truth, '')) / 4.0)::BIGINT) OVER (ORDER BY score DESC, page_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM h) WHERE spent <= 40000")
 def token_budget(spark, sf):
-    r = views.pages(spark, sf).orderBy("page_id").limit(100).select("page_id", "title", F.col("compiled_truth").alias("text"))
-    return M.token_budget(r, 40000, [F.asc("page_id")]).select("page_id", "spent")
+    """The head of a search, as far as a budget of tokens goes."""
+    return M.token_budget(_head(spark, sf), 40000, [F.desc("score"), F.asc("page_id")]).select("page_id", "spent")
 
 
 @query("d9_offset_limit", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
@@ -340,12 +376,16 @@ def tracker_dedup(spark, sf):
     return t.join(b, ["who", "m"]).filter(F.col("other") < F.col("id")).filter(close).groupBy("id").agg(F.min("other").alias("first_id"))
 
 
-@query("d12_near_duplicate_facts", "WITH f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) SELECT a.label AS bucket, a.vec_id AS a, b.vec_id AS b FROM f JOIN embeddings a ON a.vec_id = f.vec_id JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.15")
+# Similarity from which a fact is the same as an earlier one, and from which it is near it.
+SAME, NEAR = 0.95, 0.92
+
+
+@query("d12_near_duplicate_facts", f"SELECT bucket, id, other, round(sim, 6) AS sim, CASE WHEN sim >= {SAME} THEN 'same' WHEN sim >= {NEAR} THEN 'near' ELSE 'new' END AS verdict FROM (SELECT * FROM ({_PAIRS} AND b.vec_id < a.vec_id) QUALIFY row_number() OVER (PARTITION BY bucket, id ORDER BY sim DESC, other) = 1)")
 def near_duplicate_facts(spark, sf):
-    """Facts that repeat their bucket's first one."""
-    c = views.chunks(spark, sf)
-    a, b = c.groupBy(F.col("page_id").alias("bucket")).agg(F.min("chunk_id").alias("a"), F.min_by("embedding", "chunk_id").alias("x")), c.select(F.col("page_id").alias("bucket"), F.col("chunk_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, "bucket").filter("a < b").filter(V.cosine(F.col("x"), F.col("y")) >= 0.15).select("bucket", "a", "b")
+    """Each fact's best match among all earlier ones of its bucket, and what that makes of it."""
+    f = _facts(spark, sf)
+    best = R.block_matches(f, f, 1, earlier_only=True)
+    return best.select("bucket", "id", "other", F.round("sim", 6).alias("sim"), F.when(F.col("sim") >= SAME, "same").when(F.col("sim") >= NEAR, "near").otherwise("new").alias("verdict"))
 
 
 @query("d13_payload_batches", "SELECT doc_id, floor((sum(ceil(n_chars / 4.0)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - ceil(n_chars / 4.0)) / 2000)::BIGINT AS batch FROM documents")

@@ -1,8 +1,13 @@
 """The query compiler: a question and its knobs become a frozen plan, and the plan one DataFrame.
 
-Everything that depends on the question alone (dates, intent, weights, expansion) is settled on the driver; the plan then
-builds one graph of arms, fusion, boosts, de-duplication and cut-offs with a single action at its end. ``expand``,
-``rerank`` and ``embed`` are pluggable functions; one that fails leaves the ranking as it is.
+Everything that depends on the question alone (dates, intent, weights, expansion, the seed of a relation question) is
+settled on the driver. ``run_search`` then builds, in this order: keyword lists of all variants (from the postings where the
+corpus has them, else by a scan), the vector list and the relation list; their weighted fusion; the boosts, gated by one
+floor; text de-duplication and type diversity of the head; the alias hop; reranking and its cut-off; evidence; offset,
+limit and token budget. What stands after the fusion works on a checkpointed list of some hundred rows, so the corpus is read
+once for each list.
+
+``expand``, ``rerank`` and ``embed`` are pluggable functions; one that fails leaves the plan or the ranking as it is.
 """
 
 from __future__ import annotations
@@ -15,10 +20,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import INTENTS
+from fathomline.functions import text as T
+from fathomline.operators import graph as G
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
 from fathomline.operators import scope
+from fathomline.session import cut_lineage
 
 # Weights of the keyword and the vector list by intent.
 INTENT_WEIGHTS = {"entity": (1.2, 0.8), "temporal": (1.0, 1.0), "event": (1.1, 0.9), "general": (1.0, 1.0)}
@@ -31,6 +38,11 @@ RELATIONS: dict[str, tuple[str, str]] = {
     r"what is located in (?P<seed>.+)": ("located_in", "in"),
 }
 
+#: Rows of a list that go into the fusion at most.
+LIST_MOST = 100
+#: Seeds of a relation question and hops from them.
+SEEDS, HOPS = 3, 2
+
 
 @dataclass(frozen=True)
 class SearchPlan:
@@ -46,10 +58,32 @@ class SearchPlan:
     budget: int | None = None
     relation: tuple[str, str, str] | None = None
     excludes: tuple[str, ...] = field(default=scope.HARD_EXCLUDES)
+    now: dt.datetime | None = None
+    salience: str = "off"
+    recency: str = "off"
+    floor_ratio: float | None = None
+    vector: tuple[float, ...] | None = None
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """The tables of a search; all but the pages may be missing, and what needs them is left out."""
+
+    pages: DataFrame
+    #: (page_id, chunk_id, embedding)
+    chunks: DataFrame | None = None
+    #: (src, dst, link_type, link_source) between slugs
+    links: DataFrame | None = None
+    #: (alias_norm, source_id, slug)
+    aliases: DataFrame | None = None
+    #: (page_id, salience)
+    salience: DataFrame | None = None
+    #: (page_id, term, class, tf) of the pages: class A is the title, B the body
+    postings: DataFrame | None = None
 
 
 def classify(query: str) -> str:
-    return next((name for name, p in INTENTS if re.search(p, query.lower())), "general")
+    return next((name for name, p in T.INTENTS if re.search(p, query.lower())), "general")
 
 
 def relation_of(query: str, relations: dict[str, tuple[str, str]] = RELATIONS) -> tuple[str, str, str] | None:
@@ -60,31 +94,116 @@ def relation_of(query: str, relations: dict[str, tuple[str, str]] = RELATIONS) -
     return None
 
 
-def compile_search(query: str, now: dt.datetime, limit: int | None = None, offset: int = 0, since: str | None = None, until: str | None = None, detail: str = "medium", budget: int | None = None, expand: Callable[[str], list[str]] | None = None) -> SearchPlan:
+def compile_search(
+    query: str,
+    now: dt.datetime,
+    limit: int | None = None,
+    offset: int = 0,
+    since: str | None = None,
+    until: str | None = None,
+    detail: str = "medium",
+    budget: int | None = None,
+    expand: Callable[[str], list[str]] | None = None,
+    embed: Callable[[str], list[float]] | None = None,
+    relations: dict[str, tuple[str, str]] | None = None,
+    salience: str = "off",
+    recency: str | None = None,
+    floor_ratio: float | None = None,
+) -> SearchPlan:
+    """``relations`` adds question patterns to the built-in ones; ``recency`` is on for temporal questions unless given."""
     a, b = scope.date_window(since, until, now)
     intent = classify(query)
     try:
         more = [re.sub(r"[^\w\s'-]", " ", x).strip() for x in (expand(query) if expand else [])]
     except Exception:  # expansion is an extra: the question alone is still a plan
         more = []
+    try:
+        vector = tuple(float(x) for x in embed(query)) if embed else None
+    except Exception:  # without a vector the keyword lists are still a search
+        vector = None
     variants = tuple(dict.fromkeys([query, *[x for x in more if x]]))[:3]
-    return SearchPlan(query, intent, variants, scope.clamp_limit(limit), max(0, offset), a, b, INTENT_WEIGHTS[intent], detail, budget, relation_of(query))
-
-
-def run_search(plan: SearchPlan, pages: DataFrame, chunks: DataFrame | None = None, vector: list[float] | None = None) -> DataFrame:
-    """Ranked pages (page_id, source_id, slug, title, score): keyword lists of all variants and the vector list, fused."""
-    pages = scope.in_window(scope.hard_exclude(pages.filter("deleted_at is null"), prefixes=plan.excludes), plan.since, plan.until)
-    inner = min(100, 2 * (plan.limit + plan.offset))
+    relation = relation_of(query, {**RELATIONS, **(relations or {})})
+    recency = recency or ("on" if intent == "temporal" else "off")
+    return SearchPlan(query, intent, variants, scope.clamp_limit(limit), max(0, offset), a, b, INTENT_WEIGHTS[intent], detail, budget, relation, now=now, salience=salience, recency=recency, floor_ratio=floor_ratio, vector=vector)
+
+
+def relation_list(plan: SearchPlan, corpus: Corpus, pages: DataFrame) -> DataFrame:
+    """(page_id, score) of the pages that the relation question's seed is linked with, nearest and best linked first."""
+    seed, kind, direction = plan.relation
+    name = F.lit(" ".join(seed.lower().split()))
+    slug = F.lit(re.sub(r"[^a-z0-9]+", "-", seed.lower()).strip("-"))
+    named = pages.filter((F.lower(F.trim("title")) == name) | (T.basename(F.col("slug")) == slug)).select("slug")
+    if corpus.aliases is not None:
+        named = named.unionByName(corpus.aliases.filter(F.col("alias_norm") == name).select("slug"))
+    seeds = R.top(named.distinct(), SEEDS, F.asc("slug")).select(F.col("slug").alias("node"))
+    found = G.fanout(corpus.links, seeds, HOPS, [kind], direction)
+    near = found.join(pages.select("page_id", F.col("slug").alias("node")), "node")
+    return near.select("page_id", (1 / F.col("hop") + F.col("edge_count") * 1e-6).alias("score"))
+
+
+def boosted(plan: SearchPlan, corpus: Corpus, fused: DataFrame) -> DataFrame:
+    """The fused list with all boosts, each for rows that reach the one floor."""
+    out = M.floor_threshold(fused, plan.floor_ratio).withColumn("base_score", F.col("score"))
+    if corpus.links is not None:
+        nodes = out.select(F.col("slug").alias("node"), "source_id")
+        counts = G.backlink_counts(nodes.select("node").distinct(), corpus.links.join(F.broadcast(nodes.select(F.col("node").alias("dst")).distinct()), "dst", "left_semi"))
+        out = M.boost(out.join(F.broadcast(counts.withColumnRenamed("node", "slug")), "slug", "left"), M.backlink_factor(F.coalesce("n", F.lit(0)))).drop("n")
+    if corpus.salience is not None and plan.salience != "off":
+        out = M.boost(out.join(corpus.salience, "page_id", "left"), M.salience_factor(F.coalesce("salience", F.lit(0.0)), plan.salience == "strong")).drop("salience")
+    if plan.recency != "off" and plan.now is not None:
+        days = (F.lit(plan.now).cast("timestamp").cast("double") - F.coalesce("effective_date", "updated_at").cast("double")) / 86400
+        out = M.boost(out, F.coalesce(M.recency_factor(F.col("slug"), days, plan.recency == "strong"), F.lit(1.0)))
+        out = M.boost(out, M.chronicle_factor(F.col("type"), plan.recency == "strong"))
+    out = M.boost(out, M.title_factor(F.col("title"), F.lit(plan.query)))
+    if corpus.links is not None:
+        near = G.adjacency(out.select(F.col("slug").alias("node"), "source_id"), corpus.links).withColumnRenamed("node", "slug")
+        with_hits = out.join(F.broadcast(near), "slug", "left").fillna(0, ["hits", "cross_hits"]).withColumn("session", F.regexp_extract("slug", r"^(.*/sessions/[^/]+)/", 1))
+        out = M.graph_signals(with_hits.withColumn("session", F.nullif("session", F.lit("")))).drop("hits", "cross_hits", "session")
+    if corpus.aliases is not None:
+        canonical = corpus.aliases.select("source_id", "slug").distinct().withColumn("named", F.lit(True))
+        out = M.boost(out.join(canonical, ["source_id", "slug"], "left"), F.when(F.col("named"), 1.05).otherwise(1.0)).drop("named")
+    return M.boost(out, M.exact_factor(F.col("slug"), F.col("title"), plan.query, plan.intent)).drop("floor")
+
+
+def run_search(plan: SearchPlan, corpus: Corpus, rerank: Callable[[str], float] | None = None) -> DataFrame:
+    """Ranked pages (page_id, source_id, slug, title, score, base_score, evidence, safety)."""
+    pages = scope.in_window(scope.hard_exclude(corpus.pages.filter("deleted_at is null"), prefixes=plan.excludes), plan.since, plan.until)
+    inner = min(LIST_MOST, 2 * (plan.limit + plan.offset))
     best = lambda d: R.top(d.select("page_id", F.round("score", 9).alias("score")), inner, F.desc("score"), F.asc("page_id"))
     classes = {"A": F.col("title"), "B": F.col("compiled_truth")} if plan.detail != "low" else {"A": F.col("title")}
     factor = scope.prefix_case(F.col("slug"), scope.SOURCE_FACTORS) if plan.detail != "high" else F.lit(1.0)
-    lists = [(best(R.keyword_scores(pages, v, ["page_id", "slug"], classes).withColumn("score", F.col("score") * factor)), plan.weights[0]) for v in plan.variants]
-    if chunks is not None and vector is not None:
-        found = R.vector_scores(chunks, vector).select("page_id", "chunk_id", "score").join(pages.select("page_id"), "page_id", "left_semi")
+
+    def words(variant: str) -> DataFrame:
+        if corpus.postings is None:
+            return R.keyword_scores(pages, variant, ["page_id", "slug"], classes)
+        found = R.indexed_scores(corpus.postings.filter(F.col("class").isin(*classes)), variant, ["page_id"])
+        return R.with_phrases(found.join(pages.select("page_id", "slug", "title", "compiled_truth"), "page_id"), variant, classes).select("page_id", "slug", "score")
+
+    lists = [(best(words(v).withColumn("score", F.col("score") * factor)), plan.weights[0]) for v in plan.variants]
+    if corpus.chunks is not None and plan.vector is not None:
+        found = R.vector_scores(corpus.chunks, list(plan.vector)).select("page_id", "chunk_id", "score").join(pages.select("page_id"), "page_id", "left_semi")
         lists.append((best(R.best_per(found, ["page_id"], [F.desc("score"), F.asc("chunk_id")])), plan.weights[1]))
-    fused = R.rrf(lists, ["page_id"]).join(pages.select("page_id", "source_id", "slug", "title", F.col("compiled_truth").alias("text")), "page_id")
-    boosted = M.boost(M.floor_threshold(fused, None), M.exact_factor(F.col("slug"), F.col("title"), plan.query, plan.intent)).drop("floor")
-    shown = M.page_of(boosted, plan.offset, plan.limit, F.desc("score"), F.asc("page_id"))
+    if plan.relation is not None and corpus.links is not None:
+        lists.append((best(relation_list(plan, corpus, pages)), 1.0))
+    shown = ["page_id", "source_id", "slug", "title", "type", "effective_date", "updated_at"]
+    fused = R.rrf(lists, ["page_id"]).join(pages.select(*shown, F.col("compiled_truth").alias("text")), "page_id")
+    # some hundred rows, which the steps from here on read several times
+    out = cut_lineage(boosted(plan, corpus, cut_lineage(fused)))
+    out = out.withColumn("rank", F.row_number().over(R.W.orderBy(F.desc("score"), F.asc("page_id")))).withColumn("whole", F.lit(1))
+    out = M.diversify(M.text_dedup(out, "whole"), "type").drop("rank", "whole")
+    out = out.withColumn("alias_hit", F.lit(False))
+    if corpus.aliases is not None:
+        hop = R.alias_hop(out.select("source_id", "slug", "score"), corpus.aliases, " ".join(plan.query.lower().split()))
+        again = pages.select(*shown, F.col("compiled_truth").alias("text"))
+        out = hop.join(out.select("source_id", "slug", "base_score"), ["source_id", "slug"], "left").withColumn("base_score", F.coalesce("base_score", "score")).join(again, ["source_id", "slug"])
+    order = [F.desc("score"), F.asc("page_id")]
+    if rerank is not None:
+        out = R.rerank(out, rerank, LIST_MOST, 2 * LIST_MOST, order)
+        out = M.autocut(out)
+        order = [F.desc_nulls_last("rerank_score"), *order]
+    exact = M.exact_factor(F.col("slug"), F.col("title"), plan.query, "entity") > 1
+    out = out.withColumn("evidence", M.evidence(F.col("alias_hit"), exact, F.col("base_score"))).withColumn("safety", M.create_safety(F.col("evidence")))
+    out = M.page_of(out, plan.offset, plan.limit, *order)
     if plan.budget is not None:
-        shown = M.token_budget(shown, plan.budget, [F.desc("score"), F.asc("page_id")]).drop("spent")
-    return shown.drop("text")
+        out = M.token_budget(out, plan.budget, order).drop("spent")
+    return out.select("page_id", "source_id", "slug", "title", "score", "base_score", "evidence", "safety")
