@@ -12,21 +12,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # What parts a text, from coarse to fine.
-LEVELS = (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+", r"(?<=[,;:])\s+", r"\s+")
+LEVELS = (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+|(?<=[。！？])", r"(?<=[,;:])\s+|(?<=[；：，、])", r"\s+")
+CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
+#: Share of a text's characters from which it is counted in characters, not in words.
+CJK_SHARE = 0.3
 TARGET = 300
 OVERLAP = 50
 HARD_CHARS = 6000
 
 
+def is_cjk(text: str) -> bool:
+    bare = len("".join(text.split()))
+    return bare > 0 and len(CJK.findall(text)) >= CJK_SHARE * bare
+
+
 def _words(text: str) -> int:
-    return len(text.split())
+    """Words, or the characters that aren't blank of a text in a script without blanks between words."""
+    return len("".join(text.split())) if is_cjk(text) else len(text.split())
 
 
 def _pieces(text: str, target: int, level: int = 0) -> list[str]:
-    """Parts of at most ``target`` words, cut at the coarsest mark that does it."""
+    """Parts of at most ``target`` words (characters of CJK text), cut at the coarsest mark that does it."""
     if _words(text) <= target or level == len(LEVELS):
         return [text] if text.strip() else []
     if level == len(LEVELS) - 1:
+        if is_cjk(text):
+            return [text[i : i + target] for i in range(0, len(text), target)]
         words = text.split()
         return [" ".join(words[i : i + target]) for i in range(0, len(words), target)]
     out: list[str] = []
@@ -52,8 +63,9 @@ def chunk_text(text: str | None, target: int = TARGET, overlap: int = OVERLAP, h
     out: list[str] = []
     for i, body in enumerate(merged):
         if i and overlap:
-            tail = " ".join(merged[i - 1].split()[-overlap:])
-            starts = [m.end() for m in re.finditer(r"[.!?]\s+", tail)]
+            before = merged[i - 1]
+            tail = before[-overlap:] if is_cjk(before) else " ".join(before.split()[-overlap:])
+            starts = [m.end() for m in re.finditer(r"[.!?]\s+|[。！？]", tail)]
             lead = tail[starts[0] :] if starts and starts[0] < len(tail) else tail
             body = lead[-min(500, hard // 10) :] + "\n" + body
         out += [body[k : k + hard] for k in range(0, len(body), hard)]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from fathomline.session import cut_lineage
+
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
     """Edges to follow from ``src``: out, in, or both ways."""
@@ -18,8 +20,8 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
 def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "out", frontier_cap: int | None = None) -> DataFrame:
     """(node, depth) of every node within ``depth`` hops; roots at 0. A cap limits each hop to its first nodes by name.
 
-    One plan with ``depth`` joins: a hop joins the edges with the frontier (small, so broadcast where its size allows)
-    and leaves out what was seen.
+    A hop joins the edges with the frontier and leaves out what was seen; each frontier is checkpointed, so that no hop is
+    walked twice.
     """
     step = oriented(edges, direction).select("src", "dst")
     seen = roots.select(F.col("node"), F.lit(0).alias("depth")).distinct()
@@ -29,6 +31,7 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "out",
         frontier = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
         if frontier_cap is not None:
             frontier = frontier.orderBy("node").limit(frontier_cap)
+        frontier = cut_lineage(frontier)
         seen = seen.unionByName(frontier)
     return seen
 
@@ -45,6 +48,7 @@ def paths(edges: DataFrame, root: str, depth: int, link_type: str | None = None,
     at = step.filter(F.col("src") == root).withColumn("depth", F.lit(1)).withColumn("path", F.array("src", "dst")).filter("src <> dst")
     out = at
     for d in range(2, depth + 1):
+        at = cut_lineage(at)
         ahead = at.select(F.col("dst").alias("src"), "path").join(step, "src").filter(~F.array_contains("path", F.col("dst")))
         at = ahead.select("src", "dst", "link_type", F.lit(d).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
         out = out.unionByName(at)
@@ -60,7 +64,7 @@ def fanout(edges: DataFrame, seeds: DataFrame, depth: int = 2, types: Sequence[s
     at = seeds.select("node").distinct().withColumn("hop", F.lit(0))
     reached = None
     for d in range(1, depth + 1):
-        hop = at.filter(F.col("hop") == d - 1).select(F.col("node").alias("src")).join(step, "src").select(F.col("dst").alias("node"), "link_type", "edge", F.lit(d).alias("hop"))
+        hop = cut_lineage(at.filter(F.col("hop") == d - 1).select(F.col("node").alias("src")).join(step, "src").select(F.col("dst").alias("node"), "link_type", "edge", F.lit(d).alias("hop")))
         reached = hop if reached is None else reached.unionByName(hop)
         at = at.unionByName(hop.select("node", "hop").distinct().join(at.select("node"), "node", "left_anti"))
     return (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fathomline.functions import text as T
+from fathomline.operators.ordered import running_total
 from fathomline.operators.scope import prefix_case
 
 
@@ -94,18 +95,13 @@ def graph_signals(df: DataFrame, head: int = 20) -> DataFrame:
 def score_distribution(df: DataFrame) -> DataFrame:
     """Nearest-rank percentiles of the scores: the value at index round((n - 1) q), half up.
 
-    The rows of each score are counted first, and counts are added up over ranges of scores, then within them, so no
-    task or array holds all of them.
+    The rows of each score are counted first, and counts are added up in spans of scores, so no task or array holds all.
     """
     each = df.filter("score is not null").groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    cuts = each.agg(F.percentile_approx("score", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1000)).first()[0] or [0.0]
-    dealt = each.withColumn("span", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("score"))))
-    before = dealt.groupBy("span").agg(F.sum("n").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    upto = dealt.join(F.broadcast(before.select("span", "before")), "span").withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy("span").orderBy("score")))
-    total = F.sum("n")
-    whole = each.agg(total).scalar()
+    upto = running_total(each, F.col("n"), "score", name="upto")
+    whole = each.agg(F.sum("n")).scalar()
     at = lambda q: F.min(F.when(F.col("upto") > F.floor((whole - 1) * q + 0.5), F.col("score")))
-    out = upto.agg(total.alias("n"), *[at(q / 100).alias(f"p{q}") for q in (25, 50, 75, 90, 95)]).filter("n > 0")
+    out = upto.agg(F.sum("n").alias("n"), *[at(q / 100).alias(f"p{q}") for q in (25, 50, 75, 90, 95)]).filter("n > 0")
     return out.withColumn("band", F.col("p75") - F.col("p25"))
 
 

@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -183,18 +181,6 @@ def vector_search(chunks: DataFrame, query: list[float], limit: int, page: str =
     return top(best_per(scored, [page], [F.desc("score"), F.asc("chunk_id")]), limit, F.desc("score"), F.asc(page))
 
 
-def lsh_search(chunks: DataFrame, query: list[float], limit: int, bucket: float = 0.5, tables: int = 8) -> DataFrame:
-    """Approximate nearest neighbours by random projections of unit vectors (for corpora too large for a scan each)."""
-    size = V.norm(F.col("embedding"))
-    unit = chunks.filter(size > 0).withColumn("unit", array_to_vector(F.transform("embedding", lambda x: x / size)))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(unit)
-    from pyspark.ml.linalg import Vectors
-
-    length = sum(x * x for x in query) ** 0.5 or 1.0
-    found = model.approxNearestNeighbors(unit, Vectors.dense([x / length for x in query]), limit)
-    return found.select("chunk_id", "page_id", (1 - F.col("distCol") * F.col("distCol") / 2).alias("score"))
-
-
 def ranked(df: DataFrame, key: Sequence[str], first_rank: int = 0) -> DataFrame:
     """A list in rank order: (key, rank)."""
     w = W.orderBy(F.desc("score"), *[F.asc(k) for k in key])
@@ -318,3 +304,50 @@ def block_matches(queries: DataFrame, rows: DataFrame, k: int, earlier_only: boo
 
     found = pairs.mapInArrow(run, f"bucket {kind}, id long, other long, sim double")
     return best_per(found, ["bucket", "id"], [F.desc("sim"), F.asc("other")], k)
+
+
+#: Vectors on which the lists' centres are fitted at most, lists, and share of the lists that a query looks into.
+FIT_MOST, LISTS, PROBED = 4096, 32, 0.75
+
+
+def list_centres(rows: DataFrame, lists: int = LISTS, most: int = FIT_MOST, rounds: int = 10) -> np.ndarray:
+    """Unit centres by spherical k-means on a bounded sample, chosen by a hash of the id."""
+    sample = rows.filter("vector is not null and size(vector) > 0").orderBy(F.xxhash64("id"), "id").limit(most).select("vector").toPandas()["vector"]
+    if not len(sample):
+        return np.zeros((0, 0))
+    x = np.stack(sample.to_list()).astype(float)
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None]
+    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
+    for _ in range(rounds):
+        own = np.argmax(x @ centres.T, axis=1)
+        sums = np.stack([x[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        centres = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1)), 1e-12)[:, None]
+    return centres
+
+
+def nearest_lists(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """(id, vector, bucket): each row once for each of its n nearest lists, one Arrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            x = np.asarray(column.flatten(), float).reshape(len(batch), -1) if len(batch) else np.zeros((0, centres.shape[1]))
+            best = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n]
+            at = np.repeat(np.arange(len(batch)), best.shape[1])
+            taken = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(best.ravel().astype(np.int32))], names=["id", "vector", "bucket"])
+
+    plain = rows.filter("vector is not null and size(vector) > 0").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    return plain.mapInArrow(run, "id long, vector array<double>, bucket int")
+
+
+def inverted_list_search(queries: DataFrame, rows: DataFrame, k: int, lists: int = LISTS, probed: float = PROBED) -> DataFrame:
+    """(id, other, sim): about the k nearest rows to each query. Every row lies in one list, a query looks into several.
+
+    Lists are compared in blocks (``block_matches``), so an uneven list makes more tasks, not a longer one.
+    """
+    centres = list_centres(rows, lists)
+    if not len(centres):
+        return rows.limit(0).select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("other"), F.lit(0.0).alias("sim"))
+    found = block_matches(nearest_lists(queries, centres, max(1, round(probed * len(centres)))), nearest_lists(rows, centres, 1), k)
+    return best_per(found.select("id", "other", "sim"), ["id"], [F.desc("sim"), F.asc("other")], k)

@@ -133,11 +133,16 @@ def chunk_takes(spark, sf):
     return views.chunks(spark, sf).select("chunk_id", "page_id").join(t, "page_id").select("chunk_id", "take_id")
 
 
+#: Names up to which their table is broadcast; beyond, it is joined by shuffle.
+BROADCAST_NAMES = 100_000
+
+
 def mentions(docs, names, longest: int):
     """(doc_id, target, position) of names in texts: n-grams joined by equality, then the longest entry first at each
     place, no overlaps, a target once a document."""
     words = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("gram")))).otherwise(F.array().cast("array<struct<at:int,n:int,gram:string>>"))))
+    names = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
     hits = words.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.at", "g.n", "g.gram").join(names, "gram")
     each = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "target"))).alias("x"))
 
@@ -163,7 +168,7 @@ def gazetteer(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     names = table(spark, sf, "benchmark").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("gram"), F.concat(F.lit("b/"), F.col("item_id").cast("string")).alias("target"))
     one = table(spark, sf, "benchmark").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 1), " ").alias("gram"), F.concat(F.lit("w/"), F.col("item_id").cast("string")).alias("target"))
-    return mentions(d, F.broadcast(names.union(one).dropDuplicates(["gram"])), 3)
+    return mentions(d, names.union(one).groupBy("gram").agg(F.min("target").alias("target")), 3)
 
 
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda w: list_transform(range(1, (length(w) + 2)::BIGINT), lambda i: substr('  ' || w || ' ', i::BIGINT, 3)))))"

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from fathomline.functions import chunkers as C
 from fathomline.operators import analytics as A
+from fathomline.operators import retrieval as R
 from fathomline.plans.catalog import query
 from fathomline.session import table
 from fathomline.sources import documents as D
@@ -69,15 +70,18 @@ def image_pages(spark, sf):
     return views.chunks(spark, sf).filter("page_id < 5").select(F.col("chunk_id").alias("page_id"), F.lit("image").alias("modality"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query("r14_image_fusion", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q.e) AS c FROM embeddings, q), i AS (SELECT vec_id, 0.6 / (60 + row_number() OVER (ORDER BY c DESC, vec_id) - 1) AS p FROM s WHERE vec_id % 2 = 0), t AS (SELECT vec_id, 0.4 / (60 + row_number() OVER (ORDER BY c DESC, vec_id) - 1) AS p FROM s WHERE vec_id % 3 = 0) SELECT vec_id AS chunk_id, round(sum(p), 8)::DOUBLE AS score FROM (SELECT * FROM i UNION ALL SELECT * FROM t) GROUP BY vec_id")
+@query("r14_image_fusion", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], q.e) AS c FROM embeddings, q), i AS (SELECT vec_id, 0.6::DOUBLE / (60 + row_number() OVER (ORDER BY c DESC, vec_id) - 1) AS p FROM s WHERE label < 5 QUALIFY row_number() OVER (ORDER BY c DESC, vec_id) <= 100), t AS (SELECT vec_id, 0.4::DOUBLE / (60 + row_number() OVER (ORDER BY c DESC, vec_id) - 1) AS p FROM s QUALIFY row_number() OVER (ORDER BY c DESC, vec_id) <= 100) SELECT vec_id AS chunk_id, round(sum(p), 8)::DOUBLE AS score FROM (SELECT * FROM i UNION ALL SELECT * FROM t) GROUP BY vec_id")
 def image_fusion(spark, sf):
-    from fathomline.functions import vector as V
-
+    """The best hundred image chunks and the best hundred of all, fused with weights of 0.6 and 0.4."""
     c = views.chunks(spark, sf)
     q = [float(x) for x in c.filter("chunk_id = 0").select("embedding").first()[0]]
-    s = c.select("chunk_id", V.cosine(F.col("embedding"), V.literal(q)).alias("c"))
-    part = lambda cond, w: s.filter(cond).select("chunk_id", (w / (60 + F.row_number().over(W.orderBy(F.desc("c"), "chunk_id")) - 1)).alias("p"))
-    return part("chunk_id % 2 = 0", 0.6).union(part("chunk_id % 3 = 0", 0.4)).groupBy("chunk_id").agg(F.round(F.sum("p"), 8).alias("score"))
+    s = R.vector_scores(c, q).select("chunk_id", "page_id", "score")
+
+    def part(d, weight):
+        best = R.ranked(R.top(d, 100, F.desc("score"), F.asc("chunk_id")), ["chunk_id"])
+        return best.select("chunk_id", (weight / (60 + F.col("rank"))).alias("p"))
+
+    return part(s.filter("page_id < 5"), 0.6).union(part(s, 0.4)).groupBy("chunk_id").agg(F.round(F.sum("p"), 8).alias("score"))
 
 
 @query("x1_recursive_chunks")
@@ -135,13 +139,37 @@ def sliding_dedup(spark, sf):
     return table(spark, sf, "events").withColumn("gap", gap).filter(F.col("gap").isNull() | (F.col("gap") >= 86_400_000_000)).select("event_id")
 
 
-@query("t3_rate_limit")
+def _steps(events: str, start: str, state: str, accepted: str) -> str:
+    """A DuckDB recursion through each key's events in order: ``events`` has (k, event_id, t); state and verdict see ``w`` and ``t``."""
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) AS n FROM ({events})),
+r AS (SELECT DISTINCT k, 0::BIGINT AS n, {start} AS w, NULL::BIGINT AS event_id, false AS ok FROM e
+      UNION ALL SELECT r.k, e.n, {state} AS w, e.event_id, {accepted} AS ok FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)
+SELECT event_id FROM r WHERE ok"""
+
+
+_EVENTS = "SELECT {k} AS k, event_id, epoch_us(ts::TIMESTAMP) / 1e6::DOUBLE AS t FROM {source}"
+
+
+def _rate(events: str, limit: int, seconds: float) -> str:
+    live = f"list_filter(w, lambda x: t - x < {seconds}::DOUBLE)"
+    return _steps(events, "[]::DOUBLE[]", f"CASE WHEN len({live}) < {limit} THEN list_append({live}, t) ELSE {live} END", f"len({live}) < {limit}")
+
+
+def _throttle(events: str, seconds: float) -> str:
+    fresh = f"(w IS NULL OR t - w >= {seconds}::DOUBLE)"
+    return _steps(events, "NULL::DOUBLE", f"CASE WHEN {fresh} THEN t ELSE w END", fresh)
+
+
+@query("t3_rate_limit", _rate(_EVENTS.format(k="event_type", source="events"), 3, 3600))
 def rate_limit(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "ts")
     return I.stateful_batch(e, ["event_type"], "rate", limit=3, seconds=3600.0).select("event_id")
 
 
-@query("t4_ingest_modes")
+_LIVE = "(SELECT * FROM (SELECT *, epoch_us(ts::TIMESTAMP) - lag(epoch_us(ts::TIMESTAMP)) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS gap FROM events WHERE event_type <> 'error' AND props IS NOT NULL AND user_id IS NOT NULL) WHERE gap IS NULL OR gap >= 86400000000)"
+
+
+@query("t4_ingest_modes", _rate(_EVENTS.format(k="event_type", source=_LIVE), 100, 10) + " UNION ALL SELECT event_id FROM events WHERE event_type = 'error' AND props IS NOT NULL AND user_id IS NOT NULL")
 def ingest_modes(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("source_kind"), F.col("user_id").cast("string").alias("content_hash"), F.col("props").alias("content"), "ts")
     return I.ingest_batch(e, "source_kind", ["source_kind", "content_hash"], ["error"]).select("event_id")
@@ -180,12 +208,12 @@ def minute_rollup(spark, sf):
     return I.rollup(table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("t12_throttle")
+@query("t12_throttle", _throttle(_EVENTS.format(k="user_id", source="events"), 6 * 3600))
 def throttle(spark, sf):
     return I.stateful_batch(table(spark, sf, "events").select("event_id", "user_id", "ts"), ["user_id"], "throttle", seconds=6 * 3600.0).select("event_id")
 
 
-@query("t13_cooldown")
+@query("t13_cooldown", _throttle(_EVENTS.format(k="user_id || '|' || event_type", source="events"), 3 * 86400))
 def cooldown(spark, sf):
     return I.stateful_batch(table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "throttle", seconds=3 * 86400.0).select("event_id")
 

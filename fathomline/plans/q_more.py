@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,12 +11,14 @@ from pyspark.sql import Window as W
 from fathomline.functions import chunkers as C
 from fathomline.functions import text as T
 from fathomline.operators import retrieval as R
+from fathomline.operators import scope
 from fathomline.plans import search
 from fathomline.plans.catalog import query
-from fathomline.session import table
+from fathomline.session import ensure_checkpoint_dir, table
 from fathomline.sources import documents as D
 from fathomline.sources import plugins, views
 from fathomline.sources.views import with_views
+from fathomline.streaming import ingest as I
 from fathomline.streaming.supervise import RestartPolicy
 
 
@@ -98,25 +101,127 @@ def _nodes(spark, sf):
     return of("nation", "n_nationkey", "n_name", 0, "nation").unionByName(of("customer", "c_custkey", "c_name", 1000, "customer")).unionByName(of("supplier", "s_suppkey", "s_name", 100000000, "supplier"))
 
 
-@query(
-    "r16_relational_search",
-    f"""{with_views('links', more=_NODES)},
-f AS (SELECT p.*, row_number() OVER (ORDER BY page_id) - 1 AS r FROM (SELECT DISTINCT src FROM links_v WHERE link_type = 'located_in' AND dst = (SELECT slug FROM p WHERE title = 'NATION_6')) l JOIN p ON p.slug = l.src QUALIFY row_number() OVER (ORDER BY page_id) <= 100),
+def _relational(kind: str, seed: str, where: str = "TRUE") -> str:
+    """The twin of a relation question of one hop over the links' nodes."""
+    return f"""{with_views('links', more=_NODES)},
+e AS (SELECT src, count(*) AS edges FROM (SELECT DISTINCT src, dst, link_source FROM links_v WHERE link_type = '{kind}' AND link_source IS DISTINCT FROM 'mentions' AND dst = (SELECT slug FROM p WHERE title = '{seed}')) GROUP BY src),
+f AS (SELECT p.*, row_number() OVER (ORDER BY edges DESC, page_id) - 1 AS r FROM e JOIN p ON p.slug = e.src QUALIFY row_number() OVER (ORDER BY edges DESC, page_id) <= 100),
 s AS (SELECT *, (1.0::DOUBLE / (60 + r)) / (1.0::DOUBLE / 60) AS base FROM f),
 n AS (SELECT dst, count(*) AS n FROM links_v WHERE link_source IS DISTINCT FROM 'mentions' GROUP BY 1),
 b AS (SELECT s.*, base * CASE WHEN coalesce(n, 0) > 0 THEN 1 + 0.05 * ln(1 + n) ELSE 1 END AS sc FROM s LEFT JOIN n ON n.dst = s.slug),
 j AS (SELECT l.dst, count(DISTINCT l.src) AS hits FROM links_v l JOIN b x ON x.slug = l.src JOIN b y ON y.slug = l.dst WHERE l.src <> l.dst GROUP BY 1),
 g AS (SELECT b.*, sc * CASE WHEN row_number() OVER (ORDER BY sc DESC, slug) <= 20 AND coalesce(hits, 0) >= 2 THEN 1.05 ELSE 1 END AS score FROM b LEFT JOIN j ON j.dst = b.slug),
 d AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, page_id) AS nth, count(*) OVER () AS n FROM g)
-SELECT page_id, slug, title, round(score, 6) AS score, CASE WHEN base >= 0.85 THEN 'strong' WHEN base >= 0.6 THEN 'solid' ELSE 'weak' END AS evidence FROM d WHERE nth <= greatest(1, ceil(0.6 * n)) QUALIFY row_number() OVER (ORDER BY score DESC, page_id) <= 50""",
-)
-def relational_search(spark, sf):
-    """A relation question: its seed is found by title, its links are one list of the fusion, and links boost the rest."""
-    plan = search.compile_search("What is located in Nation_6?", dt.datetime(2024, 2, 15), limit=50)
+SELECT page_id, slug, title, round(score, 6) AS score, CASE WHEN base >= 0.85 THEN 'strong' WHEN base >= 0.6 THEN 'solid' ELSE 'weak' END AS evidence FROM d WHERE nth <= greatest(1, ceil(0.6 * n)) QUALIFY row_number() OVER (ORDER BY score DESC, page_id) <= 50"""
+
+
+def _ask(spark, sf, question, **options):
+    plan = search.compile_search(question, dt.datetime(2024, 2, 15), limit=50, **options)
     found = search.run_search(plan, search.Corpus(_nodes(spark, sf), links=views.links(spark, sf)))
     return found.select("page_id", "slug", "title", F.round("score", 6).alias("score"), "evidence")
 
 
+@query("r16_relational_search", _relational("located_in", "NATION_6"))
+def relational_search(spark, sf):
+    """A relation question: its seed is found by title, its links are one list of the fusion, and links boost the rest."""
+    return _ask(spark, sf, "What is located in Nation_6?")
+
+
+def _fails(*_):
+    raise RuntimeError("no model here")
+
+
+@query("x5_pluggable_functions", _relational("located_in", "NATION_2"))
+def pluggable_functions(spark, sf):
+    """Expansion and embedding functions that fail leave the search as it is without them."""
+    return _ask(spark, sf, "What is located in the Nation_2?", expand=_fails, embed=_fails)
+
+
+@query("x8_relation_verbs", _relational("buys_from", "Supplier#000000003"))
+def relation_verbs(spark, sf):
+    """A relation verb that a schema adds to the built-in ones."""
+    verbs = search.verb_relations({"buys from|is a customer of": ("buys_from", "in")}, {"buys_from", "located_in", "part_of"})
+    return _ask(spark, sf, "Who buys from Supplier#000000003?", relations=verbs)
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared place."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s13_objects", "SELECT sha256(n_name || chr(10)) AS sha256, length(n_name) + 1 AS size FROM nation")
+def objects(spark, sf):
+    """Objects put into a store by Spark's writers and listed from it, whatever file system its path names."""
+    path = _folder(spark, "objects")
+    table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("value")).write.partitionBy("n_nationkey").text(path)
+    return plugins.objects(spark, f"{path}/*/*.txt").select("sha256", F.col("size").cast("long").alias("size"))
+
+
+@query("s14_qrels", "SELECT 'q' || l_orderkey AS query, 'p' || l_partkey AS doc, max(l_quantity)::DOUBLE AS grade FROM lineitem GROUP BY ALL")
+def qrels(spark, sf):
+    """Graded judgements written as NDJSON and read again."""
+    path = _folder(spark, "qrels")
+    each = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").cast("double").alias("grade"))
+    grades = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), "grade")))
+    D.write_ndjson(each.groupBy("l_orderkey").agg(grades.alias("grades")).select(F.concat(F.lit("q"), F.col("l_orderkey").cast("string")).alias("query"), "grades"), path)
+    return D.read_qrels(spark, path)
+
+
+@query("s14_baseline", "SELECT 'q' || l_orderkey AS query, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank, 'p' || l_partkey AS slug FROM lineitem")
+def baseline(spark, sf):
+    """Result lists written as an NDJSON baseline and read again with their ranks."""
+    path = _folder(spark, "baseline")
+    each = F.struct((-F.col("l_extendedprice")).alias("a"), F.col("l_linenumber").alias("b"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("slug"))
+    lists = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(each))["slug"].alias("slugs"))
+    D.write_ndjson(lists.select(F.concat(F.lit("q"), F.col("l_orderkey").cast("string")).alias("query"), "slugs"), path)
+    return D.read_baseline(spark, path)
+
+
+@query("k7_markdown_export", "SELECT 'nations__' || n_nationkey AS slug, 'nation' AS type, n_name AS title, n_name AS body FROM nation")
+def markdown_export(spark, sf):
+    """Pages written as markdown files and read again."""
+    path = _folder(spark, "export")
+    D.export_markdown(_nodes(spark, sf).filter("type = 'nation'"), path)
+    m = D.split_markdown(F.col("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), "slug")
+    return files.select("slug", m["frontmatter"]["type"].alias("type"), m["frontmatter"]["title"].alias("title"), m["compiled_truth"].alias("body"))
+
+
+@query(
+    "p5_date_windows",
+    """WITH w(name, a, b) AS (VALUES ('7d', TIMESTAMP '2024-02-08 12:00:00', NULL), ('2w', TIMESTAMP '2024-02-01 12:00:00', NULL), ('1y', TIMESTAMP '2023-02-15 12:00:00', NULL),
+('day', TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-20 23:59:59.999999'), ('moment', TIMESTAMP '2024-01-10 06:30:00', TIMESTAMP '2024-01-10 18:00:00'))
+SELECT name, count(ts) AS n FROM w LEFT JOIN events ON ts >= a AND (b IS NULL OR ts <= b) GROUP BY name""",
+)
+def date_windows(spark, sf):
+    """Counts of events within bounds as users write them: relative, a day, a moment with its offset."""
+    now = dt.datetime(2024, 2, 15, 12)
+    bounds = {"7d": ("7d", None), "2w": ("2w", None), "1y": ("1y", None), "day": ("2024-01-10", "2024-01-20"), "moment": ("2024-01-10T06:30:00Z", "2024-01-10T20:00:00+02:00")}
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    counts = []
+    for name, (since, until) in bounds.items():
+        a, b = scope.date_window(since, until, now)
+        inside = F.col("ts") >= F.to_timestamp(F.lit(a.isoformat(sep=" ")))
+        if b is not None:
+            inside = inside & (F.col("ts") <= F.to_timestamp(F.lit(b.isoformat(sep=" "))))
+        counts.append(F.struct(F.lit(name).alias("name"), F.count(F.when(inside, 1)).alias("n")))
+    return e.agg(F.array(*counts).alias("x")).select(F.explode("x").alias("x")).select("x.name", "x.n")
+
+
+@query("t16_watched_folder", "SELECT sha256(n_name || chr(10)) AS content_hash, 'file' AS source_kind FROM nation UNION ALL SELECT sha256(r_name || chr(10)), 'inbox' FROM region UNION ALL SELECT sha256('lesson: ' || n_name || chr(10) || 'from ' || n_name), 'learning' FROM nation")
+def watched_folder(spark, sf):
+    """Files in a watched folder, an inbox and a file of learnings, each taken in by a stream until it has what is there."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    files, inbox, lines = (_folder(spark, x) for x in ("watched", "inbox", "learnings"))
+    nation.select("n_nationkey", F.col("n_name").alias("value")).write.partitionBy("n_nationkey").text(files)
+    region.select("r_regionkey", F.col("r_name").alias("value")).write.partitionBy("r_regionkey").text(inbox)
+    nation.select(F.lit("lesson").alias("type"), F.col("n_name").alias("key"), F.concat(F.lit("from "), "n_name").alias("insight"), F.lit(0.5).alias("confidence")).write.json(lines)
+    streams = [I.watch_folder(spark, f"{files}/*"), I.inbox_folder(spark, f"{inbox}/*", _folder(spark, "done")), I.learnings(spark, lines).drop("confidence")]
+    found = [I.drained(s, _folder(spark, "stream")).select("content_hash", "source_kind") for s in streams]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("s9_code_import", "SELECT p_partkey, unnest(['C', 'C.m' || p_partkey, 'f']) AS symbol FROM part")
 def code_import(spark, sf):
     code = F.concat(F.lit("class C:\n    def m"), F.col("p_partkey").cast("string"), F.lit("(self):\n        return f(1)\n\ndef f(x):\n    return x\n"))

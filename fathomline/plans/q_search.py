@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fathomline.functions import vector as V
+from fathomline.operators import ordered
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
 from fathomline.plans.catalog import query
@@ -126,14 +127,15 @@ def cosine_pairs(spark, sf):
     return R.block_matches(f, f, 1).withColumn("sim", F.round("sim", 6))
 
 
-@query("r4_lsh_recall")
-def lsh_recall(spark, sf):
-    """Share of the exact ten nearest that random projections find, for one query."""
-    q = _vector_of(spark, sf, 11)
-    c = views.chunks(spark, sf)
-    exact = R.top(R.vector_scores(c, q).select("chunk_id", "score"), 10, F.desc("score"), F.asc("chunk_id"))
-    found = R.lsh_search(c, q, 30).select("chunk_id").withColumn("hit", F.lit(1))
-    return exact.join(found, "chunk_id", "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+@query("r4_index_recall")
+def index_recall(spark, sf):
+    """Share of the exact ten nearest that the inverted lists find, over the queries with an id divisible by 100."""
+    rows = views.chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
+    queries = rows.filter("id % 100 = 0")
+    whole = lambda d: d.withColumn("bucket", F.lit(0))
+    exact = R.block_matches(whole(queries), whole(rows), 10).select("id", "other")
+    found = R.inverted_list_search(queries, rows, 10).select("id", "other").withColumn("hit", F.lit(1))
+    return exact.join(found, ["id", "other"], "left").agg(F.count(F.lit(1)).alias("wanted"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 @query("r12_hydrate", f"{with_views('pages')} SELECT page_id, slug, type, n_chars FROM pages_v WHERE page_id IN (SELECT event_id FROM events WHERE event_type = 'purchase')")
@@ -390,9 +392,10 @@ def near_duplicate_facts(spark, sf):
 
 @query("d13_payload_batches", "SELECT doc_id, floor((sum(ceil(n_chars / 4.0)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - ceil(n_chars / 4.0)) / 2000)::BIGINT AS batch FROM documents")
 def payload_batches(spark, sf):
-    cost = F.ceil(F.col("n_chars") / 4)
-    before = F.sum(cost).over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)) - cost
-    return table(spark, sf, "documents").select("doc_id", F.floor(before / 2000).cast("long").alias("batch"))
+    """Each source's documents in turn, in batches of about 2,000 tokens."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.ceil(F.col("n_chars") / 4).alias("cost"))
+    upto = ordered.running_total(d, F.col("cost"), "doc_id", group=["source"], name="upto")
+    return upto.select("doc_id", F.floor((F.col("upto") - F.col("cost")) / 2000).cast("long").alias("batch"))
 
 
 @query(

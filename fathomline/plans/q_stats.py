@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from fathomline.functions import text as T
 from fathomline.functions import vector as V
 from fathomline.operators import analytics as A
-from fathomline.operators import scope
+from fathomline.operators import ordered, scope
 from fathomline.plans.catalog import query
 from fathomline.session import table
 from fathomline.sources import views
@@ -457,9 +457,9 @@ def far_distance(spark, sf):
     return c.filter("chunk_id not in (1, 2, 3)").select(F.col("chunk_id").alias("vec_id"), F.round(F.least(*[(1 - V.cosine(F.col("embedding"), V.literal(v))) / 2 for v in refs]), 6).alias("distance"))
 
 
-@query("w17_seeded_sample")
+@query("w17_seeded_sample", "SELECT doc_id FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 50")
 def seeded_sample(spark, sf):
-    return table(spark, sf, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(50).select("doc_id")
+    return table(spark, sf, "documents").orderBy(F.md5(F.concat(F.lit("7|"), F.col("doc_id").cast("string"))), "doc_id").limit(50).select("doc_id")
 
 
 @query("w18_trajectory_rows", f"{with_views('facts')} SELECT entity, metric, id, value IS DISTINCT FROM old AND old IS NOT NULL AS changed FROM (SELECT *, lag(value) OVER (PARTITION BY entity, metric ORDER BY valid_from, id) AS old, row_number() OVER (PARTITION BY entity, metric ORDER BY valid_from DESC, id DESC) AS n FROM facts_v) WHERE n <= 20")
@@ -579,7 +579,7 @@ def scrubbed(spark, sf):
 def pseudonyms(spark, sf):
     """Numbered in order of first appearance, a pool of 40 names in turn."""
     f = table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("o"))
-    return f.select("user_id", F.concat(F.lit("person-"), (1 + (F.row_number().over(W.orderBy("o")) - 1) % 40).cast("string")).alias("pseudonym"))
+    return ordered.row_number(f, "o").select("user_id", F.concat(F.lit("person-"), (1 + (F.col("n") - 1) % 40).cast("string")).alias("pseudonym"))
 
 
 @query("f23_weight_grid", "SELECT l_orderkey, l_linenumber, round(floor(least(1.0, greatest(0.0, l_discount * 13)) * 20 + 0.5) / 20, 2)::DOUBLE AS w FROM lineitem")
@@ -625,7 +625,9 @@ def qualified_names(spark, sf):
 
 @query("f1_aliases")
 def aliases(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.normalize_alias(F.substring("text", 1, 40)).alias("alias"), T.slugify(F.substring("text", 1, 40)).alias("slug"))
+    """Whole titles and whole texts as aliases and slugs."""
+    p = views.pages(spark, sf)
+    return p.select("page_id", *[f(F.col(c)).alias(f"{c}_{n}") for c in ("title", "compiled_truth") for n, f in (("alias", T.normalize_alias), ("slug", T.slugify))])
 
 
 @query("f4_cjk", "SELECT doc_id, 0 AS cjk, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents")
@@ -633,6 +635,16 @@ def cjk(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.cjk_count(F.col("text")).alias("cjk"), T.countable_size(F.col("text")).alias("n"))
 
 
-@query("f28_handles")
+@query("f28_handles", r"SELECT doc_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '(?:^|\s)(@[A-Za-z0-9_]{2,})', 1), regexp_extract_all(text, '\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1)))) AS candidate FROM documents")
 def handles(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(T.handles(F.col("text"))).alias("candidate"))
+
+
+@query("f31_maps", "SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_keys, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags, max(c * 10) AS most FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS c FROM lineitem) GROUP BY l_orderkey")
+def maps(spark, sf):
+    """A map built by aggregation, then read: keys, values, an entry, and each value changed."""
+    each = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("c"))
+    m = each.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "c"))).alias("m"))
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x)
+    tens = F.array_max(F.map_values(F.transform_values("m", lambda k, v: v * 10)))
+    return m.select("l_orderkey", F.size(F.map_keys("m")).cast("long").alias("n_keys"), total.alias("n"), F.coalesce(F.try_element_at("m", F.lit("R")), F.lit(0)).alias("returned"), F.array_join(F.sort_array(F.map_keys("m")), ",").alias("flags"), tens.alias("most"))

@@ -86,11 +86,27 @@ def classify(query: str) -> str:
     return next((name for name, p in T.INTENTS if re.search(p, query.lower())), "general")
 
 
+def verb_relations(verbs: dict[str, tuple[str, str]], known: set[str]) -> dict[str, tuple[str, str]]:
+    """Relation patterns "who <verb> <seed>" for extra verbs (verb -> (link type, direction)); unknown link types are an error."""
+    for verb, (kind, direction) in verbs.items():
+        if kind not in known:
+            raise ValueError(f"verb {verb!r} stands for the unknown link type {kind!r}; known are {', '.join(sorted(known))}")
+        if direction not in ("in", "out", "both"):
+            raise ValueError(f"verb {verb!r} has the unknown direction {direction!r}")
+    return {rf"who (?:{verb}) (?P<seed>.+)": value for verb, value in verbs.items()}
+
+
+def clean_seed(text: str) -> str:
+    """A seed without blanks and quotes around it and without a leading article."""
+    return re.sub(r"^(?:the|a|an)\s+", "", text.strip().strip("\"'`").strip(), flags=re.IGNORECASE).strip("\"'` ")
+
+
 def relation_of(query: str, relations: dict[str, tuple[str, str]] = RELATIONS) -> tuple[str, str, str] | None:
     """(seed, link type, direction) of a relation question."""
     for pattern, (kind, direction) in relations.items():
         if m := re.fullmatch(pattern, query.strip().rstrip("?").strip(), re.IGNORECASE):
-            return m["seed"].strip(), kind, direction
+            seed = clean_seed(m["seed"])
+            return (seed, kind, direction) if 0 < len(seed) <= 80 else None
     return None
 
 

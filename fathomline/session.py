@@ -26,17 +26,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder of our own only where none is set (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; in a local session without it (tests), a folder of our own.
+
+    On a cluster a machine's own folder would be lost with it, so a session there without the setting is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir")
     if shared is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="fathomline-checkpoint-")
         atexit.register(shutil.rmtree, shared, True)
     sc.setCheckpointDir(shared)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, on whatever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)

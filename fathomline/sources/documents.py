@@ -128,3 +128,14 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("query string, relevant array<string>, grades map<string,double>").json(path)
     graded = F.coalesce(F.col("grades"), F.map_from_arrays(F.coalesce("relevant", F.array()), F.transform(F.coalesce("relevant", F.array()), lambda _: F.lit(1.0))))
     return raw.select("query", F.explode(graded).alias("doc", "grade"))
+
+
+def write_ndjson(df: DataFrame, path: str) -> None:
+    """One JSON object a line and row, nulls left out: captured queries, qrels, baselines."""
+    df.write.json(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(query, rank, slug) from NDJSON lines with the result list of each query; ranks start at 1."""
+    raw = spark.read.schema("query string, slugs array<string>").json(path)
+    return raw.select("query", F.posexplode("slugs").alias("at", "slug")).select("query", (F.col("at") + 1).alias("rank"), "slug")

@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 DEDUP_TTL = 24 * 3600.0
@@ -56,9 +58,52 @@ def _accepted(pdf: pd.DataFrame, state: list[float], kind: str, time: str, optio
     return pdf[keep], state
 
 
+#: Seconds of the slices in which a key's times are looked at for pauses, at least.
+SLICE = 3600.0
+
+
+def segments(events: DataFrame, keys: list[str], time: str, span: float) -> DataFrame:
+    """(row, key, segment, t) of the events with a time: a key's segments are parted by pauses of ``span`` seconds or more.
+
+    No state of this module outlives such a pause, so segments are independent. They are found from the first and last
+    time of each key's slices, a small table; an event goes to its slice's segment, so a pause within a slice parts nothing.
+    """
+    t = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = events.select(F.struct("*").alias("row"), key.alias("key"), t.alias("t")).filter("t is not null")
+    rows = rows.withColumn("slice", F.floor(F.col("t") / max(span, SLICE)))
+    ends = rows.groupBy("key", "slice").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    w = W.partitionBy("key").orderBy("slice")
+    pause = F.col("a") - F.lag("b").over(w)
+    names = ends.withColumn("new", F.when(pause < span, 0).otherwise(1)).withColumn("segment", F.sum("new").over(w)).select("key", "slice", "segment")
+    return rows.join(names, ["key", "slice"]).select("row", "key", "segment", "t")
+
+
 def stateful_batch(events: DataFrame, keys: list[str], kind: str, time: str = "ts", **options) -> DataFrame:
-    """The accepted events of an ordered table, key by key."""
-    return events.groupBy(*keys).applyInPandas(lambda pdf: _accepted(pdf, [], kind, time, options)[0], events.schema)
+    """The accepted events of a table, key by key in order of time and then of the columns that end in ``_id``.
+
+    A key's independent segments are dealt to tasks apart, and a task streams through its sorted rows with the state alone
+    in memory. Events without a time are left out.
+    """
+    step, pack = STEPS[kind]
+    span = options.get("ttl", options.get("seconds", {"dedup": DEDUP_TTL, "rate": RATE_WINDOW, "throttle": THROTTLE}[kind]))
+    ties = [F.col(f"row.`{c}`") for c in events.columns if c.endswith("_id")]
+    rows = segments(events, keys, time, float(span)).repartition("key", "segment").sortWithinPartitions("key", "segment", "t", *ties)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, []
+        for batch in batches:
+            keep = []
+            for k, g, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if (k, g) != at:
+                    at, state = (k, g), []
+                new, ok = step(state, t, **options)
+                state = pack(new)
+                keep.append(ok)
+            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
+
+    kept = rows.mapInArrow(run, rows.select("row").schema)
+    return kept.select("row.*")
 
 
 def stateful_stream(events: DataFrame, keys: list[str], kind: str, time: str = "ts", **options) -> DataFrame:
@@ -102,8 +147,6 @@ def ingest_batch(events: DataFrame, source: str, keys: list[str], bulk: list[str
 
 def claim(jobs: DataFrame, workers: int) -> DataFrame:
     """The next jobs for a number of workers: by priority, then by age."""
-    from pyspark.sql import Window as W
-
     w = W.orderBy("priority", "created_at", "id")
     ready = jobs.filter("status = 'waiting'").orderBy("priority", "created_at", "id").limit(workers)
     return ready.withColumn("worker", F.row_number().over(w) - 1)
@@ -125,4 +168,29 @@ def job_transitions(jobs: DataFrame, now, most_attempts: int = 3) -> DataFrame:
 
 def watch_folder(spark: SparkSession, path: str, most_files: int = 1000) -> DataFrame:
     """A stream of whole text files that arrive in a folder; ``most_files`` a trigger bounds the work taken on at once."""
-    return spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", str(most_files)).load(path).select(F.col("value").alias("content"), F.sha2("value", 256).alias("content_hash"), F.lit("file").alias("source_kind"), F.current_timestamp().alias("ts"))
+    files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", str(most_files)).load(path)
+    return _as_events(files, "file")
+
+
+def inbox_folder(spark: SparkSession, path: str, done: str, most_files: int = 1000) -> DataFrame:
+    """The same for an inbox: files that have been taken in are moved to the folder ``done``."""
+    files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", str(most_files)).option("cleanSource", "archive").option("sourceArchiveDir", done).load(path)
+    return _as_events(files, "inbox")
+
+
+def _as_events(files: DataFrame, kind: str) -> DataFrame:
+    return files.select(F.col("value").alias("content"), F.sha2("value", 256).alias("content_hash"), F.lit(kind).alias("source_kind"), F.current_timestamp().alias("ts"))
+
+
+def learnings(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of learnings, one JSON object a line (type, key, insight, confidence); lines that are none are dropped."""
+    lines = spark.readStream.schema("type string, key string, insight string, confidence double").json(path)
+    body = F.concat_ws("\n", F.concat_ws(": ", "type", "key"), "insight")
+    return lines.filter("key is not null and insight is not null").select(body.alias("content"), F.sha2(body, 256).alias("content_hash"), F.lit("learning").alias("source_kind"), F.current_timestamp().alias("ts"), "confidence")
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """What a stream has now, written under ``path`` by one available-now run and read again."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
