@@ -569,6 +569,13 @@ def test_simhash_components(which, docs, odd):
     assert collections.Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == collections.Counter((r["doc_id"], format(p, "016x"), find(r["doc_id"])) for r, p in zip(rows, prints, strict=True))
 
 
+def test_components_of_rows_without_an_id(spark):
+    text = "a text of some words that is there three times"
+    rows = [(None, text), (4, text), (7, text), (None, "another text that nobody else has in this table")]
+    got = simhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("4", "4"), ("7", "4"), ("None", "4"), ("None", "None")]
+
+
 def test_tiles_lose_no_link():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 30).astype(np.uint64)
@@ -625,6 +632,13 @@ def brute_groups(rows, least=0.8):
     return sorted(i for i in up if find(i) == i)
 
 
+def test_stage_on_the_table(docs):
+    """Every pair of the table's texts is compared; copies and near copies are found without a miss."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = brute_groups(rows)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == want and len(want) < len(rows)
+
+
 def test_stage_links_repeated_passages(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 200)) for _ in range(6)]
