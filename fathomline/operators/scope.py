@@ -24,6 +24,7 @@ SOURCE_FACTORS = {
     "civic/": 1.0,
     "daily/": 0.8,
     "media/x/": 0.7,
+    "openclaw/chat/": 0.5,
     "archive/": 0.5,
     "extracts/": 0.3,
 }

@@ -526,11 +526,39 @@ def wiki_refs(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(T.wiki_links(md)).alias("r")).select("page_id", "r.source", "r.slug")
 
 
-@query("f11_link_types", "SELECT p_partkey, CASE WHEN regexp_matches(lower(c), '\\b(co-?)?found(ed|er|ers|ing)\\b') THEN 'founded' WHEN regexp_matches(lower(c), '\\b(invest(ed|or|ors|s|ing)|led the (seed|round))\\b') THEN 'invested_in' WHEN regexp_matches(lower(c), '\\b(advis(es|ed|or|er|ing)|board member)\\b') THEN 'advises' WHEN regexp_matches(lower(c), '\\b(works? at|working at|joined|engineer at|ceo of|cto of|employed)\\b') THEN 'works_at' ELSE 'mentions' END AS kind FROM (SELECT p_partkey, p_name || CASE p_partkey % 6 WHEN 0 THEN ' founded' WHEN 1 THEN ' is an Investor and CEO of' WHEN 2 THEN ' advises' WHEN 3 THEN ' works at' WHEN 4 THEN ' joined' ELSE ' saw' END AS c FROM part)")
+#: (page type, words around the link, page text, folder of the target, the type that a reader would give it).
+_LINKS = [
+    ("person", "She founded {n} in 2010", "", "companies", "founded"),
+    ("person", "He is a co-founder there: {n}", "", "companies", "founded"),
+    ("company", "{n} was founded by Ann, who also invested in it", "", "people", "founded"),
+    ("person", "an angel who invested in {n} twice", "", "companies", "invested_in"),
+    ("person", "her firm led the Series A of {n}", "", "companies", "invested_in"),
+    ("person", "he wrote a check for {n}", "", "companies", "invested_in"),
+    ("person", "sits on the board of {n}", "", "companies", "mentions"),
+    ("person", "sits on the board of {n}", "Bo is a partner at Fir.", "companies", "invested_in"),
+    ("person", "sits on the board of {n}", "Bo is a partner at Fir.", "people", "mentions"),
+    ("concept", "sits on the board of {n}", "On venture capital.", "companies", "mentions"),
+    ("media", "She founded {n} in 2010", "", "companies", "mentions"),
+    ("meeting", "She founded {n} in 2010", "", "companies", "attended"),
+    ("image", "the office of {n}", "", "companies", "image_of"),
+    ("person", "a technical advisor to {n}", "", "companies", "advises"),
+    ("person", "has joined the advisory board, {n} says", "", "companies", "advises"),
+    ("person", "her notes on {n}", "Di serves as an advisor.", "companies", "advises"),
+    ("person", "now CTO of {n}", "", "companies", "works_at"),
+    ("person", "a Senior Engineer at {n}", "", "companies", "works_at"),
+    ("person", "spent four years at {n}", "", "companies", "works_at"),
+    ("person", "her work on the pipeline of {n}", "Cy is a staff engineer at Elm.", "companies", "works_at"),
+    ("person", "saw {n} at dinner", "Cy likes tea.", "companies", "mentions"),
+]
+
+
+@query("f11_link_types", f"WITH s AS (SELECT * FROM (VALUES {', '.join(f'({i}, ' + repr(x[4]) + ')' for i, x in enumerate(_LINKS))}) AS t(i, kind)) SELECT p_partkey, kind FROM part JOIN s ON p_partkey % {len(_LINKS)} = i")
 def link_types(spark, sf):
-    r = F.col("p_partkey") % 6
-    c = F.concat("p_name", F.when(r == 0, " founded").when(r == 1, " is an Investor and CEO of").when(r == 2, " advises").when(r == 3, " works at").when(r == 4, " joined").otherwise(" saw"))
-    return table(spark, sf, "part").select("p_partkey", T.link_type(c).alias("kind"))
+    """Sentences about parts, whose types a reader has given in the twin."""
+    rows = spark.createDataFrame([(i, *x[:4]) for i, x in enumerate(_LINKS)], "i int, page_type string, around string, page_text string, folder string")
+    p = table(spark, sf, "part").withColumn("i", (F.col("p_partkey") % len(_LINKS)).cast("int")).join(F.broadcast(rows), "i")
+    context = F.replace(F.col("around"), F.lit("{n}"), F.col("p_name"))
+    return p.select("p_partkey", T.link_type(context, F.col("page_type"), F.col("page_text"), F.concat("folder", F.lit("/x"))).alias("kind"))
 
 
 @query("f13_code_refs", "SELECT page_id, unnest(regexp_extract_all('see src/a.py:12 and ' || url || '.html', '\\b((?:[\\w.-]+/)+[\\w.-]+\\.[a-z]{1,4}(?::\\d+)?)', 1)) AS ref FROM pages")
