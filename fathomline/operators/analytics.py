@@ -134,11 +134,25 @@ def tier(n: Column, tiers: Mapping[str, int]) -> Column:
     return out
 
 
+#: Chances of up to k events at a mean of one.
+POISSON_ONE = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def resample_weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights, a row for each key and a column for each resample, from a hash of seed, key and resample."""
+    with np.errstate(over="ignore"):
+        x = (keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] + (np.arange(resamples, dtype=np.uint64) + np.uint64(1 + (seed << 32)))[None, :] * np.uint64(0xD1342543DE82EF95)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the splitmix64 finaliser
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(POISSON_ONE, (x >> np.uint64(11)).astype(float) / float(1 << 53), side="right").astype(float)
+
+
 def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 1) -> DataFrame:
     """Mean difference of two systems and the share of Poisson resamples in which it isn't positive.
 
-    Each pair gets a Poisson(1) weight in each resample from a generator seeded by its key, so partitions work apart and
-    only sums by resample are shuffled.
+    Each pair gets a Poisson(1) weight in each resample from a hash of its key, so partitions work apart and only sums by
+    resample are shuffled.
     """
 
     def run(frames):
@@ -146,10 +160,11 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 1) ->
 
         total, weight = np.zeros(resamples), np.zeros(resamples)
         for pdf in frames:
-            for key, d in zip(pdf["key"], pdf["a"] - pdf["b"], strict=True):
-                w = np.random.default_rng([seed, int(key)]).poisson(1.0, resamples)
-                total += w * d
-                weight += w
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                w = resample_weights(part["key"].to_numpy(), resamples, seed)
+                total += (part["a"] - part["b"]).to_numpy(float) @ w
+                weight += w.sum(axis=0)
         yield pd.DataFrame({"resample": np.arange(resamples), "total": total, "weight": weight})
 
     sums = pairs.select("key", "a", "b").mapInPandas(run, "resample int, total double, weight double").groupBy("resample").agg(F.sum("total").alias("t"), F.sum("weight").alias("w"))

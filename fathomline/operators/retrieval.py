@@ -74,13 +74,23 @@ def occurrences(line: Column, word: str) -> Column:
 def keyword_scores(docs: DataFrame, query: str, key: Sequence[str], classes: dict[str, Column]) -> DataFrame:
     """(key, score) of documents that satisfy the query: sum over terms and classes of weight * tf / (1 + tf).
 
-    Only rows that hold some term of each group reach the shuffle; phrases are checked on the tokens.
+    A plain search for the words in the lower-cased texts leaves out most rows before any text is cut into tokens; terms
+    and phrases are then checked on the tokens.
     """
     q = parse_query(query)
     if not q.groups:
         return docs.select(*key).limit(0).withColumn("score", F.lit(0.0))
     flat = token_line(*classes.values())
     has = lambda term: F.contains(F.col("__flat"), F.lit(" " + term.replace(" ", "  ") + " "))
+    low = F.lower(F.concat_ws(" ", *classes.values()))
+    for group in q.groups:
+        some = F.lit(False)
+        for t in group:
+            every = F.lit(True)
+            for w in t.split():
+                every = every & F.contains(low, F.lit(w))
+            some = some | every
+        docs = docs.filter(some)
     kept = docs.withColumn("__flat", flat)
     for group in q.groups:
         test = has(group[0])

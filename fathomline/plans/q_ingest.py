@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fathomline.functions import chunkers as C
+from fathomline.functions import code as K
 from fathomline.operators import analytics as A
 from fathomline.operators import retrieval as R
 from fathomline.plans.catalog import query
@@ -102,18 +103,44 @@ def semantic_boundaries(spark, sf):
     return views.chunks(spark, sf).groupBy("page_id").applyInPandas(run, "page_id int, boundary int")
 
 
-@query("x3_code_chunks")
+#: (file, source, symbols, calls and imports as from>to>kind) as a reader would list them; {n} is a part's number.
+_SOURCES = [
+    ("m{n}.py", "import os\nclass C:\n    def m{n}(self):\n        return f({n})\n\ndef f(x):\n    return x\n", ["C", "C.m{n}", "f"], [">os>imports", "C.m{n}>f>calls"]),
+    ("m{n}.ts", "import { x } from './lib{n}';\n// function no() {}\nexport async function load{n}(p: string) {\n  const s = 'function none() {';\n  if (p) { read(p); }\n}\nexport class Store {\n  get(k: string): string {\n    return this.find(k);\n  }\n}\n", ["load{n}", "Store", "Store.get"], [">./lib{n}>imports", "load{n}>read>calls", "Store.get>find>calls"]),
+    ("m{n}.go", 'package main\nimport "fmt"\ntype P{n} struct { X int }\nfunc (p *P{n}) Move(d int) { log(d) }\nfunc main() {\n\trun("a }")\n}\n', ["P{n}", "P{n}.Move", "main"], [">fmt>imports", "P{n}.Move>log>calls", "main>run>calls"]),
+    ("m{n}.rs", "use std::fmt;\npub struct P{n} { x: i32 }\nimpl P{n} {\n    pub fn new(x: i32) -> P{n} { make(x) }\n}\nfn main() { show({n}); }\n", ["P{n}", "P{n}.new", "main"], [">std::fmt>imports", "P{n}.new>make>calls", "main>show>calls"]),
+    ("M{n}.java", 'import java.util.List;\npublic class M{n} {\n    public static void main(String[] a) {\n        open("}");\n    }\n    int size() { return count(); }\n}\n', ["M{n}", "M{n}.main", "M{n}.size"], [">java.util.List>imports", "M{n}.main>open>calls", "M{n}.size>count>calls"]),
+    ("notes{n}.txt", "no code at all: f({n})", [""], []),
+]
+
+
+def _labelled(which: int) -> str:
+    """The reader's lists as a DuckDB table (i, x), {n} left in."""
+    rows = [f"({i}, '{v}')" for i, s in enumerate(_SOURCES) for v in s[which]]
+    return f"SELECT p_partkey, replace(x, '{{n}}', p_partkey::VARCHAR) AS found FROM part JOIN (VALUES {', '.join(rows)}) AS t(i, x) ON p_partkey % {len(_SOURCES)} = i"
+
+
+def _code(spark, sf, f):
+    """(p_partkey, found) for each symbol or edge that ``f`` finds in the sources of all parts."""
+    rows = spark.createDataFrame([(i, s[0], s[1]) for i, s in enumerate(_SOURCES)], "i int, path string, source string")
+    filled = lambda c: F.replace(F.col(c), F.lit("{n}"), F.col("p_partkey").cast("string")).alias(c)
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(_SOURCES)).cast("int").alias("i"))
+    files = p.join(F.broadcast(rows), "i").select("p_partkey", F.concat_ws("\n", filled("path"), filled("source")).alias("file"))
+    split = lambda t: t.split("\n", 1)
+    found = C.exploded(files, "p_partkey", "file", lambda t: f(split(t)[1], K.language_of(split(t)[0]) or "text"))
+    return found.select("p_partkey", F.col("chunk_text").alias("found"))
+
+
+@query("x3_code_chunks", _labelled(2))
 def code_chunks(spark, sf):
-    code = F.concat(F.lit("class C:\n    def m"), F.col("p_partkey").cast("string"), F.lit("(self):\n        return f("), F.col("p_size").cast("string"), F.lit(")\n\ndef f(x):\n    return x\n"))
-    p = table(spark, sf, "part").select("p_partkey", code.alias("code"))
-    return C.exploded(p, "p_partkey", "code", lambda t: [x["symbol"] for x in C.code_chunks(t)])
+    """Symbols of sources in five languages, and of one that is no code."""
+    return _code(spark, sf, lambda t, language: [x["symbol"] for x in K.code_chunks(t, language)])
 
 
-@query("x4_code_edges")
+@query("x4_code_edges", _labelled(3))
 def code_edges(spark, sf):
-    code = F.concat(F.lit("import os\ndef g"), F.col("p_partkey").cast("string"), F.lit("():\n    return f(1)\n"))
-    p = table(spark, sf, "part").select("p_partkey", code.alias("code"))
-    return C.exploded(p, "p_partkey", "code", lambda t: [">".join(e) for e in C.code_edges(t)])
+    """Their calls and imports."""
+    return _code(spark, sf, lambda t, language: [">".join(e) for e in K.code_edges(t, language)])
 
 
 @query("f14_timeline_lines", "SELECT doc_id, '2024-01-0' || (1 + doc_id % 9) || '|met|more' AS entry FROM documents")

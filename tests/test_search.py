@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import chunkers as C
+from fathomline.functions import code as K
+from fathomline.operators import analytics as A
 from fathomline.operators import ordered
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
@@ -158,3 +160,19 @@ def test_chunks_of_chinese_text_are_counted_in_characters():
     assert len(found) > 8 and all(len(x) <= 160 for x in found)
     assert "".join("".join(found).split()) == text
     assert len(C.chunk_text("a few plain words. " * 100 + "句子", 300, 0)) == 1  # 401 words, within one and a half times the target
+
+
+def test_code_in_strings_and_comments_is_no_code():
+    source = "/* class No { */\nconst s = `function no() { ${f(1)} }`;\nfunction yes(a) {\n  return '}' + g(a); // h(a)\n}\nconst arrow = async (x) => { await yes(x); };\n"
+    assert [(x["symbol"], x["start_line"], x["end_line"]) for x in K.code_chunks(source, "javascript")] == [("yes", 3, 5), ("arrow", 6, 6)]
+    assert K.code_edges(source, "javascript") == [("yes", "g", "calls"), ("arrow", "yes", "calls")]
+    for language in [*K.LANGUAGES, "python", "text"]:
+        for odd in ("", "{", "}}}", "class", "func (", "'", "`", "/*", "impl X {", "x = y("):
+            assert K.code_chunks(odd, language) and isinstance(K.code_edges(odd, language), list)
+    assert K.language_of("a/b.TSX") == "typescript" and K.language_of("README") is None
+
+
+def test_resample_weights_are_poisson():
+    w = A.resample_weights(np.arange(2000), 50, 3)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08
+    assert abs(np.corrcoef(w[:-1, 0], w[1:, 0])[0, 1]) < 0.08 and (w == A.resample_weights(np.arange(2000), 50, 3)).all()
