@@ -11,7 +11,7 @@ from fathomline.operators import graph as G
 
 from fathomline.operators.components import connected_components
 from fathomline.plans.catalog import query
-from fathomline.session import table
+from fathomline.session import cut_lineage, table
 from fathomline.sources import views
 from fathomline.sources.views import with_views
 
@@ -181,15 +181,39 @@ s AS (SELECT name, title, len(list_intersect(q.t, k.t))::DOUBLE / len(list_disti
 SELECT name, title, round(score, 6) AS score FROM s WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, title) = 1""",
 )
 def fuzzy_titles(spark, sf):
-    """Candidates meet by a shared trigram (an equi-join), never all against all."""
-    p = table(spark, sf, "part").select(F.col("p_name").alias("title")).distinct().withColumn("t", T.trigrams(F.col("title")))
-    k = table(spark, sf, "part").select(F.replace("p_name", F.lit("e"), F.lit("a")).alias("name")).distinct().withColumn("u", T.trigrams(F.col("name")))
-    shared = p.withColumn("g", F.explode("t")).join(k.withColumn("g", F.explode("u")), "g").groupBy("name", "title").agg(F.count(F.lit(1)).alias("both"), F.first(F.size("t")).alias("a"), F.first(F.size("u")).alias("b"))
-    s = shared.withColumn("score", F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).filter("score >= 0.4")
+    p = table(spark, sf, "part").select(F.col("p_name").alias("title")).distinct()
+    k = table(spark, sf, "part").select(F.replace("p_name", F.lit("e"), F.lit("a")).alias("name")).distinct()
+    s = similar_names(k, p, 0.4)
     w = W.partitionBy("name").orderBy(F.desc("score"), "title")
     return s.withColumn("n", F.row_number().over(w)).filter("n = 1").select("name", "title", F.round("score", 6).alias("score"))
 
 
+#: Trigrams up to which their table of frequencies is broadcast.
+BROADCAST_TRIGRAMS = 1_000_000
+
+
+def similar_names(names, titles, least: float):
+    """(name, title, score) of all pairs whose sets of trigrams have a similarity of ``least`` or more.
+
+    Sets are put in one order, rarest trigram first. Two sets of that similarity share one of the first
+    size - ceil(least * size) + 1 of either, so only those are joined: the frequent trigrams, which nearly all names have,
+    meet no other. Candidates are then compared whole.
+    """
+    n, t = names.select("name", T.trigrams(F.col("name")).alias("u")), titles.select("title", T.trigrams(F.col("title")).alias("t"))
+    each = n.select(F.explode("u").alias("g")).union(t.select(F.explode("t")))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    often = cut_lineage(often)
+    often = F.broadcast(often) if often.count() <= BROADCAST_TRIGRAMS else often
+
+    def heads(d, key, grams):
+        ordered = d.select(key, grams, F.explode(grams).alias("g")).join(often, "g").groupBy(key, grams).agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("x"))
+        size = F.size("x")
+        return ordered.select(key, grams, F.explode(F.slice("x", F.lit(1), (size - F.ceil(least * size) + 1).cast("int"))["g"]).alias("g"))
+
+    pairs = heads(n, "name", "u").join(heads(t, "title", "t"), "g").select("name", "title", "u", "t").distinct()
+    return pairs.withColumn("score", T.set_similarity(F.col("u"), F.col("t"))).filter(F.col("score") >= least).select("name", "title", "score")
+
+
 @query("j17_full_outer", "SELECT coalesce(c.k, s.k) AS nation, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9500 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON c.k = s.k")
 def full_outer(spark, sf):
     c = table(spark, sf, "customer").filter("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
