@@ -14,12 +14,13 @@ The vector has two parts:
 
 Defined cases: null and empty texts and texts of line breaks only have the zero fingerprint; likeness of equal
 fingerprints is 1, of a zero to another one 0; texts of any length are hashed whole; rows that repeat a doc_id are
-ordered by text and each is the next of the one before; the only document is its own next; a null doc_id comes before
+ordered by the text's hash (then the text) and each is the next of the one before; the only document is its own next; a null doc_id comes before
 all numbers; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import collections
 import hashlib
 from collections.abc import Iterator
 
@@ -115,25 +116,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, bucket, head) so that in each bucket, ordered by (head, doc_id, text), the row after each row is
-    the document that follows it in the whole table; a bucket's last row (head) is only that, of the next bucket.
+    """(doc_id, text, bucket, head) so that in each bucket, ordered by (head, doc_id, hash of the text, text), the row after
+    each row is the document that follows it in the whole table; a bucket's last row (head) is only that, of the next bucket.
 
-    Buckets are ranges between quantiles of doc_id, so the texts are shuffled once; no window runs over the table.
-    What reaches the driver is one number for each bucket.
+    Buckets are ranges between quantiles of doc_id, so the texts are shuffled once; no window runs over the table. A
+    doc_id (or null) with so many rows that it spans several quantiles is parted into that many ranges of the hash.
+    What reaches the driver is some numbers for each bucket.
     """
     spark = docs.sparkSession
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LOWEST)).alias("k"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LOWEST)).alias("k")).withColumn("h", F.xxhash64("text"))
     cuts = rows.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], min(100 * buckets, 1_000_000))).first()[0] or []
-    splits = [-float("inf"), *sorted(set(map(float, cuts)) or {0.0}), float("inf")]
-    rows = rows.withColumn("kd", F.col("k").cast("double"))
-    rows = Bucketizer(splits=splits, inputCol="kd", outputCol="b").transform(rows).withColumn("bucket", F.col("b").cast("int")).drop("b", "kd")
-    first = sorted((r["bucket"], r["k"]) for r in rows.groupBy("bucket").agg(F.min("k").alias("k")).collect())
-    before = spark.createDataFrame([(b, k, first[i - 1][0]) for i, (b, k) in enumerate(first)] or [(0, 0, 0)], "bucket int, k long, into int")
-    heads = rows.join(F.broadcast(before), ["bucket", "k"]).groupBy("into", "doc_id", "k").agg(F.min("text").alias("text"))
-    both = rows.select("doc_id", "k", "text", "bucket", F.lit(False).alias("head")).union(heads.select("doc_id", "k", "text", F.col("into").alias("bucket"), F.lit(True)))
+    often = collections.Counter(cuts)
+    edges = sorted(often) or [0]
+    # range i holds the ids from edges[i - 1] on; where that id is frequent, its rows come first, in as many parts as it has cuts
+    table, at = [(0, LOWEST, 1, 0)], 1
+    for i, k in enumerate(edges, 1):
+        table.append((i, k, often[k], at))
+        at += often[k] + (often[k] > 1)
+    ranges = F.broadcast(spark.createDataFrame(table, "b int, edge long, parts long, first long"))
+    rows = Bucketizer(splits=[-float("inf"), *map(float, edges), float("inf")], inputCol="kd", outputCol="bd").transform(rows.withColumn("kd", F.col("k").cast("double")))
+    rows = rows.withColumn("b", F.col("bd").cast("int")).drop("kd", "bd").join(ranges, "b")
+    part = F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.col("parts") / F.lit(float(1 << 32)))
+    within = F.when(F.col("parts") == 1, 0).when(F.col("k") == F.col("edge"), part).otherwise(F.col("parts"))
+    rows = rows.select("doc_id", "k", "h", "text", (F.col("first") + within).cast("int").alias("bucket"))
+    first = sorted((r["bucket"], tuple(r["x"])) for r in rows.groupBy("bucket").agg(F.min(F.struct("k", "h")).alias("x")).collect())
+    before = spark.createDataFrame([(n, k, h, first[i - 1][0]) for i, (n, (k, h)) in enumerate(first)] or [(0, 0, 0, 0)], "bucket int, k long, h long, into int")
+    heads = rows.join(F.broadcast(before), ["bucket", "k", "h"]).groupBy("into", "doc_id", "k", "h").agg(F.min("text").alias("text"))
+    both = rows.select("doc_id", "k", "h", "text", "bucket", F.lit(False).alias("head")).union(heads.select("doc_id", "k", "h", "text", F.col("into").alias("bucket"), F.lit(True)))
     # neighbouring buckets, four to a partition: as even as the quantiles are
-    return both.repartitionById(buckets // 4, F.floor(F.col("bucket") / 4).cast("int")).sortWithinPartitions("bucket", "head", "k", "text").select("doc_id", "text", "bucket", "head")
+    return both.repartitionById(-(-at // 4), F.floor(F.col("bucket") / 4).cast("int")).sortWithinPartitions("bucket", "head", "k", "h", "text").select("doc_id", "text", "bucket", "head")
 
 
 def edited_text(text: str, following: str) -> str:

@@ -48,7 +48,7 @@ from pyspark.sql import Window as W
 
 from fathomline.llm.suffix_array import permuted_prefixes, suffix_array
 from fathomline.llm.textbatch import Texts, chunks, mix, powers, small_batches, span_hash
-from fathomline.session import cut_lineage, ensure_checkpoint_dir
+from fathomline.session import cut_lineage, ensure_checkpoint_dir, remove_folder
 
 LENGTH = 50
 GRAM = 24
@@ -59,8 +59,8 @@ PART_BYTES = 32 << 20
 #: sample from which an anchor is hot: of these there are as many as the sample's anchors over that number at most.
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 1 / 64, 16 << 20, 1 << 30
 LEAST_HOT = 50
-#: Contexts of one anchor up to which a suffix array compares them.
-MOST_CONTEXTS = 4_000
+#: Contexts of one anchor up to which a suffix array compares them: as many as fill one of ``SHARD_BYTES``.
+MOST_CONTEXTS = 50_000
 #: Turns in which the anchors are compared, so that a quarter of the contexts are on disk at once.
 TURNS = 4
 #: Anchors with many contexts up to which their table is broadcast.
@@ -133,12 +133,6 @@ def written(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a table that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def sampled_hot(docs: DataFrame, size: int, length: int, gram: int) -> np.ndarray:
     """Hashes of anchors that stand in many documents of a sample of about a ``SAMPLE_SHARE`` of the text, sorted."""
     wanted = min(max(SAMPLE_LEAST, int(size * SAMPLE_SHARE)), SAMPLE_MOST)
@@ -494,16 +488,16 @@ def _remove_repeats(docs: DataFrame, length: int, gram: int, with_text: bool, ho
     marks = repeated.select("part", "places", F.lit(None).cast("long").alias("copy")).union(copies.select("part", F.lit(None).cast("binary"), "k"))
     found = occurrences(texts, marks, length, gram).withColumn("turn", F.pmod(F.xxhash64("h", F.lit(4)), F.lit(TURNS)).cast("int"))
     found, found_path = written(found, by="turn")
-    removed(spark, repeated_path)
+    remove_folder(spark, repeated_path)
     places = [written(with_part(placed(found.filter(F.col("turn") == t), parts, length, gram, most_contexts), parts)) for t in range(TURNS)]
-    removed(spark, found_path)
+    remove_folder(spark, found_path)
     spans = places[0][0]
     for more, _ in places[1:]:
         spans = spans.union(more)
     marks = spans.select("part", "k", "v", "begin", "stop").union(copies.select("part", "k", F.lit(0), F.lit(-1), F.lit(-1)))
     out = cut_lineage(cut_texts(texts, marks, length, with_text))
     for _, path in places:
-        removed(spark, path)
+        remove_folder(spark, path)
     return out
 
 

@@ -167,16 +167,21 @@ def test_fingerprint_is_homomorphic(paragraphs, random):
     assert multiset_hash.to_hex(of([*paragraphs, paragraphs[0]])) != whole
 
 
-@pytest.mark.parametrize("which", ["docs", "odd", "one", "none"])
-def test_edited_texts(which, docs, odd):
-    df = {"docs": docs, "odd": odd, "one": docs.limit(1), "none": docs.limit(0)}[which].select("doc_id", "text")
-    rows = sorted(((r[0], r[1] or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+@pytest.mark.parametrize("which", ["docs", "odd", "hot", "one", "none"])
+def test_edited_texts(which, docs, odd, spark):
+    hot = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i % 90} of a table with two frequent ids") for i in range(600)]
+    df = {"docs": docs, "odd": odd, "hot": spark.createDataFrame(hot, "doc_id long, text string").repartition(5), "one": docs.limit(1), "none": docs.limit(0)}[which].select("doc_id", "text")
+    hashed = df.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()
+    rows = [(r["doc_id"], r["text"]) for r in sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]))]
     want = collections.Counter((a[0], len(a[1]), hashlib.sha256(multiset_hash.edited_text(a[1], rows[(i + 1) % len(rows)][1]).encode()).hexdigest()) for i, a in enumerate(rows))
-    got = multiset_hash.compared(multiset_hash.with_next(df)).collect()
+    laid = multiset_hash.with_next(df)
+    got = multiset_hash.compared(laid).collect()
     assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     if which == "docs":
         assert np.mean([r.near_edited for r in got]) > 0.6 > 0.2 > np.mean([r.near_next for r in got])
+    if which == "hot":  # a third of the rows have one id; no bucket holds more than a few dozen
+        assert max(n for n in collections.Counter(r.bucket for r in laid.collect()).values()) < 90
 
 
 def test_likeness_of_heavy_repetition():
