@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from fathomline.llm.conversation_repair import op13
 from fathomline.llm.crf_quality import op1
 from fathomline.llm.fill_middle import OP11_SQL, op11
 from fathomline.llm.line_dedup import OP6_SQL, op6
@@ -35,6 +36,7 @@ _QUERIES: dict[str, Query] = {
     "op10_suffix_array_dedup": op10,
     "op11_fill_middle": op11,
     "op12_prefix_token_counts": op12,
+    "op13_conversation_repair": op13,
     "pipeline": corpus_pipeline.run,
 }
 _ORACLES: dict[str, str] = {
