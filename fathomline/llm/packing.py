@@ -24,6 +24,7 @@ other; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -41,6 +42,8 @@ CAPACITY = 1024
 END_ID = 2
 PART_ROWS = 20_000
 TOKENIZER = "byte_bpe_50k.json"
+#: Runs of blanks (Unicode's, without the four control characters that Python adds) that are encoded by themselves.
+LONG_RUN = re.compile(r"[^\S\x1c-\x1f]{10000,}")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, fill long, partition long, bins long, bound long"
@@ -70,9 +73,30 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@cache
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def token_ids(text: str | None, path: str) -> np.ndarray:
-    """uint32 ids of a text, the end id last."""
-    return np.append(encoding(path).encode_to_numpy(text or "", allowed_special="all"), np.uint32(END_ID)).astype("<u4")
+    """uint32 ids of a text, the end id last.
+
+    The pattern that cuts words looks ahead from a run of blanks, which on a long run is more than its matcher can hold. Such a run,
+    but for its last blank where more text (other than an added token) follows, is a word of its own: the library encodes it.
+    """
+    text = text or ""
+    made: list[np.ndarray] = []
+    at = 0
+    for m in LONG_RUN.finditer(text):
+        last = m.end() == len(text) or text.startswith(tuple(encoding(path).special_tokens_set), m.end())
+        end = m.end() if last else m.end() - 1
+        made.append(encoding(path).encode_to_numpy(text[at : m.start()], allowed_special="all"))
+        made.append(np.array(library(path).encode(text[m.start() : end], add_special_tokens=False).ids))
+        at = end
+    made += [encoding(path).encode_to_numpy(text[at:], allowed_special="all"), [END_ID]]
+    return np.concatenate(made).astype("<u4")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
