@@ -20,7 +20,8 @@ pairs that the keys let through; keys and tiles spread the pairs evenly over tas
 
 Defined cases: null and empty texts and texts without words have fingerprint zero and are linked like any other; texts
 with fewer words than a shingle give one shingle of all words; very long texts are read whole; rows that repeat a doc_id fall
-into one component; a null doc_id gets no say in its component's number; an empty table gives no rows; columns other than
+into one component; a row without a doc_id links like any other, but has no say in its component's number, which is null
+if no row has one; an empty table gives no rows; columns other than
 doc_id and text are not read.
 """
 
@@ -308,23 +309,25 @@ def linked(reps: DataFrame, radius: int, steps: list[int], n_words: int, tile: i
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def same_id(prints: DataFrame, reps: DataFrame) -> DataFrame:
+def same_id(prints: DataFrame) -> DataFrame:
     """Edges (a, b) that tie together the fingerprints of rows with one doc_id."""
-    h = F.xxhash64("fp")
-    several = prints.groupBy("doc_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).filter("x <> y").select("doc_id")
-    rows = prints.join(several, "doc_id", "left_semi").join(reps, ["fp", "tile_key"])
-    return rows.select(F.col("doc_id").cast("long").alias("a"), F.col("rep").cast("long").alias("b"))
-
-
-def components(docs: DataFrame, shingle: int = 3, radius: int = 2, n_words: int = 1, tile: int = TILE) -> DataFrame:
-    """(doc_id, fingerprint as hex, component_id) of every row of ``docs``."""
-    prints = cut_lineage(fingerprint_table(docs, shingle, n_words, block_key))
-    reps = prints.groupBy("fp", "tile_key").agg(F.min("doc_id").alias("rep"))
-    reps = cut_lineage(reps)
-    edges = linked(reps.filter("rep is not null"), radius, block_steps(radius), n_words, tile).unionByName(same_id(prints, reps))
-    found = connected_components(edges)
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "tile_key", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, ["fp", "tile_key"], "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    several = prints.groupBy(F.col("doc_id").alias("id")).agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("id is not null and a <> z")
+    return prints.join(several, F.col("doc_id") == F.col("id")).select("a", F.col("rep").alias("b"))
+
+
+def components(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
+    """(doc_id, fingerprint as hex, component_id) of every row of ``docs``.
+
+    Fingerprints of one word are their own names in the graph, so that a row without an id links as any other does; a component's
+    number is its smallest doc_id, null if none of its rows has one.
+    """
+    name = F.conv(F.hex("fp"), 16, -10).cast("long")
+    prints = cut_lineage(fingerprint_table(docs, shingle, 1, block_key).withColumn("rep", name))
+    reps = cut_lineage(prints.groupBy("rep", "fp", "tile_key").agg(F.min("doc_id").alias("least")))
+    found = connected_components(linked(reps, radius, block_steps(radius), 1, tile).unionByName(same_id(prints)))
+    named = reps.join(found, reps["rep"] == found["node"], "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))
+    number = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(number, "component").select("rep", "component_id"), "rep").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def set_table(rows: DataFrame, shingle: int, radius: int, n_words: int, with_items: bool = False) -> DataFrame:
