@@ -2,7 +2,7 @@
 
 Base columns follow the words ``[^\\x20\\x09-\\x0D]+`` of the whole text. A line that has a word fails
 
-* *punctuation*: no sentence punctuation in or at its end, or over half of its words end in ``!``, or over a tenth of
+* *punctuation*: no sentence punctuation in or at its end (unless it is mostly in scripts that write none, as Thai), or over half of its words end in ``!``, or over a tenth of
   its word characters are symbols of ``#*$%&|<>``, or over half of its words repeat the word before;
 * *navigation*: ``|``, ``>`` or a bullet parts it into more than two entries;
 * *boilerplate*: it opens or holds one of the fixed phrases below.
@@ -27,7 +27,7 @@ from fathomline.llm.textbatch import Texts, byte_class, chunks, map_texts, mix,
 #: The characters that count as symbols.
 SYMBOLS = tuple(b"#*$%&|<>")
 #: Characters that end or part sentences.
-SENTENCE_MARKS = ".!?:;\u2026\u3002\uff01\uff1f\uff1a\uff1b\uff0e\uff61\u061f\u061b\u06d4\u0964\u0965\u0589\u1362\u104b\u17d4\u203c\u2047\u2048\u2049"
+SENTENCE_MARKS = ".!?:;\u2026\u3002\uff01\uff1f\uff1a\uff1b\uff0e\uff61\u061f\u061b\u06d4\u0964\u0965\u0589\u0f0d\u0f0e\u1362\u104a\u104b\u17d4\u17d5\u203c\u2047\u2048\u2049"
 #: Entry marks of menus and tables.
 ENTRY_MARKS = "|>\u2022\u00bb"
 #: Phrases of boilerplate lines, in lower case.
@@ -67,6 +67,21 @@ def is_mark(buf: np.ndarray, marks: str) -> np.ndarray:
     return found
 
 
+def is_unmarked(buf: np.ndarray) -> np.ndarray:
+    """Where a character begins whose script needs no mark at a sentence's end.
+
+    These are Thai, Lao and Tibetan (U+0E00 to U+0FFF), Burmese (to U+109F), the scripts of U+1700 to U+1CFF, Khmer and Mongolian among
+    them, and those of U+A800 to U+ABFF.
+    """
+    found = np.zeros(len(buf), bool)
+    at = np.flatnonzero((buf == 0xE0) | (buf == 0xE1) | (buf == 0xEA))
+    if len(at):
+        padded = np.append(buf, np.zeros(2, np.uint8)).astype(np.uint32)
+        code = (padded[at] & 0x0F) << 12 | (padded[at + 1] & 0x3F) << 6 | padded[at + 2] & 0x3F
+        found[at] = ((code >= 0x0E00) & (code < 0x10A0)) | ((code >= 0x1700) & (code < 0x1D00)) | ((code >= 0xA800) & (code < 0xAC00))
+    return found
+
+
 def repeat_words(word_hash: np.ndarray, doc: np.ndarray, n_docs: int, window: int = WINDOW) -> np.ndarray:
     """Words that lie in a window of words found twice or more in their document, by document."""
     n = len(word_hash) - window + 1
@@ -121,6 +136,7 @@ class Lines:
         self.hash = span_hash(prefix, self.start, self.end)
         self.text_points = np.diff(points[t.offsets])
         self.marks = self._within(is_mark(t.buf, SENTENCE_MARKS))
+        self.unmarked = self._within(is_unmarked(t.buf))
         self.symbols = self._bytes(t, SYMBOLS)
         self.entries = self._within(is_mark(t.buf, ENTRY_MARKS))
         shout = (t.buf[ends - 1] == 33) if len(ends) else np.zeros(0, bool)
@@ -161,7 +177,8 @@ class Lines:
     def failures(self) -> tuple[np.ndarray, np.ndarray]:
         """(fails punctuation or navigation, fails boilerplate) of each line."""
         chars = np.maximum(self.chars, 1)
-        punctuation = (self.marks == 0) | (2 * self.shouts > self.n_words) | (10 * self.symbols > chars) | (2 * self.again > self.n_words)
+        unended = (self.marks == 0) & (2 * self.unmarked <= chars)
+        punctuation = unended | (2 * self.shouts > self.n_words) | (10 * self.symbols > chars) | (2 * self.again > self.n_words)
         return punctuation | (self.entries > 2), self.boilerplate
 
 
