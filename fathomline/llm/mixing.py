@@ -9,7 +9,7 @@ gathered anywhere. Rows travel as one struct column, so no column of the input c
 A rate above ``STEP`` is inverted as the sum of several draws of at most that mean, so that exp(-rate) stays in range.
 
 Defined cases: a null source is a source of its own; sources without a weight have weight ``default_weight``; weights that
-are negative are an error; null and empty texts are documents like any other; a null doc_id hashes as ``''``; rows that repeat
+are negative are an error; null and empty texts are documents like any other; a row without doc_id draws by the MD5 of its text; rows that repeat
 a doc_id draw the same count each; texts of any length stay whole; an empty table gives no rows.
 """
 
@@ -85,13 +85,13 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, default_weig
     names = docs.columns
     table = rates(docs, weights, default_weight, source, size)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    key = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")) if "text" in names else F.lit(""))
     own = rows.withColumn("site", F.coalesce(F.col(f"row.`{source}`"), F.lit("\0"))).join(table, "site")
     counted = own.withColumn("count", poisson(F.col("rate"), key, seed)).filter("count > 0")
     copies = counted.select("row", "rate", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
     keyed = copies.withColumn("shuffle_key", uniform(seed, F.lit("order"), key, F.col("copy").cast("string")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", F.col("row.doc_id"))
+    # parts are made by their bytes: rows that share an id have the same keys, and may be a large share of the table
+    ordered = keyed.hint("rebalance", "shuffle_key").sortWithinPartitions("shuffle_key", F.col("row.doc_id"))
     more = {"copy": F.col("copy"), "rate": F.round("rate", 9), "shuffle_key": F.col("shuffle_key")} if detail else {}
     return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in names if c not in more], *[c.alias(n) for n, c in more.items()])
 
@@ -113,11 +113,11 @@ def _u(*parts: str) -> str:
 OP7_SQL = f"""
 WITH RECURSIVE c AS (SELECT coalesce(source, chr(0)) AS site, count(*) AS n, CASE coalesce(source, chr(0)) {' '.join(f"WHEN '{k}' THEN {w!r}::DOUBLE" for k, w in WEIGHTS.items())} ELSE 1.0::DOUBLE END AS w FROM documents GROUP BY 1),
 r AS (SELECT site, w / (SELECT sum(w) FROM c) * (SELECT sum(n) FROM c)::DOUBLE / n AS rate FROM c),
-d AS (SELECT doc_id, text, source, lang, n_chars, rate, greatest(1, ceil(rate / {STEP!r}))::INT AS draws FROM documents JOIN r ON coalesce(source, chr(0)) = site),
-u AS (SELECT DISTINCT doc_id, rate, draws, i, {_u(f"'{SEED}'", "doc_id::VARCHAR", "i::VARCHAR")} AS u, rate / draws AS mean FROM d, unnest(generate_series(1, draws)) AS g(i)),
-p AS (SELECT doc_id, rate, i, u, mean, exp(-mean) AS p, exp(-mean) AS s, 0 AS k, 0 AS n FROM u
-      UNION ALL SELECT doc_id, rate, i, u, mean, p * mean / (k + 1), s + p * mean / (k + 1), k + 1, n + CASE WHEN u >= s THEN 1 ELSE 0 END FROM p WHERE k < {TERMS}),
-t AS (SELECT doc_id, rate, sum(n) AS n FROM p WHERE k = {TERMS} GROUP BY doc_id, rate)
-SELECT d.doc_id, d.text, source, lang, n_chars, (g.copy)::INT AS copy, round(d.rate, 9) AS rate, {_u(f"'{SEED}'", "'order'", "d.doc_id::VARCHAR", "g.copy::VARCHAR")} AS shuffle_key
-FROM d JOIN t ON t.doc_id = d.doc_id AND t.rate = d.rate, unnest(generate_series(0, t.n::BIGINT - 1)) AS g(copy)
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key, text, source, lang, n_chars, rate, greatest(1, ceil(rate / {STEP!r}))::INT AS draws FROM documents JOIN r ON coalesce(source, chr(0)) = site),
+u AS (SELECT DISTINCT key, rate, draws, i, {_u(f"'{SEED}'", "key", "i::VARCHAR")} AS u, rate / draws AS mean FROM d, unnest(generate_series(1, draws)) AS g(i)),
+p AS (SELECT key, rate, i, u, mean, exp(-mean) AS p, exp(-mean) AS s, 0 AS k, 0 AS n FROM u
+      UNION ALL SELECT key, rate, i, u, mean, p * mean / (k + 1), s + p * mean / (k + 1), k + 1, n + CASE WHEN u >= s THEN 1 ELSE 0 END FROM p WHERE k < {TERMS}),
+t AS (SELECT key, rate, sum(n) AS n FROM p WHERE k = {TERMS} GROUP BY key, rate)
+SELECT d.doc_id, d.text, source, lang, n_chars, (g.copy)::INT AS copy, round(d.rate, 9) AS rate, {_u(f"'{SEED}'", "'order'", "d.key", "g.copy::VARCHAR")} AS shuffle_key
+FROM d JOIN t ON t.key = d.key AND t.rate = d.rate, unnest(generate_series(0, t.n::BIGINT - 1)) AS g(copy)
 """
