@@ -236,6 +236,17 @@ def test_added_tokens_are_those_of_the_tokenizer(text):
         assert packing.token_ids(x, packing.default_tokenizer()).tolist() == [*t.encode(x, add_special_tokens=False).ids, packing.END_ID]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [" " * 1_000_000, "\n" * 1_000_000, " \n\t" * 200_000, "a word" + " " * 700_000 + "next. " + "\n" * 500_000 + "<|endoftext|>end" + " " * 20_000, "\xa0" * 20_000 + "x", "a\x1c" + " " * 9999 + "\x1d" + "\t" * 30_000 + "<|endoftext|>"],
+)
+def test_long_runs_of_blanks(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    assert packing.token_ids(text, packing.default_tokenizer()).tolist() == [*t.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
 @pytest.mark.parametrize("which,part_rows,slack", [("docs", 20_000, 1.02), ("docs", 40, 1.1), ("odd", 4, 1.5), ("none", 40, 1)])
 def test_packing(which, part_rows, slack, docs, odd):
     df = {"docs": docs, "odd": odd, "none": docs.limit(0)}[which]
@@ -428,6 +439,9 @@ def test_mixing_odd_rows(odd):
     for r in mixing.mixed(clash, {"s1": 3.0}).collect():
         assert (r.site, r["count"], r.rate, r.row, r.shuffle_key, r["__rate"], r["__drop"]) == ("x", "y", 1, 2, 3, 4, 5)
     assert mixing.mixed(odd, default_weight=0.0).count() == 0
+    nameless = odd.sparkSession.range(600).selectExpr("CAST(null AS long) AS doc_id", "concat('text ', id) AS text", "'s1' AS source")
+    drawn = collections.Counter(r.text for r in mixing.mixed(nameless, size=1200, detail=True).collect())
+    assert len(set(drawn.values())) > 3 and 1000 < sum(drawn.values()) < 1400
     assert set(mixing.mixed(odd, detail=True).columns) == {*odd.columns, "rate", "shuffle_key"}
     with pytest.raises(ValueError):
         mixing.mixed(odd, {"s1": -1.0})
@@ -480,7 +494,8 @@ def brute_kept(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", line)
         n = sum(map(len, w))
         total += n
-        bad = not any(c in quality_rules.SENTENCE_MARKS for c in line) or 2 * sum(x.endswith("!") for x in w) > len(w)
+        free = sum(0x0E00 <= ord(c) < 0x10A0 or 0x1700 <= ord(c) < 0x1D00 or 0xA800 <= ord(c) < 0xAC00 for c in line)
+        bad = (2 * free <= n and not any(c in quality_rules.SENTENCE_MARKS for c in line)) or 2 * sum(x.endswith("!") for x in w) > len(w)
         bad |= 10 * sum(line.count(c) for c in "#*$%&|<>") > n or 2 * sum(a == b for a, b in zip(w, w[1:], strict=False)) > len(w)
         bad |= sum(line.count(c) for c in quality_rules.ENTRY_MARKS) > 2
         low = "".join(c.lower() if c.isascii() else c for c in line).encode()
@@ -495,6 +510,12 @@ SCRIPTS = (
     "这 是 一 行 没有 问题 的 文字 ， 我们 说 了 很 多 话 。",
     "هذا سطر عادي من نص واضح، وفيه كلمات كثيرة لا بأس بها ؟",
     "यह एक साधारण पंक्ति है जिसमें बहुत से शब्द हैं और अंत में विराम है।",
+    "วันนี้ อากาศ ดี มาก เรา ไป เดิน เล่น ที่ สวน สาธารณะ กัน",
+    "ມື້ນີ້ ອາກາດ ດີ ຫຼາຍ ພວກ ເຮົາ ໄປ ຍ່າງ ຫຼິ້ນ ຢູ່ ສວນ",
+    "དེ་རིང་ གནམ་གཤིས་ ཡག་པོ་ འདུག ང་ཚོ་ གླིང་ཀར་ འགྲོ་གི་ཡིན།",
+    "ថ្ងៃនេះ អាកាសធាតុ ល្អ ណាស់ យើង ទៅ ដើរ លេង នៅ សួន",
+    "ဒီနေ့ ရာသီဥတု ကောင်း တယ် ငါတို့ ပန်းခြံ ကို သွား မယ်",
+    "วันนี้ ดี but this line is mostly in plain words without any mark",
     "Home | About | Contact | Help",
     "All rights reserved, as ever, by the people who wrote this page.",
     "no mark at the end of this line of words",
@@ -511,6 +532,13 @@ def test_verdict_by_characters_in_all_scripts(lines):
     assert bool(quality_rules.judge(t)["kept"][0]) == brute_kept(text)
 
 
+def test_clean_text_without_marks_is_kept():
+    for line in SCRIPTS[5:10]:
+        text = "\n".join(f"{line} {k}" for k in "กขคง")
+        _, t = next(iter(chunks(pa.array([text], pa.string()))))
+        assert quality_rules.judge(t)["loss"][0] == 0 and not quality_rules.judge(t)["n_lines_removed"][0]
+
+
 def test_verdict_on_the_table(docs):
     want = {r["doc_id"]: brute_kept(r["text"] or "") for r in docs.select("doc_id", "text").collect()}
     assert {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()} == want
@@ -581,6 +609,47 @@ def test_components_of_rows_without_an_id(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("4", "4"), ("7", "4"), ("None", "4"), ("None", "None")]
 
 
+def test_links_through_rows_without_an_id(spark):
+    """A third of the rows have no id, and a third one id; every row links, whatever its id."""
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 50, 80)] for _ in range(12)]
+    rows = []
+    for k in range(240):
+        w = list(base[k % 12])
+        for i in rng.integers(0, 80, rng.integers(0, 3)):
+            w[i] = f"w{rng.integers(0, 50)}"
+        rows.append((None if k % 3 == 0 else 500 if k % 3 == 1 else k, " ".join(w)))
+    prints = [brute_simhash(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (a, x) in enumerate(zip(prints, rows, strict=True)):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 2 or (x[0] is not None and x[0] == rows[j][0]):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(i)] = min(doc, least.get(find(i), doc))
+    want = collections.Counter((doc, format(prints[i], "016x"), least.get(find(i))) for i, (doc, _) in enumerate(rows))
+    got = simhash.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tile=16).collect()
+    assert collections.Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
+    assert len(least) > 1
+
+
+def test_row_without_id_in_the_middle(spark, monkeypatch):
+    """Two documents two bits apart from a row without an id, on either side of it, are one component."""
+    monkeypatch.setattr(simhash, "fingerprint_table", lambda docs, *_: docs)
+    fp = [0xFF00, 0xFF03, 0xFF0F]
+    rows = [(d, bytearray(x.to_bytes(8, "big")), int(simhash.block_key(np.array([[x]], np.uint64), np.ones(1))[0])) for d, x in zip((1, None, 2), fp, strict=True)]
+    got = simhash.components(spark.createDataFrame(rows, "doc_id long, fp binary, tile_key long")).collect()
+    assert [r.component_id for r in got] == [1, 1, 1]
+
+
 def test_tiles_lose_no_link():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 30).astype(np.uint64)
