@@ -549,6 +549,20 @@ _LINKS = [
     ("person", "spent four years at {n}", "", "companies", "works_at"),
     ("person", "her work on the pipeline of {n}", "Cy is a staff engineer at Elm.", "companies", "works_at"),
     ("person", "saw {n} at dinner", "Cy likes tea.", "companies", "mentions"),
+    ("person", "they built a small company, {n}, from nothing", "", "companies", "founded"),
+    ("company", "{n} is one of its first backers and holds a stake in it", "", "people", "invested_in"),
+    ("person", "took part in the last seed round of {n}", "", "companies", "invested_in"),
+    ("person", "was financed by {n}", "", "companies", "invested_in"),
+    ("person", "consults on storage for {n}", "", "companies", "advises"),
+    ("person", "acts as its unpaid adviser: {n}", "", "companies", "advises"),
+    ("person", "previously a cook at {n}", "", "companies", "works_at"),
+    ("person", "runs the whole research group of {n}", "", "companies", "works_at"),
+    ("person", "during her days at {n}", "", "companies", "works_at"),
+    ("person", "went past {n} by train", "Ed became the first director of Oak.", "companies", "works_at"),
+    ("person", "went past {n} by train", "Flo was for years a trusted adviser.", "companies", "advises"),
+    ("person", "went past {n} by train", "Gus backs young firms.", "people", "mentions"),
+    ("person", "found a bug in {n}", "", "companies", "mentions"),
+    ("company", "the workshop next to {n}", "", "companies", "mentions"),
 ]
 
 
