@@ -267,13 +267,13 @@ def rerank(results: DataFrame, scorer, head: int, keep: int, order: Sequence[Col
 BLOCK = 1024
 
 
-def block_matches(queries: DataFrame, rows: DataFrame, k: int, earlier_only: bool = False, block: int = BLOCK) -> DataFrame:
-    """(bucket, id, other, sim): the k rows of the same bucket nearest to each query by cosine, but for itself.
+def block_pairs(queries: DataFrame, rows: DataFrame, choose, block: int = BLOCK) -> DataFrame:
+    """(bucket, id, other, sim) of the pairs of a query and a row of its bucket that ``choose`` takes of two blocks.
 
     Both tables have (bucket, id, vector). A bucket's queries and rows are dealt to blocks of about ``block`` vectors, and a
-    task compares one block with one other by a matrix product and keeps k rows a query, so a hot bucket makes many
-    tasks and nothing gathers it. ``earlier_only`` leaves out rows with an id from the query's on. Ties go to the smaller
-    id; vectors that are null, empty or zero match nothing.
+    task compares one block with one other by a matrix product, so a hot bucket makes many tasks and nothing gathers it.
+    ``choose`` gets the cosines (-inf for vectors without a direction) and both blocks' ids, and returns indices of
+    queries and rows. Vectors that are null, empty or zero match nothing.
     """
     usable = lambda d: d.filter("vector is not null and size(vector) > 0")
     queries, rows = usable(queries), usable(rows)
@@ -302,62 +302,38 @@ def block_matches(queries: DataFrame, rows: DataFrame, k: int, earlier_only: boo
                 norms = [np.sqrt((v * v).sum(axis=1)) for v in vectors]
                 unit = [v / np.where(n > 0, n, 1)[:, None] for v, n in zip(vectors, norms, strict=True)]
                 sim = unit[0] @ unit[1].T
-                out = (ids[1][None, :] >= ids[0][:, None]) if earlier_only else ids[1][None, :] == ids[0][:, None]
-                sim[out | (norms[0] == 0)[:, None] | (norms[1] == 0)[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids[1], sim.shape), -sim), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(ids[0])), order.shape[1])
-                to = order.ravel()
-                use = np.isfinite(sim[at, to])
-                at, to = at[use], to[use]
+                sim[(norms[0] == 0)[:, None] | (norms[1] == 0)[None, :]] = -np.inf
+                at, to = choose(sim, *ids)
                 bucket = one.column(0).take(pa.array(np.zeros(len(at), np.int64)))
                 yield pa.RecordBatch.from_arrays([bucket, pa.array(ids[0][at].astype(np.int64)), pa.array(ids[1][to].astype(np.int64)), pa.array(sim[at, to])], names=["bucket", "id", "other", "sim"])
 
-    found = pairs.mapInArrow(run, f"bucket {kind}, id long, other long, sim double")
-    return best_per(found, ["bucket", "id"], [F.desc("sim"), F.asc("other")], k)
-
+    return pairs.mapInArrow(run, f"bucket {kind}, id long, other long, sim double")
 
-#: Vectors on which the lists' centres are fitted at most, lists, and share of the lists that a query looks into.
-FIT_MOST, LISTS, PROBED = 4096, 32, 0.75
 
+def block_matches(queries: DataFrame, rows: DataFrame, k: int, earlier_only: bool = False, block: int = BLOCK) -> DataFrame:
+    """(bucket, id, other, sim): the k rows of the same bucket nearest to each query by cosine, but for itself.
 
-def list_centres(rows: DataFrame, lists: int = LISTS, most: int = FIT_MOST, rounds: int = 10) -> np.ndarray:
-    """Unit centres by spherical k-means on a bounded sample, chosen by a hash of the id."""
-    sample = rows.filter("vector is not null and size(vector) > 0").orderBy(F.xxhash64("id"), "id").limit(most).select("vector").toPandas()["vector"]
-    if not len(sample):
-        return np.zeros((0, 0))
-    x = np.stack(sample.to_list()).astype(float)
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None]
-    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
-    for _ in range(rounds):
-        own = np.argmax(x @ centres.T, axis=1)
-        sums = np.stack([x[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
-        centres = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1)), 1e-12)[:, None]
-    return centres
-
+    ``earlier_only`` leaves out rows with an id from the query's on. Ties go to the smaller id.
+    """
 
-def nearest_lists(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
-    """(id, vector, bucket): each row once for each of its n nearest lists, one Arrow pass."""
+    def choose(sim: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sim[(others[None, :] >= ids[:, None]) if earlier_only else others[None, :] == ids[:, None]] = -np.inf
+        order = np.lexsort((np.broadcast_to(others, sim.shape), -sim), axis=1)[:, :k]
+        at = np.repeat(np.arange(len(ids)), order.shape[1])
+        to = order.ravel()
+        use = np.isfinite(sim[at, to])
+        return at[use], to[use]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            x = np.asarray(column.flatten(), float).reshape(len(batch), -1) if len(batch) else np.zeros((0, centres.shape[1]))
-            best = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n]
-            at = np.repeat(np.arange(len(batch)), best.shape[1])
-            taken = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(best.ravel().astype(np.int32))], names=["id", "vector", "bucket"])
+    return best_per(block_pairs(queries, rows, choose, block), ["bucket", "id"], [F.desc("sim"), F.asc("other")], k)
 
-    plain = rows.filter("vector is not null and size(vector) > 0").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    return plain.mapInArrow(run, "id long, vector array<double>, bucket int")
 
+def block_first(queries: DataFrame, rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(bucket, id, other): the row with the smallest id under the query's own whose cosine is ``least`` or more."""
 
-def inverted_list_search(queries: DataFrame, rows: DataFrame, k: int, lists: int = LISTS, probed: float = PROBED) -> DataFrame:
-    """(id, other, sim): about the k nearest rows to each query. Every row lies in one list, a query looks into several.
+    def choose(sim: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fits = np.where((sim >= least) & (others[None, :] < ids[:, None]), others[None, :].astype(float), np.inf)
+        to = np.argmin(fits, axis=1)
+        at = np.flatnonzero(np.isfinite(fits[np.arange(len(ids)), to]))
+        return at, to[at]
 
-    Lists are compared in blocks (``block_matches``), so an uneven list makes more tasks, not a longer one.
-    """
-    centres = list_centres(rows, lists)
-    if not len(centres):
-        return rows.limit(0).select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("other"), F.lit(0.0).alias("sim"))
-    found = block_matches(nearest_lists(queries, centres, max(1, round(probed * len(centres)))), nearest_lists(rows, centres, 1), k)
-    return best_per(found.select("id", "other", "sim"), ["id"], [F.desc("sim"), F.asc("other")], k)
+    return block_pairs(queries, rows, choose, block).groupBy("bucket", "id").agg(F.min("other").alias("other"))

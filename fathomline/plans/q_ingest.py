@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fathomline.functions import chunkers as C
 from fathomline.functions import code as K
 from fathomline.operators import analytics as A
+from fathomline.operators import clusters
 from fathomline.operators import retrieval as R
 from fathomline.plans.catalog import query
 from fathomline.session import table
@@ -90,17 +90,21 @@ def recursive_chunks(spark, sf):
     return C.exploded(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("w15_semantic_boundaries")
-def semantic_boundaries(spark, sf):
-    """Boundaries in each label's sequence of embeddings."""
-    import pandas as pd
+#: Boundaries in each label's sequence of embeddings, as SQL (label, place): the similarity's slope turns up at a low place.
+BOUNDARIES_SQL = """p AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings),
+s AS (SELECT a.label, a.i, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM p a JOIN p b ON b.label = a.label AND b.i = a.i + 1),
+l AS (SELECT label, sim AS low FROM (SELECT label, sim, row_number() OVER (PARTITION BY label ORDER BY sim) AS r, count(*) OVER (PARTITION BY label) AS n FROM s) WHERE r = floor((n - 1) * 0.2) + 1),
+e AS (SELECT label, i, sim, lag(sim) OVER w AS last, coalesce(lag(sim) OVER w, sim) AS b1, coalesce(lag(sim, 2) OVER w, lag(sim) OVER w, sim) AS b2, coalesce(lead(sim) OVER w, sim) AS a1, coalesce(lead(sim, 2) OVER w, lead(sim) OVER w, sim) AS a2 FROM s WINDOW w AS (PARTITION BY label ORDER BY i)),
+d AS (SELECT *, -0.2::DOUBLE * b2 - 0.1::DOUBLE * b1 + 0.1::DOUBLE * a1 + 0.2::DOUBLE * a2 AS slope FROM e),
+t AS (SELECT label, i, sim, last, lag(slope) OVER (PARTITION BY label ORDER BY i) < 0 AND slope >= 0 AS turns FROM d),
+c AS (SELECT t.label, i + CASE WHEN sim <= last THEN 1 ELSE 0 END AS place FROM t JOIN l ON l.label = t.label WHERE turns AND least(sim, last) <= low),
+q AS (SELECT label, place FROM c QUALIFY coalesce(place - lag(place) OVER (PARTITION BY label ORDER BY place) >= 2, true))"""
 
-    def run(pdf):
-        pdf = pdf.sort_values("chunk_id")
-        found = C.semantic_boundaries(np.stack(pdf["embedding"].to_list()))
-        return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "boundary": found})
 
-    return views.chunks(spark, sf).groupBy("page_id").applyInPandas(run, "page_id int, boundary int")
+@query("w15_semantic_boundaries", f"WITH {BOUNDARIES_SQL} SELECT label AS page_id, place AS boundary FROM q")
+def semantic_boundaries(spark, sf):
+    """Boundaries in each label's sequence of embeddings."""
+    return clusters.semantic_boundaries(views.chunks(spark, sf), ["page_id"], "chunk_id", "embedding")
 
 
 #: (file, source, symbols, calls and imports as from>to>kind) as a reader would list them; {n} is a part's number.

@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from fathomline.functions import chunkers as C
 from fathomline.functions import text as T
 from fathomline.operators import retrieval as R
-from fathomline.operators import scope
+from fathomline.operators import clusters, scope
 from fathomline.plans import search
 from fathomline.plans.catalog import query
+from fathomline.plans.q_ingest import BOUNDARIES_SQL
 from fathomline.session import ensure_checkpoint_dir, table
 from fathomline.sources import documents as D
 from fathomline.sources import plugins, views
@@ -229,17 +230,10 @@ def code_import(spark, sf):
     return C.exploded(p, "p_partkey", "code", lambda t: [x["symbol"] for x in C.code_chunks(t)]).select("p_partkey", F.col("chunk_text").alias("symbol"))
 
 
-@query("x2_semantic_chunks")
+@query("x2_semantic_chunks", f"WITH {BOUNDARIES_SQL} SELECT p.label AS page_id, p.vec_id AS chunk_id, count(q.place) AS part FROM p LEFT JOIN q ON q.label = p.label AND q.place <= p.i GROUP BY ALL")
 def semantic_chunks(spark, sf):
     """Each label's sequence of vectors cut at its semantic boundaries."""
-    import numpy as np
-
-    def run(pdf):
-        pdf = pdf.sort_values("chunk_id")
-        cuts = C.semantic_boundaries(np.stack(pdf["embedding"].to_list()))
-        return pdf.assign(part=np.searchsorted(cuts, np.arange(len(pdf)), side="right"))[["page_id", "chunk_id", "part"]]
-
-    return views.chunks(spark, sf).groupBy("page_id").applyInPandas(run, "page_id int, chunk_id long, part long")
+    return clusters.semantic_parts(views.chunks(spark, sf), ["page_id"], "chunk_id", "embedding")
 
 
 @query("x7_named_aggregates", f"{with_views('takes')} SELECT domain, round(avg((weight - (quality = 'correct')::INT) ** 2) FILTER (WHERE quality IN ('correct', 'incorrect')), 6) AS scalar_brier, round(avg((quality = 'correct')::INT) FILTER (WHERE quality IN ('correct', 'incorrect')), 6) AS count_accuracy FROM takes_v GROUP BY domain")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from fathomline.functions import text as T
 from fathomline.functions import vector as V
 from fathomline.operators import analytics as A
-from fathomline.operators import ordered, scope
+from fathomline.operators import clusters, ordered, scope
 from fathomline.plans.catalog import query
 from fathomline.session import table
 from fathomline.sources import views
@@ -383,26 +383,21 @@ def valid_until(spark, sf):
     return views.facts(spark, sf).select("id", F.lead("valid_from").over(W.partitionBy("entity", "metric").orderBy("valid_from", "id")).alias("valid_until"))
 
 
-@query("w7_leader_clusters")
+_NEAR = "SELECT x.vec_id, list(y.vec_id) AS near FROM embeddings x JOIN embeddings y ON y.label = x.label AND y.vec_id > x.vec_id AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.3 GROUP BY x.vec_id"
+
+
+@query(
+    "w7_leader_clusters",
+    f"""WITH RECURSIVE a AS ({_NEAR}),
+s AS (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY e.vec_id DESC) AS k, coalesce(near, []) AS near FROM embeddings e LEFT JOIN a ON a.vec_id = e.vec_id),
+g AS (SELECT label, k, vec_id, [vec_id] AS heads FROM s WHERE k = 1
+      UNION ALL SELECT s.label, s.k, s.vec_id, CASE WHEN len(list_intersect(s.near, g.heads)) = 0 THEN list_append(g.heads, s.vec_id) ELSE g.heads END FROM g JOIN s ON s.label = g.label AND s.k = g.k + 1)
+SELECT g.label AS page_id, g.vec_id AS chunk_id, coalesce(list_max(list_intersect(s.near, g.heads)), g.vec_id) AS head FROM g JOIN s ON s.label = g.label AND s.k = g.k""",
+)
 def leader_clusters(spark, sf):
-    """Greedy and order dependent: one small bucket at a time, newest first, cosine of 0.4 or more to a cluster's head."""
-    import numpy as np
-
-    def run(pdf):
-        pdf = pdf.sort_values("chunk_id", ascending=False)
-        heads, out = [], []
-        for i, v in zip(pdf["chunk_id"], pdf["embedding"], strict=True):
-            v = np.asarray(v) / (np.linalg.norm(v) or 1.0)
-            for name, h in heads:
-                if float(v @ h) >= 0.4:
-                    out.append(name)
-                    break
-            else:
-                heads.append((i, v))
-                out.append(i)
-        return pdf.assign(head=out)[["page_id", "chunk_id", "head"]]
-
-    return views.chunks(spark, sf).groupBy("page_id").applyInPandas(run, "page_id int, chunk_id long, head long")
+    """Facts join the first cluster, newest facts first, whose head has a cosine of 0.3 or more with them."""
+    rows = views.chunks(spark, sf).select(F.col("page_id").alias("bucket"), F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
+    return clusters.leader_clusters(rows, 0.3).select(F.col("bucket").alias("page_id"), F.col("id").alias("chunk_id"), "head")
 
 
 @query("w8_cluster_takes", f"{with_views('facts')} SELECT entity, arg_max(id, confidence * 100000 - id / 100000.0) AS best, round(avg(value), 4) AS weight, min(valid_from) AS since, count(DISTINCT metric) AS sources FROM facts_v GROUP BY entity")

@@ -25,6 +25,7 @@ from fathomline.operators import graph as G
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
 from fathomline.operators import scope
+from fathomline.operators import vector_index as VI
 from fathomline.session import cut_lineage
 
 # Weights of the keyword and the vector list by intent.
@@ -40,6 +41,8 @@ RELATIONS: dict[str, tuple[str, str]] = {
 
 #: Rows of a list that go into the fusion at most.
 LIST_MOST = 100
+#: Nearest chunks that are taken from a vector index for each page of a list.
+CHUNKS_A_PAGE = 4
 #: Seeds of a relation question and hops from them.
 SEEDS, HOPS = 3, 2
 
@@ -80,6 +83,8 @@ class Corpus:
     salience: DataFrame | None = None
     #: (page_id, term, class, tf) of the pages: class A is the title, B the body
     postings: DataFrame | None = None
+    #: A kept index of the chunks' embeddings by chunk_id
+    vectors: VI.VectorIndex | None = None
 
 
 def classify(query: str) -> str:
@@ -197,7 +202,12 @@ def run_search(plan: SearchPlan, corpus: Corpus, rerank: Callable[[str], float]
 
     lists = [(best(words(v).withColumn("score", F.col("score") * factor)), plan.weights[0]) for v in plan.variants]
     if corpus.chunks is not None and plan.vector is not None:
-        found = R.vector_scores(corpus.chunks, list(plan.vector)).select("page_id", "chunk_id", "score").join(pages.select("page_id"), "page_id", "left_semi")
+        if corpus.vectors is None:
+            near = R.vector_scores(corpus.chunks, list(plan.vector)).select("page_id", "chunk_id", "score")
+        else:
+            some = VI.nearest(pages.sparkSession, corpus.vectors, list(plan.vector), LIST_MOST * CHUNKS_A_PAGE).withColumnRenamed("id", "chunk_id")
+            near = corpus.chunks.select("page_id", "chunk_id").join(F.broadcast(some), "chunk_id")
+        found = near.join(pages.select("page_id"), "page_id", "left_semi")
         lists.append((best(R.best_per(found, ["page_id"], [F.desc("score"), F.asc("chunk_id")])), plan.weights[1]))
     if plan.relation is not None and corpus.links is not None:
         lists.append((best(relation_list(plan, corpus, pages)), 1.0))

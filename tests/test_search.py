@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import chunkers as C
 from fathomline.functions import code as K
 from fathomline.operators import analytics as A
-from fathomline.operators import ordered
+from fathomline.operators import clusters, ordered, vector_index
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
 from fathomline.operators.components import connected_components
@@ -101,14 +101,84 @@ def test_block_matches(spark, block, earlier):
     assert len(got) == len(want)
 
 
-def test_lists_reach_their_recall(spark):
+@pytest.mark.parametrize("clustered", [True, False])
+def test_index_reaches_its_recall(spark, tmp_path, clustered):
     rng = np.random.default_rng(8)
-    centres = rng.normal(size=(12, 16))
-    rows = spark.createDataFrame([(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).tolist()) for i in range(600)], "id long, vector array<double>")
+    centres = rng.normal(size=(24, 18))
+    made = [(i, (clustered * 3 * centres[i % 24] + rng.normal(size=18)).tolist()) for i in range(2000)]
+    rows = spark.createDataFrame([*made, (5000, None), (5001, []), (5002, [0.0] * 18)], "id long, vector array<double>")
     queries = rows.filter("id % 100 = 0")
-    exact = {(r["id"], r["other"]) for r in R.block_matches(queries.withColumn("bucket", F.lit(0)), rows.withColumn("bucket", F.lit(0)), 10).collect()}
-    found = {(r["id"], r["other"]) for r in R.inverted_list_search(queries, rows, 10, lists=12, probed=0.4).collect()}
-    assert len(exact) == 60 and len(exact & found) >= 54
+    index = vector_index.build(rows, str(tmp_path / "index"))
+    again = vector_index.read(spark, index.path)
+    assert (again.probed, again.short, again.rows) == (index.probed, index.short, 2000)
+    exact = {(r["id"], r["other"]): r["sim"] for r in R.block_matches(queries.withColumn("bucket", F.lit(0)), rows.withColumn("bucket", F.lit(0)), 10).collect()}
+    found = {(r["id"], r["other"]): r["sim"] for r in vector_index.search(queries, again, 10).collect()}
+    assert len(exact) == 200 and len(exact.keys() & found.keys()) >= 180
+    assert all(abs(found[x] - exact[x]) < 1e-9 for x in exact.keys() & found.keys())
+    assert index.short <= 400 and len(index.lists) >= 30
+    if clustered:  # a search looks into few lists, and few folders are read for it
+        assert index.probed <= len(index.lists) // 4
+        one = vector_index.rows_of(spark, index, index.looked_into(vector_index.unit(np.array([made[0][1]])))[0])
+        assert one.count() < 700 and "PartitionFilters: [folder" in one._jdf.queryExecution().toString().replace("isnotnull(folder), ", "")
+    one = [(r["id"], round(r["score"], 6)) for r in vector_index.nearest(spark, again, made[100][1], 5).collect()]
+    assert one[0] == (100, 1.0) and len({i for i, _ in one[1:]} & {o for q, o in exact if q == 100}) >= 3
+
+
+def test_empty_index(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None)], "id long, vector array<double>")
+    index = vector_index.build(rows, str(tmp_path / "none"))
+    assert vector_index.search(rows, index, 3).count() == 0 and vector_index.nearest(spark, index, [1.0, 0.0], 3).count() == 0
+
+
+def greedy(rows, least):
+    """Leader clusters, one row after another, newest first."""
+    heads, out = {}, {}
+    for b, i, v in sorted(rows, key=lambda r: -r[1]):
+        v = np.array(v or [0.0] * 3)
+        near = [h for h, w in heads.get(b, []) if np.linalg.norm(v) and np.linalg.norm(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= least]
+        out[b, i] = near[0] if near else i
+        if not near:
+            heads.setdefault(b, []).append((i, v))
+    return out
+
+
+def test_leader_clusters_are_the_sequential_ones(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(0 if i % 3 else i % 7, i, rng.integers(-4, 5, 3).astype(float).tolist()) for i in range(300)] + [(0, 900, None), (0, 901, [0.0] * 3), (9, 1, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "bucket int, id long, vector array<double>").repartition(4)
+    monkeypatch.setattr(R.block_first, "__defaults__", (32,))  # a bucket is dealt over many tasks
+    for least in (0.5, 0.9):
+        got = {(r["bucket"], r["id"]): r["head"] for r in clusters.leader_clusters(df, least).collect()}
+        assert got == greedy(rows, least)
+        assert len(set(got.values())) > 10
+    assert clusters.leader_clusters(df.limit(0), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("span", [16, 4096])
+def test_boundaries_are_those_of_the_whole_sequence(spark, span):
+    rng = np.random.default_rng(3)
+    rows = [(g, int(i), (rng.normal(size=4) + [3 * (i // 9 % 2), 0, 0, 0]).tolist()) for g, n in (("a", 500), ("b", 120), ("c", 2), ("d", 3), ("e", 1)) for i in rng.permutation(n)]
+    df = spark.createDataFrame(rows, "g string, at long, v array<double>").repartition(3)
+    got, parts = {}, {}
+    for r in clusters.semantic_boundaries(df, ["g"], "at", "v", span=span).collect():
+        got.setdefault(r["g"], set()).add(r["boundary"])
+    for r in clusters.semantic_parts(df, ["g"], "at", "v", span=span).collect():
+        parts[r["g"], r["at"]] = r["part"]
+    for g in "abcde":
+        own = sorted((i, v) for h, i, v in rows if h == g)
+        cuts = C.semantic_boundaries(np.array([v for _, v in own]))
+        assert got.get(g, set()) == set(cuts)
+        assert [parts[g, i] for i, _ in own] == np.searchsorted(cuts, np.arange(len(own)), side="right").tolist()
+    assert len(got["a"]) > 15
+
+
+def test_search_by_the_kept_index_is_the_exact_one(spark, corpus, tmp_path):
+    rng = np.random.default_rng(2)
+    chunks = spark.createDataFrame([(i // 3, i, rng.normal(size=8).tolist()) for i in range(3 * len(TEXTS))], "page_id long, chunk_id long, embedding array<double>").cache()
+    index = vector_index.build(chunks.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector")), str(tmp_path / "v"))
+    plan = search.compile_search("compilers", NOW, embed=lambda q: rng.normal(size=8).tolist())
+    exact, kept = ([(r["slug"], round(r["score"], 9)) for r in search.run_search(plan, c).collect()] for c in (search.Corpus(corpus.pages, chunks=chunks), search.Corpus(corpus.pages, chunks=chunks, vectors=index)))
+    assert exact == kept and len(exact) > 3
 
 
 def test_running_totals(spark):
