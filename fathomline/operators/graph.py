@@ -74,6 +74,59 @@ def fanout(edges: DataFrame, seeds: DataFrame, depth: int = 2, types: Sequence[s
     )
 
 
+#: Hops of a fan-out with paths at most.
+MOST_HOPS = 3
+
+
+def fanout_paths(
+    edges: DataFrame, seeds: DataFrame, depth: int = 2, types: Sequence[str] | None = None, direction: str = "both", mentions: bool = False, most: int = 50, live: DataFrame | None = None, chunks: DataFrame | None = None
+) -> DataFrame:
+    """The nearest and best linked nodes of ``fanout`` with a shortest path from a seed, and each page's first chunk.
+
+    (node, hop, edge_count, types, path, chunk_id). Each node first reached in a hop keeps a pointer to the least of the nodes it was
+    reached from, a row a node; paths are put together from the pointers for the ``most`` returned nodes alone. ``live``:
+    the nodes that may be walked, all by default. ``chunks``: (node, ordinal, chunk_id). Ties go to the smaller name.
+    """
+    e = edges if types is None else edges.filter(F.col("link_type").isin(*types))
+    if not mentions:
+        e = e.filter(~F.col("link_source").eqNullSafe("mentions"))
+    if live is not None:
+        for end in ("src", "dst"):
+            e = e.join(live.select(F.col("node").alias(end)).distinct(), end, "left_semi")
+    step = oriented(e.select("src", "dst", "link_type", F.xxhash64("src", "dst", "link_type", F.coalesce("link_source", F.lit(""))).alias("edge")), direction)
+    start = seeds.select("node").distinct()
+    seen, frontier = start, start
+    reached, pointers = None, None
+    for d in range(1, min(depth, MOST_HOPS) + 1):
+        hop = cut_lineage(frontier.select(F.col("node").alias("src")).join(step, "src").select(F.col("src").alias("parent"), F.col("dst").alias("node"), "link_type", "edge", F.lit(d).alias("hop")))
+        reached = hop if reached is None else reached.unionByName(hop)
+        new = cut_lineage(hop.groupBy("node").agg(F.min("parent").alias("parent")).join(seen, "node", "left_anti"))
+        pointers = new if pointers is None else pointers.unionByName(new)
+        frontier = new.select("node")
+        seen = seen.unionByName(frontier)
+    counted = reached.join(start, "node", "left_anti").groupBy("node").agg(F.min("hop").alias("hop"), F.countDistinct("edge").alias("edge_count"), F.array_join(F.sort_array(F.collect_set("link_type")), ",").alias("types"))
+    out = counted.orderBy("hop", F.desc("edge_count"), "node").limit(most).withColumn("path", F.array("node")).withColumn("at", F.col("node"))
+    steps = pointers.select(F.col("node").alias("at"), "parent")
+    for _ in range(min(depth, MOST_HOPS)):
+        out = out.join(steps, "at", "left").withColumn("path", F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path"))).withColumn("at", F.col("parent")).drop("parent")
+    out = out.drop("at")
+    if chunks is None:
+        return out.withColumn("chunk_id", F.lit(None).cast("long"))
+    first = chunks.join(F.broadcast(out.select("node")), "node", "left_semi").groupBy("node").agg(F.min_by("chunk_id", F.struct("ordinal", "chunk_id")).alias("chunk_id"))
+    return out.join(first, "node", "left")
+
+
+def meeting(edges: DataFrame, a: DataFrame, b: DataFrame, hops: int = 2, cap: int = 1000, mentions: bool = False) -> DataFrame:
+    """(node, hop_a, hop_b, hops): nodes between two seeds, found from both sides at once.
+
+    Each side walks half the way, with at most ``cap`` nodes a hop; where the walks meet, the sum of hops is the length of a
+    way between the seeds. Seeds themselves are left out.
+    """
+    e = edges if mentions else edges.filter(~F.col("link_source").eqNullSafe("mentions"))
+    both = connects(*(bfs(e, s, hops, "both", cap).withColumnRenamed("depth", "hop") for s in (a, b)))
+    return both.join(a.select("node").unionByName(b.select("node")), "node", "left_anti")
+
+
 def connects(a: DataFrame, b: DataFrame) -> DataFrame:
     """Nodes that both fan-outs reach, nearest first by the sum of hops."""
     x, y = a.select("node", F.col("hop").alias("hop_a")), b.select("node", F.col("hop").alias("hop_b"))

@@ -264,6 +264,22 @@ def fanout(spark, sf):
     return G.fanout(views.links(spark, sf), spark.createDataFrame([("suppliers/3",)], "node string"), 2)
 
 
+_HOP2 = "(SELECT s.dst AS node, min(s.src) AS parent FROM st s JOIN (SELECT DISTINCT node FROM f1) f ON s.src = f.node WHERE f.node <> 'suppliers/3' GROUP BY s.dst)"
+
+
+@query(
+    "g3_fanout_paths",
+    f"""{with_views('links', more=_STEP)}, {_fan('suppliers/3', 'f')}, h AS {_HOP2}, b AS (SELECT * FROM f ORDER BY hop, edge_count DESC, node LIMIT 50)
+SELECT b.node, hop, edge_count, types, array_to_string(CASE hop WHEN 1 THEN ['suppliers/3', b.node] ELSE ['suppliers/3', h.parent, b.node] END, ' ') AS path, c.chunk_id
+FROM b LEFT JOIN h ON h.node = b.node LEFT JOIN (SELECT 'customers/' || o_custkey AS node, min(o_orderkey) AS chunk_id FROM orders GROUP BY ALL) c ON c.node = b.node""",
+)
+def fanout_paths(spark, sf):
+    """The fifty nearest and best linked nodes around a supplier, with a shortest path and their first chunk (a customer's first order)."""
+    chunks = table(spark, sf, "orders").select(F.concat(F.lit("customers/"), F.col("o_custkey").cast("string")).alias("node"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").alias("chunk_id"))
+    out = G.fanout_paths(views.links(spark, sf), spark.createDataFrame([("suppliers/3",)], "node string"), 2, chunks=chunks)
+    return out.select("node", "hop", "edge_count", "types", F.array_join("path", " ").alias("path"), "chunk_id")
+
+
 @query("g4_connects", f"{with_views('links', more=_STEP)}, {_fan('suppliers/3', 'f')}, {_fan('suppliers/5', 'g')} SELECT f.node, f.hop AS hop_a, g.hop AS hop_b, f.hop + g.hop AS hops FROM f JOIN g ON f.node = g.node WHERE f.node NOT IN ('suppliers/3', 'suppliers/5')")
 def connects(spark, sf):
     seed = lambda s: spark.createDataFrame([(s,)], "node string")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from fathomline.functions import text as T
 from fathomline.functions import vector as V
 from fathomline.operators import analytics as A
-from fathomline.operators import clusters, ordered, scope
+from fathomline.operators import clusters, ontology, ordered, scope
 from fathomline.plans.catalog import query
 from fathomline.session import table
 from fathomline.sources import views
@@ -418,11 +418,31 @@ def supersessions(spark, sf):
     return views.facts(spark, sf).filter("expired_at is not null and valid_from >= timestamp '2024-01-20'").select("id", "entity", "metric", "expired_at")
 
 
-@query("w11_ontology_merge", f"{with_views('facts')} SELECT id, CASE WHEN old IS NULL THEN 'first' WHEN floor(value / 20) = floor(old / 20) THEN 'corroborate' ELSE 'supersede' END AS action FROM (SELECT *, lag(value) OVER (PARTITION BY entity, metric ORDER BY valid_from, id) AS old FROM facts_v)")
+#: Observations told by events: names of dimensions with aliases and an unknown one, values told again, some valid from before they arrive.
+_OBSERVED = """SELECT event_id AS id, user_id % 40 AS entity, list_extract(['role', 'role', 'employer', 'relation', 'vibe'], (event_id % 5 + 1)::INT) AS dimension, 'v' || floor(value / 40)::INT AS value, 'm' || event_id % 3 AS source, epoch_us(ts::TIMESTAMP) - CASE WHEN event_id % 4 = 0 THEN 864000000000 ELSE 0 END AS since, epoch_us(ts::TIMESTAMP) AS arrived FROM events"""
+_FOLD = f"""WITH RECURSIVE o AS ({_OBSERVED}), e AS (SELECT *, row_number() OVER (PARTITION BY entity, dimension ORDER BY arrived, id) AS n FROM o),
+s AS (SELECT DISTINCT entity, dimension, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS action, []::BIGINT[] AS closed, []::STRUCT(v VARCHAR, i BIGINT, f BIGINT, src VARCHAR[])[] AS live FROM o
+      UNION ALL SELECT e.entity, e.dimension, e.n, e.id,
+        CASE WHEN len(list_filter(live, lambda x: x.v = e.value AND list_contains(x.src, e.source))) > 0 THEN 'noop' WHEN len(list_filter(live, lambda x: x.v = e.value)) > 0 THEN 'corroborated' WHEN len(list_filter(live, lambda x: x.f < e.since)) > 0 THEN 'superseded_prior' ELSE 'inserted' END,
+        CASE WHEN len(list_filter(live, lambda x: x.v = e.value)) > 0 THEN [] ELSE list_sort(list_transform(list_filter(live, lambda x: x.f < e.since), lambda x: x.i)) END,
+        CASE WHEN len(list_filter(live, lambda x: x.v = e.value)) > 0 THEN list_transform(live, lambda x: CASE WHEN x.v = e.value THEN struct_pack(v := x.v, i := x.i, f := x.f, src := list_append(x.src, e.source)) ELSE x END)
+             ELSE list_append(list_filter(live, lambda x: x.f >= e.since), struct_pack(v := e.value, i := e.id, f := e.since, src := [e.source])) END
+      FROM s JOIN e ON e.entity = s.entity AND e.dimension = s.dimension AND e.n = s.n + 1)
+SELECT id, action, array_to_string(closed, ',') AS closed, CASE WHEN dimension = 'vibe' THEN 'quarantined' ELSE 'active' END AS status FROM s WHERE n > 0"""
+
+
+@query("w11_ontology_merge", _FOLD)
 def ontology_merge(spark, sf):
-    w = W.partitionBy("entity", "metric").orderBy("valid_from", "id")
-    old = F.lag("value").over(w)
-    return views.facts(spark, sf).select("id", F.when(old.isNull(), "first").when(F.floor(F.col("value") / 20) == F.floor(old / 20), "corroborate").otherwise("supersede").alias("action"))
+    """What each observation does to the history of its entity's dimension, in order of arrival."""
+    names = F.array(*map(F.lit, ("role", "Job Role", "employer", "rel", "vibe")))
+    e = table(spark, sf, "events")
+    at = F.col("ts").cast("timestamp")
+    told = e.select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("entity"), F.get(names, (F.col("event_id") % 5).cast("int")).alias("dimension"), F.concat(F.lit("v"), F.floor(F.col("value") / 40).cast("string")).alias("value"),
+        F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("source"), F.when(F.col("event_id") % 4 == 0, at - F.expr("interval 10 days")).alias("valid_from"), at.alias("arrived"),
+    )
+    out = ontology.merged(told, ["entity"])
+    return out.select("id", "action", F.array_join(F.transform("closed", lambda x: x.cast("string")), ",").alias("closed"), "status")
 
 
 @query("w12_timeline_reads", "SELECT event_id, date_trunc('week', ts)::DATE AS week, month(ts) = 1 AND day(ts) = 15 AS on_this_day FROM events WHERE date_trunc('week', ts) = TIMESTAMP '2024-01-15'")

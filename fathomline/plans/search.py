@@ -31,13 +31,27 @@ from fathomline.session import cut_lineage
 # Weights of the keyword and the vector list by intent.
 INTENT_WEIGHTS = {"entity": (1.2, 0.8), "temporal": (1.0, 1.0), "event": (1.1, 0.9), "general": (1.0, 1.0)}
 
-# Relation questions: pattern -> (link type, direction from the seed). Callers may add their own.
-RELATIONS: dict[str, tuple[str, str]] = {
-    r"who (?:works|worked) at (?P<seed>.+)": ("works_at", "in"),
-    r"who invested in (?P<seed>.+)": ("invested_in", "in"),
-    r"who founded (?P<seed>.+)": ("founded", "in"),
+# Relation questions: pattern -> (link type, direction from the seed). No type: links of any. Callers may add their own.
+RELATIONS: dict[str, tuple[str | None, str]] = {
+    r"who (?:works|worked|is working) (?:at|for) (?P<seed>.+)": ("works_at", "in"),
+    r"who (?:at|in|from|of) (?P<seed>.+?) (?:works|leads|runs|builds|owns|handles|manages|looks after)\b.*": ("works_at", "in"),
+    r"who (?:invested|invests|put money) in(?:to)? (?P<seed>.+)": ("invested_in", "in"),
+    r"who (?:founded|started|set up) (?P<seed>.+)": ("founded", "in"),
+    r"who (?:advises|advised|is advising) (?P<seed>.+)": ("advises", "in"),
+    r"who (?:attended|was at|came to|joined) (?P<seed>.+)": ("attended", "out"),
     r"what is located in (?P<seed>.+)": ("located_in", "in"),
+    r"where (?:does|did|has) (?P<seed>.+?) (?:work|worked)": ("works_at", "out"),
+    r"(?:what|which)(?: companies| firms| deals)? (?:did|does|has|have) (?P<seed>.+?) (?:invest|invested|put money) in(?:to)?": ("invested_in", "out"),
+    r"(?:what|which)(?: companies| firms)? (?:did|has) (?P<seed>.+?) (?:found|founded|start|started|set up)": ("founded", "out"),
+    r"(?:who|whom|what) (?:does|did) (?P<seed>.+?) advise": ("advises", "out"),
+    r"who (?:introduced|referred|led) (?:me|us|him|her|them) to (?P<seed>.+)": (None, "both"),
 }
+# Questions for what lies between two seeds.
+CONNECTIONS = (
+    r"(?:what|who|which \w+) (?:connects|connect|links|link|ties|joins) (?P<seed>.+?) (?:and|to|with|&) (?P<other>.+)",
+    r"how (?:is|are|do|does) (?P<seed>.+?) (?:and|to|with|&) (?P<other>.+?) (?:connected|related|linked|know each other)",
+    r"what is the (?:connection|link|relation|relationship) between (?P<seed>.+?) (?:and|&) (?P<other>.+)",
+)
 
 #: Rows of a list that go into the fusion at most.
 LIST_MOST = 100
@@ -45,6 +59,8 @@ LIST_MOST = 100
 CHUNKS_A_PAGE = 4
 #: Seeds of a relation question and hops from them.
 SEEDS, HOPS = 3, 2
+#: Nodes of a hop on either side of a question about two seeds at most.
+CONNECTION_CAP = 1000
 
 
 @dataclass(frozen=True)
@@ -59,7 +75,8 @@ class SearchPlan:
     weights: tuple[float, float]
     detail: str = "medium"
     budget: int | None = None
-    relation: tuple[str, str, str] | None = None
+    relation: tuple[str, str | None, str] | None = None
+    connection: tuple[str, str] | None = None
     excludes: tuple[str, ...] = field(default=scope.HARD_EXCLUDES)
     now: dt.datetime | None = None
     salience: str = "off"
@@ -106,7 +123,7 @@ def clean_seed(text: str) -> str:
     return re.sub(r"^(?:the|a|an)\s+", "", text.strip().strip("\"'`").strip(), flags=re.IGNORECASE).strip("\"'` ")
 
 
-def relation_of(query: str, relations: dict[str, tuple[str, str]] = RELATIONS) -> tuple[str, str, str] | None:
+def relation_of(query: str, relations: dict[str, tuple[str | None, str]] = RELATIONS) -> tuple[str, str | None, str] | None:
     """(seed, link type, direction) of a relation question."""
     for pattern, (kind, direction) in relations.items():
         if m := re.fullmatch(pattern, query.strip().rstrip("?").strip(), re.IGNORECASE):
@@ -115,6 +132,15 @@ def relation_of(query: str, relations: dict[str, tuple[str, str]] = RELATIONS) -
     return None
 
 
+def connection_of(query: str) -> tuple[str, str] | None:
+    """The two seeds of a question for what connects them."""
+    for pattern in CONNECTIONS:
+        if m := re.fullmatch(pattern, query.strip().rstrip("?").strip(), re.IGNORECASE):
+            seeds = clean_seed(m["seed"]), clean_seed(m["other"])
+            return seeds if all(0 < len(x) <= 80 for x in seeds) else None
+    return None
+
+
 def compile_search(
     query: str,
     now: dt.datetime,
@@ -143,21 +169,33 @@ def compile_search(
     except Exception:  # without a vector the keyword lists are still a search
         vector = None
     variants = tuple(dict.fromkeys([query, *[x for x in more if x]]))[:3]
-    relation = relation_of(query, {**RELATIONS, **(relations or {})})
+    connection = connection_of(query)
+    relation = None if connection else relation_of(query, {**RELATIONS, **(relations or {})})
     recency = recency or ("on" if intent == "temporal" else "off")
-    return SearchPlan(query, intent, variants, scope.clamp_limit(limit), max(0, offset), a, b, INTENT_WEIGHTS[intent], detail, budget, relation, now=now, salience=salience, recency=recency, floor_ratio=floor_ratio, vector=vector)
+    return SearchPlan(query, intent, variants, scope.clamp_limit(limit), max(0, offset), a, b, INTENT_WEIGHTS[intent], detail, budget, relation, connection, now=now, salience=salience, recency=recency, floor_ratio=floor_ratio, vector=vector)
 
 
-def relation_list(plan: SearchPlan, corpus: Corpus, pages: DataFrame) -> DataFrame:
-    """(page_id, score) of the pages that the relation question's seed is linked with, nearest and best linked first."""
-    seed, kind, direction = plan.relation
+def seeds_of(seed: str, corpus: Corpus, pages: DataFrame) -> DataFrame:
+    """The pages (as ``node``) that a question's seed names: by title, slug or alias."""
     name = F.lit(" ".join(seed.lower().split()))
     slug = F.lit(re.sub(r"[^a-z0-9]+", "-", seed.lower()).strip("-"))
     named = pages.filter((F.lower(F.trim("title")) == name) | (T.basename(F.col("slug")) == slug)).select("slug")
     if corpus.aliases is not None:
-        named = named.unionByName(corpus.aliases.filter(F.col("alias_norm") == name).select("slug"))
-    seeds = R.top(named.distinct(), SEEDS, F.asc("slug")).select(F.col("slug").alias("node"))
-    found = G.fanout(corpus.links, seeds, HOPS, [kind], direction)
+        named = named.unionByName(corpus.aliases.filter(F.regexp_replace("alias_norm", "^(the|an?) ", "") == name).select("slug"))
+    return R.top(named.distinct(), SEEDS, F.asc("slug")).select(F.col("slug").alias("node"))
+
+
+def relation_list(plan: SearchPlan, corpus: Corpus, pages: DataFrame) -> DataFrame:
+    """(page_id, score) of the pages that the relation question's seed is linked with, nearest and best linked first.
+
+    For a question about two seeds, of the pages between them, by the length of the way.
+    """
+    if plan.connection is not None:
+        ends = [cut_lineage(seeds_of(seed, corpus, pages)) for seed in plan.connection]
+        near = G.meeting(corpus.links, *ends, HOPS, CONNECTION_CAP)
+        return near.join(pages.select("page_id", F.col("slug").alias("node")), "node").select("page_id", (1 / F.col("hops")).alias("score"))
+    seed, kind, direction = plan.relation
+    found = G.fanout(corpus.links, seeds_of(seed, corpus, pages), HOPS, None if kind is None else [kind], direction)
     near = found.join(pages.select("page_id", F.col("slug").alias("node")), "node")
     return near.select("page_id", (1 / F.col("hop") + F.col("edge_count") * 1e-6).alias("score"))
 
@@ -209,7 +247,7 @@ def run_search(plan: SearchPlan, corpus: Corpus, rerank: Callable[[str], float]
             near = corpus.chunks.select("page_id", "chunk_id").join(F.broadcast(some), "chunk_id")
         found = near.join(pages.select("page_id"), "page_id", "left_semi")
         lists.append((best(R.best_per(found, ["page_id"], [F.desc("score"), F.asc("chunk_id")])), plan.weights[1]))
-    if plan.relation is not None and corpus.links is not None:
+    if (plan.relation is not None or plan.connection is not None) and corpus.links is not None:
         lists.append((best(relation_list(plan, corpus, pages)), 1.0))
     shown = ["page_id", "source_id", "slug", "title", "type", "effective_date", "updated_at"]
     fused = R.rrf(lists, ["page_id"]).join(pages.select(*shown, F.col("compiled_truth").alias("text")), "page_id")

@@ -1,6 +1,6 @@
 """Ingestion on Structured Streaming: validation, sliding de-duplication, rate limits, rollups, throttles.
 
-``*_batch`` functions are the batch twins on an ordered table; both share one pure state machine, so they agree.
+``*_batch`` functions work on an ordered table; the streams of ``state`` share their pure state machines, so they agree.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 DEDUP_TTL = 24 * 3600.0
 RATE_LIMIT, RATE_WINDOW = 100, 10.0
@@ -106,20 +105,6 @@ def stateful_batch(events: DataFrame, keys: list[str], kind: str, time: str = "t
     return kept.select("row.*")
 
 
-def stateful_stream(events: DataFrame, keys: list[str], kind: str, time: str = "ts", **options) -> DataFrame:
-    """The accepted events of a stream; the state of a key is a list of times."""
-    names = events.columns
-
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        have = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(frames), ignore_index=True)
-        kept, have = _accepted(pdf, have, kind, time, options)
-        state.update((have,))
-        yield kept[names]
-
-    return events.groupBy(*keys).applyInPandasWithState(run, events.schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def dedup_within_watermark(events: DataFrame, keys: list[str], time: str = "ts", delay: str = "24 hours") -> DataFrame:
     """Built-in form: the time to live does not slide."""
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

@@ -14,6 +14,7 @@ from fathomline.functions import text as T
 from fathomline.functions import vector as V
 from fathomline.operators import analytics as A
 from fathomline.operators import graph as G
+from fathomline.operators import ontology
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
 from fathomline.operators import scope, writes
@@ -195,6 +196,65 @@ def test_paths_filter_types_and_direction(spark):
     assert {r["dst"] for r in G.paths(e, "acme", 2, direction="in").collect()} == {"a", "b", "c", "standup"}
 
 
+def test_fanout_paths(spark):
+    kind = "src string, dst string, link_type string, link_source string"
+    e = spark.createDataFrame([("i2", "co", "invested_in", "m"), ("i1", "co", "invested_in", "m"), ("gone", "co", "invested_in", "m"), ("w", "co", "works_at", "m"), ("x", "co", "mentions", "mentions"), ("i2", "far", "knows", "m"), ("w", "far", "knows", "m"), ("far", "end", "knows", "m")], kind)
+    seed = spark.createDataFrame([("co",)], "node string")
+    live = spark.createDataFrame([(n,) for n in ("co", "i1", "i2", "w", "x", "far", "end")], "node string")
+    chunks = spark.createDataFrame([("i1", 2, 8), ("i1", 1, 9), ("far", 1, 4)], "node string, ordinal int, chunk_id long")
+    got = {r["node"]: (r["hop"], r["edge_count"], r["types"], r["path"], r["chunk_id"]) for r in G.fanout_paths(e, seed, 3, live=live, chunks=chunks).collect()}
+    assert got == {
+        "i1": (1, 1, "invested_in", ["co", "i1"], 9), "i2": (1, 2, "invested_in,knows", ["co", "i2"], None), "w": (1, 2, "knows,works_at", ["co", "w"], None),
+        "far": (2, 2, "knows", ["co", "i2", "far"], 4), "end": (3, 1, "knows", ["co", "i2", "far", "end"], None),
+    }
+    assert [r["node"] for r in G.fanout_paths(e, seed, 1, ["invested_in"], "in", most=2).orderBy("node").collect()] == ["gone", "i1"]
+    assert "x" in [r["node"] for r in G.fanout_paths(e, seed, 1, mentions=True).collect()]
+    assert G.fanout_paths(e, seed.limit(0)).count() == 0
+
+
+def test_meeting_in_the_middle(spark):
+    e = spark.createDataFrame([("a", "m1", "t", "m"), ("b", "m1", "t", "m"), ("a", "p", "t", "m"), ("p", "q", "t", "m"), ("q", "b", "t", "m"), ("a", "n", "t", "mentions"), ("n", "b", "t", "mentions")], "src string, dst string, link_type string, link_source string")
+    seed = lambda s: spark.createDataFrame([(s,)], "node string")
+    got = {r["node"]: (r["hop_a"], r["hop_b"], r["hops"]) for r in G.meeting(e, seed("a"), seed("b")).collect()}
+    assert got == {"m1": (1, 1, 2), "p": (1, 2, 3), "q": (2, 1, 3)}
+    assert {r["node"] for r in G.meeting(e, seed("a"), seed("b"), cap=1).collect()} == {"m1"}
+
+
+def observed(spark, rows):
+    kind = "id long, source_id string, entity string, dimension string, value string, source string, valid_from timestamp, arrived timestamp"
+    at = lambda d: None if d is None else dt.datetime.fromisoformat(d)
+    return spark.createDataFrame([(i, r[6] if len(r) > 6 else "default", *r[:4], at(r[4]), at(r[5])) for i, r in enumerate(rows)], kind).repartition(3)
+
+
+def test_ontology_merge(spark):
+    rows = [
+        ("sarah", "job role", "founder", "m/a", "2024-01-01", "2026-06-01"),
+        ("sarah", "role", "Founder ", "m/a", None, "2026-06-02"),
+        ("sarah", "Job-Title", "founder", "m/b", None, "2026-06-03"),
+        ("sarah", "role", "advisor", "m/b", "2026-05-01", "2026-06-04"),
+        ("sarah", "vibe", "chaotic", "m/a", None, "2026-06-05"),
+        ("bob", "role", "advisor", "m/a", "2026-05-01", "2026-06-01"),
+        ("bob", "role", "founder", "m/b", "2026-01-01", "2026-06-02"),
+        ("bob", "role", None, "m/c", "2026-05-15", "2026-06-03"),
+        ("sarah", "role", "founder", "m/a", None, "2026-06-01", "other"),
+    ]
+    out = ontology.merged(observed(spark, rows))
+    got = {r["id"]: (r["dimension"], r["action"], r["closed"], r["status"]) for r in out.collect()}
+    assert [got[i] for i in range(9)] == [
+        ("role", "inserted", [], "active"), ("role", "noop", [], "active"), ("role", "corroborated", [], "active"), ("role", "superseded_prior", [0], "active"),
+        ("vibe", "inserted", [], "quarantined"), ("role", "inserted", [], "active"), ("role", "inserted", [], "active"), ("role", "superseded_prior", [5, 6], "active"), ("role", "inserted", [], "active"),
+    ]
+    past = ontology.history(out)
+    held = lambda *a, **k: sorted((r["source_id"], r["entity"], r["value"]) for r in ontology.values_at(past, *a, **k).collect())
+    assert held() == [("default", "bob", None), ("default", "sarah", "advisor"), ("other", "sarah", "founder")] or held() == sorted([("default", "bob", None), ("default", "sarah", "advisor"), ("other", "sarah", "founder")], key=str)
+    assert ("default", "sarah", "founder") in held("2025-01-01 00:00:00")
+    assert ("default", "sarah", "chaotic") in held(quarantined=True)
+    assert ontology.conflicts(past).count() == 0
+    two = ontology.conflicts(ontology.history(ontology.merged(observed(spark, rows[5:7])))).collect()
+    assert [(r["entity"], r["dimension"], r["values"]) for r in two] == [("bob", "role", ["advisor", "founder"])]
+    assert ontology.merged(observed(spark, rows).limit(0)).count() == 0
+
+
 def test_fanout(spark):
     e = spark.createDataFrame([("i1", "co", "invested_in", "m"), ("i2", "co", "invested_in", "m"), ("w", "co", "works_at", "m"), ("x", "co", "mentions", "mentions")], "src string, dst string, link_type string, link_source string")
     seed = spark.createDataFrame([("co",)], "node string")

@@ -51,6 +51,24 @@ def test_relation_question_finds_what_words_do_not(corpus):
     assert slugs(search.run_search(search.compile_search("Who works at Zeta?", NOW), without)) == []
 
 
+def test_questions_about_two_seeds(corpus, spark):
+    for question in ("What connects Acme and Zeta?", "how are Acme and the Zeta connected?", "what is the link between acme and zeta"):
+        assert search.compile_search(question, NOW).connection is not None
+    more = corpus.links.unionByName(spark.createDataFrame([("people/bob", "companies/zeta", "advises", "markdown")], corpus.links.schema))
+    linked = search.Corpus(corpus.pages, links=more, aliases=corpus.aliases)
+    assert slugs(search.run_search(search.compile_search("what connects the boat people and zeta", NOW), linked)) == ["people/bob"]
+    assert slugs(search.run_search(search.compile_search("what connects the boat people and zeta", NOW), corpus)) == []
+
+
+def test_outgoing_and_other_relation_questions(corpus):
+    ask = lambda q: set(slugs(search.run_search(search.compile_search(q, NOW), corpus)))
+    assert ask("Where does Ann Lee work?") == {"companies/acme", "people/bob"} or ask("Where does Ann Lee work?") == {"companies/acme"}
+    assert ask("who at Acme works on engines") >= {"people/ann", "people/bob"}
+    assert search.relation_of("who introduced me to Bob Ray") == ("Bob Ray", None, "both")
+    assert search.relation_of("what did Cas Orr invest in") == ("Cas Orr", "invested_in", "out")
+    assert search.relation_of("who advises Zeta") == ("Zeta", "advises", "in")
+
+
 def test_alias_brings_its_page_to_the_top(corpus):
     got = search.run_search(search.compile_search("the boat people", NOW), corpus).collect()
     assert [(r["slug"], r["evidence"], r["safety"]) for r in got] == [("companies/acme", "alias_hit", "exists")]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.streaming import ingest as I
+from fathomline.streaming import state
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -43,15 +44,53 @@ def test_a_limited_event_has_claimed_its_hash(spark):
     assert kept == set(range(100))
 
 
+def run_stream(spark, files, make, name, tmp_path):
+    """The rows that a stream gives for tables that arrive one after another, and its keys left in state."""
+    for k, df in enumerate(files):
+        df.coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    source = spark.readStream.schema(files[0].schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    q = make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    return spark.table(name).collect(), q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
 @pytest.mark.parametrize("kind,options", [("dedup", {}), ("throttle", {"seconds": 30000.0}), ("rate", {"limit": 1, "seconds": 80000.0})])
 def test_stream_agrees_with_its_twin(spark, events, tmp_path, kind, options):
-    for i in range(2):  # two files, read in two batches
-        events.filter(f"event_id div 3 = {i}").coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
-    q = I.stateful_stream(source, ["key"], kind, **options).writeStream.format("memory").queryName(f"out_{kind}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(r["event_id"] for r in spark.table(f"out_{kind}").collect())
-    assert got == sorted(r["event_id"] for r in I.stateful_batch(events, ["key"], kind, **options).collect())
+    files = [events.filter(f"event_id div 3 = {i}") for i in range(2)]
+    rows, _ = run_stream(spark, files, lambda s: state.expiring_stream(s, ["key"], kind, **options), f"out_{kind}", tmp_path)
+    assert sorted(r["event_id"] for r in rows) == sorted(r["event_id"] for r in I.stateful_batch(events, ["key"], kind, **options).collect())
+
+
+def test_state_of_dead_keys_goes(spark, tmp_path):
+    """Fifty keys come once, then one key long after: the fifty leave no state, and a key that returns is fresh."""
+    kind = "event_id long, key string, ts timestamp"
+    files = [
+        spark.createDataFrame([(i, f"k{i}", at(i)) for i in range(50)], kind),
+        spark.createDataFrame([(100, "late", at(3 * 86400))], kind),
+        spark.createDataFrame([(101, "k7", at(3 * 86400 + 60)), (102, "k7", at(3 * 86400 + 90))], kind),
+    ]
+    rows, left = run_stream(spark, files, lambda s: state.expiring_stream(s, ["key"], "dedup"), "dead_keys", tmp_path)
+    assert sorted(r["event_id"] for r in rows) == [*range(50), 100, 101]
+    assert left <= 2 * 3  # two keys, each with its times and its timer
+
+
+def test_jobs_are_moved_on_by_timers(spark, tmp_path):
+    kind = "id long, status string, attempts long, delay_until timestamp, lock_until timestamp, timeout_at timestamp, ts timestamp"
+    jobs = [
+        (1, "delayed", 0, at(50), None, None, at(0)), (2, "active", 2, None, at(50), at(990), at(0)), (3, "active", 0, None, at(50), at(990), at(0)),
+        (4, "active", 0, None, at(990), at(50), at(0)), (5, "active", 0, None, at(50), at(990), at(1)), (6, "active", 0, None, at(60), None, at(1)), (7, "delayed", 1, at(5000), None, None, at(1)),
+    ]
+    held = [(5, "active", 0, None, at(900), at(990), at(40)), (6, "completed", 0, None, None, None, at(41))]
+    clock = [(99, "waiting", 0, None, None, None, at(t)) for t in (100, 200)]
+    files = [spark.createDataFrame(x, kind) for x in (jobs, held, clock[:1], clock[1:])]
+    rows, left = run_stream(spark, files, lambda s: state.job_timers(s), "job_timers", tmp_path)
+    moved = {r["id"]: (r["status"], r["attempts"]) for r in rows}
+    assert moved == {1: ("waiting", 0), 2: ("dead", 3), 3: ("waiting", 1), 4: ("failed", 0)}
+    assert {r["id"]: r["at"] for r in rows} == dict.fromkeys((1, 2, 3, 4), at(50))
+    assert left <= 2 * 3  # jobs 5 and 7 still have theirs
+    last = spark.createDataFrame([j for j in jobs if j[0] not in (5, 6)] + held, kind)
+    twin = I.job_transitions(last, "2024-01-01 00:01:40").filter("next_status <> status").collect()
+    assert {r["id"]: (r["next_status"], r["next_attempts"]) for r in twin} == moved
 
 
 def test_rollup_stream_adds_up(spark, sf, tmp_path):
