@@ -12,6 +12,7 @@ from fathomline.functions import vector as V
 from fathomline.operators import ordered
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
+from fathomline.operators import text_index as TI
 from fathomline.operators import vector_index as VI
 from fathomline.plans.catalog import query
 from fathomline.session import cut_lineage, ensure_checkpoint_dir, remove_folder, table
@@ -64,7 +65,8 @@ def indexed_search(spark, sf):
     p = views.pages(spark, sf)
     classes = {"A": F.col("title"), "B": F.col("compiled_truth")}
     R.write_index(R.inverted_index(p, ["page_id"], classes), path)
-    found = R.indexed_scores(R.read_index(spark, path, _QUERY), _QUERY, ["page_id"])
+    found = cut_lineage(R.indexed_scores(R.read_index(spark, path, _QUERY), _QUERY, ["page_id"]))
+    remove_folder(spark, path)
     return R.with_phrases(found.join(p.select("page_id", "title", "compiled_truth"), "page_id"), _QUERY, classes).select("page_id", F.round("score", 6).alias("score"))
 
 
@@ -74,6 +76,45 @@ def _shared(spark):
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def _words_of(_):
+    return {"A": F.col("title"), "B": F.col("compiled_truth")}
+
+
+@query("r1_positions", f"{with_views('pages', more=_fts())} SELECT page_id, round(score, 6) AS score FROM k")
+def positions_search(spark, sf):
+    """The keyword search with its phrase from an index of positions: no text is read once the index is written."""
+    p = views.pages(spark, sf)
+    index = TI.create(p, f"{_shared(spark)}/words-{uuid.uuid4().hex}", "page_id", _words_of(p))
+    found = cut_lineage(TI.scores(spark, index, _QUERY))
+    remove_folder(spark, index.path)
+    return found.select(F.col("key").alias("page_id"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "r1_nearness",
+    f"""{with_views('pages')}, w AS (SELECT page_id, unnest({_TITLE} || {_BODY}) AS term, generate_subscripts({_TITLE} || {_BODY}, 1) AS i FROM pages_v)
+SELECT a.page_id, min(abs(a.i - b.i))::INT AS distance FROM w a JOIN w b ON b.page_id = a.page_id WHERE a.term = 'the' AND b.term = 'and' GROUP BY a.page_id""",
+)
+def nearness(spark, sf):
+    """How near two words stand to each other on each page that has both, from positions."""
+    p = views.pages(spark, sf)
+    rows = TI.postings(p, "page_id", _words_of(p)).filter(F.col("term").isin("the", "and"))
+    each = rows.groupBy("key").agg(F.collect_list(F.struct("term", "class", "positions")).alias("terms"))
+    return each.select(F.col("key").alias("page_id"), TI.nearest_pair(F.col("terms"), "the", "and").alias("distance")).filter("distance is not null")
+
+
+@query("r3_updated_index", f"{with_views('pages')}, c AS (SELECT page_id, title, CASE WHEN page_id % 50 = 7 THEN 'the changed and page' ELSE compiled_truth END AS compiled_truth FROM pages_v WHERE page_id % 50 <> 9), t AS (SELECT page_id, {_TITLE} || {_BODY} AS w FROM c) SELECT page_id FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'and')")
+def updated_index(spark, sf):
+    """A search after a fiftieth of the pages has changed and another has gone: their postings alone are written anew."""
+    p = views.pages(spark, sf)
+    index = TI.create(p, f"{_shared(spark)}/words-{uuid.uuid4().hex}", "page_id", _words_of(p))
+    changed = p.filter("page_id % 50 = 7").withColumn("compiled_truth", F.lit("the changed and page"))
+    TI.update(index, changed, "page_id", _words_of(p), deleted=p.filter("page_id % 50 = 9"))
+    found = cut_lineage(TI.scores(spark, index, "the and"))
+    remove_folder(spark, index.path)
+    return found.select(F.col("key").alias("page_id"))
+
+
 def _vector_of(spark, sf, i=0):
     """One row by key: the query's vector."""
     return [float(x) for x in table(spark, sf, "embeddings").filter(F.col("vec_id") == i).select("embedding").first()[0]]

@@ -1,8 +1,8 @@
 """The query compiler: a question and its knobs become a frozen plan, and the plan one DataFrame.
 
 Everything that depends on the question alone (dates, intent, weights, expansion, the seed of a relation question) is
-settled on the driver. ``run_search`` then builds, in this order: keyword lists of all variants (from the postings where the
-corpus has them, else by a scan), the vector list and the relation list; their weighted fusion; the boosts, gated by one
+settled on the driver. ``run_search`` then builds, in this order: keyword lists of all variants (from a kept index or the postings
+where the corpus has them, else by a scan), the vector list and the relation list; their weighted fusion; the boosts, gated by one
 floor; text de-duplication and type diversity of the head; the alias hop; reranking and its cut-off; evidence; offset,
 limit and token budget. What stands after the fusion works on a checkpointed list of some hundred rows, so the corpus is read
 once for each list.
@@ -25,6 +25,7 @@ from fathomline.operators import graph as G
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
 from fathomline.operators import scope
+from fathomline.operators import text_index as TI
 from fathomline.operators import vector_index as VI
 from fathomline.session import cut_lineage
 
@@ -55,6 +56,8 @@ CONNECTIONS = (
 
 #: Rows of a list that go into the fusion at most.
 LIST_MOST = 100
+#: What two words of a question that stand side by side add to a page's keyword score (a word of the title: up to 1), from a kept index.
+NEAR_WEIGHT = 0.2
 #: Nearest chunks that are taken from a vector index for each page of a list.
 CHUNKS_A_PAGE = 4
 #: Seeds of a relation question and hops from them.
@@ -100,7 +103,8 @@ class Corpus:
     salience: DataFrame | None = None
     #: (page_id, term, class, tf) of the pages: class A is the title, B the body
     postings: DataFrame | None = None
-    #: A kept index of the chunks' embeddings by chunk_id
+    #: A kept index of the pages' words by page_id, classes as in ``postings``, and of the chunks' embeddings by chunk_id
+    words: TI.TextIndex | None = None
     vectors: VI.VectorIndex | None = None
 
 
@@ -233,6 +237,9 @@ def run_search(plan: SearchPlan, corpus: Corpus, rerank: Callable[[str], float]
     factor = scope.prefix_case(F.col("slug"), scope.SOURCE_FACTORS) if plan.detail != "high" else F.lit(1.0)
 
     def words(variant: str) -> DataFrame:
+        if corpus.words is not None:
+            found = TI.scores(pages.sparkSession, corpus.words, variant, list(classes), NEAR_WEIGHT)
+            return pages.select("page_id", "slug").join(found.withColumnRenamed("key", "page_id"), "page_id")
         if corpus.postings is None:
             return R.keyword_scores(pages, variant, ["page_id", "slug"], classes)
         found = R.indexed_scores(corpus.postings.filter(F.col("class").isin(*classes)), variant, ["page_id"])
