@@ -262,3 +262,36 @@ def intent(col: Column) -> Column:
         hit = F.lower(col).rlike(pattern)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("general")
+
+
+# Phrases by which a question tells how fresh, how weighty and of what kind its answers should be.
+_ANSWERS = [
+    [("who", "what"), ("is", "are", "was", "does", "means")],
+    [("define", "definition", "meaning", "overview", "background", "origin", "history", "concept"), ("of",)],
+    [("explain",), ("how", "what", "why")],
+    [("tell",), ("me",), ("about",)],
+]
+_THIS_MOMENT = [[("today", "tonight")], [("right", "just"), ("now",)], [("this",), ("morning", "afternoon", "evening")]]
+_BOUNDED = [*_THIS_MOMENT, [("this",), ("week", "month")], [("since",), 1, ("yesterday", "last", "launch", "monday", "january", "2024", "2025", "2026")], [("last", "past"), 1, ("day", "days", "weeks", "months")]]
+_MEETINGS = [[("prep", "prepare", "brief"), ("for", "me")], [("before",), ("my", "the", "our"), ("meeting", "call", "sync", "chat")], [("catch", "catching"), 3, ("up",)], [("remind",), ("me",)], [("update", "status", "progress"), ("on", "from", "with")], [("going",), ("on",)]]
+_LATELY = [*_MEETINGS, [("latest", "recent", "recently", "currently", "lately", "newest")], [("this", "last", "past"), 1, ("week", "month", "days", "quarter")], [("what's", "whats"), ("new", "up", "happening")]]
+_WEIGHTY = [*_MEETINGS, [("matters", "important", "priorities")]]
+_PICTURES = [[("photo", "photos", "image", "images", "picture", "pictures", "screenshot", "screenshots", "diagram", "sketch"), ("of", "from", "with", "showing")], [("show", "find", "get", "see"), 2, ("photos", "images", "pictures", "screenshots", "diagrams")], [("look", "looks", "looked"), ("like",)]]
+_WORDS_TOO = [[("notes", "text", "documents", "pages", "write-up", "wrote", "said")]]
+DETAILS = {"entity": "low", "temporal": "high", "event": "high"}
+
+
+def query_axes(col: Column) -> Column:
+    """intent, detail, salience, recency and modality of a question.
+
+    A question for what holds for good has recency off, unless it bounds its time itself; this very moment is strong.
+    Salience is apart from recency. Pictures are asked for alone, or with words.
+    """
+    has = lambda phrases: col.rlike(_any_of(phrases))
+    kind = intent(col)
+    detail = F
+    for name, value in DETAILS.items():
+        detail = detail.when(kind == name, value)
+    recency = F.when(has(_ANSWERS) & ~has(_BOUNDED), "off").when(has(_THIS_MOMENT), "strong").when(has(_LATELY) | has(_BOUNDED), "on").otherwise("off")
+    modality = F.when(has(_PICTURES) & has(_WORDS_TOO), "both").when(has(_PICTURES), "image").otherwise("text")
+    return F.struct(kind.alias("intent"), detail.otherwise("medium").alias("detail"), F.when(has(_WEIGHTY), "on").otherwise("off").alias("salience"), recency.alias("recency"), modality.alias("modality"))

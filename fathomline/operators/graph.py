@@ -174,13 +174,53 @@ def callers(resolved: DataFrame, unresolved: DataFrame, symbol: str, column: str
 
 
 def code_walk(edges: DataFrame, symbol: str, depth: int, most: int = 200) -> DataFrame:
-    """Callees within ``depth``: nearest depth, confidence clamp(1 / (1 + 0.3 d), 0.05, 1), and whether they call nothing."""
-    e = edges.select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst"))
-    root = e.sparkSession.createDataFrame([(symbol,)], "node string")
-    found = bfs(e, root, depth).orderBy("depth", "node").limit(most)
-    calls = e.select(F.col("src").alias("node")).distinct().withColumn("calls", F.lit(True))
+    """Callees within ``depth`` (node, depth, confidence, sink, cycle, cut, truncated), the nearest ``most`` of them.
+
+    Confidence is clamp(1 / (1 + 0.3 d), 0.05, 1); a sink calls nothing; ``cycle``: it calls itself or a node on its way from the
+    root, each node's way leading over the least of those that reached it first; ``cut``: it has callees beyond the last hop
+    that the walk didn't see; ``truncated``: the walk has more nodes than are returned.
+    """
+    e = cut_lineage(edges.select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst")).distinct())
+    start = e.sparkSession.createDataFrame([(symbol, [symbol])], "node string, way array<string>")
+    seen = frontier = start.withColumn("depth", F.lit(0))
+    for d in range(1, depth + 1):
+        hop = frontier.select(F.col("node").alias("src"), "way").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min_by("way", "src").alias("way"))
+        frontier = cut_lineage(hop.join(seen.select("node"), "node", "left_anti").select("node", F.concat("way", F.array("node")).alias("way"), F.lit(d).alias("depth")))
+        seen = seen.unionByName(frontier)
+    total = seen.count()
+    found = seen.orderBy("depth", "node").limit(most)
+    calls = found.select("node", "way").join(e.withColumnRenamed("src", "node"), "node").join(seen.select(F.col("node").alias("dst"), F.lit(True).alias("met")), "dst", "left")
+    flags = calls.groupBy("node").agg(F.bool_or(F.array_contains("way", F.col("dst"))).alias("cycle"), F.bool_or(F.col("met").isNull()).alias("cut"))
     conf = F.greatest(F.lit(0.05), F.least(F.lit(1.0), 1 / (1 + 0.3 * F.col("depth"))))
-    return found.join(calls, "node", "left").select("node", "depth", conf.alias("confidence"), F.col("calls").isNull().alias("sink"))
+    out = found.join(flags, "node", "left")
+    return out.select("node", "depth", conf.alias("confidence"), F.col("cycle").isNull().alias("sink"), F.coalesce("cycle", F.lit(False)).alias("cycle"), F.coalesce("cut", F.lit(False)).alias("cut"), F.lit(total > most).alias("truncated"))
+
+
+#: Neighbours of a chunk that a hop takes, hops at most, and chunks of a symbol that become anchors.
+NEIGHBOURS, EXPAND_HOPS, NEAR_MOST = 50, 2, 50
+
+
+def expand_anchors(anchors: DataFrame, edges: DataFrame, hops: int = EXPAND_HOPS, near: DataFrame | None = None) -> DataFrame:
+    """(chunk, score, hop, source) of anchors (chunk, score) and the chunks around them over code edges (src, dst), both ways.
+
+    A hop takes the first ``NEIGHBOURS`` of each chunk, by number, and gives them its score over 1 + hop; a chunk that
+    several reach takes the best. ``near``: chunks (chunk) of a symbol asked for, anchors too, with the best anchor's score
+    (1 without anchors); of these the first ``NEAR_MOST``.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
+    seen = anchors.groupBy("chunk").agg(F.max("score").alias("score")).withColumn("hop", F.lit(0))
+    if near is not None:
+        best = F.coalesce(anchors.agg(F.max("score")).scalar(), F.lit(1.0))
+        more = near.select("chunk").distinct().orderBy("chunk").limit(NEAR_MOST).join(seen.select("chunk"), "chunk", "left_anti")
+        seen = seen.unionByName(more.select("chunk", best.alias("score"), F.lit(0).alias("hop")))
+    seen = frontier = cut_lineage(seen)
+    for hop in range(1, min(hops, EXPAND_HOPS) + 1):
+        met = frontier.select(F.col("chunk").alias("src"), "score").join(both, "src")
+        first = met.withColumn("n", F.row_number().over(W.partitionBy("src").orderBy("dst"))).filter(F.col("n") <= NEIGHBOURS)
+        new = first.groupBy(F.col("dst").alias("chunk")).agg((F.max("score") / (1 + hop)).alias("score")).join(seen.select("chunk"), "chunk", "left_anti")
+        frontier = cut_lineage(new.withColumn("hop", F.lit(hop)))
+        seen = seen.unionByName(frontier)
+    return seen.withColumn("source", F.when(F.col("hop") == 0, "anchor").otherwise("neighbor"))
 
 
 def resolve(names: DataFrame, exact: DataFrame, fuzzy: DataFrame, prefix: DataFrame, fallback: Column) -> DataFrame:

@@ -337,3 +337,60 @@ def block_first(queries: DataFrame, rows: DataFrame, least: float, block: int =
         return at, to[at]
 
     return block_pairs(queries, rows, choose, block).groupBy("bucket", "id").agg(F.min("other").alias("other"))
+
+
+#: Cosine from which a kept answer is taken for a question.
+CACHE_LEAST = 0.92
+
+
+def cache_hits(questions: DataFrame, cache: DataFrame, pages: DataFrame, clock: int, now, least: float = CACHE_LEAST) -> DataFrame:
+    """(id, entry, sim, age_seconds): the nearest kept answer to each question (id, source_id, knobs, vector) that may be used.
+
+    A kept answer (entry, source_id, knobs, embedding, created_at, ttl_seconds, generation, page_generations) is of the question's source and
+    knobs, within its time to live, and still true: either no page has changed since it was kept (``clock``, the newest
+    change, is at most its generation), or it names its pages, and each is there with the generation it had.
+    """
+    at = F.lit(now).cast("timestamp")
+    fresh = cache.filter(F.col("knobs").isNotNull() & (F.unix_seconds(F.col("created_at")) + F.col("ttl_seconds") > F.unix_seconds(at)))
+    older = fresh.filter(F.col("generation") < clock)
+    named = older.select("entry", F.explode("page_generations").alias("page_id", "then"))
+    now_there = pages.select("page_id", F.col("generation").alias("now"))
+    true = named.join(now_there, "page_id", "left").groupBy("entry").agg(F.bool_and(F.col("now").isNotNull() & (F.col("now") == F.col("then"))).alias("holds")).filter("holds").select("entry")
+    usable = fresh.filter(F.col("generation") >= clock).unionByName(older.join(true, "entry", "left_semi"))
+    bucket = lambda d: F.to_json(F.struct(d["source_id"], d["knobs"]))
+    kept = usable.select(bucket(usable).alias("bucket"), F.col("entry").alias("id"), F.col("embedding").alias("vector"))
+    asked = questions.select(bucket(questions).alias("bucket"), "id", "vector")
+
+    def choose(sim: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = np.lexsort((np.broadcast_to(others, sim.shape), -sim), axis=1)[:, 0]
+        at = np.flatnonzero(sim[np.arange(len(ids)), best] > least)
+        return at, best[at]
+
+    near = best_per(block_pairs(asked, kept, choose), ["id"], [F.desc("sim"), F.asc("other")])
+    age = usable.select(F.col("entry").alias("other"), (F.unix_seconds(at) - F.unix_seconds(F.col("created_at"))).alias("age_seconds"))
+    return near.join(age, "other").select("id", F.col("other").alias("entry"), "sim", "age_seconds")
+
+
+# Confidence of the three ways that a name points at a page, what a salient page gains, and the most there is.
+POINTER_ARMS = (("alias", 0.9), ("title", 0.8), ("suffix", 0.6))
+POINTER_BOOST, POINTER_MOST = 0.1, 0.99
+
+
+def entity_pointers(names: DataFrame, pages: DataFrame, aliases: DataFrame, salient: DataFrame) -> DataFrame:
+    """(name, slug, arm, confidence): the page that each name points at, by alias, title or the slug's last part.
+
+    ``salient``: slugs of pages that gain. Ties go to the stronger arm, then to the smaller slug.
+    """
+    asked = names.select("name").distinct()
+    by = {
+        "alias": aliases.select(F.col("alias_norm").alias("name"), "slug"),
+        "title": pages.select(F.lower(F.trim("title")).alias("name"), "slug"),
+        "suffix": pages.select(T.basename(F.col("slug")).alias("name"), "slug"),
+    }
+    found = None
+    for i, (arm, base) in enumerate(POINTER_ARMS):
+        one = asked.join(by[arm].distinct(), "name").select("name", "slug", F.lit(arm).alias("arm"), F.lit(i).alias("i"), F.lit(base).alias("base"))
+        found = one if found is None else found.unionByName(one)
+    gains = salient.select("slug").distinct().withColumn("gain", F.lit(POINTER_BOOST))
+    scored = found.join(gains, "slug", "left").withColumn("confidence", F.least(F.lit(POINTER_MOST), F.col("base") + F.coalesce("gain", F.lit(0.0))))
+    return best_per(scored, ["name"], [F.desc("confidence"), F.asc("i"), F.asc("slug")]).select("name", "slug", "arm", "confidence")

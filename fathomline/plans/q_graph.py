@@ -344,10 +344,19 @@ def edges_by_chunk(spark, sf):
     return r.filter("to_chunk_id in (5, 9)").select(F.lit("in").alias("side"), "from_symbol", "to_symbol").union(r.filter("from_symbol = 'f5'").select(F.lit("out"), "from_symbol", "to_symbol"))
 
 
-@query("g11_code_walk", f"WITH RECURSIVE {_CODE}, b AS (SELECT 'f10' AS node, 0 AS depth UNION SELECT to_symbol, depth + 1 FROM b JOIN r ON from_symbol = node WHERE depth < 3), m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node) SELECT node, depth, round(greatest(0.05, least(1.0, 1 / (1 + 0.3 * depth)))::DOUBLE, 6) AS confidence, node NOT IN (SELECT from_symbol FROM r) AS sink FROM m ORDER BY depth, node LIMIT 200")
+@query(
+    "g11_code_walk",
+    f"""WITH {_CODE}, e AS (SELECT DISTINCT from_symbol AS src, to_symbol AS dst FROM r), n0 AS (SELECT 'f10' AS node, ['f10'] AS way),
+n1 AS (SELECT dst AS node, list_append(arg_min(way, src), dst) AS way FROM e JOIN n0 ON src = node WHERE dst <> 'f10' GROUP BY dst),
+n2 AS (SELECT dst AS node, list_append(arg_min(way, src), dst) AS way FROM e JOIN n1 ON src = node WHERE dst NOT IN (SELECT node FROM n0 UNION ALL SELECT node FROM n1) GROUP BY dst),
+n3 AS (SELECT dst AS node, list_append(arg_min(way, src), dst) AS way FROM e JOIN n2 ON src = node WHERE dst NOT IN (SELECT node FROM n0 UNION ALL SELECT node FROM n1 UNION ALL SELECT node FROM n2) GROUP BY dst),
+a AS (SELECT *, 0 AS depth FROM n0 UNION ALL SELECT *, 1 FROM n1 UNION ALL SELECT *, 2 FROM n2 UNION ALL SELECT *, 3 FROM n3), b AS (SELECT * FROM a ORDER BY depth, node LIMIT 40),
+f AS (SELECT b.node, bool_or(list_contains(way, dst)) AS cycle, bool_or(dst NOT IN (SELECT node FROM a)) AS cut FROM b JOIN e ON src = b.node GROUP BY b.node)
+SELECT b.node, depth, round(greatest(0.05, least(1.0, 1 / (1 + 0.3 * depth)))::DOUBLE, 6) AS confidence, f.node IS NULL AS sink, coalesce(cycle, false) AS cycle, coalesce(cut, false) AS cut, (SELECT count(*) FROM a) > 40 AS truncated FROM b LEFT JOIN f ON f.node = b.node""",
+)
 def code_walk(spark, sf):
     r, _ = _code(spark, sf)
-    return G.code_walk(r, "f10", 3).withColumn("confidence", F.round("confidence", 6))
+    return G.code_walk(r, "f10", 3, most=40).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("g12_descendants", "WITH RECURSIVE t AS (SELECT 1 AS id, 0 AS depth UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 3 = id AND p_partkey > 2 WHERE depth < 100) SELECT id, depth FROM t")
@@ -409,11 +418,25 @@ def alias_closure(spark, sf):
     return connected_components(p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") - F.col("p_size")).alias("b")))
 
 
-@query("r11_two_pass_expansion", f"WITH RECURSIVE {_CODE}, b AS (SELECT 'f10' AS node, 0 AS hop UNION SELECT to_symbol, hop + 1 FROM b JOIN r ON from_symbol = node WHERE hop < 2) SELECT node, min(hop) AS hop, round(1.0 / (1 + min(hop)), 6)::DOUBLE AS score FROM b GROUP BY node")
+_BOTH = "e AS (SELECT p_partkey % 40 AS src, p_partkey AS dst FROM part WHERE p_partkey % 40 <> p_partkey UNION SELECT p_partkey, p_partkey % 40 FROM part WHERE p_partkey % 40 <> p_partkey UNION SELECT p_partkey, p_partkey * 7 % 301 FROM part WHERE p_size > 25 AND p_partkey <> p_partkey * 7 % 301 UNION SELECT p_partkey * 7 % 301, p_partkey FROM part WHERE p_size > 25 AND p_partkey <> p_partkey * 7 % 301)"
+
+
+@query(
+    "r11_two_pass_expansion",
+    f"""WITH {_BOTH}, a AS (SELECT chunk, max(score) AS score FROM (VALUES (3, 0.9::DOUBLE), (47, 0.7::DOUBLE), (110, 0.4::DOUBLE), (3, 0.1::DOUBLE)) AS t(chunk, score) GROUP BY chunk),
+s0 AS (SELECT * FROM a UNION ALL SELECT p_partkey, (SELECT max(score) FROM a) FROM (SELECT p_partkey FROM part WHERE p_size = 7 ORDER BY 1 LIMIT 50) WHERE p_partkey NOT IN (SELECT chunk FROM a)),
+s1 AS (SELECT dst AS chunk, max(score) / 2 AS score FROM (SELECT dst, score FROM s0 JOIN e ON src = chunk QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 50) WHERE dst NOT IN (SELECT chunk FROM s0) GROUP BY dst),
+s2 AS (SELECT dst AS chunk, max(score) / 3 AS score FROM (SELECT dst, score FROM s1 JOIN e ON src = chunk QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 50) WHERE dst NOT IN (SELECT chunk FROM s0 UNION ALL SELECT chunk FROM s1) GROUP BY dst)
+SELECT chunk, round(score, 6) AS score, 0 AS hop, 'anchor' AS source FROM s0 UNION ALL SELECT chunk, round(score, 6), 1, 'neighbor' FROM s1 UNION ALL SELECT chunk, round(score, 6), 2, 'neighbor' FROM s2""",
+)
 def two_pass_expansion(spark, sf):
-    r, _ = _code(spark, sf)
-    e = r.select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst"))
-    return G.bfs(e, spark.createDataFrame([("f10",)], "node string"), 2).select("node", F.col("depth").alias("hop"), F.round(1 / (1 + F.col("depth")), 6).alias("score"))
+    """Chunks around three anchors and around those of a symbol, over two kinds of code edges."""
+    k = F.col("p_partkey")
+    part = table(spark, sf, "part")
+    e = part.select((k % 40).alias("src"), k.alias("dst")).unionByName(part.filter("p_size > 25").select(k.alias("src"), (k * 7 % 301).alias("dst")))
+    anchors = spark.createDataFrame([(3, 0.9), (47, 0.7), (110, 0.4), (3, 0.1)], "chunk long, score double")
+    out = G.expand_anchors(anchors, e, near=part.filter("p_size = 7").select(k.alias("chunk")))
+    return out.withColumn("score", F.round("score", 6))
 
 
 @query("r10_relational_arm", f"{with_views('links', more=_STEP)}, {_fan('nations/4', 'f')} SELECT node, hop, edge_count, row_number() OVER (ORDER BY hop, edge_count DESC, node) AS rank FROM f WHERE types LIKE '%located_in%' QUALIFY row_number() OVER (ORDER BY hop, edge_count DESC, node) <= 40")

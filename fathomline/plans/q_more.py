@@ -50,15 +50,20 @@ def code_retrieval(spark, sf):
     return w.select("q", F.round(F.col("hit") / F.nullif("got", F.lit(0)), 6).alias("precision"), F.round(F.col("hit") / F.nullif("rel", F.lit(0)), 6).alias("recall"))
 
 
-@query("a38_parser_scores", "SELECT 1.0::DOUBLE AS message_recall, 1.0::DOUBLE AS participant_recall, true AS passes")
+_HEARD = "SELECT conv_id, count(*) AS m, count(*) FILTER (WHERE (conv_id * 31 + turn) % 17 <> 0) AS g, count(DISTINCT role) AS p, count(DISTINCT role) FILTER (WHERE (conv_id * 31 + turn) % 17 <> 0) AS s FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"
+
+
+@query("a38_parser_scores", f"SELECT round((sum(least(g, m)) / sum(m))::DOUBLE, 6) AS message_recall, round((sum(least(s, p)) / sum(p))::DOUBLE, 6) AS participant_recall, sum(least(g, m)) / sum(m) >= 0.9 AND sum(least(s, p)) = sum(p) AS passes FROM ({_HEARD})")
 def parser_scores(spark, sf):
-    """Messages and speakers that the chat parser finds in exports made of the conversations."""
+    """Messages and speakers that the chat parser finds in exports made of the conversations, some of whose lines have lost their heads."""
     c = table(spark, sf, "conversations").filter("text is not null")
-    line = F.concat(F.lit("[2024-01-01] "), "role", F.lit(": "), "text")
+    lost = (F.col("conv_id") * 31 + F.col("turn")) % 17 == 0
+    line = F.when(lost, F.concat(F.lit("  "), "text")).otherwise(F.concat(F.lit("[2024-01-01] "), "role", F.lit(": "), "text"))
     whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"), F.count(F.lit(1)).alias("messages"), F.countDistinct("role").alias("people"))
     found = D.chats(whole, "conv_id", "body").groupBy("conv_id").agg(F.count(F.lit(1)).alias("got"), F.countDistinct("speaker").alias("seen"))
-    s = whole.join(found, "conv_id", "left").agg((F.sum(F.least("got", "messages")) / F.sum("messages")).alias("m"), (F.sum(F.least("seen", "people")) / F.sum("people")).alias("p"))
-    return s.select(F.col("m").alias("message_recall"), F.col("p").alias("participant_recall"), ((F.col("m") >= 0.9) & (F.col("p") == 1)).alias("passes"))
+    each = whole.join(found, "conv_id", "left").fillna(0, ["got", "seen"])
+    s = each.agg((F.sum(F.least("got", "messages")) / F.sum("messages")).alias("m"), (F.sum(F.least("seen", "people")) / F.sum("people")).alias("p"))
+    return s.select(F.round("m", 6).alias("message_recall"), F.round("p", 6).alias("participant_recall"), ((F.col("m") >= 0.9) & (F.col("p") == 1)).alias("passes"))
 
 
 @query("t6_bounded_queue", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10")
@@ -242,14 +247,15 @@ def named_aggregates(spark, sf):
     return plugins.aggregate_by_name(views.takes(spark, sf), ["domain"], names).withColumns({n: F.round(n, 6) for n in names})
 
 
-@query("x6_plugin_source", "SELECT i AS id, i * i AS square FROM generate_series(0, 99) AS g(i)")
+@query("x6_plugin_source", "SELECT user_id AS id, 'person-' || user_id || '/' || event_type AS slug, count(*) AS n FROM events GROUP BY ALL")
 def plugin_source(spark, sf):
-    plugins.register(spark)
-    return spark.read.format("fathomline_plugin").schema("id long, square long").option("function", "fathomline.plans.q_more:squares").option("partitions", "4").load()
+    """Events resolved to pages by a plug-in that is named, as a caller's own would be."""
+    e = table(spark, sf, "events").select("user_id", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("name"))
+    return plugins.resolved(e, "name", "fathomline.plans.q_more:slugs_of").groupBy(F.col("user_id").alias("id"), F.col("resolved").alias("slug")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def squares(part: int, parts: int):
-    yield from ((i, i * i) for i in range(part, 100, parts))
+def slugs_of(names: list[str]) -> list[str]:
+    return ["person-{}/{}".format(*x.split("|")) for x in names]
 
 
 @query("f3_slugs", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & Co. (' || p_brand || ')'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")

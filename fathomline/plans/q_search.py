@@ -250,12 +250,32 @@ def search_takes(spark, sf):
     return views.takes(spark, sf).filter(F.col("active") & F.col("holder").isin("h1", "h3") & (F.col("domain") == "d2") & (F.col("quality") == "correct") & (F.col("weight") >= 0.9)).select("id", "page_id", "holder", "weight")
 
 
-@query("r18_semantic_cache", f"SELECT vec_id AS entry, label AS knobs, round({_COS.format(i=12)}, 6) AS sim FROM embeddings WHERE vec_id <> 12 AND label = (SELECT label FROM embeddings WHERE vec_id = 12) AND {_COS.format(i=12)} > -1 ORDER BY {_COS.format(i=12)} DESC, vec_id LIMIT 1")
+_BENT = "list_transform(embedding::DOUBLE[], lambda x, i: x * (1 + 0.3::DOUBLE * ((i - 1) % 3 - 1)))"
+
+
+@query(
+    "r18_semantic_cache",
+    f"""WITH c AS (SELECT vec_id, embedding, vec_id % 2 AS src, vec_id % 3 AS knobs, TIMESTAMP '2024-03-01' - to_minutes((vec_id % 90)::BIGINT) AS made, 100 + vec_id % 5 AS gen FROM embeddings),
+g AS (SELECT c.vec_id, c.vec_id + k AS page_id, (c.vec_id + k) % 7 + CASE WHEN c.vec_id % 4 = 0 AND k = 1 THEN 1 ELSE 0 END AS was FROM c, (VALUES (1), (2)) AS t(k) WHERE c.vec_id % 6 <> 5),
+t AS (SELECT g.vec_id FROM g LEFT JOIN part ON p_partkey = page_id GROUP BY g.vec_id HAVING bool_and(p_partkey IS NOT NULL AND p_partkey % 7 = was)),
+u AS (SELECT * FROM c WHERE epoch(made) + 3600 > epoch(TIMESTAMP '2024-03-01') AND (gen >= 102 OR vec_id IN (SELECT vec_id FROM t))),
+q AS (SELECT vec_id AS id, vec_id % 2 AS src, vec_id % 3 AS knobs, {_BENT} AS v FROM embeddings WHERE vec_id % 100 = 0 OR vec_id % 7 = 0)
+SELECT id, u.vec_id AS entry, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS sim, (epoch(TIMESTAMP '2024-03-01') - epoch(made))::BIGINT AS age_seconds FROM q JOIN u ON u.src = q.src AND u.knobs = q.knobs
+WHERE list_cosine_similarity(v, embedding::DOUBLE[]) > 0.92 QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_cosine_similarity(v, embedding::DOUBLE[]) DESC, u.vec_id) = 1""",
+)
 def semantic_cache(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id = 12").select(F.col("label").alias("knobs"))
-    scored = R.vector_scores(e.filter("vec_id <> 12").select("vec_id", F.col("label").alias("knobs"), F.col("embedding").cast("array<double>").alias("embedding")), _vector_of(spark, sf, 12))
-    return scored.join(F.broadcast(q), "knobs", "left_semi").filter("score > -1").orderBy(F.desc("score"), "vec_id").limit(1).select(F.col("vec_id").alias("entry"), "knobs", F.round("score", 6).alias("sim"))
+    """Kept answers for questions whose vectors are bent copies of the keys: within time to live, same source and knobs, still true."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"))
+    i = F.col("i")
+    pairs = [F.struct((i + k).alias("k"), ((i + k) % 7 + (F.when(i % 4 == 0, 1).otherwise(0) if k == 1 else F.lit(0))).alias("g")) for k in (1, 2)]
+    pages_of = F.map_from_entries(F.when(i % 6 != 5, F.array(*pairs)).otherwise(F.filter(F.array(*pairs), lambda x: F.lit(False))))
+    made = F.lit("2024-03-01 00:00:00").cast("timestamp") - F.make_interval(mins=(i % 90).cast("int"))
+    cache = e.select(i.alias("entry"), (i % 2).alias("source_id"), (i % 3).alias("knobs"), F.col("v").alias("embedding"), made.alias("created_at"), F.lit(3600).alias("ttl_seconds"), (100 + i % 5).alias("generation"), pages_of.alias("page_generations"))
+    bent = F.transform("v", lambda x, n: x * (1 + 0.3 * (n % 3 - 1)))
+    asked = e.filter((i % 100 == 0) | (i % 7 == 0)).select(i.alias("id"), (i % 2).alias("source_id"), (i % 3).alias("knobs"), bent.alias("vector"))
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), (F.col("p_partkey") % 7).alias("generation"))
+    found = R.cache_hits(asked, cache, pages, 102, "2024-03-01 00:00:00")
+    return found.select("id", "entry", F.round("sim", 6).alias("sim"), "age_seconds")
 
 
 @query("r19_fact_candidates", f"SELECT bucket, id, other, round(sim, 6) AS sim FROM ({_PAIRS} AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY bucket, id ORDER BY sim DESC, other) <= 5")
@@ -275,15 +295,23 @@ def find_experts(spark, sf):
 
 @query(
     "r22_entity_pointers",
-    f"""{with_views('pages')}, u AS (SELECT 'alias' AS arm, 0.9 AS c, slug, page_id FROM pages_v WHERE page_id % 11 = 4 UNION ALL SELECT 'title', 0.8, slug, page_id FROM pages_v WHERE page_id % 7 = 4 UNION ALL SELECT 'suffix', 0.6, slug, page_id FROM pages_v WHERE page_id % 5 = 4)
-SELECT slug, arm, round(least(0.99, c + CASE WHEN page_id % 2 = 0 THEN 0.1 ELSE 0 END), 4)::DOUBLE AS confidence FROM u QUALIFY row_number() OVER (PARTITION BY slug ORDER BY c DESC) = 1""",
+    """WITH p AS (SELECT 'parts/' || p_brand || '/' || replace(p_name, ' ', '-') AS slug, p_name AS title, p_partkey AS k FROM part), a AS (SELECT 'brand ' || p_brand || ' ' || p_size AS name, 'parts/' || p_brand || '/' || replace(p_name, ' ', '-') AS slug FROM part WHERE p_size < 9),
+n AS (SELECT lower(title) AS name FROM p WHERE k % 3 = 0 UNION SELECT replace(title, ' ', '-') FROM p WHERE k % 3 = 1 UNION SELECT name FROM a),
+u AS (SELECT name, slug, 'alias' AS arm, 0 AS i, 0.9::DOUBLE AS c FROM a UNION SELECT lower(trim(title)), slug, 'title', 1, 0.8::DOUBLE FROM p UNION SELECT regexp_extract(slug, '[^/]*$'), slug, 'suffix', 2, 0.6::DOUBLE FROM p),
+s AS (SELECT DISTINCT slug FROM p JOIN lineitem ON l_partkey = k WHERE l_quantity > 48)
+SELECT name, slug, arm, round(least(0.99, c + CASE WHEN slug IN (SELECT slug FROM s) THEN 0.1 ELSE 0 END), 4)::DOUBLE AS confidence FROM u WHERE name IN (SELECT name FROM n)
+QUALIFY row_number() OVER (PARTITION BY name ORDER BY least(0.99, c + CASE WHEN slug IN (SELECT slug FROM s) THEN 0.1 ELSE 0 END) DESC, i, slug) = 1""",
 )
 def entity_pointers(spark, sf):
-    p = views.pages(spark, sf).select("slug", "page_id")
-    arm = lambda name, c, cond: p.filter(cond).select(F.lit(name).alias("arm"), F.lit(c).alias("c"), "slug", "page_id")
-    u = arm("alias", 0.9, "page_id % 11 = 4").union(arm("title", 0.8, "page_id % 7 = 4")).union(arm("suffix", 0.6, "page_id % 5 = 4"))
-    best = R.best_per(u, ["slug"], [F.desc("c")])
-    return best.select("slug", "arm", F.round(F.least(F.lit(0.99), F.col("c") + F.when(F.col("page_id") % 2 == 0, 0.1).otherwise(0.0)), 4).alias("confidence"))
+    """Names of parts, as titles, last parts of slugs or aliases; parts that are ordered in bulk gain."""
+    part = table(spark, sf, "part")
+    tail = F.replace("p_name", F.lit(" "), F.lit("-"))
+    slug = F.concat(F.lit("parts/"), "p_brand", F.lit("/"), tail)
+    p = part.select(slug.alias("slug"), F.col("p_name").alias("title"), F.col("p_partkey").alias("k"))
+    aliases = part.filter("p_size < 9").select(F.concat_ws(" ", F.lit("brand"), "p_brand", F.col("p_size").cast("string")).alias("alias_norm"), slug.alias("slug"))
+    names = p.filter("k % 3 = 0").select(F.lower("title").alias("name")).union(p.filter("k % 3 = 1").select(F.replace("title", F.lit(" "), F.lit("-")))).union(aliases.select("alias_norm"))
+    salient = p.join(table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("k")), "k", "left_semi")
+    return R.entity_pointers(names, p, aliases, salient).select("name", "slug", "arm", F.round("confidence", 4).alias("confidence"))
 
 
 # --- score modifiers -------------------------------------------------------------------------------------------------

@@ -651,6 +651,35 @@ def intents(spark, sf):
     return table(spark, sf, "events").select("event_id", T.intent(q).alias("intent"))
 
 
+#: (question, what a reader takes it for: intent, detail, salience, recency, modality); {n} is an event's type.
+_QUESTIONS = [
+    ("who is {n}", "entity|low|off|off|text"),
+    ("who is {n} today", "entity|low|off|strong|text"),
+    ("tell me about the {n}", "entity|low|off|off|text"),
+    ("when did the {n} happen", "temporal|high|off|off|text"),
+    ("what's new with {n} this week", "general|medium|off|on|text"),
+    ("catch me up on {n}", "general|medium|on|on|text"),
+    ("prepare for the call on {n}", "event|high|on|on|text"),
+    ("latest {n}", "temporal|high|off|on|text"),
+    ("explain how {n} works", "general|medium|off|off|text"),
+    ("show me the pictures from {n}", "general|medium|off|off|image"),
+    ("notes and photos of {n}", "general|medium|off|off|both"),
+    ("what does {n} look like right now", "general|medium|off|strong|image"),
+    ("what matters in {n}", "general|medium|on|off|text"),
+    ("history of {n}", "general|medium|off|off|text"),
+    ("{n} errors in the last 3 days", "general|medium|off|on|text"),
+]
+
+
+@query("f24_query_axes", f"SELECT event_id, replace(axes, '{{n}}', event_type) AS axes FROM events JOIN (VALUES {', '.join(f'({i}, ' + repr(x[1]) + ')' for i, x in enumerate(_QUESTIONS))}) AS t(i, axes) ON event_id % {len(_QUESTIONS)} = i")
+def query_axes(spark, sf):
+    """Questions about events, whose axes a reader has given in the twin."""
+    rows = F.broadcast(spark.createDataFrame([(i, q) for i, (q, _) in enumerate(_QUESTIONS)], "i int, q string"))
+    e = table(spark, sf, "events").withColumn("i", (F.col("event_id") % len(_QUESTIONS)).cast("int")).join(rows, "i")
+    a = T.query_axes(F.replace(F.col("q"), F.lit("{n}"), F.col("event_type")))
+    return e.select("event_id", F.concat_ws("|", *(a[c] for c in ("intent", "detail", "salience", "recency", "modality"))).alias("axes"))
+
+
 @query("f25_json_access", "SELECT event_id, (props::JSON->>'k')::INT AS k, json_type(props, '$.k') IS NOT NULL AS has_k, json_array_length('[' || (props::JSON->>'k') || ',2]') AS n FROM events")
 def json_access(spark, sf):
     v = F.parse_json("props")

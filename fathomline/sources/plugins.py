@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fathomline.operators.analytics import binary_outcome, share
 
@@ -40,6 +42,23 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PluginSource)
 
 
+def resolved(df: DataFrame, column: str, target: str) -> DataFrame:
+    """``df`` with ``resolved``: what the plug-in ``module:name`` makes of the values of a text column, a batch's different ones at once.
+
+    A plug-in that can't be imported is an error; null stays null.
+    """
+    module, name = target.rsplit(":", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = getattr(importlib.import_module(module), name)
+        for batch in batches:
+            once = batch.column(column).dictionary_encode()
+            made = pa.array(f(once.dictionary.to_pylist()), pa.string())
+            yield batch.append_column("resolved", made.take(once.indices))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("resolved", StringType())]))
+
+
 def objects(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256) of binary objects under any URI that Hadoop's file systems open: local, S3, HDFS."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

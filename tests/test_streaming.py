@@ -143,3 +143,15 @@ def test_objects_and_named_aggregates(spark, tmp_path):
     assert [r["size"] for r in plugins.objects(spark, str(tmp_path)).collect()] == [3]
     with pytest.raises(ValueError):
         plugins.aggregate_by_name(spark.range(1), ["id"], ["nothing"])
+
+
+def numbers(part, parts):
+    yield from ((i, i * i) for i in range(part, 10, parts))
+
+
+def test_plugins(spark):
+    from fathomline.sources import plugins
+
+    plugins.register(spark)
+    df = spark.read.format("fathomline_plugin").schema("id long, square long").option("function", "tests.test_streaming:numbers").option("partitions", "3").load()
+    assert sorted(map(tuple, df.collect())) == [(i, i * i) for i in range(10)]
