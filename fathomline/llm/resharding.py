@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 from pyspark.sql.window import Window as W
 
-from fathomline.session import cut_lineage, ensure_checkpoint_dir
+from fathomline.session import cut_lineage, ensure_checkpoint_dir, remove_folder
 
 SHARDS = 24
 BUCKETS = 64
@@ -328,12 +328,14 @@ def rewrite(docs: DataFrame, placed: DataFrame, p: Plan, path: str) -> set[int]:
     block = ["old_shard", "class", "bucket"]
     out = rows.join(whole, block).drop("class", "bucket")
     if p.parted:
-        # rows with one doc_id, text and old shard share a list of shards and take one each
+        # rows with one doc_id, text and old shard share a list of shards, each with the number of rows up to it, at most a row a shard
         own = parted.select(*block).distinct()
         key = ["id", "size", "text_crc32", "old_shard"]
-        lists = with_blocks(placed, p.cut_at).join(own, block, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+        counts = with_blocks(placed, p.cut_at).join(own, block, "left_semi").groupBy(*key, "shard").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.partitionBy(*key).orderBy("shard"))
+        lists = counts.withColumn("upto", upto).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("shards"))
         numbered = rows.join(own, block, "left_semi").withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy("tie")))
-        out = out.unionByName(numbered.join(lists, key).withColumn("shard", F.element_at("shards", F.col("k"))).drop("class", "bucket", "k", "shards"))
+        out = out.unionByName(numbered.join(lists, key).withColumn("shard", F.filter("shards", lambda x: x["upto"] >= F.col("k"))[0]["shard"]).drop("class", "bucket", "k", "shards"))
     out = out.filter(F.col("shard").isin(changed))
     out = with_slots(out, placed.filter(F.col("shard").isin(changed)), p, "tie").select("row.*", "shard", "slot")
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
@@ -341,7 +343,7 @@ def rewrite(docs: DataFrame, placed: DataFrame, p: Plan, path: str) -> set[int]:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    """Reshard, write what changes to the shared folder, and return the rows as they lie there."""
+    """Reshard, write what changes to the shared folder, and return the rows as they are read there; the folder goes then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     rows = cut_lineage(described(docs))
     p = plan(rows)
@@ -354,4 +356,6 @@ def op4(spark, sf_dir: str) -> DataFrame:
         return result(stay)
     files = spark.read.schema(docs.schema.add("slot", LongType()).add("shard", IntegerType())).parquet(path)
     there = described(files, SHARDS, F.col("shard"), F.col("slot"))
-    return result(there.unionByName(stay))
+    out = cut_lineage(result(there.unionByName(stay)))
+    remove_folder(spark, path)  # the query's rows are read; a user of ``rewrite`` keeps the shards
+    return out
