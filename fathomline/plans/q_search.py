@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fathomline.functions import vector as V
-from fathomline.operators import ordered
+from fathomline.operators import ordered, payload
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
 from fathomline.operators import text_index as TI
@@ -485,6 +485,23 @@ def near_duplicate_facts(spark, sf):
     return best.select("bucket", "id", "other", F.round("sim", 6).alias("sim"), F.when(F.col("sim") >= SAME, "same").when(F.col("sim") >= NEAR, "near").otherwise("new").alias("verdict"))
 
 
+@query("d13_summary_clusters", "SELECT source, count(*) AS documents, sum(ceil(n_chars / 4.0))::BIGINT AS tokens, count(*) FILTER (WHERE ceil(n_chars / 4.0) > 2000) AS over, 0::BIGINT AS failed FROM documents GROUP BY source")
+def summary_clusters(spark, sf):
+    """Each source's documents in clusters of like vectors within 2,000 tokens, summed up by a hook: all are there once, none is over but single ones."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.ceil(F.col("n_chars") / 4).alias("tokens"), "text")
+    e = views.chunks(spark, sf).select(F.col("chunk_id").alias("k"), "embedding")
+    n = e.count()
+    rows = d.withColumn("k", F.col("doc_id") % n).join(e, "k", "left").select(F.col("source").alias("bucket"), F.col("doc_id").alias("id"), "tokens", F.col("embedding").alias("vector"))
+    members = cut_lineage(payload.clusters(rows, 2000))
+    done = payload.summed_up(members, d.select(F.col("doc_id").alias("id"), "text"), first_words, 2000)
+    return done.groupBy(F.col("bucket").alias("source")).agg(F.sum("n").alias("documents"), F.sum("tokens").alias("tokens"), F.count_if("over").alias("over"), F.count_if(F.col("summary").isNull()).alias("failed"))
+
+
+def first_words(texts: list[str]) -> str:
+    """A stand-in for a model: the first words of each text."""
+    return " / ".join(" ".join(t.split(None, 8)[:8]) for t in texts)
+
+
 @query("d13_payload_batches", "SELECT doc_id, floor((sum(ceil(n_chars / 4.0)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - ceil(n_chars / 4.0)) / 2000)::BIGINT AS batch FROM documents")
 def payload_batches(spark, sf):
     """Each source's documents in turn, in batches of about 2,000 tokens."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import chunkers as C
 from fathomline.functions import code as K
 from fathomline.operators import analytics as A
-from fathomline.operators import clusters, ordered, vector_index
+from fathomline.operators import clusters, ordered, payload, vector_index
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
 from fathomline.operators.components import connected_components
@@ -264,3 +264,34 @@ def test_resample_weights_are_poisson():
     w = A.resample_weights(np.arange(2000), 50, 3)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08
     assert abs(np.corrcoef(w[:-1, 0], w[1:, 0])[0, 1]) < 0.08 and (w == A.resample_weights(np.arange(2000), 50, 3)).all()
+
+
+def test_payload_clusters_fit(spark):
+    rng = np.random.default_rng(5)
+    centres = 4 * rng.normal(size=(6, 8))
+    rows = [("a" if i % 4 else "b", i, int(rng.integers(1, 60)), (centres[i % 6] + rng.normal(size=8)).tolist()) for i in range(600)]
+    rows += [("a", 900, 500, centres[0].tolist()), ("a", 901, 80, None), ("b", 902, 0, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "bucket string, id long, tokens long, vector array<double>").repartition(4)
+    members = payload.clusters(df, 100).cache()
+    got = members.collect()
+    assert sorted(r["id"] for r in got) == sorted(r[1] for r in rows)
+    totals, kinds = {}, {}
+    for r in got:
+        key = r["bucket"], r["cluster"]
+        totals[key] = totals.get(key, 0) + r["tokens"]
+        kinds.setdefault(key, []).append(r["id"] % 6)
+    assert {k: v for k, v in totals.items() if v > 100} == {("a", "x900"): 500}
+    assert sum(totals.values()) / len(totals) > 40
+    pure = [max(np.bincount(k)) / len(k) for k in kinds.values() if len(k) > 1]
+    assert np.mean(pure) > 0.85  # like vectors are together
+    texts = df.selectExpr("id", "CASE WHEN id = 900 THEN null ELSE concat('text ', id) END AS text")
+    whole = payload.summed_up(members, texts, lambda t: str(len(t)), 100).collect()
+    assert sum(int(r["summary"]) for r in whole) == len(rows) and [r["cluster"] for r in whole if r["over"]] == ["x900"]
+
+    def fussy(t):
+        return 1 / 0 if "text 7" in t else "fine"
+
+    run = payload.outcome(payload.summed_up(members, texts, fussy, 100)).first()
+    assert run["dropped"] == 1 and not run["degraded"] and run["clusters"] == len(totals)
+    assert payload.outcome(payload.summed_up(members.limit(0), texts, fussy, 100)).first()["success_ratio"] == 1.0
+    assert payload.clusters(df.limit(0), 100).count() == 0
