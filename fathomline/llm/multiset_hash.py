@@ -13,7 +13,8 @@ The vector has two parts:
   are read as signed, which holds for texts of up to 2**31 shingles, more than a string can hold.
 
 Defined cases: null and empty texts and texts of line breaks only have the zero fingerprint; likeness of equal
-fingerprints is 1, of a zero to another one 0; texts of any length are hashed whole; rows that repeat a doc_id are
+fingerprints is 1, of a zero to another one 0; texts of any length are hashed whole, in stretches of
+whole paragraphs; rows that repeat a doc_id are
 ordered by the text's hash (then the text) and each is the next of the one before; the only document is its own next; a null doc_id comes before
 all numbers; an empty table gives no rows; columns other than doc_id and text are not read.
 """
@@ -30,7 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.textbatch import Texts, chunks, map_texts, mix, small_batches, span_hash, words
+from fathomline.llm.textbatch import Texts, byte_class, chunks, is_long, map_texts, mix, one_text, small_batches, span_hash, stretches, words
 
 LANES = 4
 SKETCH = 256
@@ -43,6 +44,15 @@ Fingerprints = tuple[np.ndarray, np.ndarray]
 
 def paragraph_sums(t: Texts) -> Fingerprints:
     """(n x LANES uint64, n x SKETCH uint32) of each text."""
+    if is_long(t):  # sums of sums, of whole paragraphs each
+        total = np.zeros((1, LANES), np.uint64), np.zeros((1, SKETCH), np.uint32)
+        for a, b in stretches(t.buf, byte_class((10,))):
+            total = combine(total, _sums(one_text(t.buf[a:b])))
+        return total
+    return _sums(t)
+
+
+def _sums(t: Texts) -> Fingerprints:
     n = len(t)
     exact = np.zeros((n, LANES), np.uint64)
     sketch = np.zeros((n, SKETCH), np.uint32)

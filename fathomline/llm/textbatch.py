@@ -151,6 +151,32 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, Tex
         at = to
 
 
+def stretches(buf: np.ndarray, ends: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Spans of about ``most`` bytes, each but the last ending with a byte of the class ``ends``: what stands between such bytes stays whole."""
+    at, n = 0, len(buf)
+    while at < n:
+        to = min(at + most, n)
+        if to < n:
+            near = np.flatnonzero(ends[buf[at:to]])
+            if len(near):
+                to = at + int(near[-1]) + 1
+            else:
+                while to < n and not ends[buf[to - 1]]:
+                    more = np.flatnonzero(ends[buf[to : to + most]])
+                    to = to + int(more[0]) + 1 if len(more) else min(to + most, n)
+        yield at, to
+        at = to
+
+
+def is_long(t: Texts) -> bool:
+    """One text that is over a chunk: its temporaries are kept to stretches."""
+    return len(t) == 1 and len(t.buf) > CHUNK_BYTES
+
+
+def one_text(buf: np.ndarray) -> Texts:
+    return Texts(buf, np.array([0, len(buf)]))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Send texts to Python in batches of some MB: at Spark's default of 10,000 rows, two tasks of an executor hold
     hundreds of MB in Arrow buffers. This sets the session's option, for its other queries too, unless the user has set
