@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.crf_quality import held_out
-from fathomline.llm.textbatch import Texts, byte_class, chunks, lower_ascii, map_texts, mix, span_hash, words
+from fathomline.llm.textbatch import Texts, byte_class, chunks, is_long, lower_ascii, map_texts, mix, one_text, span_hash, stretches, words
 
 TRAIN_DOCS = 6000
 TRAIN_BYTES = 32_768
@@ -204,8 +204,12 @@ def fit(ids: list[int], texts: list[str], toxic: np.ndarray) -> Chain:
 
 def predict(c: Chain, t: Texts) -> np.ndarray:
     """A row of category probabilities for each text."""
-    h, doc = word_pairs(t)
-    x = rows_of(h, doc, len(t), c.vocabulary)
+    if is_long(t):  # of each stretch of whole words, those of the vocabulary; each counts once
+        parts = [rows_of(*word_pairs(one_text(t.buf[a:b])), 1, c.vocabulary).word for a, b in stretches(t.buf, BETWEEN)]
+        word = np.unique(np.concatenate(parts))
+        x = Rows(np.zeros(len(word), np.int64), word, 1)
+    else:
+        x = rows_of(*word_pairs(t), len(t), c.vocabulary)
     out = np.zeros((len(t), 0))
     for model in c.models:
         out = np.concatenate([out, sigmoid(logits(model, x, out))[:, None]], axis=1)
