@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.textbatch import GOLDEN, Texts, lower_ascii, map_texts, mix, words
+from fathomline.llm.textbatch import CHUNK_BYTES, GOLDEN, SEPARATORS, Texts, byte_class, is_long, lower_ascii, map_texts, mix, one_text, stretches, words
 from fathomline.operators.components import connected_components
 from fathomline.session import cut_lineage
 
@@ -53,7 +53,17 @@ STEP = 1.25
 
 
 def shingle_hashes(t: Texts, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of every shingle, words joined by one space, and its document."""
+    """XXH64 of every shingle, words joined by one space, and its document.
+
+    A long text goes in stretches of whole words, each with the last words of the one before ahead of it.
+    """
+    if is_long(t):
+        h = _long_hashes(t.buf, shingle, seed)
+        return h, np.zeros(len(h), np.int64)
+    return short_hashes(t, shingle, seed)
+
+
+def short_hashes(t: Texts, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     t = Texts(lower_ascii(t.buf), t.offsets)
     starts, ends, doc = words(t)
     if not len(starts):
@@ -80,6 +90,19 @@ def shingle_hashes(t: Texts, shingle: int, seed: int = SEED) -> tuple[np.ndarray
     return np.fromiter((digest(data[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a)), owner
 
 
+def _long_hashes(buf: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    found: list[np.ndarray] = []
+    last = np.zeros(0, np.uint8)
+    for a, b in stretches(buf, byte_class(SEPARATORS), CHUNK_BYTES // 2):
+        part = one_text(np.concatenate([last, np.array([32], np.uint8), buf[a:b]]))
+        starts, ends, _ = words(part)
+        if len(starts) >= shingle:
+            found.append(short_hashes(part, shingle, seed)[0])
+        keep = (shingle - 1) if len(starts) >= shingle else len(starts)
+        last = part.buf[starts[-keep] :] if keep and len(starts) else np.zeros(0, np.uint8)
+    return np.concatenate(found) if found else short_hashes(one_text(last), shingle, seed)[0]
+
+
 def shingle_sets(t: Texts, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Each document's distinct shingle hashes, sorted as int64, and their document."""
     h, owner = shingle_hashes(t, shingle, seed)
@@ -99,14 +122,15 @@ def fold(h: np.ndarray, owner: np.ndarray, n_docs: int, n_words: int) -> tuple[n
     """Fingerprints and numbers of shingles from the shingles' hashes."""
     number = np.bincount(owner, minlength=n_docs)
     out = np.zeros((n_docs, n_words), np.uint64)
-    full = np.flatnonzero(number)
-    if len(full):
-        edges = np.concatenate([[0], np.cumsum(number[full])])[:-1]
-        for k in range(n_words):
-            own = h if k == 0 else mix(h + np.uint64(k * int(GOLDEN) % (1 << 64)))
-            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
-            out[full, k] = np.packbits(2 * ones > number[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for k in range(n_words):
+        ones = np.zeros((n_docs, 64), np.int64)
+        for at in range(0, len(h), AT_ONCE // 8):  # a hash is 64 bytes as bits
+            part, of = h[at : at + AT_ONCE // 8], owner[at : at + AT_ONCE // 8]
+            own = part if k == 0 else mix(part + np.uint64(k * int(GOLDEN) % (1 << 64)))
+            bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            edges = np.flatnonzero(np.diff(of, prepend=-1))
+            ones[of[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
+        out[:, k] = np.packbits(2 * ones > number[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out, number
 
 

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from fathomline.llm import fill_middle, token_counts
+from fathomline.llm import fill_middle, multiset_hash, simhash, token_counts, toxicity_chain
+from fathomline.llm.textbatch import CHUNK_BYTES, Texts, byte_class, one_text, stretches
 from tests.llm.test_operators import ODD, odd_rows, texts_of
 
 
@@ -130,3 +131,42 @@ def test_token_counts_of_odd_rows(odd, vocabulary):
     want = [(r.doc_id, len((r.text or "").encode()), int(token_counts.batch_totals(vocabulary, iter([r.text]))[0])) for r in odd.collect()]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert token_counts.totals(odd.limit(0)).count() == 0 and token_counts.prefix_table(odd.limit(0)).count() == 0
+
+
+# --- long texts ------------------------------------------------------------------------------------------------------
+
+
+def long_texts():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
+    prose = " ".join(word() + rng.choice(["", "", ".", "\n", "\n\n"]) for _ in range(500_000))
+    return {"prose": prose, "lines": "\n".join(["the same line of words"] * 90_000), "one word": "x" * 1_600_000, "word at the end": "a b c d " * 10 + "y" * 1_500_000, "blanks": " \n" * 800_000, "words in a row": "zz " * 500_000}
+
+
+@pytest.fixture(scope="module")
+def long():
+    return {k: np.frombuffer(x.encode(), np.uint8) for k, x in long_texts().items()}
+
+
+def test_stretches_cover_and_end_well(long):
+    for buf in long.values():
+        ends = byte_class((10, 32))
+        cuts = list(stretches(buf, ends, 5000))
+        assert [a for a, _ in cuts] == [0] + [b for _, b in cuts[:-1]] and cuts[-1][1] == len(buf)
+        assert all(ends[buf[b - 1]] for _, b in cuts[:-1])
+
+
+@pytest.mark.parametrize("which", ["prose", "lines", "one word", "word at the end", "blanks", "words in a row"])
+def test_long_text_in_stretches_is_the_whole(long, which):
+    t = one_text(long[which])
+    assert len(t.buf) > CHUNK_BYTES
+    for k in (1, 3, 5):
+        assert (simhash.shingle_hashes(t, k)[0] == simhash.short_hashes(t, k, simhash.SEED)[0]).all()
+    for a, b in zip(multiset_hash.paragraph_sums(t), multiset_hash._sums(t), strict=True):
+        assert (a == b).all()
+    words = toxicity_chain.word_pairs(t)[0]
+    rng = np.random.default_rng(1)
+    vocabulary = np.sort(np.unique(np.concatenate([words[:: max(1, len(words) // 50)], rng.integers(0, 1 << 62, 50).astype(np.uint64)])))
+    chain = toxicity_chain.Chain(vocabulary, [rng.normal(size=1 + k + len(vocabulary)) for k in range(3)])
+    two = Texts(np.concatenate([t.buf, t.buf[:0]]), np.array([0, len(t.buf), len(t.buf)]))  # two texts go the short way
+    assert np.allclose(toxicity_chain.predict(chain, t)[0], toxicity_chain.predict(chain, two)[0])
