@@ -57,10 +57,57 @@ LANGUAGES = {
         '"',
     ),
 }
-EXTENSIONS = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "go": "go", "rs": "rust", "java": "java"}
+_MODIFIERS = r"(?:(?:public|private|protected|internal|open|override|static|final|sealed|abstract|virtual|async|data|inline|suspend|lazy|implicit|case|partial|readonly|mutating|fileprivate)\s+)*"
+_C_TYPE = r"(?:(?:static|inline|extern|const|unsigned|signed|virtual|explicit|constexpr|struct)\s+)*[A-Za-z_][\w:<>,]*(?:\s*[*&]+\s*|\s+)"
+_C_FUNCTION = rf"{_C_TYPE}{_NAME}\s*\([^;{{)]*\)\s*(?:const\s*)?(?:noexcept\s*)?\{{"
+_INCLUDES = (r"#\s*include\s*[<\"]([^>\"\n]+)[>\"]",)
+LANGUAGES |= {
+    "c": Language((("struct", rf"(?:typedef\s+)?struct\s+{_NAME}\s*\{{"), ("enum", rf"(?:typedef\s+)?enum\s+{_NAME}\s*\{{"), ("function", _C_FUNCTION)), _INCLUDES, (), quotes="\"'"),
+    "cpp": Language(
+        (("class", rf"(?:class|struct)\s+{_NAME}[^;{{(]*\{{"), ("enum", rf"enum\s+(?:class\s+)?{_NAME}[^;{{]*\{{"), ("method", rf"(?:{_C_TYPE})?(?P<owner>\w+)::{_NAME}\s*\([^;{{]*\)[^;{{]*\{{"), ("function", _C_FUNCTION)),
+        _INCLUDES,
+        method=rf"(?:{_C_TYPE})?{_NAME}\s*\([^;{{)]*\)[^;{{}}]*\{{",
+        quotes="\"'",
+    ),
+    "csharp": Language(
+        (("class", rf"{_MODIFIERS}(?:class|record|struct)\s+{_NAME}"), ("interface", rf"{_MODIFIERS}interface\s+{_NAME}"), ("enum", rf"{_MODIFIERS}enum\s+{_NAME}")),
+        (r"using\s+(?:static\s+)?([\w.]+)\s*;",),
+        method=rf"{_MODIFIERS}[\w<>\[\],.?]+\s+{_NAME}\s*\([^)]*\)\s*\{{",
+        quotes='"',
+    ),
+    "php": Language(
+        (("class", rf"{_MODIFIERS}class\s+{_NAME}"), ("interface", rf"interface\s+{_NAME}"), ("trait", rf"trait\s+{_NAME}"), ("function", rf"function\s+&?{_NAME}")),
+        (r"^\s*use\s+([\w\\]+)", r"(?:require|include)(?:_once)?\s*\(?\s*['\"]([^'\"\n]+)['\"]"),
+        ("class", "trait"),
+        rf"{_MODIFIERS}function\s+&?{_NAME}",
+        "\"'",
+    ),
+    "kotlin": Language(
+        (("function", rf"{_MODIFIERS}fun\s+(?:<[^>]*>\s*)?{_NAME}"), ("class", rf"{_MODIFIERS}(?:enum\s+)?(?:class|object)\s+{_NAME}"), ("interface", rf"{_MODIFIERS}interface\s+{_NAME}")),
+        (r"^import\s+([\w.*]+)",),
+        ("class",),
+        rf"{_MODIFIERS}fun\s+(?:<[^>]*>\s*)?{_NAME}",
+        '"',
+    ),
+    "swift": Language(
+        (("function", rf"{_MODIFIERS}func\s+{_NAME}"), ("class", rf"{_MODIFIERS}(?:class|struct|actor)\s+{_NAME}"), ("enum", rf"{_MODIFIERS}enum\s+{_NAME}"), ("interface", rf"{_MODIFIERS}protocol\s+{_NAME}"), ("impl", rf"{_MODIFIERS}extension\s+{_NAME}")),
+        (r"^import\s+([\w.]+)",),
+        ("class", "impl", "enum"),
+        rf"{_MODIFIERS}func\s+{_NAME}",
+        '"',
+    ),
+    "scala": Language(
+        (("function", rf"{_MODIFIERS}def\s+{_NAME}"), ("class", rf"{_MODIFIERS}(?:class|object)\s+{_NAME}"), ("trait", rf"{_MODIFIERS}trait\s+{_NAME}")),
+        (r"^import\s+([\w.]+)",),
+        ("class", "trait"),
+        rf"{_MODIFIERS}def\s+{_NAME}",
+        '"',
+    ),
+}
+EXTENSIONS = {"c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "php": "php", "kt": "kotlin", "swift": "swift", "scala": "scala", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "go": "go", "rs": "rust", "java": "java"}
 #: Words before a parenthesis that are no calls.
-CONTROL = frozenset("if for while switch catch return match".split())
-NO_CALLS = CONTROL | frozenset("async function func fn new super typeof await constructor".split())
+CONTROL = frozenset("if for foreach while switch catch return match using lock guard when elseif else sizeof".split())
+NO_CALLS = CONTROL | frozenset("async function func fun fn def new super typeof await constructor class object struct init".split())
 
 
 def language_of(path: str) -> str | None:
@@ -142,7 +189,7 @@ def code_edges(source: str, language: str = "python") -> list[tuple[str, str, st
         return []
     own = LANGUAGES[language]
     text = blanked(source, own.quotes)
-    out = [("", m[1], "imports") for p in own.imports for m in re.finditer(p, source)]
+    out = [("", m[1], "imports") for p in own.imports for m in re.finditer(p, source, re.MULTILINE)]
     declared = _declared(text, own)
     for m in re.finditer(r"([A-Za-z_$][\w$]*)\s*\(", text):
         inside = [(b - a, name, a, kind) for name, kind, a, b in declared if a <= m.start() < b]

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from fathomline.functions import chunkers as C
 from fathomline.functions import code as K
 from fathomline.operators import analytics as A
-from fathomline.operators import clusters
+from fathomline.operators import clusters, code_graph
 from fathomline.operators import retrieval as R
 from fathomline.plans.catalog import query
 from fathomline.session import table
@@ -114,6 +114,13 @@ _SOURCES = [
     ("m{n}.go", 'package main\nimport "fmt"\ntype P{n} struct { X int }\nfunc (p *P{n}) Move(d int) { log(d) }\nfunc main() {\n\trun("a }")\n}\n', ["P{n}", "P{n}.Move", "main"], [">fmt>imports", "P{n}.Move>log>calls", "main>run>calls"]),
     ("m{n}.rs", "use std::fmt;\npub struct P{n} { x: i32 }\nimpl P{n} {\n    pub fn new(x: i32) -> P{n} { make(x) }\n}\nfn main() { show({n}); }\n", ["P{n}", "P{n}.new", "main"], [">std::fmt>imports", "P{n}.new>make>calls", "main>show>calls"]),
     ("M{n}.java", 'import java.util.List;\npublic class M{n} {\n    public static void main(String[] a) {\n        open("}");\n    }\n    int size() { return count(); }\n}\n', ["M{n}", "M{n}.main", "M{n}.size"], [">java.util.List>imports", "M{n}.main>open>calls", "M{n}.size>count>calls"]),
+    ("m{n}.c", "#include <stdio.h>\nstruct point{n} { int x; };\nstatic int add(int a, int b) {\n  return plus(a, {n});\n}\n", ["point{n}", "add"], [">stdio.h>imports", "add>plus>calls"]),
+    ("m{n}.cpp", "#include <vector>\nclass Shape{n} {\n public:\n  int area() const { return size(2); }\n};\nint Shape{n}::edge(int n) {\n  return count(n);\n}\n", ["Shape{n}", "Shape{n}.area", "Shape{n}.edge"], [">vector>imports", "Shape{n}.area>size>calls", "Shape{n}.edge>count>calls"]),
+    ("M{n}.cs", "using System.Text;\nnamespace N {\n  public class Store{n} {\n    public string Get(string k) {\n      return Find(k);\n    }\n  }\n}\n", ["Store{n}", "Store{n}.Get"], [">System.Text>imports", "Store{n}.Get>Find>calls"]),
+    ("m{n}.php", "<?php\nrequire \"lib{n}.php\";\nfunction top($a) { return helper($a); }\nclass Box {\n  public function open($k) {\n    return $this->find($k);\n  }\n}\n", ["top", "Box", "Box.open"], [">lib{n}.php>imports", "top>helper>calls", "Box.open>find>calls"]),
+    ("m{n}.kt", "import kotlin.math.abs\nclass Car{n}(val n: Int) {\n    fun go(d: Int): Int {\n        return abs(d)\n    }\n}\nfun main() {\n    run({n})\n}\n", ["Car{n}", "Car{n}.go", "main"], [">kotlin.math.abs>imports", "Car{n}.go>abs>calls", "main>run>calls"]),
+    ("m{n}.swift", "import Foundation\nstruct P{n} {\n    func move(by d: Int) -> Int {\n        return shift(d)\n    }\n}\nfunc top() { run() }\n", ["P{n}", "P{n}.move", "top"], [">Foundation>imports", "P{n}.move>shift>calls", "top>run>calls"]),
+    ("m{n}.scala", "import scala.util.Try\nobject Main{n} {\n  def run(x: Int): Int = {\n    twice(x)\n  }\n}\n", ["Main{n}", "Main{n}.run"], [">scala.util.Try>imports", "Main{n}.run>twice>calls"]),
     ("notes{n}.txt", "no code at all: f({n})", [""], []),
 ]
 
@@ -147,6 +154,39 @@ def code_edges(spark, sf):
     return _code(spark, sf, lambda t, language: [">".join(e) for e in K.code_edges(t, language)])
 
 
+#: A small repository for each part: (path, source, the reader's list of from>name>where it is defined>how).
+_REPOSITORY = [
+    ("p{n}/store.py", "from util{n} import clean\n\nclass Store{n}:\n    def get(self, k):\n        return self.find(clean(k))\n\n    def find(self, k):\n        return lone{n}(k)\n\ndef save(k):\n    return k\n", ["Store{n}.get>find>p{n}/store.py:Store{n}.find>class", "Store{n}.get>clean>p{n}/util{n}.py:clean>import", "Store{n}.find>lone{n}>p{n}/deep.py:lone{n}>unique"]),
+    ("p{n}/util{n}.py", "def clean(k):\n    return save(k)\n\ndef save(k):\n    return k\n", ["clean>save>p{n}/util{n}.py:save>file"]),
+    ("p{n}/deep.py", "def lone{n}(k):\n    return save(missing(k))\n", ["lone{n}>save>?>?", "lone{n}>missing>?>?"]),
+    ("p{n}/web{n}.ts", "import { draw } from './view{n}';\nexport function page(x) {\n  return draw(x);\n}\nexport class Box {\n  open(k) {\n    return this.close(k);\n  }\n  close(k) {\n    return k;\n  }\n}\n", ["page>draw>p{n}/view{n}.ts:draw>import", "Box.open>close>p{n}/web{n}.ts:Box.close>class"]),
+    ("p{n}/view{n}.ts", "export function draw(x) {\n  return x;\n}\n", []),
+]
+
+
+def _bindings() -> str:
+    """The reader's list for every part, {n} filled in, as SQL."""
+    rows = ", ".join(f"('{path}', '{x}')" for path, _, found in _REPOSITORY for x in found)
+    return f"SELECT replace(path, '{{n}}', p_partkey::VARCHAR) AS file, replace(x, '{{n}}', p_partkey::VARCHAR) AS binding FROM part, (VALUES {rows}) AS t(path, x)"
+
+
+@query("x4_bound_calls", _bindings())
+def bound_calls(spark, sf):
+    """Calls in a small repository for each part, bound to the definitions they mean: many functions are named save, clean, draw."""
+    rows = F.broadcast(spark.createDataFrame([(path, source) for path, source, _ in _REPOSITORY], "path string, source string"))
+    filled = lambda c: F.replace(F.col(c), F.lit("{n}"), F.col("p_partkey").cast("string"))
+    parts = table(spark, sf, "part").select("p_partkey").withColumn("x", F.lit(1)).join(rows.withColumn("x", F.lit(1)), "x")
+    files = parts.select(filled("path").alias("file"), F.concat_ws("\n", filled("path"), filled("source")).alias("whole"))
+    split = lambda t: t.split("\n", 1)
+    names = C.exploded(files, "file", "whole", lambda t: [x["symbol"] for x in K.code_chunks(split(t)[1], K.language_of(split(t)[0]) or "text")])
+    told = C.exploded(files, "file", "whole", lambda t: ["\t".join(e) for e in K.code_edges(split(t)[1], K.language_of(split(t)[0]) or "text")])
+    edge = F.split("chunk_text", "\t")
+    edges = told.select("file", edge[0].alias("from_symbol"), edge[1].alias("to_symbol"), edge[2].alias("kind"))
+    out = code_graph.bound_calls(names.select("file", F.col("chunk_text").alias("symbol")), edges)
+    where = F.coalesce(F.concat_ws(":", F.col("to_file"), F.nullif("to_symbol", F.lit(""))), F.lit("?"))
+    return out.select("file", F.concat_ws(">", "from_symbol", "name", F.when(F.col("to_file").isNull(), "?").otherwise(where), F.coalesce("way", F.lit("?"))).alias("binding"))
+
+
 @query("f14_timeline_lines", "SELECT doc_id, '2024-01-0' || (1 + doc_id % 9) || '|met|more' AS entry FROM documents")
 def timeline_lines(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("- 2024-01-0"), (1 + F.col("doc_id") % 9).cast("string"), F.lit(": met\n   more\n- 2024-13-01: never\n")).alias("t"))

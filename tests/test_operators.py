@@ -408,3 +408,18 @@ def test_plan_is_settled_on_the_driver():
     assert p.relation == ("Acme", "invested_in", "in") and p.limit == 100 and p.variants == ("Who invested in Acme?",)
     assert search.compile_search("latest call", NOW).intent == "temporal"
     assert search.compile_search("x", NOW, expand=lambda q: ["x", "y;", "z", "w"]).variants == ("x", "y", "z")
+
+
+def test_bound_calls(spark):
+    from fathomline.operators import code_graph
+
+    defs = [("a/x.py", "C"), ("a/x.py", "C.m"), ("a/x.py", "C.go"), ("a/x.py", "m"), ("b/x.py", "m"), ("b/y.js", "m"), ("b/y.js", "far"), ("c/z.py", "C"), ("c/z.py", "C.m"), ("c/z.py", "")]
+    edges = [
+        ("a/x.py", "C.go", "m", "calls"), ("a/x.py", "top", "m", "calls"), ("d/q.js", "f", "m", "calls"), ("d/q.js", "", "../b/y.js", "imports"), ("e/r.py", "g", "m", "calls"), ("e/r.py", "", "a.x.m", "imports"),
+        ("h/s.py", "g", "m", "calls"), ("h/s.py", "g", "far", "calls"), ("h/s.py", "g", "none", "calls"), ("i/t.py", "g", "m", "calls"), ("i/t.py", "", "x", "imports"), ("h/s.py", "g", "far", "calls"),
+    ]
+    got = {(r["file"], r["from_symbol"], r["name"]): (r["to_file"], r["to_symbol"], r["way"]) for r in code_graph.bound_calls(spark.createDataFrame(defs, "file string, symbol string"), spark.createDataFrame(edges, "file string, from_symbol string, to_symbol string, kind string")).collect()}
+    assert got == {
+        ("a/x.py", "C.go", "m"): ("a/x.py", "C.m", "class"), ("a/x.py", "top", "m"): ("a/x.py", "m", "file"), ("d/q.js", "f", "m"): ("b/y.js", "m", "import"), ("e/r.py", "g", "m"): ("a/x.py", "m", "import"),
+        ("h/s.py", "g", "m"): (None, None, None), ("h/s.py", "g", "far"): ("b/y.js", "far", "unique"), ("h/s.py", "g", "none"): (None, None, None), ("i/t.py", "g", "m"): ("a/x.py", "m", "import"),
+    }
