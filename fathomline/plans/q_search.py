@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fathomline.functions import vector as V
 from fathomline.operators import ordered, payload
 from fathomline.operators import ranking as M
 from fathomline.operators import retrieval as R
