@@ -118,14 +118,14 @@ def in_window(df: DataFrame, since: dt.datetime | None = None, until: dt.datetim
 
 
 def effective_date(event: Column, date: Column, published: Column, filename: Column, updated: Column, created: Column, now: dt.datetime, filename_first: Column) -> tuple[Column, Column]:
-    """(date, its source): the first candidate within 1990 and a year from now; updated, then created otherwise."""
+    """(date, its source): the first candidate within 1990 and a year from now; updated, then created otherwise, whatever they are."""
     low, high = F.to_timestamp(F.lit("1990-01-01")), F.to_timestamp(F.lit((now + dt.timedelta(days=365)).isoformat(sep=" ")))
     valid = lambda c: F.when((c >= low) & (c <= high), c)
     named = F.try_to_timestamp(F.nullif(F.regexp_extract(filename, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
     parsed = {"event_date": valid(F.try_to_timestamp(event)), "date": valid(F.try_to_timestamp(date)), "published": valid(F.try_to_timestamp(published)), "filename": valid(named)}
     order = ["event_date", "date", "published", "filename"]
     first = ["filename", *order[:3]]
-    pick = lambda names: F.coalesce(*[parsed[n] for n in names], valid(updated), valid(created))
+    pick = lambda names: F.coalesce(*[parsed[n] for n in names], updated, created)
     label = lambda names: F.coalesce(*[F.when(parsed[n].isNotNull(), F.lit(n)) for n in names], F.lit("fallback"))
     return F.when(filename_first, pick(first)).otherwise(pick(order)), F.when(filename_first, label(first)).otherwise(label(order))
 
