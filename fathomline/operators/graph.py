@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fathomline.session import cut_lineage
+from fathomline.session import cut_lineage, remove_folder, shared_folder
+
+#: Nodes of a frontier up to which they are broadcast; beyond, a hop is a shuffled join.
+BROADCAST_NODES = 100_000
 
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -17,22 +22,42 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": lambda: edges, "in": lambda: back, "both": lambda: edges.unionByName(back)}[direction]()
 
 
+@contextmanager
+def kept(step: DataFrame) -> Iterator[DataFrame]:
+    """The edges as a table in the shared folder while a walk lasts: edges that are joins themselves aren't made anew for each hop.
+
+    What the walk returns must not read them any more.
+    """
+    spark = step.sparkSession
+    path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
+    step.write.parquet(path)
+    try:
+        yield spark.read.schema(step.schema).parquet(path)
+    finally:
+        remove_folder(spark, path)
+
+
+def few(nodes: DataFrame) -> DataFrame:
+    """Checkpointed nodes, to be broadcast if they are few: then no hop shuffles the edges."""
+    return F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
+
+
 def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "out", frontier_cap: int | None = None) -> DataFrame:
     """(node, depth) of every node within ``depth`` hops; roots at 0. A cap limits each hop to its first nodes by name.
 
     A hop joins the edges with the frontier and leaves out what was seen; each frontier is checkpointed, so that no hop is
     walked twice.
     """
-    step = oriented(edges, direction).select("src", "dst")
-    seen = roots.select(F.col("node"), F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for d in range(1, depth + 1):
-        found = frontier.select(F.col("node").alias("src")).join(step, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        if frontier_cap is not None:
-            frontier = frontier.orderBy("node").limit(frontier_cap)
-        frontier = cut_lineage(frontier)
-        seen = seen.unionByName(frontier)
+    seen = frontier = cut_lineage(roots.select(F.col("node"), F.lit(0).alias("depth")).distinct())
+    with kept(edges.select("src", "dst")) as own:
+        step = oriented(own, direction)
+        for d in range(1, depth + 1):
+            found = step.join(few(frontier.select(F.col("node").alias("src"))), "src").select(F.col("dst").alias("node")).distinct()
+            frontier = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+            if frontier_cap is not None:
+                frontier = frontier.orderBy("node").limit(frontier_cap)
+            frontier = cut_lineage(frontier)
+            seen = seen.unionByName(frontier)
     return seen
 
 
@@ -44,14 +69,14 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "o
 
 def paths(edges: DataFrame, root: str, depth: int, link_type: str | None = None, direction: str = "out") -> DataFrame:
     """(src, dst, link_type, depth) of every step of simple paths from the root; a path never visits a node twice."""
-    step = oriented(edges if link_type is None else edges.filter(F.col("link_type") == link_type), direction).select("src", "dst", "link_type")
-    at = step.filter(F.col("src") == root).withColumn("depth", F.lit(1)).withColumn("path", F.array("src", "dst")).filter("src <> dst")
-    out = at
-    for d in range(2, depth + 1):
-        at = cut_lineage(at)
-        ahead = at.select(F.col("dst").alias("src"), "path").join(step, "src").filter(~F.array_contains("path", F.col("dst")))
-        at = ahead.select("src", "dst", "link_type", F.lit(d).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
-        out = out.unionByName(at)
+    own = edges if link_type is None else edges.filter(F.col("link_type") == link_type)
+    with kept(own.select("src", "dst", "link_type")) as all_of:
+        step = oriented(all_of, direction)
+        at = out = cut_lineage(step.filter(F.col("src") == root).withColumn("depth", F.lit(1)).withColumn("path", F.array("src", "dst")).filter("src <> dst"))
+        for d in range(2, depth + 1):
+            ahead = step.join(few(at.select(F.col("dst").alias("src"), "path")), "src").filter(~F.array_contains("path", F.col("dst")))
+            at = cut_lineage(ahead.select("src", "dst", "link_type", F.lit(d).alias("depth"), F.concat("path", F.array("dst")).alias("path")))
+            out = out.unionByName(at)
     return out.select("src", "dst", "link_type", "depth").distinct()
 
 
@@ -60,13 +85,16 @@ def fanout(edges: DataFrame, seeds: DataFrame, depth: int = 2, types: Sequence[s
     e = edges if types is None else edges.filter(F.col("link_type").isin(*types))
     if not mentions:
         e = e.filter(~F.col("link_source").eqNullSafe("mentions"))
-    step = oriented(e.select("src", "dst", "link_type", F.xxhash64("src", "dst", "link_type", F.coalesce("link_source", F.lit(""))).alias("edge")), direction)
-    at = seeds.select("node").distinct().withColumn("hop", F.lit(0))
+    at = cut_lineage(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
     reached = None
-    for d in range(1, depth + 1):
-        hop = cut_lineage(at.filter(F.col("hop") == d - 1).select(F.col("node").alias("src")).join(step, "src").select(F.col("dst").alias("node"), "link_type", "edge", F.lit(d).alias("hop")))
-        reached = hop if reached is None else reached.unionByName(hop)
-        at = at.unionByName(hop.select("node", "hop").distinct().join(at.select("node"), "node", "left_anti"))
+    with kept(e.select("src", "dst", "link_type", F.xxhash64("src", "dst", "link_type", F.coalesce("link_source", F.lit(""))).alias("edge"))) as own:
+        step = oriented(own, direction)
+        frontier = at
+        for d in range(1, depth + 1):
+            hop = cut_lineage(step.join(few(frontier.select(F.col("node").alias("src"))), "src").select(F.col("dst").alias("node"), "link_type", "edge", F.lit(d).alias("hop")))
+            reached = hop if reached is None else reached.unionByName(hop)
+            frontier = cut_lineage(hop.select("node", "hop").distinct().join(at.select("node"), "node", "left_anti"))
+            at = at.unionByName(frontier)
     return (
         reached.join(seeds.select("node"), "node", "left_anti")
         .groupBy("node")
@@ -93,17 +121,18 @@ def fanout_paths(
     if live is not None:
         for end in ("src", "dst"):
             e = e.join(live.select(F.col("node").alias(end)).distinct(), end, "left_semi")
-    step = oriented(e.select("src", "dst", "link_type", F.xxhash64("src", "dst", "link_type", F.coalesce("link_source", F.lit(""))).alias("edge")), direction)
-    start = seeds.select("node").distinct()
+    start = cut_lineage(seeds.select("node").distinct())
     seen, frontier = start, start
     reached, pointers = None, None
-    for d in range(1, min(depth, MOST_HOPS) + 1):
-        hop = cut_lineage(frontier.select(F.col("node").alias("src")).join(step, "src").select(F.col("src").alias("parent"), F.col("dst").alias("node"), "link_type", "edge", F.lit(d).alias("hop")))
-        reached = hop if reached is None else reached.unionByName(hop)
-        new = cut_lineage(hop.groupBy("node").agg(F.min("parent").alias("parent")).join(seen, "node", "left_anti"))
-        pointers = new if pointers is None else pointers.unionByName(new)
-        frontier = new.select("node")
-        seen = seen.unionByName(frontier)
+    with kept(e.select("src", "dst", "link_type", F.xxhash64("src", "dst", "link_type", F.coalesce("link_source", F.lit(""))).alias("edge"))) as own:
+        step = oriented(own, direction)
+        for d in range(1, min(depth, MOST_HOPS) + 1):
+            hop = cut_lineage(step.join(few(frontier.select(F.col("node").alias("src"))), "src").select(F.col("src").alias("parent"), F.col("dst").alias("node"), "link_type", "edge", F.lit(d).alias("hop")))
+            reached = hop if reached is None else reached.unionByName(hop)
+            new = cut_lineage(hop.groupBy("node").agg(F.min("parent").alias("parent")).join(seen, "node", "left_anti"))
+            pointers = new if pointers is None else pointers.unionByName(new)
+            frontier = new.select("node")
+            seen = seen.unionByName(frontier)
     counted = reached.join(start, "node", "left_anti").groupBy("node").agg(F.min("hop").alias("hop"), F.countDistinct("edge").alias("edge_count"), F.array_join(F.sort_array(F.collect_set("link_type")), ",").alias("types"))
     out = counted.orderBy("hop", F.desc("edge_count"), "node").limit(most).withColumn("path", F.array("node")).withColumn("at", F.col("node"))
     steps = pointers.select(F.col("node").alias("at"), "parent")

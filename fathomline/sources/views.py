@@ -59,12 +59,14 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     md = F.lit("markdown")
-    bought = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select("o_custkey", "l_suppkey", (F.col("l_partkey") % 3).alias("m"))
+    # what is shuffled is keys, not names: one row for each link before it is named
+    lines = li.select("l_orderkey", "l_suppkey", F.when(F.col("l_partkey") % 3 == 0, F.lit(0)).when(F.col("l_partkey") % 3 == 1, F.lit(1)).otherwise(F.lit(2)).cast("byte").alias("m"))
+    bought = o.select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey", "m").distinct()
     return (
         edge(n.join(r, n["n_regionkey"] == r["r_regionkey"]), name("nations/", "n_nationkey"), name("regions/", "r_regionkey"), "part_of", md)
         .union(edge(c, name("customers/", "c_custkey"), name("nations/", "c_nationkey"), "located_in", md))
         .union(edge(s, name("suppliers/", "s_suppkey"), name("nations/", "s_nationkey"), "located_in", md))
-        .union(edge(bought, name("customers/", "o_custkey"), name("suppliers/", "l_suppkey"), "buys_from", F.when(F.col("m") == 0, "mentions").when(F.col("m") == 1, "markdown")).distinct())
+        .union(edge(bought, name("customers/", "o_custkey"), name("suppliers/", "l_suppkey"), "buys_from", F.when(F.col("m") == 0, "mentions").when(F.col("m") == 1, "markdown")))
     )
 
 
