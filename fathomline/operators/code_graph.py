@@ -43,9 +43,10 @@ def bound_calls(definitions: DataFrame, edges: DataFrame) -> DataFrame:
     imports = edges.filter("kind = 'imports'").select("file", import_path(target, relative).alias("whole")).filter("whole <> ''")
     tails = imports.select("file", "whole", F.explode(F.array("whole", F.regexp_replace("whole", "/[^/]*$", ""))).alias("path")).filter("path <> ''").distinct()
     files = d.select("to_file").distinct().withColumn("module", module_of(F.col("to_file")))
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    seen = tails.withColumn("end", last(F.col("path"))).join(files.withColumn("end", last(F.col("module"))), "end")
-    seen = seen.filter((F.col("module") == F.col("path")) | F.endswith(F.col("module"), F.concat(F.lit("/"), F.col("path")))).filter("file <> to_file").select("file", "to_file").distinct()
+    # a file stands under each end of its path, so that an import meets those files alone that it may mean
+    parts = F.split("module", "/")
+    ends = files.select("to_file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("path"))
+    seen = tails.join(ends, "path").filter("file <> to_file").select("file", "to_file").distinct()
     imported = calls.join(seen, "file").join(d, ["to_file", "name"]).filter(F.col("to_symbol") == F.col("name")).withColumn("way", F.lit("import"))
     once = d.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("to_file").alias("to_file"), F.first("to_symbol").alias("to_symbol")).filter("n = 1").drop("n")
     unique = calls.join(once, "name").withColumn("way", F.lit("unique"))

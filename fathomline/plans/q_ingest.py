@@ -11,7 +11,7 @@ from fathomline.operators import analytics as A
 from fathomline.operators import clusters, code_graph
 from fathomline.operators import retrieval as R
 from fathomline.plans.catalog import query
-from fathomline.session import table
+from fathomline.session import cut_lineage, table
 from fathomline.sources import documents as D
 from fathomline.sources import views
 from fathomline.sources.views import with_views
@@ -131,11 +131,16 @@ def _labelled(which: int) -> str:
     return f"SELECT p_partkey, replace(x, '{{n}}', p_partkey::VARCHAR) AS found FROM part JOIN (VALUES {', '.join(rows)}) AS t(i, x) ON p_partkey % {len(_SOURCES)} = i"
 
 
+def _parts(spark, sf):
+    """The parts, dealt over all cores: their table is small beside the work of reading the code made of each."""
+    return table(spark, sf, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def _code(spark, sf, f):
     """(p_partkey, found) for each symbol or edge that ``f`` finds in the sources of all parts."""
     rows = spark.createDataFrame([(i, s[0], s[1]) for i, s in enumerate(_SOURCES)], "i int, path string, source string")
     filled = lambda c: F.replace(F.col(c), F.lit("{n}"), F.col("p_partkey").cast("string")).alias(c)
-    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(_SOURCES)).cast("int").alias("i"))
+    p = _parts(spark, sf).select("p_partkey", (F.col("p_partkey") % len(_SOURCES)).cast("int").alias("i"))
     files = p.join(F.broadcast(rows), "i").select("p_partkey", F.concat_ws("\n", filled("path"), filled("source")).alias("file"))
     split = lambda t: t.split("\n", 1)
     found = C.exploded(files, "p_partkey", "file", lambda t: f(split(t)[1], K.language_of(split(t)[0]) or "text"))
@@ -175,14 +180,19 @@ def bound_calls(spark, sf):
     """Calls in a small repository for each part, bound to the definitions they mean: many functions are named save, clean, draw."""
     rows = F.broadcast(spark.createDataFrame([(path, source) for path, source, _ in _REPOSITORY], "path string, source string"))
     filled = lambda c: F.replace(F.col(c), F.lit("{n}"), F.col("p_partkey").cast("string"))
-    parts = table(spark, sf, "part").select("p_partkey").withColumn("x", F.lit(1)).join(rows.withColumn("x", F.lit(1)), "x")
+    parts = _parts(spark, sf).withColumn("x", F.lit(1)).join(rows.withColumn("x", F.lit(1)), "x")
     files = parts.select(filled("path").alias("file"), F.concat_ws("\n", filled("path"), filled("source")).alias("whole"))
-    split = lambda t: t.split("\n", 1)
-    names = C.exploded(files, "file", "whole", lambda t: [x["symbol"] for x in K.code_chunks(split(t)[1], K.language_of(split(t)[0]) or "text")])
-    told = C.exploded(files, "file", "whole", lambda t: ["\t".join(e) for e in K.code_edges(split(t)[1], K.language_of(split(t)[0]) or "text")])
-    edge = F.split("chunk_text", "\t")
-    edges = told.select("file", edge[0].alias("from_symbol"), edge[1].alias("to_symbol"), edge[2].alias("kind"))
-    out = code_graph.bound_calls(names.select("file", F.col("chunk_text").alias("symbol")), edges)
+
+    def told(t: str) -> list[str]:
+        """A file's definitions and edges: both from one reading of it."""
+        path, source = t.split("\n", 1)
+        language = K.language_of(path) or "text"
+        return ["\t".join(("", x["symbol"], "defines")) for x in K.code_chunks(source, language)] + ["\t".join(e) for e in K.code_edges(source, language)]
+
+    part = F.split("chunk_text", "\t")
+    # the joins below come back to this table many times: it is read from the files' texts once
+    read = cut_lineage(C.exploded(files, "file", "whole", told).select("file", part[0].alias("from_symbol"), part[1].alias("to_symbol"), part[2].alias("kind")))
+    out = code_graph.bound_calls(read.filter("kind = 'defines'").select("file", F.col("to_symbol").alias("symbol")), read.filter("kind <> 'defines'"))
     where = F.coalesce(F.concat_ws(":", F.col("to_file"), F.nullif("to_symbol", F.lit(""))), F.lit("?"))
     return out.select("file", F.concat_ws(">", "from_symbol", "name", F.when(F.col("to_file").isNull(), "?").otherwise(where), F.coalesce("way", F.lit("?"))).alias("binding"))
 

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators import scope
+from fathomline.operators import graph, scope
+from fathomline.plans import catalog
 
 
 def test_a_fallback_date_is_not_bounded(spark):
@@ -15,3 +17,30 @@ def test_a_fallback_date_is_not_bounded(spark):
     date, label = scope.effective_date(F.col("event"), none, none, none, F.col("up"), F.col("made"), now, F.lit(False))
     got = {r["i"]: (r["d"], r["label"]) for r in df.select("i", date.alias("d"), label.alias("label")).collect()}
     assert got == {1: (far, "fallback"), 2: (far, "fallback"), 3: (far, "fallback"), 4: (dt.datetime(2024, 3, 1), "event_date")}
+
+
+def counted(df, spark):
+    """The same rows, and a count of how many were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for pdf in frames:
+            made.add(len(pdf))
+            yield pdf
+
+    return df.mapInPandas(run, df.schema), made
+
+
+@pytest.mark.parametrize("walk", [lambda e, s: graph.fanout(e, s, 2), lambda e, s: graph.paths(e, "a", 3), lambda e, s: graph.bfs(e, s, 2), lambda e, s: graph.fanout_paths(e, s, 2)], ids=["fanout", "paths", "bfs", "fanout_paths"])
+def test_a_walk_makes_its_edges_once(spark, walk):
+    """g2, g4: edges that are joins of large tables were made anew for each hop and direction."""
+    rows = [("a", "b", "x", None), ("b", "c", "x", None), ("c", "d", "y", "mentions"), ("d", "a", "y", None)]
+    edges, made = counted(spark.createDataFrame(rows, "src string, dst string, link_type string, link_source string"), spark)
+    seeds = spark.createDataFrame([("a",)], "node string")
+    assert walk(edges, seeds).collect() and made.value == len(rows)
+
+
+def test_code_is_read_once(spark, sf):
+    """x4: each join went through the Python reader again."""
+    plan = catalog.queries()["x4_bound_calls"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan
