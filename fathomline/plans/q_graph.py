@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fathomline.functions import text as T
 from fathomline.operators import graph as G
-
 from fathomline.operators.components import connected_components
 from fathomline.plans.catalog import query
 from fathomline.session import cut_lineage, table
@@ -144,23 +145,32 @@ def mentions(docs, names, longest: int):
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("gram")))).otherwise(F.array().cast("array<struct<at:int,n:int,gram:string>>"))))
     names = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
     hits = words.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.at", "g.n", "g.gram").join(names, "gram")
-    each = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "target"))).alias("x"))
-
-    @F.pandas_udf("array<struct<target:string,at:int>>")
-    def greedy(rows: pd.Series) -> pd.Series:
-        def one(hits):
-            free, seen, out = 0, set(), []
-            for h in hits:
-                if h["at"] >= free:
-                    free = h["at"] - h["n"]
-                    if h["target"] not in seen:
-                        seen.add(h["target"])
-                        out.append({"target": h["target"], "at": h["at"]})
-            return out
-
-        return rows.map(one)
-
-    return each.select("doc_id", F.explode(greedy("x")).alias("m")).select("doc_id", "m.target", "m.at")
+    # a document's hits stand one after another in one partition: they stream, and only its targets are held
+    dealt = hits.select("doc_id", "at", "n", "target").repartition("doc_id").sortWithinPartitions("doc_id", "at", F.desc("n"), "target")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return dealt.mapInArrow(_longest_first, f"doc_id {kind}, target string, at int")
+
+
+def _longest_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, at, n, target) in order: those taken. What is held between batches is the last document's."""
+    doc, free, seen = None, 0, set()
+    for batch in batches:
+        docs, targets = (batch.column(c).dictionary_encode("encode") for c in (0, 3))
+        names = targets.dictionary.to_pylist()
+        codes = docs.indices.to_numpy().tolist()
+        here, keep = None, []
+        for i, (d, at, n, t) in enumerate(zip(codes, *(c.to_numpy().tolist() for c in (batch.column(1), batch.column(2), targets.indices)), strict=True)):
+            if d != here:
+                here, value = d, docs.dictionary[d].as_py()
+                if i or value != doc:
+                    doc, free, seen = value, 0, set()
+            if at >= free:
+                free = at + n
+                if names[t] not in seen:
+                    seen.add(names[t])
+                    keep.append(i)
+        out = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([out.column(0), out.column(3), out.column(1)], names=["doc_id", "target", "at"])
 
 
 @query("j15_mentions")
