@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from fathomline.functions import text as T
 from fathomline.functions import vector as V
+from fathomline.session import bounded_batches
 
 # Weights of the index's classes (title, body, appendix).
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -292,6 +293,7 @@ def block_pairs(queries: DataFrame, rows: DataFrame, choose, block: int = BLOCK)
     r = blocks(rows, "r_parts", "r").select("bucket", "part", "id_r", "vector_r")
     pairs = q.join(r, ["bucket", "part"]).select("bucket", "id_q", "vector_q", "id_r", "vector_r")
     kind = rows.schema["bucket"].dataType.simpleString()
+    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

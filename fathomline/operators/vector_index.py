@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.operators.retrieval import best_per, block_matches
-from fathomline.session import cut_lineage
+from fathomline.session import bounded_batches, cut_lineage
 
 #: Vectors on which centres and code books are fitted, and queries on which the index is measured, at most.
 FIT_MOST = 1 << 16
@@ -289,6 +289,7 @@ def search(queries: DataFrame, index: VectorIndex, k: int) -> DataFrame:
                 at = np.repeat(np.arange(len(ids)), best.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(others[best.ravel()]), pa.array(scores[at, best.ravel()])], names=["id", "other", "coded"])
 
+    bounded_batches(spark)
     coded = pairs.select("ids", "vectors", "others", "codes").mapInArrow(compare, "id long, other long, coded double").filter("id <> other")
     kept = cut_lineage(best_per(coded, ["id"], [F.desc("coded"), F.asc("other")], index.for_(k)).select("id", "other"))
     own = ready.select("id", F.col("vector").alias("q"))

@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import graph, scope
-from fathomline.plans import catalog
+from fathomline.operators import retrieval as R
+from fathomline.plans import catalog, q_graph
 
 
 def test_a_fallback_date_is_not_bounded(spark):
@@ -44,3 +46,24 @@ def test_code_is_read_once(spark, sf):
     """x4: each join went through the Python reader again."""
     plan = catalog.queries()["x4_bound_calls"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapIn" not in plan
+
+
+def test_wide_rows_go_to_python_in_small_batches(spark):
+    """f1, d12: a batch was 10,000 rows, however wide they are: of pairs of blocks, each 1 MB, all that a task had."""
+    vectors = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [1.0, 0.1])], "bucket int, id long, vector array<double>")
+    assert R.block_matches(vectors, vectors, 1).count() == 2
+    sizes = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("t")).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 64 and max(r["n"] for r in sizes) <= 16
+
+
+def test_mentions_are_streamed(spark):
+    """j15: longest first across batches, null and repeated ids too, a target once a document."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        docs = spark.createDataFrame([(1, "a b c a b d"), (2, "b c d"), (None, "a"), (3, "d d " * 5)], "doc_id long, text string")
+        names = spark.createDataFrame([("a b", "ab"), ("b c", "bc"), ("a", "a"), ("d", "d"), ("b c d", "bcd")], "gram string, target string")
+        found = q_graph.mentions(docs, names, 3)
+        assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == {(1, "ab", 1), (1, "d", 6), (2, "bcd", 1), (None, "a", 1), (3, "d", 1)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
