@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -35,27 +36,31 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(StringType())
-def normalize_alias(s: pd.Series) -> pd.Series:
-    """NFKC, lower case, white space collapsed, quotes and brackets taken off the ends (Arrow UDF: no built-in does NFKC)."""
+#: Texts of a batch that are Python objects at once.
+_AT_ONCE = 64
 
-    def one(x):
-        return None if x is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x).lower()).strip().strip("\"'`“”‘’()[]{}<>").strip()
 
-    return s.map(one)
+def _each(one: Callable[[str], str], texts: pa.Array) -> pa.Array:
+    """``one`` of every text, nulls kept; of a batch a few texts at a time are more than Arrow's bytes."""
+    parts = [pa.array([None if x is None else one(x) for x in texts.slice(i, _AT_ONCE).to_pylist()], pa.string()) for i in range(0, len(texts), _AT_ONCE)]
+    return pa.concat_arrays(parts or [pa.array([], pa.string())])
 
 
-@F.pandas_udf(StringType())
-def slugify(s: pd.Series) -> pd.Series:
-    """Marks stripped after NFKD, everything but letters and digits to single hyphens (Arrow UDF)."""
+@F.arrow_udf(StringType())
+def normalize_alias(texts: pa.Array) -> pa.Array:
+    """NFKC, lower case, white space collapsed, quotes and brackets taken off the ends (Arrow UDF: no built-in does NFKC)."""
+    return _each(lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x).lower()).strip().strip("\"'`“”‘’()[]{}<>").strip(), texts)
 
-    def one(x):
-        if x is None:
-            return None
-        bare = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
-        return re.sub(r"[^a-z0-9]+", "-", bare.lower()).strip("-")
 
-    return s.map(one)
+def _slug(text: str) -> str:
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return re.sub(r"[^a-z0-9]+", "-", bare.lower()).strip("-")
+
+
+@F.arrow_udf(StringType())
+def slugify(texts: pa.Array) -> pa.Array:
+    """Marks stripped after NFKD, everything but letters and digits to single hyphens (Arrow UDF)."""
+    return _each(_slug, texts)
 
 
 CJK = r"[぀-ヿ㐀-䶿一-鿿가-힯]"

@@ -10,7 +10,7 @@ from fathomline.functions import vector as V
 from fathomline.operators import analytics as A
 from fathomline.operators import clusters, ontology, ordered, scope
 from fathomline.plans.catalog import query
-from fathomline.session import table
+from fathomline.session import bounded_batches, table
 from fathomline.sources import views
 from fathomline.sources.views import with_views
 
@@ -712,6 +712,7 @@ def qualified_names(spark, sf):
 @query("f1_aliases")
 def aliases(spark, sf):
     """Whole titles and whole texts as aliases and slugs."""
+    bounded_batches(spark)
     p = views.pages(spark, sf)
     return p.select("page_id", *[f(F.col(c)).alias(f"{c}_{n}") for c in ("title", "compiled_truth") for n, f in (("alias", T.normalize_alias), ("slug", T.slugify))])
 
