@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,34 +25,45 @@ from pyspark.sql import functions as F
 from fathomline.functions import text as T
 from fathomline.functions.stemmer import stem
 from fathomline.operators.retrieval import CLASS_WEIGHTS, folder_of, parse_query
-from fathomline.session import remove_folder
+from fathomline.session import bounded_batches, remove_folder
 
 #: Generations up to which nothing is merged, and rows of ``gone`` up to which they are broadcast.
 GENERATIONS, BROADCAST_GONE = 8, 100_000
 
 
-def _stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("term")
-        once = batch.column(at).dictionary_encode()
-        stems = pa.array([stem(w) for w in once.dictionary.to_pylist()], pa.string())
-        yield batch.set_column(at, "term", stems.take(once.indices))
-
-
 def postings(docs: DataFrame, key: str, classes: dict[str, Column], stems: bool = False) -> DataFrame:
-    """(key, term, class, positions) of the documents."""
-    parts, before = [], F.lit(0)
-    for name, col in classes.items():
-        tokens = T.tokens(F.coalesce(col, F.lit("")))
-        parts.append(docs.select(F.col(key).alias("key"), F.lit(name).alias("class"), F.posexplode(tokens).alias("at", "term"), before.alias("before")))
-        before = before + F.size(tokens)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    each = out.select("key", "term", "class", (F.col("at") + F.col("before")).alias("at"))
-    if stems:
-        each = each.mapInArrow(_stemmed, each.schema)
-    return each.groupBy("key", "term", "class").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    """(key, term, class, positions) of the documents; a document is taken whole, so nothing is shuffled.
+
+    Rows of one key are documents that a search takes as one.
+    """
+    names = list(classes)
+    tokens = [T.tokens(F.coalesce(col, F.lit(""))).alias(f"__{i}") for i, col in enumerate(classes.values())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = np.zeros(len(batch), np.int64)
+            for i, name in enumerate(names):
+                lists = batch.column(1 + i)
+                sizes = np.asarray(lists.value_lengths())
+                doc = np.repeat(np.arange(len(batch)), sizes)
+                at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + before[doc]
+                before += sizes
+                once = lists.flatten().dictionary_encode()
+                words, codes = once.dictionary, np.asarray(once.indices)
+                if stems:
+                    stemmed = pa.array([stem(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+                    words, codes = stemmed.dictionary, np.asarray(stemmed.indices)[codes]
+                # the words of a document in turn, each word's places in order
+                order = np.argsort(doc * max(1, len(words)) + codes, kind="stable")
+                doc, codes = doc[order], codes[order]
+                first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(codes, prepend=-1) != 0))
+                ends = pa.array(np.append(first, len(doc)).astype(np.int32))
+                places = pa.ListArray.from_arrays(ends, pa.array(at[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[first])), words.take(pa.array(codes[first])), pa.array([name] * len(first), pa.string()), places], names=["key", "term", "class", "positions"])
+
+    bounded_batches(docs.sparkSession)
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), *tokens).mapInArrow(run, f"key {kind}, term string, class string, positions array<int>")
 
 
 @dataclass(frozen=True)
@@ -77,11 +89,11 @@ def _state(spark: SparkSession, index: TextIndex, version: int, generations: Seq
     spark.createDataFrame([(version, g) for g in generations], "version int, generation int").coalesce(1).write.mode("append").parquet(f"{index.path}/manifest")
 
 
-def _write(rows: DataFrame, index: TextIndex, generation: int) -> None:
+def _write(rows: DataFrame, index: TextIndex, generation: int, few: bool = True) -> None:
     parts = rows.withColumn("folder", folder_of(F.col("term")))
-    # a frequent term's postings are dealt over several tasks by document
-    spread = parts.repartition(F.col("folder"), F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("folder", "term", "key")
-    spread.write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").partitionBy("folder").parquet(f"{index.path}/postings/generation={generation}")
+    # few rows share a folder's files: a frequent term's are dealt over several tasks by document; of many, each task writes its own
+    spread = parts.repartition(F.col("folder"), F.pmod(F.xxhash64("key"), F.lit(8))) if few else parts
+    spread.sortWithinPartitions("folder", "term", "key").write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").partitionBy("folder").parquet(f"{index.path}/postings/generation={generation}")
 
 
 def _gone(keys: DataFrame, index: TextIndex, generation: int) -> None:
@@ -91,7 +103,7 @@ def _gone(keys: DataFrame, index: TextIndex, generation: int) -> None:
 def create(docs: DataFrame, path: str, key: str, classes: dict[str, Column], stems: bool = False) -> TextIndex:
     index = TextIndex(path, stems)
     rows = postings(docs, key, classes, stems)
-    _write(rows, index, 0)
+    _write(rows, index, 0, few=False)
     _gone(rows.limit(0), index, 0)
     _state(docs.sparkSession, index, 0, [0])
     return index
@@ -184,6 +196,8 @@ def scores(spark: SparkSession, index: TextIndex, query: str, classes: Sequence[
     if classes is not None:
         rows = rows.filter(F.col("class").isin(*classes))
     wanted = sorted({index.term(w) for g in q.groups for t in g for w in t.split()})
+    # rows of one key are one document
+    rows = rows.repartition("key").groupBy("key", "term", "class").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     tf = F.size("positions")
     part = F.when(F.col("term").isin(wanted), F.create_map(*[F.lit(x) for k, w in CLASS_WEIGHTS.items() for x in (k, w)])[F.col("class")] * tf / (tf + 1)).otherwise(0.0)
     # a document's list holds the query's terms alone

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import graph, scope
 from fathomline.operators import retrieval as R
+from fathomline.operators import text_index as TI
 from fathomline.plans import catalog, q_graph
 
 
@@ -67,3 +68,15 @@ def test_mentions_are_streamed(spark):
         assert {tuple(r) for r in found.collect()} == {(1, "ab", 1), (1, "d", 6), (2, "bcd", 1), (None, "a", 1), (3, "d", 1)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_postings_need_no_shuffle(spark, tmp_path):
+    """r1, r3: each token was a shuffled row; rows of one key stay one document."""
+    docs = spark.createDataFrame([(1, "a b", "b a b"), (2, None, ""), (1, None, "c a")], "id long, title string, body string")
+    classes = {"A": F.col("title"), "B": F.col("body")}
+    rows = TI.postings(docs, "id", classes)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["key"], r["class"], r["term"], tuple(r["positions"])) for r in rows.collect()) == [(1, "A", "a", (0,)), (1, "A", "b", (1,)), (1, "B", "a", (1,)), (1, "B", "a", (3,)), (1, "B", "b", (2, 4)), (1, "B", "c", (0,))]
+    index = TI.create(docs, str(tmp_path / "i"), "id", classes)
+    (r,) = TI.scores(spark, index, "a c").collect()
+    assert r["key"] == 1 and r["score"] == pytest.approx(0.5 + 0.4 * 2 / 3 + 0.4 / 2)
