@@ -264,17 +264,17 @@ def rerank(results: DataFrame, scorer, head: int, keep: int, order: Sequence[Col
     return scored.orderBy(F.desc_nulls_last("rerank_score"), "__pos").limit(keep).drop("__pos")
 
 
-#: Vectors to a block.
-BLOCK = 1024
+#: Vectors to a block, and queries of a block that are compared at once.
+BLOCK, STRIP = 4096, 256
 
 
 def block_pairs(queries: DataFrame, rows: DataFrame, choose, block: int = BLOCK) -> DataFrame:
     """(bucket, id, other, sim) of the pairs of a query and a row of its bucket that ``choose`` takes of two blocks.
 
     Both tables have (bucket, id, vector). A bucket's queries and rows are dealt to blocks of about ``block`` vectors, and a
-    task compares one block with one other by a matrix product, so a hot bucket makes many tasks and nothing gathers it.
-    ``choose`` gets the cosines (-inf for vectors without a direction) and both blocks' ids, and returns indices of
-    queries and rows. Vectors that are null, empty or zero match nothing.
+    task compares one block with one other by matrix products of some queries at once, so a hot bucket makes many tasks and
+    nothing gathers it. ``choose`` gets the cosines (-inf for vectors without a direction) of some queries and a block of rows
+    and both ids, and returns indices of queries and rows. Vectors that are null, empty or zero match nothing.
     """
     usable = lambda d: d.filter("vector is not null and size(vector) > 0")
     queries, rows = usable(queries), usable(rows)
@@ -291,7 +291,8 @@ def block_pairs(queries: DataFrame, rows: DataFrame, choose, block: int = BLOCK)
 
     q = blocks(queries, "q_parts", "q").select("bucket", F.explode(F.sequence(F.lit(0), F.col("r_parts") - 1)).alias("part"), "id_q", "vector_q")
     r = blocks(rows, "r_parts", "r").select("bucket", "part", "id_r", "vector_r")
-    pairs = q.join(r, ["bucket", "part"]).select("bucket", "id_q", "vector_q", "id_r", "vector_r")
+    # an array is planned as one element: without the hint whole blocks of vectors are taken for small and broadcast
+    pairs = q.join(r.hint("merge"), ["bucket", "part"]).select("bucket", "id_q", "vector_q", "id_r", "vector_r")
     kind = rows.schema["bucket"].dataType.simpleString()
     bounded_batches(rows.sparkSession)
 
@@ -303,11 +304,13 @@ def block_pairs(queries: DataFrame, rows: DataFrame, choose, block: int = BLOCK)
                 vectors = [np.asarray(one.column(c).flatten().flatten(), float).reshape(len(x), -1) for c, x in zip((2, 4), ids, strict=True)]
                 norms = [np.sqrt((v * v).sum(axis=1)) for v in vectors]
                 unit = [v / np.where(n > 0, n, 1)[:, None] for v, n in zip(vectors, norms, strict=True)]
-                sim = unit[0] @ unit[1].T
-                sim[(norms[0] == 0)[:, None] | (norms[1] == 0)[None, :]] = -np.inf
-                at, to = choose(sim, *ids)
-                bucket = one.column(0).take(pa.array(np.zeros(len(at), np.int64)))
-                yield pa.RecordBatch.from_arrays([bucket, pa.array(ids[0][at].astype(np.int64)), pa.array(ids[1][to].astype(np.int64)), pa.array(sim[at, to])], names=["bucket", "id", "other", "sim"])
+                for first in range(0, len(ids[0]), STRIP):
+                    some = slice(first, first + STRIP)
+                    own, sim = ids[0][some], unit[0][some] @ unit[1].T
+                    sim[(norms[0][some] == 0)[:, None] | (norms[1] == 0)[None, :]] = -np.inf
+                    at, to = choose(sim, own, ids[1])
+                    bucket = one.column(0).take(pa.array(np.zeros(len(at), np.int64)))
+                    yield pa.RecordBatch.from_arrays([bucket, pa.array(own[at].astype(np.int64)), pa.array(ids[1][to].astype(np.int64)), pa.array(sim[at, to])], names=["bucket", "id", "other", "sim"])
 
     return pairs.mapInArrow(run, f"bucket {kind}, id long, other long, sim double")
 
@@ -357,16 +360,17 @@ def cache_hits(questions: DataFrame, cache: DataFrame, pages: DataFrame, clock:
     older = fresh.filter(F.col("generation") < clock)
     named = older.select("entry", F.explode("page_generations").alias("page_id", "then"))
     now_there = pages.select("page_id", F.col("generation").alias("now"))
-    true = named.join(now_there, "page_id", "left").groupBy("entry").agg(F.bool_and(F.col("now").isNotNull() & (F.col("now") == F.col("then"))).alias("holds")).filter("holds").select("entry")
+    # all pages are there: read by a few columns, their files are planned as small at any number of rows
+    true = named.join(now_there.hint("merge"), "page_id", "left").groupBy("entry").agg(F.bool_and(F.col("now").isNotNull() & (F.col("now") == F.col("then"))).alias("holds")).filter("holds").select("entry")
     usable = fresh.filter(F.col("generation") >= clock).unionByName(older.join(true, "entry", "left_semi"))
     bucket = lambda d: F.to_json(F.struct(d["source_id"], d["knobs"]))
     kept = usable.select(bucket(usable).alias("bucket"), F.col("entry").alias("id"), F.col("embedding").alias("vector"))
     asked = questions.select(bucket(questions).alias("bucket"), "id", "vector")
 
     def choose(sim: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        best = np.lexsort((np.broadcast_to(others, sim.shape), -sim), axis=1)[:, 0]
-        at = np.flatnonzero(sim[np.arange(len(ids)), best] > least)
-        return at, best[at]
+        most = sim.max(axis=1)
+        at = np.flatnonzero(most > least)
+        return at, np.argmin(np.where(sim[at] == most[at, None], others[None, :], np.iinfo(np.int64).max), axis=1)
 
     near = best_per(block_pairs(asked, kept, choose), ["id"], [F.desc("sim"), F.asc("other")])
     age = usable.select(F.col("entry").alias("other"), (F.unix_seconds(at) - F.unix_seconds(F.col("created_at"))).alias("age_seconds"))
