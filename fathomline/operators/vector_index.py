@@ -189,7 +189,8 @@ def measured(spark: SparkSession, index: VectorIndex, sample, target: float, k:
     width = q.shape[1]
     asked = spark.createDataFrame([(0, int(i), [float(v) for v in x]) for i, x in zip(few["id"], few["vector"], strict=True)], "bucket int, id long, vector array<double>")
     rows = rows_of(spark, index)
-    true = block_matches(asked, rows.select(F.lit(0).alias("bucket"), "id", "vector"), k).join(rows.select(F.col("id").alias("other"), "list", "code"), "other").select("id", "other", "list", "code").toPandas()
+    near = block_matches(asked, rows.select(F.lit(0).alias("bucket"), "id", "vector"), k)  # k rows at most for each of the sampled
+    true = rows.select(F.col("id").alias("other"), "list", "code").join(F.broadcast(near), "other").select("id", "other", "list", "code").toPandas()
     if not len(true):
         return VectorIndex(**{**index.__dict__, "probed": len(index.lists), "short": max(1, k)})
     at = {int(i): n for n, i in enumerate(few["id"])}
@@ -274,7 +275,8 @@ def search(queries: DataFrame, index: VectorIndex, k: int) -> DataFrame:
     q = asked.join(by(asked, QUERIES), "list").withColumn("q_part", F.pmod(F.xxhash64("id"), F.col("parts"))).groupBy("list", "q_part").agg(F.collect_list("id").alias("ids"), F.collect_list("vector").alias("vectors"))
     sizes = by(rows.select("list"), ROWS)
     r = rows.select("id", "list", "code").join(sizes, "list").withColumn("r_part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).groupBy("list", "r_part").agg(F.collect_list("id").alias("others"), F.collect_list("code").alias("codes"))
-    pairs = q.join(sizes, "list").withColumn("r_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(r, ["list", "r_part"])
+    # arrays are planned as one element: without the hints blocks and the index's vectors are taken for small and broadcast
+    pairs = q.join(sizes, "list").withColumn("r_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(r.hint("merge"), ["list", "r_part"])
     short = index.for_(k) + 1
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +295,7 @@ def search(queries: DataFrame, index: VectorIndex, k: int) -> DataFrame:
     coded = pairs.select("ids", "vectors", "others", "codes").mapInArrow(compare, "id long, other long, coded double").filter("id <> other")
     kept = cut_lineage(best_per(coded, ["id"], [F.desc("coded"), F.asc("other")], index.for_(k)).select("id", "other"))
     own = ready.select("id", F.col("vector").alias("q"))
-    scored = kept.join(rows.select(F.col("id").alias("other"), "vector"), "other").join(own, "id")
+    scored = kept.join(rows.select(F.col("id").alias("other"), "vector").hint("merge"), "other").join(own, "id")
     q_length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
     sims = exact(scored, "q").select("id", "other", (F.col("score") / q_length).alias("sim"))
     return best_per(sims, ["id"], [F.desc("sim"), F.asc("other")], k)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators import graph, scope
+from fathomline.operators import graph, scope, vector_index
 from fathomline.operators import retrieval as R
 from fathomline.operators import text_index as TI
 from fathomline.plans import catalog, q_graph
@@ -93,3 +93,11 @@ def test_blocks_and_pages_are_not_broadcast(spark, sf):
     pages = spark.createDataFrame([(1, 1)], "page_id long, generation long")
     found = {(r["id"], r["entry"]) for r in R.cache_hits(asked, cache, pages, 5, "2024-03-01 00:00:00").collect()}
     assert found == {(i, i % 5) for i in range(1, 700, 2)}
+
+
+def test_index_joins_are_not_broadcast(spark, tmp_path):
+    """r4: the vectors of the whole index were planned as small and went through the driver."""
+    rows = spark.range(300).select("id", F.array(*[F.sin(F.col("id") * (i + 1)) for i in range(8)]).alias("vector"))
+    found = vector_index.search(rows.filter("id % 100 = 0"), vector_index.build(rows, str(tmp_path / "i")), 3)
+    assert re.search(r"SortMergeJoin \[other#\d+L?\]", found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 6  # sin(0) has no direction
