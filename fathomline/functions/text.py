@@ -6,7 +6,9 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,6 +21,17 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), TOKEN_GAP), lambda x: x != "")
 
 
+def arrow_tokens(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens`` of texts that are lower-cased already, inside a task: the words of all texts in order, and each one's text.
+
+    Letters that are newer than the JVM's tables (Unicode 13) are letters here, as in SQL.
+    """
+    lists = pc.split_pattern(pc.replace_substring_regex(lowered, TOKEN_GAP, " "), " ")
+    words, text = lists.flatten(), np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    some = pc.not_equal(words, "")
+    return words.filter(some), text[np.asarray(some)]
+
+
 def token_estimate(col: Column) -> Column:
     """One token for four characters, rounded up."""
     return F.ceil(F.length(F.coalesce(col, F.lit(""))) / 4).cast("long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fathomline.functions import text as T
 from fathomline.functions import vector as V
@@ -118,19 +120,68 @@ def folder_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(INDEX_FOLDERS)).cast("int")
 
 
-def write_index(postings: DataFrame, path: str) -> None:
-    """Postings (.., term, class, tf) as files by folder of the term, sorted by term: a lookup reads one folder's few row groups."""
-    parts = postings.withColumn("folder", folder_of(F.col("term")))
-    # a frequent term's postings are dealt over several tasks by their other columns, which its folder's files then share
-    spread = parts.repartition(F.col("folder"), F.pmod(F.xxhash64(*[c for c in postings.columns if c not in ("term", "class", "tf")]), F.lit(8)))
-    spread.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(path)
+#: Terms of a written index stand together by shelf; a folder has some of them.
+INDEX_SHELVES = 16 * INDEX_FOLDERS
 
 
-def read_index(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """The postings of the query's terms: folders are pruned, and the filter on the term is pushed to the files."""
+def shelf_of(term: str) -> int:
+    return zlib.crc32(term.encode()) % INDEX_SHELVES
+
+
+def posting_blocks(docs: DataFrame, key: Sequence[str], classes: dict[str, Column]) -> DataFrame:
+    """Rows (shelf, class, and as lists the key's columns, term, tf): the postings of ``inverted_index``, many in a row.
+
+    They are counted in a batch of documents and a row is of one batch, so nothing is shuffled; what is written later is a few
+    hundred times fewer rows than postings. Documents of one key may be in several rows; ``read_index`` adds them up.
+    """
+    names = list(classes)
+    lowered = [F.lower(F.coalesce(col, F.lit(""))).alias(f"__{i}") for i, col in enumerate(classes.values())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name in enumerate(names):
+                words, doc = T.arrow_tokens(batch.column(len(key) + i))
+                once = words.dictionary_encode()
+                shelves = np.array([shelf_of(w) for w in once.dictionary.to_numpy(zero_copy_only=False)], np.int64)
+                # terms by shelf; a term's place there and its document as one number: equal ones are one posting
+                order = np.argsort(shelves, kind="stable")
+                place = np.argsort(order)
+                pairs, tf = np.unique(place[np.asarray(once.indices)] * len(batch) + doc, return_counts=True)
+                at, doc = np.divmod(pairs, max(1, len(batch)))
+                at = order[at]
+                starts = np.flatnonzero(np.diff(shelves[at], prepend=-1))
+                ends = pa.array(np.append(starts, len(at)).astype(np.int32))
+                values = [*(batch.column(k).take(pa.array(doc)) for k in range(len(key))), once.dictionary.take(pa.array(at)), pa.array(tf.astype(np.int32))]
+                shelf = pa.array(shelves[at][starts].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([shelf, pa.array([name] * len(shelf), pa.string()), *(pa.ListArray.from_arrays(ends, v) for v in values)], names=["shelf", "class", *key, "term", "tf"])
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(*key, *lowered)
+    kinds = "".join(f"`{k}` array<{rows.schema[k].dataType.simpleString()}>, " for k in key)
+    return rows.mapInArrow(run, f"shelf int, class string, {kinds}term array<string>, tf array<int>")
+
+
+def write_index(blocks: DataFrame, path: str) -> None:
+    """``posting_blocks`` as files by folder, sorted by shelf: a lookup reads one folder's few row groups."""
+    parts = blocks.withColumn("folder", F.col("shelf") % INDEX_FOLDERS)
+    # a frequent term's postings are dealt over several tasks by their documents, which its folder's files then share
+    spread = parts.repartition(F.col("folder"), F.pmod(F.xxhash64(*[c for c in blocks.columns if c not in ("shelf", "class", "term", "tf")]), F.lit(8)))
+    spread.sortWithinPartitions("folder", "shelf").write.partitionBy("folder").parquet(path)
+
+
+def read_index(blocks: DataFrame, path: str, query: str) -> DataFrame:
+    """The postings of the query's terms, as ``inverted_index`` has them: folders are pruned, and the filter on the shelf is pushed to the files.
+
+    Of ``blocks``, what was written, only the schema is used: an index without a posting has no files that tell it.
+    """
     terms = parse_query(query).terms()
-    folders = [r[0] for r in spark.range(1).select(F.explode(F.array(*[folder_of(F.lit(t)) for t in terms]))).distinct().collect()] if terms else []
-    return spark.read.parquet(path).filter(F.col("folder").isin(folders) & F.col("term").isin(terms)).drop("folder")
+    shelves = sorted({shelf_of(t) for t in terms})
+    key = [c for c in blocks.columns if c not in ("shelf", "class", "term", "tf")]
+    found = blocks.sparkSession.read.schema(StructType([*blocks.schema, StructField("folder", IntegerType())])).parquet(path)
+    found = found.filter(F.col("folder").isin([s % INDEX_FOLDERS for s in shelves]) & F.col("shelf").isin(shelves))
+    rows = found.select("class", F.inline(F.arrays_zip(*key, "term", "tf"))).filter(F.col("term").isin(terms))
+    # dealt by key alone, so that a score needs no second shuffle
+    return rows.repartition(*key).groupBy(*key, "class", "term").agg(F.sum("tf").alias("tf"))
 
 
 def indexed_scores(postings: DataFrame, query: str, key: Sequence[str]) -> DataFrame:
@@ -158,8 +209,9 @@ def with_phrases(found: DataFrame, query: str, classes: dict[str, Column]) -> Da
     q = parse_query(query)
     if not any(" " in t for g in [*q.groups, q.excluded] for t in g):
         return found
-    line = token_line(*classes.values())
-    has = lambda term: F.contains(line, F.lit(" " + term.replace(" ", "  ") + " "))
+    low = F.lower(F.concat_ws(" ", *classes.values()))
+    # a search that ends where it finds the words in a row: no text is cut into tokens
+    has = lambda term: F.rlike(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){T.TOKEN_GAP.join(term.split())}(?![\p{{L}}\p{{N}}])"))
     for group in q.groups:
         if any(" " in t for t in group):
             test = F.lit(False)

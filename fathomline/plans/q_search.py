@@ -63,8 +63,9 @@ def indexed_search(spark, sf):
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4().hex}"
     p = views.pages(spark, sf)
     classes = {"A": F.col("title"), "B": F.col("compiled_truth")}
-    R.write_index(R.inverted_index(p, ["page_id"], classes), path)
-    found = cut_lineage(R.indexed_scores(R.read_index(spark, path, _QUERY), _QUERY, ["page_id"]))
+    blocks = R.posting_blocks(p, ["page_id"], classes)
+    R.write_index(blocks, path)
+    found = cut_lineage(R.indexed_scores(R.read_index(blocks, path, _QUERY), _QUERY, ["page_id"]))
     remove_folder(spark, path)
     return R.with_phrases(found.join(p.select("page_id", "title", "compiled_truth"), "page_id"), _QUERY, classes).select("page_id", F.round("score", 6).alias("score"))
 
