@@ -2,9 +2,13 @@
 
 Vectors are brought to length 1. A bounded sample fits the centres (cells, and lists within each cell; their number grows as the
 square root of the rows) and, for each of some groups of coordinates, a code book. Every row is then written once, under the
-folder of its list, with a byte for each group beside its vector. A search compares the query with the centres, reads the
+folder of its list, with a byte for each group beside its vector. A search of many queries compares them with the centres, reads the
 codes alone of the lists it looks into, and the vectors of the rows alone whose coded scores are best, which are scored exactly.
 
+``nearest``, the search of one query, finds the same rows as a comparison with all: the k-th cosine of such a short list is a
+bound, a row's distance from its code and a list's widest angle say what they can reach at most, and whatever can reach the
+bound is scored exactly.
+
 How many lists are looked into and how many rows are scored exactly is measured when the index is written: exact neighbours of some
 of the sample's vectors must be found in the share ``target``. Where vectors have no clusters that is most lists (their codes are
 an eighth or less of the vectors' bytes), where they have it is few.
@@ -15,7 +19,7 @@ Null, empty and zero vectors are left out; ties go to the smaller id; an empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +37,12 @@ MEASURED_K = 10
 GROUP, ENTRIES, MOST_LISTS, FOLDERS = 4, 256, 1 << 14, 256
 #: Queries and coded rows that one task compares at once.
 QUERIES, ROWS = 256, 1 << 14
+#: What bounds allow for rounding.
+SLACK = 1e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None]
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-150)[:, None]
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -64,6 +70,8 @@ class VectorIndex:
     probed: int
     short: int
     rows: int
+    #: The widest angle between each list's centre and a row of it.
+    spread: np.ndarray | None = None
 
     def own_list(self, x: np.ndarray) -> np.ndarray:
         """The list of each vector: the best of its best cell."""
@@ -75,6 +83,11 @@ class VectorIndex:
         """The lists that each query looks into, best first."""
         return np.argsort(-(x @ self.lists.T), axis=1, kind="stable")[:, : n or self.probed]
 
+    def reaching(self, x: np.ndarray, least: float) -> np.ndarray:
+        """The lists that may hold a row with a cosine of ``least`` to one query."""
+        angle = np.arccos(np.clip(self.lists @ x, -1, 1)) - self.spread
+        return np.flatnonzero(np.cos(np.maximum(angle - SLACK, 0)) >= least - SLACK)
+
     def encode(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(self.books)), np.uint8)
         for g, book in enumerate(self.books):
@@ -82,6 +95,9 @@ class VectorIndex:
             out[:, g] = np.argmax(part @ book.T - (book * book).sum(axis=1) / 2, axis=1)
         return out
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, g]] for g, book in enumerate(self.books)], axis=1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, groups, entries): what each code adds to a query's score."""
         return np.stack([q[:, g * GROUP : (g + 1) * GROUP] @ book.T for g, book in enumerate(self.books)], axis=1)
@@ -102,6 +118,18 @@ def coded_scores(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of rows to one query, summed one coordinate after another as SQL's are: what ties there ties here."""
+    dot, length, q_length = np.zeros(len(x)), np.zeros(len(x)), 0.0
+    for v, w in zip(x.T, q, strict=True):
+        dot, length, q_length = dot + v * w, length + v * v, q_length + w * w
+    return np.clip(dot / np.sqrt(length * q_length), -1, 1)
+
+
+def as_codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def as_matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(-1, width)
 
@@ -140,7 +168,7 @@ def build(rows: DataFrame, path: str, target: float = 0.95, fit_most: int = FIT_
     spark = rows.sparkSession
     if not len(sample):
         index = VectorIndex(path, *(np.zeros((0, 0)),) * 2, np.zeros(0, int), np.zeros((0, 0, 0)), 0, 0, 0)
-        ready.select("id", F.lit(0).alias("list"), F.lit(b"").alias("code"), "vector", F.lit(0).alias("folder")).limit(0).write.partitionBy("folder").parquet(f"{path}/rows")
+        ready.select("id", F.lit(0).alias("list"), F.lit(b"").alias("code"), F.lit(0.0).alias("off"), F.lit(0.0).alias("angle"), "vector", F.lit(0).alias("folder")).limit(0).write.partitionBy("folder").parquet(f"{path}/rows")
         return index
     width = len(sample["vector"][0])
     index = fit(np.stack(sample["vector"].to_list()), n, path)
@@ -149,17 +177,20 @@ def build(rows: DataFrame, path: str, target: float = 0.95, fit_most: int = FIT_
         for batch in batches:
             x = unit(as_matrix(batch.column(1), width)) if len(batch) else np.zeros((0, width))
             own = index.own_list(x)
-            codes = index.encode(np.pad(x, ((0, 0), (0, -width % GROUP))))
-            made = [batch.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), pa.array(index.folder(own).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(made, names=["id", "list", "code", "vector", "folder"])
-
-    coded = ready.mapInArrow(run, "id long, list int, code binary, vector array<double>, folder int")
+            padded = np.pad(x, ((0, 0), (0, -width % GROUP)))
+            codes = index.encode(padded)
+            off = np.sqrt(((padded - index.decode(codes)) ** 2).sum(axis=1))
+            angle = np.arccos(np.clip((x * index.lists[own]).sum(axis=1), -1, 1))
+            made = [batch.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(angle), batch.column(1), pa.array(index.folder(own).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(made, names=["id", "list", "code", "off", "angle", "vector", "folder"])
+
+    coded = ready.mapInArrow(run, "id long, list int, code binary, off double, angle double, vector array<double>, folder int")
     # a large list is dealt over several tasks and files
     coded.repartition(F.col("folder"), F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("folder", "list", "id").write.partitionBy("folder").parquet(f"{path}/rows")
-    index = measured(spark, index, sample, target)
+    index = replace(measured(spark, index, sample, target), spread=spread_of(spark, index))
     meta = {"cells": index.cells, "lists": index.lists, "books": index.books.reshape(-1, index.books.shape[2])}
     flat = [(name, i, [float(v) for v in row]) for name, m in meta.items() for i, row in enumerate(m)]
-    flat += [("cell_of", 0, [float(c) for c in index.cell_of]), ("numbers", 0, [float(v) for v in (index.probed, index.short, index.rows, len(index.books))])]
+    flat += [("cell_of", 0, [float(c) for c in index.cell_of]), ("spread", 0, index.spread.tolist()), ("numbers", 0, [float(v) for v in (index.probed, index.short, index.rows, len(index.books))])]
     spark.createDataFrame(flat, "name string, i int, v array<double>").coalesce(1).write.parquet(f"{path}/meta")
     return index
 
@@ -171,7 +202,15 @@ def read(spark: SparkSession, path: str) -> VectorIndex:
         found.setdefault(r["name"], []).append(r["v"])
     probed, short, rows, groups = (int(v) for v in found["numbers"][0])
     books = np.array(found["books"]).reshape(groups, -1, GROUP)
-    return VectorIndex(path, np.array(found["cells"]), np.array(found["lists"]), np.array(found["cell_of"][0], int), books, probed, short, rows)
+    return VectorIndex(path, np.array(found["cells"]), np.array(found["lists"]), np.array(found["cell_of"][0], int), books, probed, short, rows, np.array(found["spread"][0]))
+
+
+def spread_of(spark: SparkSession, index: VectorIndex) -> np.ndarray:
+    """The widest angle in each list: a number a list."""
+    out = np.zeros(len(index.lists))
+    for r in rows_of(spark, index).groupBy("list").agg(F.max("angle").alias("angle")).collect():
+        out[r["list"]] = r["angle"]
+    return out
 
 
 def rows_of(spark: SparkSession, index: VectorIndex, lists: np.ndarray | None = None) -> DataFrame:
@@ -192,7 +231,7 @@ def measured(spark: SparkSession, index: VectorIndex, sample, target: float, k:
     near = block_matches(asked, rows.select(F.lit(0).alias("bucket"), "id", "vector"), k)  # k rows at most for each of the sampled
     true = rows.select(F.col("id").alias("other"), "list", "code").join(F.broadcast(near), "other").select("id", "other", "list", "code").toPandas()
     if not len(true):
-        return VectorIndex(**{**index.__dict__, "probed": len(index.lists), "short": max(1, k)})
+        return replace(index, probed=len(index.lists), short=max(1, k))
     at = {int(i): n for n, i in enumerate(few["id"])}
     number = true["id"].map(at).to_numpy()
     place = np.argsort(index.looked_into(q, len(index.lists)), axis=1)
@@ -208,7 +247,7 @@ def measured(spark: SparkSession, index: VectorIndex, sample, target: float, k:
         above = np.zeros(len(least), np.int64)
         for batch in batches:
             if len(batch):
-                scores = coded_scores(tables, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1))
+                scores = coded_scores(tables, as_codes(batch.column(1)))
                 own = np.asarray(batch.column(0))
                 scores[~np.any(chosen[:, :, None] == own[None, None, :], axis=1)] = -np.inf
                 above += (scores[number] > least[:, None]).sum(axis=1)
@@ -216,22 +255,27 @@ def measured(spark: SparkSession, index: VectorIndex, sample, target: float, k:
 
     above = rows.select("list", "code").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()["n"].to_numpy()
     short = max(k, int(np.sort(above)[min(len(above) - 1, int(np.ceil(half * len(above))) - 1)]) + 1)
-    return VectorIndex(**{**index.__dict__, "probed": probed, "short": short})
+    return replace(index, probed=probed, short=short)
 
 
 def nearest(spark: SparkSession, index: VectorIndex, query: list[float], k: int) -> DataFrame:
-    """(id, score): about the k rows nearest to one query, with exact cosines."""
-    q = unit(np.array([query], float)) if index.rows else np.zeros((1, 0))
+    """(id, score): the k rows nearest to one query, with exact cosines; equal ones by id.
+
+    Rows of the lists looked into with the best coded scores give a bound, the k-th of their cosines (none where they are fewer);
+    then all lists and rows that may reach it are scored, in tasks that keep k rows of a batch.
+    """
+    given = np.array(query, float)
+    q = unit(given[None, :]) if index.rows else np.zeros((1, 0))
     if not index.rows or not np.any(q):
         return spark.createDataFrame([], "id long, score double")
-    short = index.for_(k)
+    short, width = index.for_(k), q.shape[1]
     lists = index.looked_into(q)[0]
     table = index.tables(np.pad(q, ((0, 0), (0, -q.shape[1] % GROUP))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                scores = coded_scores(table, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1))[0]
+                scores = coded_scores(table, as_codes(batch.column(1)))[0]
                 ids = np.asarray(batch.column(0))
                 best = np.lexsort((ids, -scores))[:short]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[best]), pa.array(scores[best])], names=["id", "coded"])
@@ -239,7 +283,23 @@ def nearest(spark: SparkSession, index: VectorIndex, query: list[float], k: int)
     rows = rows_of(spark, index, lists)
     found = rows.select("id", "code").mapInArrow(run, "id long, coded double").orderBy(F.desc("coded"), "id").limit(short)
     vectors = rows.select("id", "vector").join(F.broadcast(found), "id")
-    return exact(vectors.withColumn("q", F.lit(q[0].tolist())), "q").orderBy(F.desc("score"), "id").limit(k).select("id", "score")
+    best = exact(vectors.withColumn("q", F.lit(q[0].tolist())), "q").orderBy(F.desc("score")).limit(k)
+    first = best.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+    least = first["least"] if first["n"] == k else -np.inf
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reach = coded_scores(table, as_codes(batch.column(1)))[0] + np.asarray(batch.column(2)) if len(batch) else np.zeros(0)
+            some = batch.filter(pa.array(reach >= least - SLACK))
+            if len(some):
+                scores = cosines(as_matrix(some.column(3), width), given)
+                ids = np.asarray(some.column(0))
+                nearest_ones = np.lexsort((ids, -scores))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[nearest_ones]), pa.array(scores[nearest_ones])], names=["id", "score"])
+
+    bounded_batches(spark)
+    may = rows_of(spark, index, index.reaching(q[0], least)).select("id", "code", "off", "vector")
+    return may.mapInArrow(score, "id long, score double").orderBy(F.desc("score"), "id").limit(k)
 
 
 def exact(df: DataFrame, query: str) -> DataFrame:
