@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from fathomline.operators.retrieval import best_per, block_matches
 from fathomline.session import bounded_batches, cut_lineage
 
-#: Vectors on which centres and code books are fitted, and queries on which the index is measured, at most.
-FIT_MOST = 1 << 16
+#: Vectors on which centres and code books are fitted, those of them compared at once, and queries on which the index is measured, at most.
+FIT_MOST, FIT_ROWS = 1 << 16, 1 << 12
 MEASURED = 64
 MEASURED_K = 10
 #: Coordinates to a group, entries to a code book, lists at most, folders at most.
@@ -45,11 +45,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-150)[:, None]
 
 
+def own_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, some thousand rows at once: the driver holds no table of all rows by all centres."""
+    half = (centres * centres).sum(axis=1) / 2
+    return np.concatenate([np.argmax(x[i : i + FIT_ROWS] @ centres.T - half, axis=1) for i in range(0, len(x), FIT_ROWS)])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centres by plain k-means, begun at rows spread over the sample."""
     centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        own = np.argmax(x @ centres.T - (centres * centres).sum(axis=1) / 2, axis=1)
+        own = own_centre(x, centres)
         counts = np.bincount(own, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
@@ -164,14 +170,14 @@ def build(rows: DataFrame, path: str, target: float = 0.95, fit_most: int = FIT_
     n = ready.count()
     # the sample goes by a hash of the id: any part of the table may be in it
     share = min(1.0, 1.2 * fit_most / max(n, 1))
-    sample = ready.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(fit_most).toPandas()
+    sample = ready.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(fit_most).toArrow()
     spark = rows.sparkSession
     if not len(sample):
         index = VectorIndex(path, *(np.zeros((0, 0)),) * 2, np.zeros(0, int), np.zeros((0, 0, 0)), 0, 0, 0)
         ready.select("id", F.lit(0).alias("list"), F.lit(b"").alias("code"), F.lit(0.0).alias("off"), F.lit(0.0).alias("angle"), "vector", F.lit(0).alias("folder")).limit(0).write.partitionBy("folder").parquet(f"{path}/rows")
         return index
     width = len(sample["vector"][0])
-    index = fit(np.stack(sample["vector"].to_list()), n, path)
+    index = fit(as_matrix(sample["vector"].combine_chunks(), width), n, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +229,7 @@ def rows_of(spark: SparkSession, index: VectorIndex, lists: np.ndarray | None =
 
 def measured(spark: SparkSession, index: VectorIndex, sample, target: float, k: int = MEASURED_K) -> VectorIndex:
     """The index with the least numbers that find ``target`` of the exact neighbours of some sampled vectors."""
-    few = sample.iloc[:: max(1, len(sample) // MEASURED)][:MEASURED]
+    few = sample.take(np.arange(0, len(sample), max(1, len(sample) // MEASURED))[:MEASURED]).to_pandas()
     q = unit(np.stack(few["vector"].to_list()))
     width = q.shape[1]
     asked = spark.createDataFrame([(0, int(i), [float(v) for v in x]) for i, x in zip(few["id"], few["vector"], strict=True)], "bucket int, id long, vector array<double>")
